@@ -6,10 +6,14 @@
    values but for a chance below 1e-6 at the threshold itself, and far below above it. So it is enough to look up the
    rarest retained values of a sketch (all but ``min_overlap - 1`` of them): values of a passage that very many documents
    share drop out wherever the document has anything of its own.
-3. In each list, members are compared with the list's smallest member. Pairs whose union-sketch estimate is possible are
-   verified by exact Jaccard on the full sets. Lists that still span several components are then compared in full, block
-   by block, leaving out pairs that are already connected, so a large group of near copies never gives all its pairs.
-4. Connected components of the verified links.
+3. Members are compared with the smallest member of their lists: first each with the smallest of all, then, where that left
+   them apart, with the others. Pairs whose union-sketch estimate is possible are verified by exact Jaccard on the full
+   sets.
+4. Lists whose other members still lie in several components are compared in full: members with their sets are dealt to
+   blocks, a component's members to blocks of their own, and pairs of blocks are compared as matrices inside a task - by
+   sketch, then by whole set. What leaves a task is a spanning forest of the links it found, never all pairs of a group;
+   those links are verified on the full sets like the others.
+5. Connected components of the verified links.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ SHINGLE = 5
 SKETCH = 48
 MIN_OVERLAP = 19
 PERCENT = 75
-BLOCK = 64
+BLOCK = 128
+WHOLE_HALVES = 4096
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -93,8 +98,8 @@ def _possible(na, nb, sa, sb, k: int, least: int):
     return size_ok & F.when((na <= k) & (nb <= k), whole * 100 >= (na + nb - whole) * PERCENT).otherwise(both * k >= least * F.size(union))
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, k: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """Of pairs (a, b): those that the sketches allow, and those of them with an exact Jaccard at the threshold."""
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, k: int, least: int) -> DataFrame:
+    """Of pairs (a, b) that the sketches allow, those with an exact Jaccard at the threshold."""
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     likely = scratch.save(
         pairs.join(side("a"), "a").join(side("b"), "b").where(_possible(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), k, least)).select("a", "b"),
@@ -120,49 +125,121 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scra
     with_a = likely.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
     joined = with_a.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     links = scratch.save(map_batches(joined, exact, "a bigint, b bigint"), "links")
-    scratch.drop(texts)
-    return likely, links
-
-
-def _cross_pairs(lists: DataFrame, comps: DataFrame, classes: DataFrame, k: int, least: int) -> DataFrame:
-    """Possible pairs of different components in one list, for lists that span several; compared in blocks of about
-    ``BLOCK`` members, so that a task holds two blocks at a time and only possible pairs leave it."""
-    held = lists.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    open_lists = held.groupBy("value").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    scratch.drop(texts, likely)
+    return links
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Positions of those pairs that join two parts not yet joined."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            root[y] = x
+            out.append(i)
+    return out
+
+
+def _overlaps(sets: list[np.ndarray], left: int) -> np.ndarray:
+    """Sizes of the intersections of the first ``left`` sets with all sets."""
+    values = np.concatenate(sets)
+    distinct, at, times = np.unique(values, return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1  # what only one set holds is in no intersection
+    shared = times[at] > 1
+    has = np.zeros((len(sets), int(column[-1]) + 1 if len(column) else 0), dtype=np.float32)
+    has[np.repeat(np.arange(len(sets)), list(map(len, sets)))[shared], column[at[shared]]] = 1
+    return has[:left] @ has.T
+
+
+def _block_links(left: tuple, right: tuple | None, k: int, least: int) -> list[tuple[int, int]]:
+    """Links between members of different components in a block, or in two. A block: ids, components and sets (the upper
+    halves of the sorted hashes, so the first ``k`` are the sketch)."""
+    n = len(left[0])
+    ids, comps = (np.concatenate([x, y]) if right else x for x, y in zip(left[:2], right[:2] if right else left[:2], strict=True))
+    sets = left[2] + (right[2] if right else [])
+    size = np.array(list(map(len, sets)))
+    low, high = np.minimum.outer(size[:n], size), np.maximum.outer(size[:n], size)
+    open_ = np.not_equal.outer(comps[:n], comps) & (100 * low >= PERCENT * high)
+    if right:
+        open_[:, :n] = False
+    if not open_.any():
+        return []
+    # a sketch of a whole set shows the intersection itself; others retain ``least`` common values at the threshold
+    open_ &= _overlaps([x[:k] for x in sets], n) >= np.where(high <= k, np.ceil(low * PERCENT / 100), np.minimum(least, np.ceil(low * PERCENT / 100)))
+    if not open_.any():
+        return []
+    own, other = np.nonzero(open_.any(axis=1))[0], np.nonzero(open_.any(axis=0))[0]
+    both = _overlaps([sets[i] for i in own] + [sets[i] for i in other], len(own))[:, len(own) :]
+    over = 100 * both - PERCENT * (size[own][:, None] + size[other] - both)
+    # halves of hashes may coincide within very large sets: pairs so near to the threshold all go on to be verified
+    band = np.where(np.maximum(size[own][:, None], size[other]) > WHOLE_HALVES, 700, 0)
+    now = open_[np.ix_(own, other)]
+    a, b = np.nonzero(now & (over >= band))
+    a, b = own[a], other[b]
+    forest = _forest(comps[a], comps[b])
+    near_a, near_b = np.nonzero(now & (np.abs(over) < band))
+    a, b = np.concatenate([a[forest], own[near_a]]), np.concatenate([b[forest], other[near_b]])
+    return list(zip(np.minimum(ids[a], ids[b]).tolist(), np.maximum(ids[a], ids[b]).tolist(), strict=True))
+
+
+def _cross_links(lists: DataFrame, heads: DataFrame, comps: DataFrame, docs: DataFrame, scratch: Scratch, k: int, least: int) -> DataFrame:
+    """Links (a, b) between different components within a list, heads left out: a spanning forest for each pair of blocks."""
+    held = lists.join(heads.select("value", F.col("a").alias("head")), "value").where("rep <> head").select("value", "rep")
+    held = held.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", F.coalesce("component", "rep").alias("comp"))
+    open_lists = (
+        held.groupBy("value")
+        .agg(F.count("*").alias("members"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sign"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        .where("lo < hi")
+        .groupBy("members", "sign")  # lists of the same members give the same links
+        .agg(F.min("value").alias("value"))
+    )
+    held = scratch.save(held.join(open_lists.select("value", "members"), "value"), "members")
+    ids = held.select("rep").distinct()
+    texts = filter_by_ids(docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text"), "rep", ids).join(ids, "rep", "left_semi")
+
+    def upper(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([batch.column(0), pa.array([(shingle_set(t) >> 32).astype("<i4").tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["rep", "hashes"])
+
+    sets = scratch.save(map_batches(texts, upper, "rep bigint, hashes binary").distinct(), "sets")
+    # components that would fill a block get blocks of their own: two of those need no comparison
+    pools = held.groupBy("value", "comp").agg(F.count("*").alias("c")).withColumn("pool", F.when(F.col("c") >= BLOCK, F.col("comp")))
+    sizes = pools.groupBy("value", "pool").agg(F.sum("c").alias("in_pool"))
+    own = pools.where("pool IS NOT NULL").select("value", "comp", "pool")
+    dealt = held.join(own, ["value", "comp"], "left").join(sizes.withColumnsRenamed({"value": "v", "pool": "p"}), (F.col("value") == F.col("v")) & F.col("pool").eqNullSafe(F.col("p")))
+    dealt = dealt.withColumn("number", F.pmod(F.xxhash64("rep"), F.ceil(F.col("in_pool") / BLOCK)))
     blocks = (
-        held.join(open_lists.select("value", "members"), "value")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / BLOCK)))
-        .join(classes.select("rep", "n", "sketch"), "rep")
-        .groupBy("value", "block")
-        .agg(F.collect_list(F.struct("rep", "comp", "n", "sketch")).alias("rows"))
+        dealt.join(sets, "rep")
+        .groupBy("value", "pool", "number")
+        .agg(F.max("members").alias("members"), F.collect_list(F.struct("rep", "comp", "hashes")).alias("rows"))
+        .withColumn("place", F.concat_ws(":", F.coalesce(F.col("pool").cast("string"), F.lit("")), "number"))
     )
-    left, right = blocks.select("value", F.col("block").alias("i"), F.col("rows").alias("x")), blocks.select("value", F.col("block").alias("j"), F.col("rows").alias("y"))
+    blocks = scratch.save(blocks, "blocks")
+    alone = blocks.where("pool IS NULL").select(F.col("rows").alias("x"), F.lit(None).cast(blocks.schema["rows"].dataType).alias("y"))
+    many = blocks.where(F.col("members") > BLOCK)
+    left = many.select("value", F.col("pool").alias("p"), F.col("place").alias("i"), F.col("rows").alias("x"))
+    right = many.select("value", F.col("pool").alias("q"), F.col("place").alias("j"), F.col("rows").alias("y"))
+    pairs = left.join(right, "value").where("i < j AND NOT (p IS NOT NULL AND p <=> q)").select("x", "y")
+
+    def unpack(rows) -> tuple | None:
+        if not rows.is_valid:
+            return None
+        ids, comps, hashes = rows.values.flatten()
+        return ids.to_numpy(), comps.to_numpy(), [np.unique(np.frombuffer(h, dtype="<i4")) for h in hashes.to_pylist()]
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: set[tuple[int, int]] = set()
-        for x, y in zip(batch.column(0), batch.column(1), strict=True):
-            xs, ys = x.as_py(), y.as_py()
-            sizes = [np.array([r["n"] for r in rows]) for rows in (xs, ys)]
-            comps = [np.array([r["comp"] for r in rows]) for rows in (xs, ys)]
-            values, at = np.unique(np.concatenate([r["sketch"] for r in xs + ys]), return_inverse=True)
-            has = np.zeros((len(xs) + len(ys), len(values)), dtype=np.float32)
-            has[np.repeat(np.arange(len(has)), [len(r["sketch"]) for r in xs + ys]), at] = 1
-            overlap = has[: len(xs)] @ has[len(xs) :].T
-            low, high = np.minimum.outer(*sizes), np.maximum.outer(*sizes)
-            for p, q in zip(*np.nonzero((overlap > 0) & np.not_equal.outer(*comps) & (100 * low >= PERCENT * high)), strict=True):
-                if high[p, q] <= k:
-                    fits = 100 * overlap[p, q] >= PERCENT * (low[p, q] + high[p, q] - overlap[p, q])
-                else:
-                    sa, sb = set(xs[p]["sketch"]), set(ys[q]["sketch"])
-                    union = sorted(sa | sb)[:k]
-                    fits = len(sa.intersection(union) & sb) * k >= least * len(union)
-                if fits:
-                    a, b = xs[p]["rep"], ys[q]["rep"]
-                    out.add((min(a, b), max(a, b)))
+        out = {p for x, y in zip(batch.column(0), batch.column(1), strict=True) for p in _block_links(unpack(x), unpack(y), k, least)}
         return pa.record_batch([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
-    units = left.join(right, "value").where("i <= j").select("x", "y")
-    return map_batches(units, compare, "a bigint, b bigint").distinct()
+    found = scratch.save(map_batches(alone.union(pairs), compare, "a bigint, b bigint").distinct(), "cross")
+    scratch.drop(blocks, sets, held)
+    return found
 
 
 def near_duplicates(docs: DataFrame, k: int = SKETCH, min_overlap: int = MIN_OVERLAP, scratch: Scratch | None = None) -> DataFrame:
@@ -197,14 +274,20 @@ def near_duplicates(docs: DataFrame, k: int = SKETCH, min_overlap: int = MIN_OVE
         "lists",
     )
     heads = lists.groupBy("value").agg(F.count("*").alias("members"), F.min("rep").alias("a")).where("members > 1")
-    first = lists.join(heads, "value").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    likely, links = _verify(first, classes, docs, scratch, k, min_overlap)
+    tried = scratch.save(lists.join(heads, "value").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "heads")
+    links = _verify(tried.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), classes, docs, scratch, k, min_overlap)
+    comps = scratch.save(connected_components(links, scratch), "components")
+    other = tried.join(tried.groupBy("b").agg(F.min("a").alias("a")), ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        other = other.join(comps.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    other = scratch.save(other.where("ca <> cb").select("a", "b"), "other_heads")
+    links = links.union(_verify(other, classes, docs, scratch, k, min_overlap))
     comps = scratch.save(connected_components(links, scratch), "components")
-    more = scratch.save(_cross_pairs(lists, comps, classes, k, min_overlap).join(likely, ["a", "b"], "left_anti"), "cross")
-    if not more.isEmpty():
-        _, extra = _verify(more, classes, docs, scratch, k, min_overlap)
-        comps = scratch.save(connected_components(links.union(extra), scratch), "components")
-    scratch.drop(lists, likely)
+    cross = _cross_links(lists, heads, comps, docs, scratch, k, min_overlap)
+    if not cross.isEmpty():
+        links = links.union(_verify(cross, classes, docs, scratch, k, min_overlap))
+        comps = scratch.save(connected_components(links, scratch), "components")
+    scratch.drop(lists, tried, other, cross)
     label = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("label"))
     # equal sets that lie far apart: the class joins back by its digest; rows without one keep their own id
     out = every.join(label, "set_id", "left").withColumn("component_id", F.coalesce("label", "doc_id"))
