@@ -21,6 +21,13 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def is_json(c: Column) -> Column:
+    """Whether the whole text is one JSON value (Spark's parser alone stops at the first and ignores the rest)."""
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$", "array<variant>")
+    held = F.try_parse_json(F.concat(F.lit('{"a":'), c, F.lit("}")))
+    return F.coalesce((F.size(listed) == 1) & held.isNotNull(), F.lit(False))
+
+
 def number_text(c: Column) -> Column:
     """Plain decimal text of a double: whole numbers without a point, never an exponent (up to 38 digits)."""
     d = c.cast("double")

@@ -15,6 +15,7 @@ from pyspark.sql.types import StringType
 
 from ..errors import Refused
 from ..functions.coerce import infer_csv
+from ..functions.text import is_json
 
 try:
     import yaml
@@ -45,7 +46,7 @@ def to_json_text(rec: Column) -> Column:
 def json_fields(obj: Column) -> Column:
     """Map of a JSON object's fields as JSON texts; null for anything else. Nested values stay as they are written."""
     v = F.try_parse_json(obj)
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.transform_values(F.try_variant_get(v, "$", "map<string,variant>"), lambda _, x: F.coalesce(F.to_json(x), F.lit("null"))))
+    return F.when(is_json(obj) & F.schema_of_variant(v).startswith("OBJECT"), F.transform_values(F.try_variant_get(v, "$", "map<string,variant>"), lambda _, x: F.coalesce(F.to_json(x), F.lit("null"))))
 
 
 def read_json(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
@@ -89,7 +90,7 @@ def text_list(spark: SparkSession, path: str) -> DataFrame:
 def list_item(line: Column) -> Column:
     """JSON text of a line: as it is where it is JSON, else as a string."""
     as_text = F.regexp_extract(F.to_json(F.struct(line.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
-    return F.when(F.try_parse_json(line).isNotNull(), line).otherwise(as_text)
+    return F.when(is_json(line), line).otherwise(as_text)
 
 
 def _need_yaml():

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import is_json
+
 _STRING = r'"(?:[^"\\]|\\.)*"'
 _DEPTH = 16
 _WORDS = {"True": "true", "False": "false", "None": "null", "undefined": "null", "NaN": "null", "Infinity": "null"}
@@ -60,8 +62,8 @@ def repair_json(text: Column) -> Column:
     broken = state
     for name, fix in _STEPS:
         broken = _let(broken, _step(name, fix))
-    checked = _let(broken, lambda s: F.struct(F.when(F.try_parse_json(s["json"]).isNotNull(), s["json"]).alias("json"), s["repairs"].alias("repairs")))
-    return F.when(F.try_parse_json(text).isNotNull(), state).otherwise(checked)
+    checked = _let(broken, lambda s: F.struct(F.when(is_json(s["json"]), s["json"]).alias("json"), s["repairs"].alias("repairs")))
+    return F.when(is_json(text), state).otherwise(checked)
 
 
 def repair_row(fields: Column, width: int, number: Column) -> Column:
