@@ -20,12 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_bpe
 from .common import Scratch, map_batches, scratch_path
-from .numbering import number_rows
 
 LENGTH = 512
 PER_SHARD = 8192
@@ -72,6 +71,16 @@ def sequences(docs: DataFrame, tokenizer_file: str, ranks_file: str | None, leng
     return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), one, "doc_id bigint, part int, n_tokens int, ids binary")
 
 
+def numbered(stored: DataFrame) -> DataFrame:
+    """``stored`` with ``number`` (0, 1, ... without gaps) instead of ``place``, the monotonically increasing id it was written
+    with: rows before its part plus its row within the part. Ids stay where they are; what is counted and broadcast has a
+    row for each task of the job that wrote the table. Numbers follow how the input was split, and are fixed once written."""
+    part, row = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored.groupBy(part.alias("__part")).agg(F.count("*").alias("c")).select("__part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__start"))
+    return stored.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn("number", F.col("__start") + row).drop("__part", "__start", "place")
+
+
 def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
 
@@ -88,12 +97,11 @@ def materialise(docs: DataFrame, path: str, tokenizer_file: str, ranks_file: str
     in records and stays null in the result. Rows that repeat a doc_id are all written. No documents give no shards.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    stored = scratch.save(sequences(docs, tokenizer_file, ranks_file, length, end_id), "sequences")
+    stored = scratch.save(sequences(docs, tokenizer_file, ranks_file, length, end_id).withColumn("place", F.monotonically_increasing_id()), "sequences")
     total = stored.count()
     size = 2 if byte_bpe(tokenizer_file, ranks_file).exact.get_vocab_size() <= 1 << 16 else 4
     stride = HEAD + size * length
-    numbered = number_rows(stored, None, ["doc_id", "part"], "number")
-    placed = numbered.withColumn("slot", permuted(F.col("number"), max(total, 1), key)).withColumn("shard", F.expr(f"slot div {per_shard}")).drop("number")
+    placed = numbered(stored).withColumn("slot", permuted(F.col("number"), max(total, 1), key)).withColumn("shard", F.expr(f"slot div {per_shard}")).drop("number")
     shards = max(1, math.ceil(total / per_shard))
     job = uuid.uuid4().hex
 
