@@ -118,6 +118,16 @@ def test_block_max_is_exact():
         np.testing.assert_allclose(cosine, [-s for s, _ in want if s < 0][: len(cosine)], atol=1e-9)
 
 
+def test_toxicity_rare_terms(spark):
+    """Terms too rare to go with a label for certain still have neighbours."""
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % toxicity.FOLDS]
+    rare = ids[:2]
+    text = lambda i: f"plain words filler{i % 7}{' zorgle' if i in rare else ''}"
+    labels = spark.createDataFrame([(i, int(i in rare)) for i in ids], "doc_id bigint, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs(spark, [*((i, text(i)) for i in ids), (900, "zorgle"), (901, "filler1")]), labels).collect()}
+    assert {e.doc_id for e in got[900].evidence} == set(rare) and got[900].score > got[901].score
+
+
 def test_urls(spark):
     link = lambda u: f'<link rel="canonical" href="{u}">'
     goes = lambda u: f'<meta http-equiv="refresh" content="0; url={u}">'

@@ -1,11 +1,11 @@
-"""Toxicity from the nearest labelled examples, by exact TF-IDF cosine.
-
-Terms are words (runs of letters and digits, lower-cased) and the first five characters of longer words. Which terms
-carry weight is learned from a bounded sample of the labelled rows (significant association with the label); how rare
-they are is counted over all documents. The sample's TF-IDF vectors form an inverted index whose postings are cut into
-blocks with the block's largest weight: blocks whose bounds can't reach the k-th best cosine are skipped, so the search
-is exact. Neighbours vote with weights that fall with their distance, scaled to the label's frequency among all training
-rows; leave-one-out votes of the sample calibrate the score.
+"""Toxicity from the nearest labelled examples, by exact cosine of weighted TF-IDF vectors.
+
+Terms are words (runs of letters and digits, lower-cased) and the first five characters of longer words: all of those of a
+bounded sample of the labelled rows. How rare a term is is counted over all documents; terms that go with the label in
+the sample weigh more, and none is left out. The sample's vectors form an inverted index with the terms of many examples
+as columns of a dense matrix; every example is scored, so the search is exact. Neighbours vote with weights that fall with
+their distance, scaled to the label's frequency among all training rows; leave-one-out votes of the sample calibrate the
+score.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_batches
 
 MAX_EXAMPLES = 8_000  # of each label; the index and every broadcast are bounded by it
-MAX_TERMS = 4_096
-MIN_RATIO = 25.0  # of a term's log-likelihood; a chance below 1e-6, as very many terms are tried
+UNIT_RATIO = 25.0  # of a term's log-likelihood; a chance below 1e-6, as very many terms are tried. Doubles a term's weight
 NEIGHBOURS = 25
 FOLDS = 5
-BLOCK = 64
+BATCH = 64
 _WORDS = re.compile(r"[^\W_]+")
 _STEM = 5
 
@@ -47,22 +47,16 @@ class Vocabulary:
     """Term -> column; term frequencies of a text over it."""
 
     def __init__(self, terms: list[str]):
-        self.column = {t: i for i, t in enumerate(terms)}
-        self.words = {t for t in terms if not t.endswith("*")}
-        self.stems = {t[:-1] for t in terms if t.endswith("*")}
-
-    def _hit(self, w: str) -> bool:
-        return w in self.words or (len(w) > _STEM and w[:_STEM] in self.stems)
+        self.words = {t: i for i, t in enumerate(terms) if not t.endswith("*")}
+        self.stems = {t[:-1]: i for i, t in enumerate(terms) if t.endswith("*")}
 
     def frequencies(self, text: str | None) -> dict[int, int]:
-        words = tokens(text)
-        kept = {w for w in set(words) if self._hit(w)}
-        out: Counter[int] = Counter()
-        if kept:
-            for w, n in Counter(w for w in words if w in kept).items():
-                for t in (w, _stem(w)) if len(w) > _STEM else (w,):
-                    if t in self.column:
-                        out[self.column[t]] += n
+        out: dict[int, int] = {}
+        for w, n in Counter(tokens(text)).items():
+            if (c := self.words.get(w)) is not None:
+                out[c] = n
+            if len(w) > _STEM and (c := self.stems.get(w[:_STEM])) is not None:
+                out[c] = out.get(c, 0) + n
         return out
 
 
@@ -76,95 +70,125 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-class BlockMaxIndex:
-    """Inverted lists over distinct example vectors, cut into blocks of examples with each block's largest weight."""
+Vector = tuple[np.ndarray, np.ndarray]  # columns, weights
+NOTHING: Vector = (np.zeros(0, np.int32), np.zeros(0))
+
+
+class ExampleIndex:
+    """Inverted lists over distinct example vectors; terms of more than an eighth of the examples are columns of a matrix."""
 
     def __init__(self, vectors: list[dict[int, float]], n_terms: int):
-        self.size = len(vectors)
-        self.blocks = -(-self.size // BLOCK)
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                lists[t].append((i, w))
-        self.ids = [np.array([i for i, _ in x], dtype=np.int32) for x in lists]
-        self.weights = [np.array([w for _, w in x]) for x in lists]
-        self.of_block, self.starts, self.maxima = [], [], []
-        for ids, w in zip(self.ids, self.weights, strict=True):
-            b, at = np.unique(ids // BLOCK, return_index=True)
-            self.of_block.append(b)
-            self.starts.append(np.append(at, len(ids)))
-            self.maxima.append(np.maximum.reduceat(w, at) if len(w) else w)
-
-    def _add(self, scores: np.ndarray, query: list[tuple[int, float]], blocks: np.ndarray) -> None:
-        for t, q in query:
-            own = self.of_block[t]
-            for j in np.nonzero(np.isin(own, blocks, assume_unique=True))[0]:
-                s = slice(self.starts[t][j], self.starts[t][j + 1])
-                scores[self.ids[t][s]] += q * self.weights[t][s]
+        starts = np.cumsum([0, *map(len, vectors)])
+        self._build(starts, np.array([t for v in vectors for t in v], np.int32), np.array([w for v in vectors for w in v.values()], float), n_terms)
+
+    @classmethod
+    def of_rows(cls, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int) -> ExampleIndex:
+        out = cls.__new__(cls)
+        out._build(starts, terms, weights, n_terms)
+        return out
+
+    def _build(self, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int) -> None:
+        self.size = len(starts) - 1
+        rows = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(starts))
+        common = np.nonzero(np.bincount(terms, minlength=n_terms) > max(BATCH, self.size / 8))[0]
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        at = self.column[terms]
+        self.matrix = np.zeros((self.size, len(common)))
+        self.matrix[rows[at >= 0], at[at >= 0]] = weights[at >= 0]
+        rest = np.nonzero(at < 0)[0]
+        rest = rest[np.argsort(terms[rest], kind="stable")]
+        self.ids, self.weights = rows[rest], weights[rest]
+        self.starts = np.searchsorted(terms[rest], np.arange(n_terms + 1))
+
+    def _listed(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Each example's share of the cosine from inverted lists."""
+        start, n = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
+        at = np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
+        return np.bincount(self.ids[at], self.weights[at] * np.repeat(weights, n), self.size)
+
+    def nearest(self, queries: list[Vector], k: int, without: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the k examples of largest cosine above 0 (ties: smaller number), best first; ``without`` is left
+        out of it (-1: none)."""
+        for first in range(0, len(queries), BATCH):
+            batch = queries[first : first + BATCH]
+            dense = np.zeros((len(batch), self.matrix.shape[1]))
+            for row, (terms, weights) in zip(dense, batch, strict=True):
+                at = self.column[terms]
+                row[at[at >= 0]] = weights[at >= 0]
+            for scores, (terms, weights), gone in zip(dense @ self.matrix.T, batch, without[first : first + BATCH], strict=True):
+                scores += self._listed(terms, weights)
+                if gone >= 0:
+                    scores[gone] = 0.0
+                least = np.partition(scores, -k)[-k] if self.size > k else 0.0
+                hits = np.nonzero((scores >= least - 1e-12) & (scores > 0))[0]
+                cosine = np.round(scores[hits], 12)  # how texts are batched must not decide ties
+                best = np.lexsort((hits, -cosine))[:k]
+                yield hits[best], np.minimum(scores[hits[best]], 1.0)
 
     def search(self, query: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0 (ties: smaller number), best first; ``without`` is left out."""
-        terms = sorted(query.items())
-        bound = np.zeros(self.blocks)
-        for t, q in terms:
-            bound[self.of_block[t]] += q * self.maxima[t]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        scores, at, step, least = np.zeros(self.size), 0, 4, 0.0
-        while at < len(order) and bound[order[at]] >= least - 1e-12:
-            chunk = order[at : at + step]
-            self._add(scores, terms, chunk[bound[chunk] >= least - 1e-12])
-            at, step = at + step, step * 2
-            if without >= 0:
-                scores[without] = 0.0
-            if np.count_nonzero(scores) >= k:
-                least = np.partition(scores, -k)[-k]
-        hits = np.nonzero(scores)[0]
-        best = hits[np.lexsort((hits, -scores[hits]))][:k]
-        return best, np.minimum(scores[best], 1.0)
+        return next(self.nearest([(np.array(list(query), np.int32), np.array(list(query.values()), float))], k, [without]))
 
 
-class Scorer:
-    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, examples: list[tuple[dict[int, int], float, float, int]], prior: float):
-        """examples: distinct term frequencies, mass of clean and toxic rows, smallest doc_id."""
-        self.vocabulary, self.idf, self.prior = vocabulary, idf, prior
-        blank = [x for x in examples if not self.vector(x[0])]
-        held = sorted((x for x in examples if self.vector(x[0])), key=lambda x: (max(self.vector(x[0]).items(), key=lambda p: (p[1], -p[0]))[0], x[3]))
-        self.vectors = [self.vector(x[0]) for x in held]
-        self.clean, self.toxic = np.array([x[1] for x in held]), np.array([x[2] for x in held])
-        self.doc_ids = [x[3] for x in held]
-        self.index = BlockMaxIndex(self.vectors, len(idf))
-        c, t = sum(x[1] for x in blank), sum(x[2] for x in blank)
-        self.blank = (t + prior) / (c + t + 1)
-        self.memo: dict = {}
-        self.knots = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+BlockMaxIndex = ExampleIndex  # its former name: no block is skipped any more
 
-    def vector(self, tf: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in tf.items() if self.idf[t] > 0}
-        norm = math.sqrt(sum(w * w for w in v.values()))
-        return {t: w / norm for t, w in v.items()} if norm else {}
 
-    def raw(self, v: dict[int, float], without: int = -1, less: tuple[float, float] = (0.0, 0.0)) -> tuple[float, list[tuple[int, float]]]:
-        if not v:
-            return self.blank, []
+class Scorer:
+    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, examples: pa.Table, unit: tuple[float, float], prior: float):
+        """idf: of each term, times its weight. examples: distinct term frequencies (terms, tf), numbers of clean and toxic
+        rows (n0, n1), smallest doc_id. unit: the mass of one clean and one toxic row."""
+        self.vocabulary, self.idf, self.prior, self.unit = vocabulary, idf, prior, unit
+        examples = examples.sort_by("doc_id").combine_chunks()
+        column = lambda name: examples.column(name).combine_chunks() if examples.num_rows else pa.array([], examples.schema.field(name).type)
+        terms, tf = column("terms"), column("tf").flatten().to_numpy()
+        n = terms.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        terms = terms.flatten().to_numpy()
+        weights = (1 + np.log(tf)) * idf[terms]
+        starts = np.append(0, np.cumsum(n))
+        norm = np.array([math.sqrt(math.fsum(weights[a:b] ** 2)) for a, b in zip(starts, starts[1:])])  # noqa: B905
+        held = norm > 0
+        kept = np.repeat(held, n) & (weights > 0)
+        rows = np.repeat(np.arange(len(n)), n)[kept]
+        weights = weights[kept] / norm[rows]
+        starts = np.append(0, np.cumsum(np.bincount(rows, minlength=len(n))[held]))
+        clean, toxic = column("n0").to_numpy() * unit[0], column("n1").to_numpy() * unit[1]
+        self.clean, self.toxic, self.doc_ids = clean[held], toxic[held], column("doc_id").to_numpy()[held].tolist()
+        terms = terms[kept]
+        self.index = ExampleIndex.of_rows(starts, terms, weights, len(idf))
+        self.blank = (toxic[~held].sum() + prior) / (clean[~held].sum() + toxic[~held].sum() + 1)
+        self.knots = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+        self._calibrate([(terms[a:b], weights[a:b]) for a, b in zip(starts, starts[1:])])  # noqa: B905
+
+    def vector(self, tf: dict[int, int]) -> Vector:
+        if not tf:
+            return NOTHING
+        terms = np.fromiter(tf.keys(), np.int32, len(tf))
+        weights = (1 + np.log(np.fromiter(tf.values(), float, len(tf)))) * self.idf[terms]
+        kept = weights > 0
+        norm = math.sqrt(math.fsum(weights[kept] ** 2))
+        return (terms[kept], weights[kept] / norm) if norm else NOTHING
+
+    def raw(self, vectors: list[Vector], own: list[tuple[int, int]] | None = None) -> Iterator[tuple[float, list[tuple[int, float]]]]:
+        """Vote and evidence of each vector. ``own``: the example that each is, and the label of its row that has no vote."""
+        own = own or [(-1, 0)] * len(vectors)
+        less = [(self.unit[0] * (1 - label), self.unit[1] * label) for _, label in own]
         # its own class may stay, less its own row
-        gone = without >= 0 and self.clean[without] + self.toxic[without] <= sum(less) + 1e-9
-        best, cosine = self.index.search(v, NEIGHBOURS, without if gone else -1)
-        weight = 1 / (1.05 - cosine)
-        clean, toxic = self.clean[best], self.toxic[best]
-        if without >= 0 and not gone:
-            own = best == without
-            clean, toxic = clean - own * less[0], toxic - own * less[1]
-        t, c = float(weight @ toxic), float(weight @ clean)
-        return (t + self.prior) / (t + c + 1), [(self.doc_ids[i], round(float(x), 6)) for i, x in zip(best[:5], cosine, strict=False)]
-
-    def calibrate(self, unit: tuple[float, float]) -> None:
-        """Isotonic fit of labels on leave-one-out votes; unit: the mass of one clean and one toxic row."""
+        gone = [i if i >= 0 and self.clean[i] + self.toxic[i] <= sum(x) + 1e-9 else -1 for (i, _), x in zip(own, less, strict=True)]
+        for (i, _), x, out, (best, cosine) in zip(own, less, gone, self.index.nearest(vectors, NEIGHBOURS, gone), strict=True):
+            weight = 1 / (1.05 - cosine)
+            clean, toxic = self.clean[best], self.toxic[best]
+            if i >= 0 and out < 0:
+                clean, toxic = clean - (best == i) * x[0], toxic - (best == i) * x[1]
+            t, c = float(weight @ toxic), float(weight @ clean)
+            yield (t + self.prior) / (t + c + 1), [(self.doc_ids[j], round(float(y), 6)) for j, y in zip(best[:5], cosine, strict=False)]
+
+    def _calibrate(self, vectors: list[Vector]) -> None:
+        """Isotonic fit of labels on leave-one-out votes."""
+        own = [(i, label) for i in range(len(vectors)) for label, mass in ((0, self.clean[i]), (1, self.toxic[i])) if mass > 0]
         points = []
-        for i, v in enumerate(self.vectors):
-            for label, mass in ((0, self.clean[i]), (1, self.toxic[i])):
-                if mass > 0:
-                    points.append((self.raw(v, i, (unit[0] * (1 - label), unit[1] * label))[0], mass, mass * label))
+        for (i, label), (vote, _) in zip(own, self.raw([vectors[i] for i, _ in own], own), strict=True):
+            mass = (self.clean, self.toxic)[label][i]
+            points.append((vote, mass, mass * label))
         points.append((self.blank, 1.0, self.blank))
         points.sort()
         pools: list[list[float]] = []
@@ -177,16 +201,17 @@ class Scorer:
         ys = np.array([0.0, *(p[2] / p[1] for p in pools), 1.0])
         self.knots = (xs, ys)
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
-        v = self.vector(self.vocabulary.frequencies(text))
-        key = tuple(sorted(v.items()))
-        if key not in self.memo:
-            if len(self.memo) > 20_000:
-                self.memo.clear()
-            raw, evidence = self.raw(v)
-            fitted = float(np.interp(raw, *self.knots))
-            self.memo[key] = min(1.0, max(0.0, 0.9 * fitted + 0.1 * raw)), evidence  # keeps the order of votes within a level
-        return self.memo[key]
+    def score(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float]]]]:
+        known: dict = {}
+        distinct = list(dict.fromkeys(texts))
+        for first in range(0, len(distinct), BATCH):
+            some = distinct[first : first + BATCH]
+            vectors = [self.vector(self.vocabulary.frequencies(t)) for t in some]
+            for text, v, (raw, evidence) in zip(some, vectors, self.raw(vectors), strict=True):
+                raw = raw if len(v[0]) else self.blank
+                fitted = float(np.interp(raw, *self.knots))
+                known[text] = min(1.0, max(0.0, 0.9 * fitted + 0.1 * raw)), evidence  # keeps the order of votes within a level
+        return [known[t] for t in texts]
 
 
 def _significant(n1: float, n0: float, all1: float, all0: float) -> float:
@@ -199,9 +224,9 @@ def _significant(n1: float, n0: float, all1: float, all0: float) -> float:
     return 2 * sum(seen * math.log(seen * total / expected) for seen, expected in cells if seen > 0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int = MAX_EXAMPLES) -> Scorer:
     """The scorer. Examples: of each label the ``max_examples`` training rows of smallest hash. Without labelled rows every
-    score is the prior, 0.5 x; without significant terms it is the label's frequency."""
+    score is the prior, 0.5 x."""
     train = scratch.save(training_rows(labels), "labels")
     totals = dict(train.groupBy("toxic").count().collect())
     sample = None
@@ -225,24 +250,26 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int
     all0, all1 = held.get(0, 0), held.get(1, 0)
     ratio = F.udf(lambda n1, n0: float(_significant(n1, n0, all1, all0)), "double")
     per_term = texts.select("toxic", "text").mapInArrow(count_terms, "term string, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    chosen = per_term.where("n0 + n1 >= 3").withColumn("ratio", ratio("n1", "n0")).where(F.col("ratio") >= MIN_RATIO).orderBy(F.desc("ratio"), "term").limit(max_terms)
-    terms = [r["term"] for r in chosen.select("term").collect()]
-    vocabulary = Vocabulary(terms)
+    # the terms of at most 2 x max_examples texts
+    counted = per_term.select("term", F.when(F.expr("n0 + n1 >= 3"), ratio("n1", "n0")).otherwise(F.lit(0.0)).alias("ratio")).toArrow().sort_by("term")
+    terms, raised = counted.column("term").to_pylist(), 1 + counted.column("ratio").to_numpy() / UNIT_RATIO
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(terms))
 
     def document_frequencies(batches):
         rows, seen = 0, Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(vocabulary.frequencies(text).keys())
+                seen.update(shared.value.frequencies(text).keys())
                 rows += 1
         yield pa.record_batch([pa.array([-1, *seen], pa.int64()), pa.array([rows, *seen.values()], pa.int64())], names=["term", "df"])
 
-    df = dict(mine.select("text").mapInArrow(document_frequencies, "term bigint, df bigint").groupBy("term").agg(F.sum("df")).collect())
-    every = df.get(-1, 0)
-    idf = np.array([math.log((every + 1) / (df.get(i, 0) + 1)) for i in range(len(terms))])
+    counted = mine.select("text").mapInArrow(document_frequencies, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(len(terms) + 1)  # the last: documents
+    df[counted.column("term").to_numpy()] = counted.column("df").to_numpy()
+    idf = raised * np.log((df[-1] + 1) / (df[:-1] + 1))
 
     def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tf = [sorted(vocabulary.frequencies(t).items()) for t in batch.column(2).to_pylist()]
+        tf = [sorted(shared.value.frequencies(t).items()) for t in batch.column(2).to_pylist()]
         return pa.record_batch([batch.column(0), batch.column(1), pa.array([[t for t, _ in x] for x in tf], pa.list_(pa.int32())), pa.array([[n for _, n in x] for x in tf], pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms", "tf"])
 
     grouped = map_batches(texts.select("doc_id", "toxic", "text"), vectors, "doc_id bigint, toxic int, terms array<int>, tf array<int>").groupBy("terms", "tf").agg(
@@ -250,24 +277,22 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int
     )
     unit = (totals.get(0, 0) / all0 if all0 else 1.0, totals.get(1, 0) / all1 if all1 else 1.0)
     n = totals.get(0, 0) + totals.get(1, 0)
-    examples = [(dict(zip(r["terms"], r["tf"], strict=True)), r["n0"] * unit[0], r["n1"] * unit[1], r["doc_id"]) for r in grouped.collect()]  # at most 2 x max_examples
-    scorer = Scorer(vocabulary, idf, examples, totals.get(1, 0) / n if n else 0.5)
-    scorer.calibrate(unit)
-    scorer.memo.clear()
+    examples = grouped.select("terms", "tf", "n0", "n1", "doc_id").toArrow()  # at most 2 x max_examples
+    scorer = Scorer(shared.value, idf, examples, unit, totals.get(1, 0) / n if n else 0.5)
     scratch.drop(texts, train)
     return scorer
 
 
 def score(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None, **options) -> DataFrame:
     """All columns of ``docs`` but ``text`` are left; returns (doc_id, held_out, score, predicted, evidence) per row: evidence
-    lists up to five nearest examples (doc_id, cosine). Null, empty and blank texts, and texts without any significant
-    term, get the calibrated toxicity of examples without such terms. Repeated rows are scored alike; a null doc_id is in
+    lists up to five nearest examples (doc_id, cosine). Null, empty and blank texts, and texts without any term of the
+    examples, get the calibrated toxicity of examples without terms. Repeated rows are scored alike; a null doc_id is in
     no fold's held-out part; an empty table gives no rows."""
     scratch = scratch or Scratch(docs.sparkSession)
     scorer = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, scratch, **options))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [scorer.value.score(t) for t in batch.column(2).to_pylist()]
+        got = scorer.value.score(batch.column(2).to_pylist())
         evidence = pa.array([[{"doc_id": d, "cosine": c} for d, c in e] for _, e in got], pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())])))
         return pa.record_batch([batch.column(0), batch.column(1), pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= 0.5) for s, _ in got], pa.int32()), evidence], names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
@@ -281,6 +306,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = Non
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-        return batch.filter(pa.array([scorer.value.score(t)[0] < 0.5 for t in texts], pa.bool_()))
+        return batch.filter(pa.array([s < 0.5 for s, _ in scorer.value.score(texts)], pa.bool_()))
 
     return map_batches(docs, keep, docs.schema)
