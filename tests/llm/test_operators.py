@@ -128,6 +128,15 @@ def test_toxicity_rare_terms(spark):
     assert {e.doc_id for e in got[900].evidence} == set(rare) and got[900].score > got[901].score
 
 
+def test_toxicity_learns_on_executors(spark, monkeypatch):
+    """The driver searches for no example: its own index is never built."""
+    monkeypatch.setattr(toxicity.ExampleIndex, "_build", lambda *_: pytest.fail("built on the driver"))
+    rows = [(i, f"plain words filler{i % 7} {'awful' if i % 3 == 0 else 'fine'}") for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id bigint, toxic int")
+    got = toxicity.score(docs(spark, rows), labels).collect()
+    assert sum(r.predicted == (r.doc_id % 3 == 0) for r in got) == 60
+
+
 def test_urls(spark):
     link = lambda u: f'<link rel="canonical" href="{u}">'
     goes = lambda u: f'<meta http-equiv="refresh" content="0; url={u}">'

@@ -14,9 +14,11 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,11 +46,21 @@ def _terms(words: set[str]) -> set[str]:
 
 
 class Vocabulary:
-    """Term -> column; term frequencies of a text over it."""
+    """Term -> column; term frequencies of a text over it. It travels as an Arrow array; lookups are made where it is used."""
 
-    def __init__(self, terms: list[str]):
-        self.words = {t: i for i, t in enumerate(terms) if not t.endswith("*")}
-        self.stems = {t[:-1]: i for i, t in enumerate(terms) if t.endswith("*")}
+    def __init__(self, terms: pa.Array):
+        self.terms = terms
+
+    def __getstate__(self) -> dict:
+        return {"terms": self.terms}
+
+    @cached_property
+    def words(self) -> dict[str, int]:
+        return {t: i for i, t in enumerate(self.terms.to_pylist()) if not t.endswith("*")}
+
+    @cached_property
+    def stems(self) -> dict[str, int]:
+        return {t[:-1]: i for i, t in enumerate(self.terms.to_pylist()) if t.endswith("*")}
 
     def frequencies(self, text: str | None) -> dict[int, int]:
         out: dict[int, int] = {}
@@ -71,6 +83,7 @@ def held_out(doc_id):
 
 
 Vector = tuple[np.ndarray, np.ndarray]  # columns, weights
+Knots = tuple[np.ndarray, np.ndarray]
 NOTHING: Vector = (np.zeros(0, np.int32), np.zeros(0))
 
 
@@ -88,7 +101,7 @@ class ExampleIndex:
         return out
 
     def _build(self, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int) -> None:
-        self.size = len(starts) - 1
+        self.size, self.row_starts = len(starts) - 1, starts
         rows = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(starts))
         common = np.nonzero(np.bincount(terms, minlength=n_terms) > max(BATCH, self.size / 8))[0]
         self.column = np.full(n_terms, -1, np.int32)
@@ -134,40 +147,48 @@ BlockMaxIndex = ExampleIndex  # its former name: no block is skipped any more
 
 
 class Scorer:
-    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, examples: pa.Table, unit: tuple[float, float], prior: float):
+    """Votes over the examples. It travels as their term frequencies; the index is built where it is used."""
+
+    def __init__(self, idf: np.ndarray, examples: pa.Table, unit: tuple[float, float], prior: float):
         """idf: of each term, times its weight. examples: distinct term frequencies (terms, tf), numbers of clean and toxic
         rows (n0, n1), smallest doc_id. unit: the mass of one clean and one toxic row."""
-        self.vocabulary, self.idf, self.prior, self.unit = vocabulary, idf, prior, unit
-        examples = examples.sort_by("doc_id").combine_chunks()
-        column = lambda name: examples.column(name).combine_chunks() if examples.num_rows else pa.array([], examples.schema.field(name).type)
-        terms, tf = column("terms"), column("tf").flatten().to_numpy()
-        n = terms.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        terms = terms.flatten().to_numpy()
-        weights = (1 + np.log(tf)) * idf[terms]
-        starts = np.append(0, np.cumsum(n))
-        norm = np.array([math.sqrt(math.fsum(weights[a:b] ** 2)) for a, b in zip(starts, starts[1:])])  # noqa: B905
-        held = norm > 0
-        kept = np.repeat(held, n) & (weights > 0)
-        rows = np.repeat(np.arange(len(n)), n)[kept]
-        weights = weights[kept] / norm[rows]
-        starts = np.append(0, np.cumsum(np.bincount(rows, minlength=len(n))[held]))
-        clean, toxic = column("n0").to_numpy() * unit[0], column("n1").to_numpy() * unit[1]
-        self.clean, self.toxic, self.doc_ids = clean[held], toxic[held], column("doc_id").to_numpy()[held].tolist()
-        terms = terms[kept]
-        self.index = ExampleIndex.of_rows(starts, terms, weights, len(idf))
-        self.blank = (toxic[~held].sum() + prior) / (clean[~held].sum() + toxic[~held].sum() + 1)
-        self.knots = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-        self._calibrate([(terms[a:b], weights[a:b]) for a, b in zip(starts, starts[1:])])  # noqa: B905
-
-    def vector(self, tf: dict[int, int]) -> Vector:
-        if not tf:
-            return NOTHING
-        terms = np.fromiter(tf.keys(), np.int32, len(tf))
-        weights = (1 + np.log(np.fromiter(tf.values(), float, len(tf)))) * self.idf[terms]
+        self.idf, self.examples, self.prior, self.unit = idf, examples, prior, unit
+        self.clean, self.toxic = examples.column("n0").to_numpy() * unit[0], examples.column("n1").to_numpy() * unit[1]
+        self.doc_ids = examples.column("doc_id").to_numpy()
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "index"}
+
+    @cached_property
+    def index(self) -> ExampleIndex:
+        starts, terms, weights = [0], [np.zeros(0, np.int32)], [np.zeros(0)]
+        for i in range(len(self.clean)):
+            t, w = self.example(i)
+            starts.append(starts[-1] + len(t))
+            terms.append(t)
+            weights.append(w)
+        return ExampleIndex.of_rows(np.array(starts), np.concatenate(terms), np.concatenate(weights), len(self.idf))
+
+    def example(self, i: int) -> Vector:
+        part = self.examples.slice(i, 1)
+        return self._weighted(*(part.column(c).chunk(0).flatten().to_numpy() for c in ("terms", "tf")))
+
+    @cached_property
+    def blank(self) -> float:
+        """The vote of examples without terms."""
+        empty = np.diff(self.index.row_starts) == 0
+        clean, toxic = self.clean[empty].sum(), self.toxic[empty].sum()
+        return float((toxic + self.prior) / (clean + toxic + 1))
+
+    def _weighted(self, terms: np.ndarray, tf: np.ndarray) -> Vector:
+        weights = (1 + np.log(tf)) * self.idf[terms]
         kept = weights > 0
         norm = math.sqrt(math.fsum(weights[kept] ** 2))
         return (terms[kept], weights[kept] / norm) if norm else NOTHING
 
+    def vector(self, tf: dict[int, int]) -> Vector:
+        return self._weighted(np.fromiter(tf.keys(), np.int32, len(tf)), np.fromiter(tf.values(), float, len(tf)))
+
     def raw(self, vectors: list[Vector], own: list[tuple[int, int]] | None = None) -> Iterator[tuple[float, list[tuple[int, float]]]]:
         """Vote and evidence of each vector. ``own``: the example that each is, and the label of its row that has no vote."""
         own = own or [(-1, 0)] * len(vectors)
@@ -180,17 +201,19 @@ class Scorer:
             if i >= 0 and out < 0:
                 clean, toxic = clean - (best == i) * x[0], toxic - (best == i) * x[1]
             t, c = float(weight @ toxic), float(weight @ clean)
-            yield (t + self.prior) / (t + c + 1), [(self.doc_ids[j], round(float(y), 6)) for j, y in zip(best[:5], cosine, strict=False)]
+            yield (t + self.prior) / (t + c + 1), [(int(self.doc_ids[j]), round(float(y), 6)) for j, y in zip(best[:5], cosine, strict=False)]
+
+    def left_out(self, numbers: list[int]) -> list[tuple[float, float, int]]:
+        """(vote, mass, label) of the rows of these examples without their own vote."""
+        own = [(i, label) for i in numbers for label, mass in ((0, self.clean[i]), (1, self.toxic[i])) if mass > 0]
+        vectors = [self.example(i) for i, _ in own]
+        votes = (vote if len(v[0]) else self.blank for v, (vote, _) in zip(vectors, self.raw(vectors, own), strict=True))
+        return [(vote, float((self.clean, self.toxic)[label][i]), label) for (i, label), vote in zip(own, votes, strict=True)]
 
-    def _calibrate(self, vectors: list[Vector]) -> None:
+    @staticmethod
+    def fitted(votes: list[tuple[float, float, int]]) -> Knots:
         """Isotonic fit of labels on leave-one-out votes."""
-        own = [(i, label) for i in range(len(vectors)) for label, mass in ((0, self.clean[i]), (1, self.toxic[i])) if mass > 0]
-        points = []
-        for (i, label), (vote, _) in zip(own, self.raw([vectors[i] for i, _ in own], own), strict=True):
-            mass = (self.clean, self.toxic)[label][i]
-            points.append((vote, mass, mass * label))
-        points.append((self.blank, 1.0, self.blank))
-        points.sort()
+        points = sorted((x, n, n * label) for x, n, label in votes)
         pools: list[list[float]] = []
         for x, n, y in points:
             pools.append([x * n, n, y])
@@ -199,17 +222,17 @@ class Scorer:
                 pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
         xs = np.array([0.0, *(p[0] / p[1] for p in pools), 1.0])
         ys = np.array([0.0, *(p[2] / p[1] for p in pools), 1.0])
-        self.knots = (xs, ys)
+        return xs, ys
 
-    def score(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float]]]]:
+    def score(self, texts: list[str | None], vocabulary: Vocabulary, knots: Knots) -> list[tuple[float, list[tuple[int, float]]]]:
         known: dict = {}
         distinct = list(dict.fromkeys(texts))
         for first in range(0, len(distinct), BATCH):
             some = distinct[first : first + BATCH]
-            vectors = [self.vector(self.vocabulary.frequencies(t)) for t in some]
+            vectors = [self.vector(vocabulary.frequencies(t)) for t in some]
             for text, v, (raw, evidence) in zip(some, vectors, self.raw(vectors), strict=True):
                 raw = raw if len(v[0]) else self.blank
-                fitted = float(np.interp(raw, *self.knots))
+                fitted = float(np.interp(raw, *knots))
                 known[text] = min(1.0, max(0.0, 0.9 * fitted + 0.1 * raw)), evidence  # keeps the order of votes within a level
         return [known[t] for t in texts]
 
@@ -224,8 +247,8 @@ def _significant(n1: float, n0: float, all1: float, all0: float) -> float:
     return 2 * sum(seen * math.log(seen * total / expected) for seen, expected in cells if seen > 0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int = MAX_EXAMPLES) -> Scorer:
-    """The scorer. Examples: of each label the ``max_examples`` training rows of smallest hash. Without labelled rows every
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int = MAX_EXAMPLES) -> tuple[Broadcast, Broadcast, Knots]:
+    """Scorer, vocabulary and calibration. Examples: of each label the ``max_examples`` training rows of smallest hash. Without labelled rows every
     score is the prior, 0.5 x."""
     train = scratch.save(training_rows(labels), "labels")
     totals = dict(train.groupBy("toxic").count().collect())
@@ -252,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int
     per_term = texts.select("toxic", "text").mapInArrow(count_terms, "term string, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     # the terms of at most 2 x max_examples texts
     counted = per_term.select("term", F.when(F.expr("n0 + n1 >= 3"), ratio("n1", "n0")).otherwise(F.lit(0.0)).alias("ratio")).toArrow().sort_by("term")
-    terms, raised = counted.column("term").to_pylist(), 1 + counted.column("ratio").to_numpy() / UNIT_RATIO
+    terms, raised = counted.column("term").combine_chunks(), 1 + counted.column("ratio").to_numpy() / UNIT_RATIO
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(terms))
 
     def document_frequencies(batches):
@@ -277,10 +300,18 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int
     )
     unit = (totals.get(0, 0) / all0 if all0 else 1.0, totals.get(1, 0) / all1 if all1 else 1.0)
     n = totals.get(0, 0) + totals.get(1, 0)
-    examples = grouped.select("terms", "tf", "n0", "n1", "doc_id").toArrow()  # at most 2 x max_examples
-    scorer = Scorer(shared.value, idf, examples, unit, totals.get(1, 0) / n if n else 0.5)
+    examples = grouped.select("terms", "tf", "n0", "n1", "doc_id").toArrow().sort_by("doc_id")  # at most 2 x max_examples
+    spark = docs.sparkSession
+    scorer = spark.sparkContext.broadcast(Scorer(idf, examples, unit, totals.get(1, 0) / n if n else 0.5))
+
+    def left_out(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = scorer.value.left_out(batch.column(0).to_pylist())
+        return pa.record_batch([pa.array([x[i] for x in got], t) for i, t in enumerate((pa.float64(), pa.float64(), pa.int32()))], names=["vote", "mass", "label"])
+
+    numbers = spark.range(0, examples.num_rows, 1, max(1, min(spark.sparkContext.defaultParallelism * 2, examples.num_rows // BATCH)))
+    votes = map_batches(numbers, left_out, "vote double, mass double, label int").collect()  # at most 2 x max_examples
     scratch.drop(texts, train)
-    return scorer
+    return scorer, shared, Scorer.fitted([tuple(r) for r in votes])
 
 
 def score(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None, **options) -> DataFrame:
@@ -289,10 +320,10 @@ def score(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None, **
     examples, get the calibrated toxicity of examples without terms. Repeated rows are scored alike; a null doc_id is in
     no fold's held-out part; an empty table gives no rows."""
     scratch = scratch or Scratch(docs.sparkSession)
-    scorer = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, scratch, **options))
+    scorer, vocabulary, knots = fit(docs, labels, scratch, **options)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = scorer.value.score(batch.column(2).to_pylist())
+        got = scorer.value.score(batch.column(2).to_pylist(), vocabulary.value, knots)
         evidence = pa.array([[{"doc_id": d, "cosine": c} for d, c in e] for _, e in got], pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())])))
         return pa.record_batch([batch.column(0), batch.column(1), pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= 0.5) for s, _ in got], pa.int32()), evidence], names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
@@ -302,10 +333,10 @@ def score(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None, **
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None, **options) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    scorer = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, scratch or Scratch(docs.sparkSession), **options))
+    scorer, vocabulary, knots = fit(docs, labels, scratch or Scratch(docs.sparkSession), **options)
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-        return batch.filter(pa.array([s < 0.5 for s, _ in scorer.value.score(texts)], pa.bool_()))
+        return batch.filter(pa.array([s < 0.5 for s, _ in scorer.value.score(texts, vocabulary.value, knots)], pa.bool_()))
 
     return map_batches(docs, keep, docs.schema)
