@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -93,6 +94,19 @@ def test_token_shards(spark, rows, tmp_path):
     assert token_shards.training_order(docs(spark, []), public_tokenizers.path("byte_bpe_50k.json"), path=str(tmp_path / "none")).count() == 0
 
 
+def test_long_cycles(spark, monkeypatch):
+    """Numbers whose cycle stays outside of the range for hundreds of steps get their slot all the same."""
+    calls, size = itertools.count(), (1 << 15) + 1
+
+    def weak(x, *_):
+        i = next(calls) % 4
+        return [x.bitwiseAND(127) + F.when(x == 0, 128).otherwise(0), x * 29 + 7, F.lit(0), F.lit(0)][i].cast("bigint")
+
+    monkeypatch.setattr(token_shards.F, "xxhash64", weak)
+    slots = spark.range(size).select(token_shards.permuted(F.col("id"), size, 9).alias("slot"))
+    assert slots.distinct().count() == size and slots.agg(F.min("slot"), F.max("slot")).first()[:] == (0, size - 1)
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")

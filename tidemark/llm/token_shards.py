@@ -29,13 +29,14 @@ from .common import Scratch, map_batches, scratch_path
 LENGTH = 512
 PER_SHARD = 8192
 ROUNDS = 4
+STEPS = 4096
 END_ID = 50256
 HEAD = 14
 
 
 def permuted(n: Column, size: int, key: int, rounds: int = ROUNDS) -> Column:
     """The slot of number n in 0..size-1, in built-in expressions: a balanced Feistel network over the smallest even
-    number of bits that holds ``size``; results outside the range are walked on along their cycle."""
+    number of bits that holds ``size``; results outside the range are walked on along their cycle to its end."""
     half = max(1, math.ceil(max(1, (size - 1).bit_length()) / 2))
     mask = (1 << half) - 1
 
@@ -45,11 +46,15 @@ def permuted(n: Column, size: int, key: int, rounds: int = ROUNDS) -> Column:
             left, right = right, left.bitwiseXOR(F.xxhash64(right, F.lit(key), F.lit(i)).bitwiseAND(mask))
         return F.shiftleft(left, half).bitwiseOR(right)
 
-    # once(x) as a one-element fold keeps the expression small; the range is at least a quarter of the domain, so that
-    # 64 steps fall short with a chance of 0.75 ** 64 a row, and rows that do walk on are caught below
-    first = once(n.cast("bigint"))
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(64)), first, lambda acc, _: F.when(acc < size, acc).otherwise(once(acc)))
-    return F.when(walked < size, walked).otherwise(F.raise_error(F.lit("a cycle of the permutation is longer than the walk")).cast("bigint"))
+    def walked(x: Column, steps: int) -> Column:
+        # lists nest where there are very many steps, and an inner list is only made for a row that is still outside
+        inner = -(-steps // STEPS)
+        outside = F.when(x < size, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.lit(min(steps, STEPS))))
+        return F.aggregate(outside, x, lambda acc, _: F.when(acc < size, acc).otherwise(once(acc) if steps <= STEPS else walked(acc, inner)))
+
+    # a cycle has each number beyond the range once at most, so that many steps are enough. Nearly every row needs few
+    first = F.aggregate(F.sequence(F.lit(1), F.lit(64)), once(n.cast("bigint")), lambda acc, _: F.when(acc < size, acc).otherwise(once(acc)))
+    return F.aggregate(F.array(F.lit(0)), first, lambda acc, _: F.when(acc < size, acc).otherwise(walked(acc, (1 << 2 * half) - size)))
 
 
 def sequences(docs: DataFrame, tokenizer_file: str, ranks_file: str | None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
