@@ -166,6 +166,29 @@ def test_urls(spark):
     assert urls.judge(df.limit(0), queries.RULES).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("url", "tag", "target"),
+    [
+        ("http://a.org/x", '<link\n  rel="canonical"\n  href="http://b.org/y">', "http://b.org/y"),
+        ("http://a.org/x", '<meta\n http-equiv="refresh"\n content="0; url=http://b.org/y">', "http://b.org/y"),
+        ("http://a.org/d/x?q=1", '<link rel="canonical" href="page.html">', "http://a.org/d/page.html"),
+        ("http://a.org/d/x?q=1", '<link rel="canonical" href="?id=2">', "http://a.org/d/x?id=2"),
+        ("http://a.org/d/e/x", '<link rel="canonical" href="../y">', "http://a.org/d/y"),
+        ("http://a.org/d/e/x", '<link rel="canonical" href="./../../../y/./z/..">', "http://a.org/y/"),
+        ("http://a.org", '<meta http-equiv="refresh" content="0;url=next.html">', "http://a.org/next.html"),
+        ("http://a.org/d/x", '<link rel="canonical" href="next?to=http://c.org/">', "http://a.org/d/next?to=http://c.org/"),
+        ("http://a.org/x", '<link rel="alternate canonical" href="http://b.org/y">', "http://b.org/y"),
+        ("http://a.org/x", '<link rel="canonical" href="http://b.org/y?a=1&amp;b=2">', "http://b.org/y?a=1&b=2"),
+        ("http://a.org/x", '<meta http-equiv="refresh" content="0; url=/y?a=1&amp;b=2">', "http://a.org/y?a=1&b=2"),
+        ("http://a.org/x", '<link rel="not-canonical" href="http://b.org/y">', None),
+        ("http://a.org/x", '<link rel="canonical" href="mailto:a@b.org">', None),
+    ],
+)
+def test_links(spark, url, tag, target):
+    got = urls.links(spark.createDataFrame([(1, url, f"<p>{tag}</p>")], "page_id bigint, url string, html string")).collect()
+    assert [r.target for r in got] == ([] if target is None else [target])
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(0, i) for i in range(1000, 1100)] + [(i, i + 1) for i in range(2000, 2060)] + [(None, 4), (9, 9)]

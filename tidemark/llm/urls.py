@@ -45,19 +45,42 @@ def node_of(url: Column) -> Column:
     return F.when(host != "", F.concat(scheme, F.lit("://"), host, F.when(rest == "", F.lit("/")).otherwise(rest)))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that starts with /, less its segments . and .. and what the latter take back."""
+    parts = F.slice(F.split(path, "/"), 2, 1 << 30)
+    up = lambda out: F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda out, x: F.when(x == "..", up(out)).when(x == ".", out).otherwise(F.concat(out, F.array(x))))
+    # a last segment of dots names a folder
+    folder = F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(folder, F.lit("/")).otherwise(F.lit("")))
+
+
+def resolved(to: Column, url: Column) -> Column:
+    """The url that a reference names on the page ``url``: absolute, or relative to its scheme, host, folder or path."""
+    site, path, query = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), path_of(url), F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    own, rest = F.regexp_extract(to, r"(?s)^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
+    full = F.when(own == "", F.concat(path, F.when(rest.startswith("?"), rest).otherwise(F.concat(query, rest))))
+    full = full.when(own.startswith("/"), F.concat(_without_dots(own), rest)).otherwise(F.concat(_without_dots(F.concat(folder, own)), rest))
+    return (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), to)
+        .when(to.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.lit(":"), to))
+        .otherwise(F.concat(site, full))
+    )
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """(source, target) of each meta refresh and canonical link, as nodes. Targets may be absolute, or start with / or //;
-    others name no url here."""
+    """(source, target) of each meta refresh and canonical link, as nodes. Targets are decoded (&amp; and its numbers) and
+    resolved against the page's url; ``base`` elements are not read."""
     html, url = F.coalesce("html", F.lit("")), F.col("url")
-    tags = F.when(html.rlike("(?i)canonical|http-equiv"), F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0)))
-    canonical = lambda t: t.rlike(r"""(?i)^<link\b.*?\brel\s*=\s*["']?\s*canonical\b""")
-    refresh = lambda t: t.rlike(r"""(?i)^<meta\b.*?\bhttp-equiv\s*=\s*["']?\s*refresh\b""")
+    tags = F.when(html.rlike("(?i)canonical|http-equiv"), F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<(?:link|meta)\b[^>]*>"), F.lit(0)))
+    canonical = lambda t: t.rlike(r"""(?is)^<link\b.*?\brel\s*=\s*(?:"[^"]*(?<![^\s"])canonical(?![^\s"])|'[^']*(?<![^\s'])canonical(?![^\s'])|canonical(?![^\s>/]))""")
+    refresh = lambda t: t.rlike(r"""(?is)^<meta\b.*?\bhttp-equiv\s*=\s*["']?\s*refresh\b""")
     href = lambda t: F.regexp_extract(t, r"""(?i)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1)
-    goes = lambda t: F.regexp_extract(t, r"""(?i)\burl\s*=\s*["']?\s*([^"'\s>;]+)""", 1)
+    goes = lambda t: F.regexp_extract(t, r"""(?i)\burl\s*=\s*["']?\s*([^"'\s>;]+(?:;[^"'\s>;]+)*)""", 1)
     target = lambda t: F.when(canonical(t), href(t)).when(refresh(t), goes(t)).otherwise(F.lit(""))
     found = pages.where(tags.isNotNull()).select(url.alias("url"), F.explode(F.transform(tags, target)).alias("to")).where("to <> ''")
-    scheme, to = F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.col("to")
-    full = F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(scheme, F.lit(":"), to)).when(to.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), to))
+    full = resolved(F.regexp_replace("to", "(?i)&(?:amp|#38|#x26);", "&"), url)
     return found.select(node_of(url).alias("source"), node_of(full).alias("target")).where("source IS NOT NULL AND target IS NOT NULL AND source <> target")
 
 
