@@ -1,10 +1,13 @@
-"""What the operators share: scratch tables in the cluster's shared folder, and a size-bounded id filter."""
+"""What the operators share: scratch tables in the cluster's shared folder, Arrow batches of bounded size, and an id filter."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +20,13 @@ _local_shared: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (single-machine tests) a temporary folder stands in for it.
+    Where the session names none, a temporary folder stands in for it on a single machine; a cluster is refused.
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not (master := spark.sparkContext.master).startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return _local_shared.setdefault("dir", tempfile.mkdtemp(prefix="spark-"))
 
 
@@ -29,17 +34,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/scratch-{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def set_conf(spark: SparkSession, **values: str):
+    """Session settings for the actions inside."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Scratch:
     """Writes intermediate tables to the shared folder, so that later stages neither recompute them nor depend on
-    an executor that may be lost. A table can be dropped as soon as nothing reads it any more."""
+    an executor that may be lost; the shuffle files that made a table go once it is written. A table can be dropped as
+    soon as nothing reads it any more."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.paths: dict[int, str] = {}
 
-    def save(self, df: DataFrame, name: str = "table") -> DataFrame:
+    def save(self, df: DataFrame, name: str = "table", arrow_rows: int | None = None) -> DataFrame:
+        """``arrow_rows``: most rows of an Arrow batch, for rows that are large each."""
         path = scratch_path(self.spark, name)
-        df.write.option("compression", "zstd").parquet(path)
+        sizes = {"spark__sql__execution__arrow__maxRecordsPerBatch": str(arrow_rows)} if arrow_rows else {}
+        with set_conf(self.spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", **sizes):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
@@ -53,13 +76,39 @@ class Scratch:
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch; None and empty batches are left out."""
+BATCH_BYTES = 4 << 20
+
+
+def parts(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about ``most`` bytes, one row each at least."""
+    step = max(1, batch.num_rows * most // max(batch.nbytes, 1))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+def release_memory() -> None:
+    """Gives what a task held back to the system: Python workers live on and are used again by other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
+    """``mapInArrow`` with a function of one batch, which gets slices of a few megabytes; None and empty results are left
+    out. ``done`` runs at a task's end, before its memory is given back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None and out.num_rows:
-                yield out
+        try:
+            for batch in batches:
+                for part in parts(batch):
+                    if (out := fn(part)) is not None and out.num_rows:
+                        yield out
+        finally:
+            if done is not None:
+                done()
+            release_memory()
 
     return df.mapInArrow(run, schema)
 

@@ -33,8 +33,9 @@ SHINGLE = 5
 SKETCH = 48
 MIN_OVERLAP = 19
 PERCENT = 75
-BLOCK = 128
-WHOLE_HALVES = 4096
+BLOCK = 256
+BLOCK_BYTES = 2 << 20
+COLUMNS = 4096
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -42,7 +43,7 @@ class _WordHashes(dict):
     """Hashes of the words met so far by this worker; emptied when it gets large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -85,7 +86,7 @@ def sketches(docs: DataFrame, k: int = SKETCH) -> DataFrame:
             names=["doc_id", "n", "set_id", "sketch"],
         )
 
-    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), one, "doc_id bigint, n bigint, set_id binary, sketch array<bigint>")
+    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), one, "doc_id bigint, n bigint, set_id binary, sketch array<bigint>", _words.clear)
 
 
 def _possible(na, nb, sa, sb, k: int, least: int):
@@ -111,12 +112,14 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scra
 
     def exact(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets: dict[int, np.ndarray] = {}
-        good = []
+        good, held = [], 0
         for a, b, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if a not in sets:
-                if len(sets) >= 64:
+                if held > BLOCK_BYTES:
                     sets.clear()
+                    held = 0
                 sets[a] = shingle_set(ta)
+                held += sets[a].nbytes
             x, y = sets[a], shingle_set(tb)
             both = len(np.intersect1d(x, y, assume_unique=True))
             good.append(100 * both >= PERCENT * (len(x) + len(y) - both))
@@ -124,7 +127,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scra
 
     with_a = likely.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
     joined = with_a.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    links = scratch.save(map_batches(joined, exact, "a bigint, b bigint"), "links")
+    links = scratch.save(map_batches(joined, exact, "a bigint, b bigint", _words.clear), "links")
     scratch.drop(texts, likely)
     return links
 
@@ -147,52 +150,71 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
     return out
 
 
-def _overlaps(sets: list[np.ndarray], left: int) -> np.ndarray:
-    """Sizes of the intersections of the first ``left`` sets with all sets."""
-    values = np.concatenate(sets)
-    distinct, at, times = np.unique(values, return_inverse=True, return_counts=True)
-    column = np.cumsum(times > 1) - 1  # what only one set holds is in no intersection
-    shared = times[at] > 1
-    has = np.zeros((len(sets), int(column[-1]) + 1 if len(column) else 0), dtype=np.float32)
-    has[np.repeat(np.arange(len(sets)), list(map(len, sets)))[shared], column[at[shared]]] = 1
-    return has[:left] @ has.T
-
-
-def _block_links(left: tuple, right: tuple | None, k: int, least: int) -> list[tuple[int, int]]:
-    """Links between members of different components in a block, or in two. A block: ids, components and sets (the upper
-    halves of the sorted hashes, so the first ``k`` are the sketch)."""
-    n = len(left[0])
-    ids, comps = (np.concatenate([x, y]) if right else x for x, y in zip(left[:2], right[:2] if right else left[:2], strict=True))
-    sets = left[2] + (right[2] if right else [])
-    size = np.array(list(map(len, sets)))
-    low, high = np.minimum.outer(size[:n], size), np.maximum.outer(size[:n], size)
-    open_ = np.not_equal.outer(comps[:n], comps) & (100 * low >= PERCENT * high)
-    if right:
-        open_[:, :n] = False
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set, counted over ``COLUMNS`` shared values at a time."""
+    out = np.zeros((len(left), len(right)))
+    sides = [np.concatenate(x) for x in ((left,) if left is right else (left, right))]
+    if left is right:
+        distinct, times = np.unique(sides[0], return_counts=True)
+        shared = distinct[times > 1]
+    else:
+        shared = np.intersect1d(*sides)
+    held = []
+    for sets, values in zip((left, right), sides, strict=False):
+        at = np.searchsorted(shared, values)
+        hit = np.nonzero(shared[np.minimum(at, len(shared) - 1)] == values)[0] if len(shared) else np.zeros(0, np.int64)
+        rows, at = np.repeat(np.arange(len(sets), dtype=np.int32), list(map(len, sets)))[hit], at[hit]
+        order = np.argsort(at, kind="stable")
+        held.append((rows[order], at[order], len(sets)))
+    for first in range(0, len(shared), COLUMNS):
+        has = []
+        for rows, at, n in held:
+            span = slice(*np.searchsorted(at, [first, first + COLUMNS]))
+            m = np.zeros((n, min(COLUMNS, len(shared) - first)), dtype=np.float32)
+            m[rows[span], at[span] - first] = 1
+            has.append(m)
+        out += has[0] @ has[-1].T
+    return out
+
+
+Block = tuple[np.ndarray, np.ndarray, list[np.ndarray]]  # ids, components, sets: sorted, so the first k are the sketch
+
+
+def _block_links(left: Block, right: Block | None, k: int, least: int) -> list[tuple[int, int]]:
+    """Links between members of different components in a block, or between two blocks: a spanning forest of them."""
+    right = right or left
+    size_a, size_b = (np.array(list(map(len, x[2]))) for x in (left, right))
+    low, high = np.minimum.outer(size_a, size_b), np.maximum.outer(size_a, size_b)
+    open_ = np.not_equal.outer(left[1], right[1]) & (100 * low >= PERCENT * high)
     if not open_.any():
         return []
     # a sketch of a whole set shows the intersection itself; others retain ``least`` common values at the threshold
-    open_ &= _overlaps([x[:k] for x in sets], n) >= np.where(high <= k, np.ceil(low * PERCENT / 100), np.minimum(least, np.ceil(low * PERCENT / 100)))
+    heads = [x[:k] for x in left[2]]
+    seen = _overlaps(heads, heads if right is left else [x[:k] for x in right[2]])
+    open_ &= seen >= np.where(high <= k, np.ceil(low * PERCENT / 100), np.minimum(least, np.ceil(low * PERCENT / 100)))
     if not open_.any():
         return []
     own, other = np.nonzero(open_.any(axis=1))[0], np.nonzero(open_.any(axis=0))[0]
-    both = _overlaps([sets[i] for i in own] + [sets[i] for i in other], len(own))[:, len(own) :]
-    over = 100 * both - PERCENT * (size[own][:, None] + size[other] - both)
-    # halves of hashes may coincide within very large sets: pairs so near to the threshold all go on to be verified
-    band = np.where(np.maximum(size[own][:, None], size[other]) > WHOLE_HALVES, 700, 0)
-    now = open_[np.ix_(own, other)]
-    a, b = np.nonzero(now & (over >= band))
+    both = _overlaps([left[2][i] for i in own], [right[2][i] for i in other])
+    over = 100 * both >= PERCENT * (size_a[own][:, None] + size_b[other] - both)
+    a, b = np.nonzero(open_[np.ix_(own, other)] & over)
     a, b = own[a], other[b]
-    forest = _forest(comps[a], comps[b])
-    near_a, near_b = np.nonzero(now & (np.abs(over) < band))
-    a, b = np.concatenate([a[forest], own[near_a]]), np.concatenate([b[forest], other[near_b]])
-    return list(zip(np.minimum(ids[a], ids[b]).tolist(), np.maximum(ids[a], ids[b]).tolist(), strict=True))
+    forest = _forest(left[1][a], right[1][b])
+    x, y = left[0][a[forest]], right[0][b[forest]]
+    return list(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
+
+
+def _unpacked(rows: pa.ListScalar) -> Block | None:
+    if not rows.is_valid:
+        return None
+    ids, comps, hashes = rows.values.flatten()
+    return ids.to_numpy(), comps.to_numpy(), [np.frombuffer(h, dtype="<i8") for h in hashes.to_pylist()]
 
 
 def _cross_links(lists: DataFrame, heads: DataFrame, comps: DataFrame, docs: DataFrame, scratch: Scratch, k: int, least: int) -> DataFrame:
     """Links (a, b) between different components within a list, heads left out: a spanning forest for each pair of blocks."""
-    held = lists.join(heads.select("value", F.col("a").alias("head")), "value").where("rep <> head").select("value", "rep")
-    held = held.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", F.coalesce("component", "rep").alias("comp"))
+    held = lists.join(heads.select("value", F.col("a").alias("head")), "value").where("rep <> head").select("value", "rep", "n")
+    held = held.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     open_lists = (
         held.groupBy("value")
         .agg(F.count("*").alias("members"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sign"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
@@ -200,45 +222,36 @@ def _cross_links(lists: DataFrame, heads: DataFrame, comps: DataFrame, docs: Dat
         .groupBy("members", "sign")  # lists of the same members give the same links
         .agg(F.min("value").alias("value"))
     )
-    held = scratch.save(held.join(open_lists.select("value", "members"), "value"), "members")
+    held = scratch.save(held.join(open_lists.select("value"), "value"), "members")
     ids = held.select("rep").distinct()
     texts = filter_by_ids(docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text"), "rep", ids).join(ids, "rep", "left_semi")
 
-    def upper(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([batch.column(0), pa.array([(shingle_set(t) >> 32).astype("<i4").tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["rep", "hashes"])
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([batch.column(0), pa.array([shingle_set(t).astype("<i8").tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["rep", "hashes"])
 
-    sets = scratch.save(map_batches(texts, upper, "rep bigint, hashes binary").distinct(), "sets")
+    sets = scratch.save(map_batches(texts, whole, "rep bigint, hashes binary", _words.clear).distinct(), "sets")
     # components that would fill a block get blocks of their own: two of those need no comparison
-    pools = held.groupBy("value", "comp").agg(F.count("*").alias("c")).withColumn("pool", F.when(F.col("c") >= BLOCK, F.col("comp")))
-    sizes = pools.groupBy("value", "pool").agg(F.sum("c").alias("in_pool"))
+    size = [F.count("*").alias("c"), F.sum(F.col("n") * 8).alias("bytes")]
+    pools = held.groupBy("value", "comp").agg(*size).withColumn("pool", F.when((F.col("c") >= BLOCK) | (F.col("bytes") >= BLOCK_BYTES), F.col("comp")))
+    counts = pools.groupBy(F.col("value").alias("v"), F.col("pool").alias("p")).agg(F.greatest(F.ceil(F.sum("c") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
     own = pools.where("pool IS NOT NULL").select("value", "comp", "pool")
-    dealt = held.join(own, ["value", "comp"], "left").join(sizes.withColumnsRenamed({"value": "v", "pool": "p"}), (F.col("value") == F.col("v")) & F.col("pool").eqNullSafe(F.col("p")))
-    dealt = dealt.withColumn("number", F.pmod(F.xxhash64("rep"), F.ceil(F.col("in_pool") / BLOCK)))
-    blocks = (
-        dealt.join(sets, "rep")
-        .groupBy("value", "pool", "number")
-        .agg(F.max("members").alias("members"), F.collect_list(F.struct("rep", "comp", "hashes")).alias("rows"))
-        .withColumn("place", F.concat_ws(":", F.coalesce(F.col("pool").cast("string"), F.lit("")), "number"))
-    )
-    blocks = scratch.save(blocks, "blocks")
+    dealt = held.join(own, ["value", "comp"], "left").join(counts, (F.col("value") == F.col("v")) & F.col("pool").eqNullSafe(F.col("p")))
+    dealt = dealt.withColumn("place", F.concat_ws(":", F.coalesce(F.col("pool").cast("string"), F.lit("")), F.pmod(F.xxhash64("rep"), F.col("blocks"))))
+    blocks = scratch.save(dealt.join(sets, "rep").groupBy("value", "pool", "place").agg(F.collect_list(F.struct("rep", "comp", "hashes")).alias("rows")), "blocks")
+    # pairs of blocks are pairs of numbers; each side's rows are fetched by list and number
+    numbers = blocks.select("value", "pool", "place")
+    other = numbers.select("value", F.col("pool").alias("q"), F.col("place").alias("j"))
+    pairs = scratch.save(numbers.join(other, "value").where("place < j AND NOT (pool IS NOT NULL AND pool <=> q)").select("value", F.col("place").alias("i"), "j"), "pairs")
+    x, y = (blocks.select("value", F.col("place").alias(n), F.col("rows").alias(r)) for n, r in (("i", "x"), ("j", "y")))
+    both = pairs.join(x, ["value", "i"]).join(y, ["value", "j"]).select("x", "y")
     alone = blocks.where("pool IS NULL").select(F.col("rows").alias("x"), F.lit(None).cast(blocks.schema["rows"].dataType).alias("y"))
-    many = blocks.where(F.col("members") > BLOCK)
-    left = many.select("value", F.col("pool").alias("p"), F.col("place").alias("i"), F.col("rows").alias("x"))
-    right = many.select("value", F.col("pool").alias("q"), F.col("place").alias("j"), F.col("rows").alias("y"))
-    pairs = left.join(right, "value").where("i < j AND NOT (p IS NOT NULL AND p <=> q)").select("x", "y")
-
-    def unpack(rows) -> tuple | None:
-        if not rows.is_valid:
-            return None
-        ids, comps, hashes = rows.values.flatten()
-        return ids.to_numpy(), comps.to_numpy(), [np.unique(np.frombuffer(h, dtype="<i4")) for h in hashes.to_pylist()]
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = {p for x, y in zip(batch.column(0), batch.column(1), strict=True) for p in _block_links(unpack(x), unpack(y), k, least)}
+        out = {p for x, y in zip(batch.column(0), batch.column(1), strict=True) for p in _block_links(_unpacked(x), _unpacked(y), k, least)}
         return pa.record_batch([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
-    found = scratch.save(map_batches(alone.union(pairs), compare, "a bigint, b bigint").distinct(), "cross")
-    scratch.drop(blocks, sets, held)
+    found = scratch.save(map_batches(alone.union(both), compare, "a bigint, b bigint").distinct(), "cross", arrow_rows=4)
+    scratch.drop(blocks, pairs, sets, held)
     return found
 
 
@@ -259,17 +272,17 @@ def near_duplicates(docs: DataFrame, k: int = SKETCH, min_overlap: int = MIN_OVE
         .select("set_id", F.col("m.doc_id").alias("rep"), "m.n", "m.sketch"),
         "classes",
     )
-    tokens = classes.select("rep", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
+    tokens = classes.select("rep", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
     common = tokens.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     need = F.least(F.lit(min_overlap), F.ceil(F.col("m") * PERCENT / 100).cast("int"))
     lists = scratch.save(
         tokens.join(common, "value")
-        .groupBy("rep", "m")
+        .groupBy("rep", "m", "n")
         .agg(F.collect_list(F.struct("df", "value")).alias("shared"))
         .withColumn("need", need)
         .where(F.size("shared") >= F.col("need"))
-        .select("rep", F.explode(F.slice(F.array_sort("shared"), F.lit(1), F.size("shared") - F.col("need") + 1)).alias("v"))
-        .select("rep", F.col("v.value").alias("value"))
+        .select("rep", "n", F.explode(F.slice(F.array_sort("shared"), F.lit(1), F.size("shared") - F.col("need") + 1)).alias("v"))
+        .select("rep", "n", F.col("v.value").alias("value"))
         .distinct(),
         "lists",
     )
