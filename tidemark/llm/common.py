@@ -11,6 +11,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,25 @@ def set_conf(spark: SparkSession, **values: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while f"__{name}".lower() in taken or f"__{name}_".lower() in taken:
+        name += "_"
+    return f"__{name}"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its file system: a path without a scheme lies where Spark's default file system is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
+def open_path(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a qualified path, and the path there."""
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+
+
 class Scratch:
     """Writes intermediate tables to the shared folder, so that later stages neither recompute them nor depend on
     an executor that may be lost; the shuffle files that made a table go once it is written. A table can be dropped as
@@ -123,6 +143,7 @@ def filter_by_ids(df: DataFrame, key: str, ids: DataFrame, bits: int = ID_FILTER
     with very many ids it only prunes less. A join on the ids must follow.
     """
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits)) + 1
+    name = fresh(df, "bucket")
     rows = (
         ids.select(bucket(ids[ids.columns[0]]).alias("h"))
         .groupBy(F.expr("bitmap_bucket_number(h)").alias("b"))
@@ -140,6 +161,5 @@ def filter_by_ids(df: DataFrame, key: str, ids: DataFrame, bits: int = ID_FILTER
         bitmap = np.frombuffer(shared.value, dtype=np.uint8)
         return batch.filter(pa.array(((bitmap[h >> 3] >> (h & 7)) & 1).astype(bool)))
 
-    name = "__bucket"
     held = df.where(F.col(key).isNotNull()).withColumn(name, bucket(F.col(key)))
     return map_batches(held, keep, held.schema).drop(name)
