@@ -1,6 +1,7 @@
-"""Byte-level BPE ids of whole texts, exactly those of the ``tokenizers`` library.
+"""Byte-level BPE ids of whole texts, exactly those of the ``tokenizers`` library; strings of special tokens in a text become
+those tokens, as they do there.
 
-Where a text holds only ASCII and Latin letters, both libraries cut it alike (their Unicode tables agree there) and the
+Where a text holds only ASCII and Latin letters and no such string, both libraries cut it alike (their Unicode tables agree there) and the
 same vocabulary as ranks gives the same ids about four times as fast; every other text goes through ``tokenizers`` itself.
 """
 
@@ -22,20 +23,21 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 class ByteBpe:
     def __init__(self, tokenizer_file: str, ranks_file: str | None = None):
         self.exact = Tokenizer.from_file(tokenizer_file)
-        self.exact.encode_special_tokens = True  # such strings in a text are ordinary text
         self.fast = None
         if ranks_file:
             with open(ranks_file, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             with open(tokenizer_file, encoding="utf-8") as f:
-                pre = json.load(f)["pre_tokenizer"]
+                model = json.load(f)
+            pre = model["pre_tokenizer"]
+            self.added = [t["content"] for t in model.get("added_tokens", [])]
             if pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]:
                 self.fast = tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, dtype="<u4")
-        if self.fast is not None and _PLAIN.match(text):
+        if self.fast is not None and _PLAIN.match(text) and not any(t in text for t in self.added):
             return np.array(self.fast.encode_ordinary(text), dtype="<u4")
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
