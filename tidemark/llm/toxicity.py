@@ -1,11 +1,12 @@
-"""Toxicity from the nearest labelled examples, by exact cosine of weighted TF-IDF vectors.
+"""Toxicity from the nearest labelled examples, by exact cosine of weighted TF-IDF vectors with block-max inverted lists.
 
 Terms are words (runs of letters and digits, lower-cased) and the first five characters of longer words: all of those of a
-bounded sample of the labelled rows. How rare a term is is counted over all documents; terms that go with the label in
-the sample weigh more, and none is left out. The sample's vectors form an inverted index with the terms of many examples
-as columns of a dense matrix; every example is scored, so the search is exact. Neighbours vote with weights that fall with
-their distance, scaled to the label's frequency among all training rows; leave-one-out votes of the sample calibrate the
-score.
+bounded sample of the labelled rows, told apart by 64-bit hashes. How rare a term is is counted over all documents; terms
+that go with the label in the sample weigh more, and none is left out. The sample's vectors form an inverted index over
+blocks of examples: a term's list holds its largest weight in each block, so a block whose bound lies below the k-th best
+cosine so far is not scored. Terms of many examples are columns of a dense matrix, and their share of the bound is exact.
+Neighbours vote with weights that fall with their distance, scaled to the label's frequency among all training rows;
+leave-one-out votes of the sample calibrate the score.
 """
 
 from __future__ import annotations
@@ -18,17 +19,22 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_batches
+from .common import Scratch, map_batches, parts, release_memory
 
 MAX_EXAMPLES = 8_000  # of each label; the index and every broadcast are bounded by it
 UNIT_RATIO = 25.0  # of a term's log-likelihood; a chance below 1e-6, as very many terms are tried. Doubles a term's weight
 NEIGHBOURS = 25
 FOLDS = 5
 BATCH = 64
+BLOCK = 64
+FIRST_BLOCKS = 8
+MATRIX_BYTES = 48 << 20
+REMEMBERED = 50_000
 _WORDS = re.compile(r"[^\W_]+")
 _STEM = 5
 
@@ -37,38 +43,53 @@ def tokens(text: str | None) -> list[str]:
     return _WORDS.findall(text.lower()) if text else []
 
 
-def _stem(word: str) -> str:
-    return word[:_STEM] + "*"
+def _hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _terms(words: set[str]) -> set[str]:
-    return words | {_stem(w) for w in words if len(w) > _STEM}
+def _stem_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word[:_STEM].encode("utf-8", "surrogatepass"), seed=1) - (1 << 63)
+
+
+def _terms(words: set[str]) -> set[int]:
+    return {_hash(w) for w in words} | {_stem_hash(w) for w in words if len(w) > _STEM}
 
 
 class Vocabulary:
-    """Term -> column; term frequencies of a text over it. It travels as an Arrow array; lookups are made where it is used."""
+    """Term -> column, by sorted hashes; term frequencies of a text over it. Words looked up are remembered, a bounded number."""
 
-    def __init__(self, terms: pa.Array):
-        self.terms = terms
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
 
     def __getstate__(self) -> dict:
-        return {"terms": self.terms}
+        return {"hashes": self.hashes}
 
     @cached_property
-    def words(self) -> dict[str, int]:
-        return {t: i for i, t in enumerate(self.terms.to_pylist()) if not t.endswith("*")}
+    def known(self) -> dict[str, tuple[int, int]]:
+        return {}
 
-    @cached_property
-    def stems(self) -> dict[str, int]:
-        return {t[:-1]: i for i, t in enumerate(self.terms.to_pylist()) if t.endswith("*")}
+    def _columns(self, hashes: list[int]) -> list[int]:
+        h = np.array(hashes, dtype=np.int64)
+        at = np.searchsorted(self.hashes, h)
+        at[at == len(self.hashes)] = 0
+        return np.where(self.hashes[at] == h, at, -1).tolist() if len(self.hashes) else [-1] * len(h)
 
     def frequencies(self, text: str | None) -> dict[int, int]:
+        counts, known = Counter(tokens(text)), self.known
+        missing = [w for w in counts if w not in known]
+        if missing:
+            if len(known) + len(missing) > REMEMBERED:
+                known.clear()
+                missing = list(counts)
+            stems = [_stem_hash(w) if len(w) > _STEM else None for w in missing]
+            held = iter(self._columns([s for s in stems if s is not None]))
+            for w, c, s in zip(missing, self._columns([_hash(w) for w in missing]), stems, strict=True):
+                known[w] = c, -1 if s is None else next(held)
         out: dict[int, int] = {}
-        for w, n in Counter(tokens(text)).items():
-            if (c := self.words.get(w)) is not None:
-                out[c] = n
-            if len(w) > _STEM and (c := self.stems.get(w[:_STEM])) is not None:
-                out[c] = out.get(c, 0) + n
+        for w, n in counts.items():
+            for c in known[w]:
+                if c >= 0:
+                    out[c] = out.get(c, 0) + n
         return out
 
 
@@ -87,38 +108,38 @@ Knots = tuple[np.ndarray, np.ndarray]
 NOTHING: Vector = (np.zeros(0, np.int32), np.zeros(0))
 
 
-class ExampleIndex:
-    """Inverted lists over distinct example vectors; terms of more than an eighth of the examples are columns of a matrix."""
-
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int):
-        starts = np.cumsum([0, *map(len, vectors)])
-        self._build(starts, np.array([t for v in vectors for t in v], np.int32), np.array([w for v in vectors for w in v.values()], float), n_terms)
-
-    @classmethod
-    def of_rows(cls, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int) -> ExampleIndex:
-        out = cls.__new__(cls)
-        out._build(starts, terms, weights, n_terms)
-        return out
+class BlockMaxIndex:
+    """Inverted lists over blocks of ``BLOCK`` examples. Terms of more than an eighth of the examples (the most frequent, as
+    far as ``MATRIX_BYTES`` go) are columns of a matrix instead of lists."""
 
-    def _build(self, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int) -> None:
-        self.size, self.row_starts = len(starts) - 1, starts
+    def __init__(self, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int):
+        self.size = len(starts) - 1
         rows = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(starts))
-        common = np.nonzero(np.bincount(terms, minlength=n_terms) > max(BATCH, self.size / 8))[0]
+        times = np.bincount(terms, minlength=n_terms)
+        common = np.nonzero(times > max(BATCH, self.size / 8))[0]
+        common = np.sort(common[np.argsort(-times[common], kind="stable")][: MATRIX_BYTES // (8 * max(self.size, 1))])
         self.column = np.full(n_terms, -1, np.int32)
         self.column[common] = np.arange(len(common))
         at = self.column[terms]
         self.matrix = np.zeros((self.size, len(common)))
         self.matrix[rows[at >= 0], at[at >= 0]] = weights[at >= 0]
         rest = np.nonzero(at < 0)[0]
-        rest = rest[np.argsort(terms[rest], kind="stable")]
-        self.ids, self.weights = rows[rest], weights[rest]
-        self.starts = np.searchsorted(terms[rest], np.arange(n_terms + 1))
+        rest = rest[np.argsort(terms[rest], kind="stable")]  # by term, then example
+        self.ids, self.weights, listed = rows[rest], weights[rest], terms[rest]
+        self.block_of = np.arange(self.size) // BLOCK
+        self.firsts = np.arange(0, self.size, BLOCK)
+        block = self.ids // BLOCK
+        new = np.nonzero(np.concatenate([[True], (listed[1:] != listed[:-1]) | (block[1:] != block[:-1])]))[0] if len(rest) else np.zeros(0, np.int64)
+        self.entry_block = block[new].astype(np.int32)
+        self.entry_max = np.maximum.reduceat(self.weights, new) if len(new) else np.zeros(0)
+        self.entry_start = np.append(new, len(rest))
+        self.term_start = np.searchsorted(listed[new], np.arange(n_terms + 1))
 
-    def _listed(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Each example's share of the cosine from inverted lists."""
-        start, n = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
-        at = np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
-        return np.bincount(self.ids[at], self.weights[at] * np.repeat(weights, n), self.size)
+    @staticmethod
+    def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all ranges, one behind the other, and the lengths."""
+        n = stop - start
+        return np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n), n
 
     def nearest(self, queries: list[Vector], k: int, without: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query the k examples of largest cosine above 0 (ties: smaller number), best first; ``without`` is left
@@ -129,61 +150,80 @@ class ExampleIndex:
             for row, (terms, weights) in zip(dense, batch, strict=True):
                 at = self.column[terms]
                 row[at[at >= 0]] = weights[at >= 0]
-            for scores, (terms, weights), gone in zip(dense @ self.matrix.T, batch, without[first : first + BATCH], strict=True):
-                scores += self._listed(terms, weights)
-                if gone >= 0:
-                    scores[gone] = 0.0
-                least = np.partition(scores, -k)[-k] if self.size > k else 0.0
-                hits = np.nonzero((scores >= least - 1e-12) & (scores > 0))[0]
-                cosine = np.round(scores[hits], 12)  # how texts are batched must not decide ties
-                best = np.lexsort((hits, -cosine))[:k]
-                yield hits[best], np.minimum(scores[hits[best]], 1.0)
+            for share, (terms, weights), gone in zip(dense @ self.matrix.T, batch, without[first : first + BATCH], strict=True):
+                yield self._best(share, terms, weights, k, gone)
+
+    def _best(self, share: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, gone: int) -> tuple[np.ndarray, np.ndarray]:
+        if not self.size:
+            return np.zeros(0, np.int64), np.zeros(0)
+        entries, n = self._ranges(self.term_start[terms], self.term_start[terms + 1])
+        weight, block = np.repeat(weights, n), self.entry_block[entries]
+        bound = np.maximum.reduceat(share, self.firsts) + np.bincount(block, self.entry_max[entries] * weight, len(self.firsts))
+        order = np.argsort(-bound, kind="stable")
+        scores, least, done = np.full(self.size, -1.0), 0.0, np.zeros(len(bound), bool)
+        for wave in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
+            wanted = np.zeros(len(bound), bool)
+            wanted[wave[(bound[wave] > 0) & (bound[wave] >= least - 1e-9)]] = True  # others hold nothing better
+            if not wanted.any():
+                break
+            held = np.nonzero(wanted[block])[0]
+            at, times = self._ranges(self.entry_start[entries[held]], self.entry_start[entries[held] + 1])
+            listed = np.bincount(self.ids[at], self.weights[at] * np.repeat(weight[held], times), self.size)
+            mine = wanted[self.block_of]
+            scores[mine] = share[mine] + listed[mine]
+            done |= wanted
+            if gone >= 0:
+                scores[gone] = -1.0
+            least = np.partition(scores, -k)[-k] if self.size > k else 0.0
+        hits = np.nonzero((scores >= least - 1e-12) & (scores > 0))[0]
+        cosine = np.round(scores[hits], 12)  # how texts are batched must not decide ties
+        best = np.lexsort((hits, -cosine))[:k]
+        return hits[best], np.minimum(scores[hits[best]], 1.0)
 
     def search(self, query: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         return next(self.nearest([(np.array(list(query), np.int32), np.array(list(query.values()), float))], k, [without]))
 
 
-BlockMaxIndex = ExampleIndex  # its former name: no block is skipped any more
-
-
 class Scorer:
     """Votes over the examples. It travels as their term frequencies; the index is built where it is used."""
 
     def __init__(self, idf: np.ndarray, examples: pa.Table, unit: tuple[float, float], prior: float):
         """idf: of each term, times its weight. examples: distinct term frequencies (terms, tf), numbers of clean and toxic
         rows (n0, n1), smallest doc_id. unit: the mass of one clean and one toxic row."""
-        self.idf, self.examples, self.prior, self.unit = idf, examples, prior, unit
+        self.idf, self.prior, self.unit = idf, prior, unit
         self.clean, self.toxic = examples.column("n0").to_numpy() * unit[0], examples.column("n1").to_numpy() * unit[1]
         self.doc_ids = examples.column("doc_id").to_numpy()
+        lists = examples.column("terms").combine_chunks()
+        self.starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        self.terms, self.tf = (examples.column(c).combine_chunks().flatten().to_numpy() for c in ("terms", "tf"))
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "index"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("index", "blank")}
 
     @cached_property
-    def index(self) -> ExampleIndex:
-        starts, terms, weights = [0], [np.zeros(0, np.int32)], [np.zeros(0)]
-        for i in range(len(self.clean)):
-            t, w = self.example(i)
-            starts.append(starts[-1] + len(t))
-            terms.append(t)
-            weights.append(w)
-        return ExampleIndex.of_rows(np.array(starts), np.concatenate(terms), np.concatenate(weights), len(self.idf))
+    def index(self) -> BlockMaxIndex:
+        weights = (1 + np.log(self.tf)) * self.idf[self.terms]
+        rows = np.repeat(np.arange(len(self.clean)), np.diff(self.starts))
+        kept = weights > 0
+        rows, terms, weights = rows[kept], self.terms[kept], weights[kept]
+        weights /= np.sqrt(np.bincount(rows, weights * weights, len(self.clean)))[rows]
+        return BlockMaxIndex(np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(self.clean)))]), terms, weights, len(self.idf))
 
     def example(self, i: int) -> Vector:
-        part = self.examples.slice(i, 1)
-        return self._weighted(*(part.column(c).chunk(0).flatten().to_numpy() for c in ("terms", "tf")))
+        span = slice(self.starts[i], self.starts[i + 1])
+        return self._weighted(self.terms[span], self.tf[span])
 
     @cached_property
     def blank(self) -> float:
         """The vote of examples without terms."""
-        empty = np.diff(self.index.row_starts) == 0
+        empty = np.diff(self.starts) == 0
         clean, toxic = self.clean[empty].sum(), self.toxic[empty].sum()
         return float((toxic + self.prior) / (clean + toxic + 1))
 
     def _weighted(self, terms: np.ndarray, tf: np.ndarray) -> Vector:
         weights = (1 + np.log(tf)) * self.idf[terms]
         kept = weights > 0
-        norm = math.sqrt(math.fsum(weights[kept] ** 2))
+        norm = math.sqrt(float((weights[kept] ** 2).sum()))
         return (terms[kept], weights[kept] / norm) if norm else NOTHING
 
     def vector(self, tf: dict[int, int]) -> Vector:
@@ -212,7 +252,7 @@ class Scorer:
 
     @staticmethod
     def fitted(votes: list[tuple[float, float, int]]) -> Knots:
-        """Isotonic fit of labels on leave-one-out votes."""
+        """Isotonic fit of labels on leave-one-out votes; levels rise, and scores between them are interpolated."""
         points = sorted((x, n, n * label) for x, n, label in votes)
         pools: list[list[float]] = []
         for x, n, y in points:
@@ -232,19 +272,20 @@ class Scorer:
             vectors = [self.vector(vocabulary.frequencies(t)) for t in some]
             for text, v, (raw, evidence) in zip(some, vectors, self.raw(vectors), strict=True):
                 raw = raw if len(v[0]) else self.blank
-                fitted = float(np.interp(raw, *knots))
-                known[text] = min(1.0, max(0.0, 0.9 * fitted + 0.1 * raw)), evidence  # keeps the order of votes within a level
+                known[text] = min(1.0, max(0.0, float(np.interp(raw, *knots)))), evidence
         return [known[t] for t in texts]
 
 
-def _significant(n1: float, n0: float, all1: float, all0: float) -> float:
-    """Log-likelihood ratio of a term with the label, 0 unless it is three times as likely under one label."""
+def _significant(n1: Column, n0: Column, all1: int, all0: int) -> Column:
+    """Log-likelihood ratio of a term with the label; 0 unless it is three times as likely under one label, and for terms of
+    under three examples."""
+    if not all1 or not all0:
+        return F.lit(0.0)
     n, total = n1 + n0, all1 + all0
     p1, p0 = (n1 + 0.5) / (all1 + 1), (n0 + 0.5) / (all0 + 1)
-    if not all1 or not all0 or max(p1, p0) < 3 * min(p1, p0):
-        return 0.0
     cells = ((n1, n * all1), (n0, n * all0), (all1 - n1, (total - n) * all1), (all0 - n0, (total - n) * all0))
-    return 2 * sum(seen * math.log(seen * total / expected) for seen, expected in cells if seen > 0)
+    ratio = sum((F.when(seen > 0, seen * F.log(seen * total / expected)).otherwise(0.0) for seen, expected in cells), F.lit(0.0)) * 2
+    return F.when((n < 3) | (F.greatest(p1, p0) < F.least(p1, p0) * 3), 0.0).otherwise(ratio)
 
 
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int = MAX_EXAMPLES) -> tuple[Broadcast, Broadcast, Knots]:
@@ -261,33 +302,37 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int
     texts = scratch.save(mine.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "examples")
 
     def count_terms(batches):
-        counts: dict[str, list[int]] = {}
+        counts: dict[int, list[int]] = {}
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for t in _terms(set(tokens(text))):
                     counts.setdefault(t, [0, 0])[label] += 1
-        terms = list(counts)
-        yield pa.record_batch([pa.array(terms, pa.string()), pa.array([counts[t][0] for t in terms], pa.int64()), pa.array([counts[t][1] for t in terms], pa.int64())], names=["term", "n0", "n1"])
+        yield pa.record_batch([pa.array(list(counts), pa.int64()), *(pa.array([c[i] for c in counts.values()], pa.int64()) for i in (0, 1))], names=["term", "n0", "n1"])
+        counts.clear()
+        release_memory()
 
     held = dict(texts.groupBy("toxic").count().collect())
     all0, all1 = held.get(0, 0), held.get(1, 0)
-    ratio = F.udf(lambda n1, n0: float(_significant(n1, n0, all1, all0)), "double")
-    per_term = texts.select("toxic", "text").mapInArrow(count_terms, "term string, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    per_term = texts.select("toxic", "text").mapInArrow(count_terms, "term bigint, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     # the terms of at most 2 x max_examples texts
-    counted = per_term.select("term", F.when(F.expr("n0 + n1 >= 3"), ratio("n1", "n0")).otherwise(F.lit(0.0)).alias("ratio")).toArrow().sort_by("term")
-    terms, raised = counted.column("term").combine_chunks(), 1 + counted.column("ratio").to_numpy() / UNIT_RATIO
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(terms))
+    counted = per_term.select("term", _significant(F.col("n1"), F.col("n0"), all1, all0).alias("ratio")).toArrow().sort_by("term")
+    hashes, raised = counted.column("term").to_numpy(), 1 + counted.column("ratio").to_numpy() / UNIT_RATIO
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(hashes))
 
     def document_frequencies(batches):
-        rows, seen = 0, Counter()
+        rows, seen = 0, np.zeros(len(shared.value.hashes), np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(shared.value.frequencies(text).keys())
-                rows += 1
-        yield pa.record_batch([pa.array([-1, *seen], pa.int64()), pa.array([rows, *seen.values()], pa.int64())], names=["term", "df"])
+            for part in parts(batch):
+                for text in part.column(0).to_pylist():
+                    tf = shared.value.frequencies(text)
+                    seen[np.fromiter(tf, np.int64, len(tf))] += 1
+                    rows += 1
+        met = np.nonzero(seen)[0]
+        yield pa.record_batch([pa.array(np.append(met, -1)), pa.array(np.append(seen[met], rows))], names=["term", "df"])
+        release_memory()
 
     counted = mine.select("text").mapInArrow(document_frequencies, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
-    df = np.zeros(len(terms) + 1)  # the last: documents
+    df = np.zeros(len(hashes) + 1)  # the last: documents
     df[counted.column("term").to_numpy()] = counted.column("df").to_numpy()
     idf = raised * np.log((df[-1] + 1) / (df[:-1] + 1))
 
@@ -300,7 +345,9 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int
     )
     unit = (totals.get(0, 0) / all0 if all0 else 1.0, totals.get(1, 0) / all1 if all1 else 1.0)
     n = totals.get(0, 0) + totals.get(1, 0)
-    examples = grouped.select("terms", "tf", "n0", "n1", "doc_id").toArrow().sort_by("doc_id")  # at most 2 x max_examples
+    examples = grouped.select("terms", "tf", "n0", "n1", "doc_id").toArrow()  # at most 2 x max_examples
+    # examples of one label stand together, so that blocks differ
+    examples = examples.append_column("label", pa.array(examples.column("n1").to_numpy() > 0)).sort_by([("label", "ascending"), ("doc_id", "ascending")])
     spark = docs.sparkSession
     scorer = spark.sparkContext.broadcast(Scorer(idf, examples, unit, totals.get(1, 0) / n if n else 0.5))
 
