@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HASH_GROUPS = 1024
 
-
-def number_rows(df: DataFrame, leading: str | None, keys: list[str], name: str, groups: int = HASH_GROUPS) -> DataFrame:
+def number_rows(df: DataFrame, leading: str | None, keys: list[str], name: str, groups: int) -> DataFrame:
     """Adds ``name``: 0, 1, ... without gaps, in descending order of the few values of ``leading``, then by hash group of
     ``keys``, then by keys. Rows of equal keys are numbered in any order. ``df`` is read twice: hand in a stored table.
 

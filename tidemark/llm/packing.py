@@ -4,6 +4,7 @@ its own, so no sequence crosses documents and none needs padding."""
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -17,6 +18,7 @@ from .numbering import number_rows
 
 MAX_LENGTH = 2048
 END_ID = 1
+PER_GROUP = 8192
 
 
 def binary_lengths(n: int, most: int = MAX_LENGTH) -> list[int]:
@@ -24,34 +26,49 @@ def binary_lengths(n: int, most: int = MAX_LENGTH) -> list[int]:
     return [most] * (n // most) + [b for b in (1 << i for i in reversed(range(most.bit_length() - 1))) if n % most & b]
 
 
-def pieces(docs: DataFrame, tokenizer_file: str, ranks_file: str | None = None, most: int = MAX_LENGTH, end_id: int = END_ID, ids: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens) for each piece, and with ``ids`` its token ids (array<int>)."""
+def pieces(docs: DataFrame, tokenizer_file: str, ranks_file: str | None = None, most: int = MAX_LENGTH, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, start, length, doc_tokens, ids) for each piece."""
     if most & (most - 1):
         raise ValueError("the longest piece must be a power of two")
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = byte_bpe(tokenizer_file, ranks_file)
-        cols: list[list] = [[], [], [], [], [], []]
+        rows, held = [], []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            tokens = np.append(bpe.encode(text), np.uint32(end_id)).astype("<u4")
+            tokens = np.append(bpe.encode(text), np.uint32(end_id)).astype(np.int32)
+            held.append(tokens)
             at = 0
             for n in binary_lengths(len(tokens), most):
-                piece = tokens[at : at + n]
-                for col, v in zip(cols, (doc, at, n, zlib.crc32(piece), len(tokens), piece.astype(np.int32) if ids else None), strict=True):
-                    col.append(v)
+                rows.append((doc, at, n, len(tokens)))
                 at += n
-        types = [pa.int64()] * 5 + [pa.list_(pa.int32())]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(cols[: 5 + ids], types[: 5 + ids], strict=True)], names=names)
+        # pieces follow each other as the ids do
+        ends = np.concatenate([[0], np.cumsum([r[2] for r in rows])]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held)))
+        return pa.record_batch([*(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), ids], names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * ids]
-    schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * ids
-    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), one, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), one, "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids array<int>")
 
 
-def pack(docs: DataFrame, tokenizer_file: str, ranks_file: str | None = None, most: int = MAX_LENGTH, end_id: int = END_ID, ids: bool = False, scratch: Scratch | None = None) -> DataFrame:
-    """Pieces with ``sequence_id`` and ``offset``. Sequences are numbered bucket by bucket, longest first, so a bucket is
-    one range of ids; offset is 0, as each holds one piece. A null text is empty: the end id alone. Rows that repeat a
-    doc_id are packed each on their own; doc_id may be null; other columns are not read; an empty table gives no rows."""
+def pack(docs: DataFrame, tokenizer_file: str, ranks_file: str | None = None, most: int = MAX_LENGTH, end_id: int = END_ID, scratch: Scratch | None = None) -> DataFrame:
+    """Pieces (doc_id, start, length, doc_tokens, ids) with ``sequence_id`` and ``offset``. Sequences are numbered bucket by
+    bucket, longest first, so a bucket is one range of ids; offset is 0, as each holds one piece. A null text is empty: the
+    end id alone. Rows that repeat a doc_id are packed each on their own; doc_id may be null; other columns are not read; an
+    empty table gives no rows."""
     scratch = scratch or Scratch(docs.sparkSession)
-    stored = scratch.save(pieces(docs, tokenizer_file, ranks_file, most, end_id, ids), "pieces")
-    return number_rows(stored, "length", ["doc_id", "start"], "sequence_id").withColumn("offset", F.lit(0).cast("bigint"))
+    stored = scratch.save(pieces(docs, tokenizer_file, ranks_file, most, end_id), "pieces")
+    groups = max(1, math.ceil(stored.count() / PER_GROUP))
+    return number_rows(stored, "length", ["doc_id", "start", "doc_tokens"], "sequence_id", groups).withColumn("offset", F.lit(0).cast("bigint"))
+
+
+def with_crc(packed: DataFrame) -> DataFrame:
+    """``packed`` with ``ids_crc32``, of the ids as little-endian unsigned 32-bit numbers, instead of the ids."""
+    at = packed.columns.index("ids")
+    others = [c for c in packed.columns if c != "ids"]
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(at)
+        ends, ids = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4", copy=False)
+        crc = [zlib.crc32(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+        return pa.record_batch([*(batch.column(c) for c in others), pa.array(crc, pa.int64())], names=[*others, "ids_crc32"])
+
+    return map_batches(packed, one, ", ".join(f"{c} bigint" for c in [*others, "ids_crc32"]))
