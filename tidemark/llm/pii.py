@@ -4,7 +4,8 @@ Base spans (e-mail addresses, IP addresses, card and phone numbers) follow fixed
 bootstrap: the two words before a seed are a lexical pattern for its kind, and whatever identifier-shaped token follows
 the same words elsewhere is an instance of that pattern. Spark scores the graph of patterns and instances in rounds:
 a pattern is as good as the instances it extracts (seeds count 1), an instance as good as its patterns together
-(noisy or). High-confidence patterns then add the unseen identifiers they extract, under the pattern's kind.
+(noisy or). Likely instances induce patterns in turn. High-confidence patterns then add the unseen identifiers they
+extract, under the pattern's kind.
 """
 
 from __future__ import annotations
@@ -12,16 +13,22 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_batches
+from .common import Scratch, fresh, map_batches
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SEEDS = 3
 MIN_SCORE = 0.6
-ROUNDS = 3
+MIN_BELIEF = 0.8
+ROUNDS = 8
+GENERATIONS = 4
+SETTLED = 1e-3
+WORD = 64
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -29,7 +36,6 @@ _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"\S+")
 _EDGE = ".,;:!?\"'()[]{}<>|"
 
 
@@ -98,9 +104,23 @@ _HAS_DIGIT = re.compile("[0-9]")
 
 
 def _context(text: str, start: int) -> str | None:
-    """The two words before a position, lower-cased; none where fewer stand there."""
-    words = text[max(0, start - 80) : start].split()
-    return " ".join(words[-2:]).lower() if len(words) >= 2 else None
+    """The two words before a position, lower-cased; none where fewer stand there, or where one has over ``WORD`` characters:
+    such runs are no pattern's words."""
+    words: list[str] = []
+    end = start
+    while len(words) < 2:
+        while end > 0 and text[end - 1].isspace():
+            end -= 1
+        begin = end
+        while begin > 0 and not text[begin - 1].isspace():
+            begin -= 1
+            if end - begin > WORD:
+                return None
+        if begin == end:
+            return None
+        words.append(text[begin:end])
+        end = begin
+    return f"{words[1]} {words[0]}".lower()
 
 
 def mentions(docs: DataFrame) -> DataFrame:
@@ -143,29 +163,53 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5(text.cast("binary")).alias("row_id"), "text")
 
 
-def score_patterns(found: DataFrame, scratch: Scratch, min_seeds: int = MIN_SEEDS, rounds: int = ROUNDS) -> DataFrame:
-    """(context, kind, score): patterns that precede at least ``min_seeds`` distinct seeds of one kind, scored over the
-    graph of patterns and the distinct values that they extract."""
-    seen = found.where("context IS NOT NULL").groupBy("context", "kind", "value").agg(F.count("*").alias("times"))
-    induced = seen.where("kind IS NOT NULL").groupBy("context", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_seeds)
-    edges = scratch.save(
-        seen.select("context", F.col("kind").alias("own"), "value").join(induced.select("context", "kind"), "context").select("context", "kind", "value", F.coalesce(F.col("own") == F.col("kind"), F.lit(False)).alias("seed"), F.col("own").isNotNull().alias("based")),
-        "patterns",
-    )
-    patterns = edges.groupBy("context", "kind").agg(F.avg(F.col("seed").cast("double")).alias("score"))
+def _belief(edges: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(value, kind, belief): an instance is as likely of the kind as any of its patterns makes it."""
+    joined = edges.join(patterns, ["context", "kind"])
+    return joined.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))).alias("belief"))
+
+
+def _settled(edges: DataFrame, scratch: Scratch, rounds: int) -> DataFrame:
+    """(context, kind, score), scored until no pattern moves by more than ``SETTLED``, at most ``rounds`` times."""
+    patterns = scratch.save(edges.groupBy("context", "kind").agg(F.avg(F.col("seed").cast("double")).alias("score")), "patterns")
     for _ in range(rounds):
-        # an instance is as likely of the kind as any of its patterns makes it; base spans are settled either way
-        joined = edges.join(patterns, ["context", "kind"])
-        belief = joined.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))).alias("belief"))
+        # base spans are settled either way
         value = F.when(F.col("seed"), 1.0).when(F.col("based"), 0.0).otherwise(F.col("belief"))
-        patterns = edges.join(belief, ["value", "kind"]).groupBy("context", "kind").agg(F.avg(value).alias("score"))
+        after = edges.join(_belief(edges, patterns), ["value", "kind"]).groupBy("context", "kind").agg(F.avg(value).alias("score"))
+        after = scratch.save(after, "patterns")
+        moved = after.join(patterns.withColumnRenamed("score", "was"), ["context", "kind"]).agg(F.max(F.abs(F.col("score") - F.col("was")))).first()[0]
+        scratch.drop(patterns)
+        patterns = after
+        if (moved or 0.0) < SETTLED:
+            break
+    return patterns
+
+
+def score_patterns(found: DataFrame, scratch: Scratch, min_seeds: int = MIN_SEEDS, rounds: int = ROUNDS, min_score: float = MIN_SCORE, generations: int = GENERATIONS) -> DataFrame:
+    """(context, kind, score): patterns that precede at least ``min_seeds`` distinct seeds of one kind, scored over the
+    graph of patterns and the distinct values that they extract. Instances that high-confidence patterns make likely are
+    the seeds of the next generation's patterns, until none is new."""
+    seen = scratch.save(found.where("context IS NOT NULL").select("context", F.col("kind").alias("own"), "value").distinct(), "contexts")
+    base = seen.where("own IS NOT NULL").select("context", F.col("own").alias("kind"), "value")
+    seeds, known, patterns = base, -1, None
+    for _ in range(generations):
+        induced = seeds.groupBy("context", "kind").agg(F.countDistinct("value").alias("seeds")).where(F.col("seeds") >= min_seeds).select("context", "kind")
+        seed = F.coalesce(F.col("own") == F.col("kind"), F.lit(False))
+        edges = scratch.save(seen.join(induced, "context").select("context", "kind", "value", seed.alias("seed"), F.col("own").isNotNull().alias("based")), "edges")
+        patterns = _settled(edges, scratch, rounds)
+        good = patterns.where(F.col("score") >= min_score)
+        if (now := good.count()) <= known:
+            break
+        known = now
+        likely = _belief(edges.where("NOT based"), good).where(F.col("belief") >= MIN_BELIEF).select("value", "kind")
+        seeds = base.union(seen.where("own IS NULL").join(likely, "value").select("context", "kind", "value"))
     return patterns
 
 
 def discovered(found: DataFrame, scratch: Scratch, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, row_id, kind, start, end) of identifiers outside of base spans that high-confidence patterns extract; where
     patterns of two kinds fit one place, the better kind (ties: as listed)."""
-    good = score_patterns(found, scratch, min_seeds, rounds).where(F.col("score") >= min_score)
+    good = score_patterns(found, scratch, min_seeds, rounds, min_score).where(F.col("score") >= min_score)
     best = good.groupBy("context").agg(F.min(F.struct(-F.col("score"), F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), "kind")).alias("b")).select("context", "b.kind")
     new = found.where("kind IS NULL AND context IS NOT NULL").drop("kind").join(best, "context")
     return new.groupBy("doc_id", "row_id", "start", "end").agg(F.min("kind").alias("kind"))
@@ -204,43 +248,35 @@ def find_all(docs: DataFrame, **options) -> DataFrame:
 
 def redact(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each span replaced by its kind in brackets; n_chars, where there is one, follows the new text. Spans
-    that overlap are replaced together, under the first one's kind. All rows and columns stay."""
+    that overlap are replaced together, under the first one's kind. All rows and columns stay, whatever their names."""
     found = find(docs, **options)
-    names = docs.columns
-    held = docs.withColumn("__row", F.md5(F.col("text").cast("binary"))).join(
-        found.select(F.col("doc_id").alias("__doc"), F.col("row_id").alias("__r"), F.col("text_spans").alias("__spans")),
-        F.col("doc_id").cast("bigint").eqNullSafe(F.col("__doc")) & (F.col("__row") == F.col("__r")),
-        "left",
-    )
+    doc, row, spans = (fresh(docs, n) for n in ("doc", "row", "spans"))
+    by = found.select(F.col("doc_id").alias(doc), F.col("row_id").alias(f"{row}_"), F.col("text_spans").alias(spans))
+    held = docs.withColumn(row, F.md5(F.col("text").cast("binary"))).join(by, F.col("doc_id").cast("bigint").eqNullSafe(F.col(doc)) & (F.col(row) == F.col(f"{row}_")), "left")
+    at = docs.columns.index("text")
+    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def masked(text: str, found: list[dict]) -> str:
+        out, at = [], 0
+        for s, e, kind in sorted((x["start"], x["end"], x["kind"]) for x in found):
+            if s >= at:
+                out += [text[at:s], f"[{kind.upper()}]"]
+            at = max(at, e)
+        return "".join([*out, text[at:]])
 
-    @F.pandas_udf("string")
-    def masked(texts, spans):
-        out = []
-        for text, found in zip(texts, spans, strict=True):
-            if text is not None and found is not None:
-                parts, at = [], 0
-                for s, e, kind in sorted((x["start"], x["end"], x["kind"]) for x in found):
-                    if s >= at:
-                        parts += [text[at:s], f"[{kind.upper()}]"]
-                    at = max(at, e)
-                text = "".join([*parts, text[at:]])
-            out.append(text)
-        import pandas as pd
-
-        return pd.Series(out, dtype=object)
-
-    # only texts with spans visit Python
-    new = F.when(F.col("__spans").isNotNull(), masked(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
-    held = held.withColumn("__new", new)
-    cols = []
-    for c in names:
-        if c == "text":
-            cols.append(F.col("__new").alias(c))
-        elif c == "n_chars":
-            cols.append(F.when(F.col("__spans").isNotNull(), F.char_length("__new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
-        else:
-            cols.append(F.col(c))
-    return held.select(*cols)
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spans, cols = batch.column(batch.num_columns - 1), list(batch.columns[:-1])
+        some = np.nonzero(spans.is_valid().to_numpy(zero_copy_only=False))[0]
+        if len(some):  # all other texts stay as they are
+            texts = cols[at].take(pa.array(some)).to_pylist()
+            new = pa.array([masked(t, f) for t, f in zip(texts, spans.take(pa.array(some)).to_pylist(), strict=True)], cols[at].type)
+            where = spans.is_valid()
+            cols[at] = pc.replace_with_mask(cols[at], where, new)
+            if chars is not None:
+                cols[chars] = pc.replace_with_mask(cols[chars], where, pc.utf8_length(new).cast(cols[chars].type))
+        return pa.record_batch(cols, schema=pa.schema([f.with_nullable(True) for f in list(batch.schema)[:-1]]))
+
+    return map_batches(held.select(*(F.col(f"`{c}`") for c in docs.columns), spans), one, docs.schema)
 
 
 def spans_digest(spans: list[tuple[str, int, int]]) -> str:
