@@ -111,13 +111,16 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, rela
         by = np.argsort(dst, kind="stable")
         targets, starts = np.unique(dst[by], return_index=True)
         back = np.split(src[by], starts[1:])
-        width = max(map(len, back), default=0)
-        for s in range(0, len(targets), 512):
-            held = targets[s : s + 512]
-            new = np.full((len(held), min(width, 4 * degree)), -1)
-            for i, x in enumerate(back[s : s + 512]):
-                new[i, : min(len(x), new.shape[1])] = x[: new.shape[1]]
-            graph[held] = robust_prune(points, held, np.concatenate([graph[held], new], axis=1), degree, relax)
+        width = 4 * degree
+        while len(targets):  # a hub takes its reverse edges in several rounds
+            for s in range(0, len(targets), 512):
+                held = targets[s : s + 512]
+                new = np.full((len(held), min(width, max(map(len, back[s : s + 512])))), -1)
+                for i, x in enumerate(back[s : s + 512]):
+                    new[i, : min(len(x), new.shape[1])] = x[: new.shape[1]]
+                graph[held] = robust_prune(points, held, np.concatenate([graph[held], new], axis=1), degree, relax)
+            more = [i for i, x in enumerate(back) if len(x) > width]
+            targets, back = targets[more], [back[i][width:] for i in more]
         at, size = at + len(batch), size * 2
     return graph, entry
 

@@ -81,13 +81,14 @@ def top_k(df: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, scrat
 
     Vectors that are null or hold null or non-finite components, and rows without vec_id, take no part. Of rows that
     repeat a vec_id the one with the smallest vector does. A vector that is shorter than another counts as padded with
-    zeros; an empty one has score 0 with all. Scores beyond a long are held at its ends. Other columns are not read;
+    zeros; an empty one has score 0 with all. Scaled components beyond 1e300 are held there, scores beyond a long at its ends. Other columns are not read;
     without queries or candidates there are no rows.
     """
     scratch = scratch or Scratch(df.sparkSession)
     rows = clean_vectors(df, scratch)
     n, n_queries, dims = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    whole = F.transform("v", lambda x: F.when(F.abs(x * scale) < 2.0**62, F.floor(x * scale).cast("double")).otherwise(x * scale))
+    held = lambda x: F.greatest(F.least(x * scale, F.lit(1e300)), F.lit(-1e300))
+    whole = F.transform("v", lambda x: F.when(F.abs(x * scale) < 2.0**62, F.floor(x * scale).cast("double")).otherwise(held(x)))
     ints = rows.select("vec_id", whole.alias("v"))
     candidates = scratch.save(pack(ints, ROWS_PER_BLOCK, n, "vec_id", "v", dims), "candidates")
     queries = pack(ints.where(F.col("vec_id") % every == 0), QUERIES_PER_BLOCK, n_queries, "vec_id", "v", dims)

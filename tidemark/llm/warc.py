@@ -16,6 +16,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyarrow import fs
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from .common import Scratch, scratch_path
+from .common import BATCH_BYTES, Scratch, open_path, qualified, scratch_path
 
 FORMAT = "warc_archive"
 SCHEMA = (
@@ -31,15 +32,12 @@ SCHEMA = (
     "payload binary, file string, offset bigint"
 )
 _BATCH = 500
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _GROUP = 64 << 20
 _ROLL = 256 << 20
 _HEADER_MOST = 1 << 20
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
-
-
 def member(headers: list[tuple[str, str]], block: bytes) -> bytes:
     """One record as a gzip member that names its own length."""
     head = "WARC/1.1\r\n" + "".join(f"{k}: {_line(v)}\r\n" for k, v in headers) + f"Content-Length: {len(block)}\r\n\r\n"
@@ -180,7 +178,7 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        system, at = _open(self.path)
+        system, at = open_path(self.path)
         info = system.get_file_info(at)
         found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(at, recursive=True))
         files = sorted((x.path, x.size) for x in found if x.type == fs.FileType.File and not x.base_name.startswith(("_", ".")))
@@ -199,8 +197,9 @@ class WarcReader(DataSourceReader):
     def read(self, partition):
         if not partition:
             return
-        system, _ = _open(self.path)
+        system, _ = open_path(self.path)
         rows: list[tuple] = []
+        held = 0
         for path, size in partition.paths:
             with system.open_input_file(path) as f:
                 for r in records(f, size, self._wanted, self.with_payload):
@@ -209,9 +208,10 @@ class WarcReader(DataSourceReader):
                     if length is None or not length.isdigit():
                         length = len(r.payload) if r.payload is not None else None
                     rows.append((h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-payload-digest"), h.get("warc-refers-to"), int(length) if length is not None else None, r.payload, path, r.offset))
-                    if len(rows) >= _BATCH or (r.payload and len(r.payload) > 1 << 20):
+                    held += len(r.payload or b"")
+                    if len(rows) >= _BATCH or held >= BATCH_BYTES:
                         yield _batch(rows)
-                        rows = []
+                        rows, held = [], 0
         if rows:
             yield _batch(rows)
 
@@ -231,11 +231,12 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """Rows: record_id, record_type, target_uri, payload_digest, refers_to, payload_bytes, payload."""
 
-    def __init__(self, path: str, names: list[str]):
+    def __init__(self, path: str, names: list[str], date: str | None = None):
         self.path, self.names, self.job = path, names, uuid.uuid4().hex
+        self.date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(self, iterator):
-        system, root = _open(self.path)
+        system, root = open_path(self.path)
         hidden = f"{root}/_{self.job}"
         system.create_dir(hidden, recursive=True)
         files, out, size = [], None, 0
@@ -246,10 +247,12 @@ class WarcWriter(DataSourceArrowWriter):
                         out.close()
                     files.append(f"{uuid.uuid4().hex}.warc.gz")
                     out, size = system.open_output_stream(f"{hidden}/{files[-1]}", compression=None), 0
-                headers = [("WARC-Type", row["record_type"]), ("WARC-Record-ID", row["record_id"] or f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", "1970-01-01T00:00:00Z")]
+                headers = [("WARC-Type", row["record_type"]), ("WARC-Record-ID", row["record_id"] or f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", self.date)]
                 for k, c in (("WARC-Target-URI", "target_uri"), ("WARC-Payload-Digest", "payload_digest"), ("WARC-Refers-To", "refers_to")):
                     if row[c] is not None:
                         headers.append((k, row[c]))
+                if row["record_type"] == "revisit":
+                    headers.append(("WARC-Profile", PROFILE))
                 headers.append(("Content-Type", "application/http; msgtype=response"))
                 payload = row["payload"] if row["record_type"] != "revisit" else None
                 record = member(headers, http_block(payload, row["payload_bytes"]))
@@ -260,20 +263,21 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(files)
 
     def commit(self, messages):
-        system, root = _open(self.path)
+        system, root = open_path(self.path)
         for m in messages:
             for name in m.files if m else []:
                 system.move(f"{root}/_{self.job}/{name}", f"{root}/{name}")
         self.abort(messages)
 
     def abort(self, messages):
-        system, root = _open(self.path)
+        system, root = open_path(self.path)
         if system.get_file_info(f"{root}/_{self.job}").type == fs.FileType.Directory:
             system.delete_dir(f"{root}/_{self.job}")
 
 
 class WarcSource(DataSource):
-    """Options: path; payload (default true; false leaves payloads undecoded and null)."""
+    """Options: path; payload (default true; false leaves payloads undecoded and null); date of written records (default:
+    when the job began)."""
 
     @classmethod
     def name(cls):
@@ -286,7 +290,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], str(self.options.get("payload", "true")).lower() != "false")
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options["path"], schema.names)
+        return WarcWriter(self.options["path"], schema.names, self.options.get("date"))
 
 
 def register(spark: SparkSession) -> None:
@@ -335,12 +339,12 @@ def page_records(pages: DataFrame, revisit_bytes: int = 0) -> DataFrame:
 
 def write(records_df: DataFrame, path: str) -> None:
     register(records_df.sparkSession)
-    records_df.write.format(FORMAT).mode("append").save(path)
+    records_df.write.format(FORMAT).mode("append").save(qualified(records_df.sparkSession, path))
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     register(spark)
-    return spark.read.format(FORMAT).option("payload", str(payload).lower()).load(path)
+    return spark.read.format(FORMAT).option("payload", str(payload).lower()).load(qualified(spark, path))
 
 
 def archive_pages(pages: DataFrame, path: str | None = None, revisit_bytes: int = 0, scratch: Scratch | None = None) -> DataFrame:
