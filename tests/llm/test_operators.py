@@ -52,12 +52,14 @@ def _ids(t):
     from tokenizers import Tokenizer
 
     tok = _ids.__dict__.setdefault("tok", Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
-    tok.encode_special_tokens = True
     return tok.encode(t or "", add_special_tokens=False).ids
 
 
 def test_packing(spark, rows):
-    got = packing.pack(docs(spark, rows), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    rows = [*rows, (None, "an id is missing"), (5_000_000, "a <|endoftext|> b")]
+    packed = packing.pack(docs(spark, rows), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    got = packing.with_crc(packed).collect()
+    assert all(len(r.ids) == r.length for r in packed.collect())
     assert sorted(r.sequence_id for r in got) == list(range(len(got))) and all(r.offset == 0 and r.length & (r.length - 1) == 0 and r.length <= 2048 for r in got)
     by = {}
     for r in got:
@@ -68,30 +70,44 @@ def test_packing(spark, rows):
             continue  # the repeated row
         seen[d] = True
         ids = np.array([*_ids(t), 1], dtype="<u4")
-        held = sorted({(r.start, r.length, r.ids_crc32, r.doc_tokens) for r in by[d]})
+        held = sorted({(r.start, r.length, r.ids_crc32, r.doc_tokens) for r in by[d]})  # once, where a row is repeated
         assert sum(x[1] for x in held) == len(ids) == held[0][3]
         assert all(zlib.crc32(ids[s : s + n].tobytes()) == c for s, n, c, _ in held)
     assert packing.pack(docs(spark, []), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
 def test_token_shards(spark, rows, tmp_path):
-    d = docs(spark, rows)
+    every = [*rows, (None, "an id is missing"), (-1, "minus one"), (None, None)]
+    d = docs(spark, every).repartition(16)
     path = str(tmp_path / "shards")
-    out = token_shards.training_order(d, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), path=path, length=64, per_shard=50)
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    out = token_shards.training_order(d, *files, path=path, length=64, per_shard=50)
     slots = out.collect()
     assert sorted(r.slot for r in slots) == list(range(len(slots)))
     read = list(token_shards.read_slots(path))
-    assert [s for s, *_ in read] == list(range(len(slots)))
+    assert [s for s, *_ in read] == list(range(len(slots))) and all(len(x[3]) == 64 for x in read[:5])
     assert [x[:3] for x in token_shards.read_slots(path, 70, 75)] == [x[:3] for x in read[70:75]]
-    text = {}
-    for _, doc, part, ids in read:
-        text.setdefault(doc, {}).setdefault(part, []).append(ids.tolist())
-    for doc, t in dict(rows).items():
-        assert [i for p in sorted(text[doc]) for i in text[doc][p][0]] == [*_ids(t), 50256]
+    # documents in the order of a group, from the sequences in the order of their numbers
+    by_slot = {s: ids.tolist() for s, _, _, ids in read}
+    number = {r.slot: r.id for r in spark.range(len(read)).select("id", token_shards.permuted(F.col("id"), len(read), 1).alias("slot")).collect()}
+    stream = [i for s in sorted(by_slot, key=number.get) for i in by_slot[s]]
+    ids_of = lambda t: [*_ids(t), 50256]
+    want = sorted(every, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    assert stream == [i for _, t in want for i in ids_of(t)]
+    carried = {}
+    for r in slots:
+        for i in r.doc_ids:
+            carried[i] = carried.get(i, 0) + 1
+        assert r.doc_id == r.doc_ids[0]
+    assert set(carried) == {i for i, _ in every} and None in carried and -1 in carried
+    again = str(tmp_path / "again")
+    token_shards.materialise(d.coalesce(1), again, *files, length=64, per_shard=50)
+    for i in range(-(-len(read) // 50)):  # the same shards, however the input is split
+        assert (tmp_path / "shards" / token_shards.shard_name(i)).read_bytes() == (tmp_path / "again" / token_shards.shard_name(i)).read_bytes()
     for n in (1, 2, 5, 1000):
         got = [r[0] for r in spark.range(n).select(token_shards.permuted(F.col("id"), n, 9)).collect()]
         assert sorted(got) == list(range(n))
-    assert token_shards.training_order(docs(spark, []), public_tokenizers.path("byte_bpe_50k.json"), path=str(tmp_path / "none")).count() == 0
+    assert token_shards.training_order(docs(spark, []), files[0], path=str(tmp_path / "none")).count() == 0
 
 
 def test_long_cycles(spark, monkeypatch):
@@ -118,18 +134,71 @@ def test_toxicity_held_out(spark):
     assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)
 
 
-def test_block_max_is_exact():
+def test_block_max_is_exact(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 4)
+    monkeypatch.setattr(toxicity, "FIRST_BLOCKS", 2)
     r = random.Random(1)
     vectors = []
-    for _ in range(400):
-        v = {t: r.random() for t in r.sample(range(50), r.randrange(1, 8))}
-        n = math.sqrt(sum(x * x for x in v.values()))
-        vectors.append({t: x / n for t, x in v.items()})
-    index = toxicity.BlockMaxIndex(vectors, 50)
-    for q in vectors[:40]:
-        want = sorted(((-sum(x * v.get(t, 0) for t, x in q.items()), i) for i, v in enumerate(vectors)))[:25]
-        _, cosine = index.search(q, 25)
-        np.testing.assert_allclose(cosine, [-s for s, _ in want if s < 0][: len(cosine)], atol=1e-9)
+    for n in range(400):
+        v = {t: r.random() for t in r.sample(range(50) if n % 3 else range(45, 50), r.randrange(1, 8) if n % 3 else 2)}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        vectors.append({t: x / length for t, x in v.items()})
+    vectors += [{}, dict(vectors[7]), dict(vectors[7])]
+    starts = np.concatenate([[0], np.cumsum([len(v) for v in vectors])])
+    index = toxicity.BlockMaxIndex(starts, np.array([t for v in vectors for t in v], np.int32), np.array([w for v in vectors for w in v.values()]), 50)
+    assert index.matrix.shape[1] > 0 and len(index.ids) > 0
+    for i, q in enumerate(vectors[:60]):
+        for gone in (-1, i):
+            want = sorted((-round(sum(x * v.get(t, 0) for t, x in q.items()), 12), j) for j, v in enumerate(vectors) if j != gone)[:25]
+            want = [(j, -s) for s, j in want if s < 0]
+            ids, cosine = index.search(q, 25, gone)
+            assert ids.tolist() == [j for j, _ in want]
+            np.testing.assert_allclose(cosine, [min(s, 1) for _, s in want], atol=1e-9)
+
+
+def test_toxicity_against_brute_force(spark):
+    """Evidence of every document against cosines of all examples, from the definition."""
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(40)] + ["longerword", "longerwise", "awful", "vile"]
+    made = [(i, " ".join(r.choice(words[:42] if i % 4 else words) for _ in range(r.randrange(3, 25)))) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in made[:80]] + [(0, 0)], "doc_id bigint, toxic int")
+    got = {x.doc_id: x for x in toxicity.score(docs(spark, made), labels).collect()}
+    text = dict(made)
+    train = {i: int(i % 4 == 0) for i, _ in made[:80] if zlib.crc32(str(i).encode()) % toxicity.FOLDS}
+
+    def tf(t):
+        out = {}
+        for w in re.findall(r"[^\W_]+", t.lower()):
+            for x in [w] + [w[:5] + "*"] * (len(w) > 5):
+                out[x] = out.get(x, 0) + 1
+        return out
+
+    terms = {t for i in train for t in tf(text[i])}
+    df = {t: sum(t in tf(x) for _, x in made) for t in terms}
+    n1 = {t: sum(t in tf(text[i]) for i, y in train.items() if y) for t in terms}
+    n0 = {t: sum(t in tf(text[i]) for i, y in train.items() if not y) for t in terms}
+    all1, all0 = sum(train.values()), len(train) - sum(train.values())
+
+    def ratio(t):
+        a, b, total = n1[t], n0[t], all1 + all0
+        p1, p0 = (a + 0.5) / (all1 + 1), (b + 0.5) / (all0 + 1)
+        if a + b < 3 or max(p1, p0) < 3 * min(p1, p0):
+            return 0.0
+        cells = [(a, (a + b) * all1), (b, (a + b) * all0), (all1 - a, (total - a - b) * all1), (all0 - b, (total - a - b) * all0)]
+        return 2 * sum(s * math.log(s * total / e) for s, e in cells if s > 0)
+
+    idf = {t: (1 + ratio(t) / 25) * math.log((len(made) + 1) / (df[t] + 1)) for t in terms}
+
+    def unit(t):
+        v = {x: (1 + math.log(n)) * idf[x] for x, n in tf(t).items() if x in idf and idf[x] > 0}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        return {x: w / length for x, w in v.items()} if length else {}
+
+    examples = {i: unit(text[i]) for i in train}
+    for i, t in made:
+        q = unit(t)
+        want = sorted((-round(sum(w * v.get(x, 0) for x, w in q.items()), 6) for v in examples.values()))[:5]
+        np.testing.assert_allclose([e.cosine for e in got[i].evidence], [-x for x in want if x < 0], atol=2e-6)
 
 
 def test_toxicity_rare_terms(spark):
@@ -144,7 +213,7 @@ def test_toxicity_rare_terms(spark):
 
 def test_toxicity_learns_on_executors(spark, monkeypatch):
     """The driver searches for no example: its own index is never built."""
-    monkeypatch.setattr(toxicity.ExampleIndex, "_build", lambda *_: pytest.fail("built on the driver"))
+    monkeypatch.setattr(toxicity.BlockMaxIndex, "__init__", lambda *_: pytest.fail("built on the driver"))
     rows = [(i, f"plain words filler{i % 7} {'awful' if i % 3 == 0 else 'fine'}") for i in range(60)]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id bigint, toxic int")
     got = toxicity.score(docs(spark, rows), labels).collect()
