@@ -137,6 +137,7 @@ def test_toxicity_held_out(spark):
 def test_block_max_is_exact(monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK", 4)
     monkeypatch.setattr(toxicity, "FIRST_BLOCKS", 2)
+    monkeypatch.setattr(toxicity, "COLUMNS", 6)
     r = random.Random(1)
     vectors = []
     for n in range(400):
@@ -146,14 +147,15 @@ def test_block_max_is_exact(monkeypatch):
     vectors += [{}, dict(vectors[7]), dict(vectors[7])]
     starts = np.concatenate([[0], np.cumsum([len(v) for v in vectors])])
     index = toxicity.BlockMaxIndex(starts, np.array([t for v in vectors for t in v], np.int32), np.array([w for v in vectors for w in v.values()]), 50)
-    assert index.matrix.shape[1] > 0 and len(index.ids) > 0
+    assert index.width > 0 and len(index.ids) > 0
     for i, q in enumerate(vectors[:60]):
         for gone in (-1, i):
-            want = sorted((-round(sum(x * v.get(t, 0) for t, x in q.items()), 12), j) for j, v in enumerate(vectors) if j != gone)[:25]
+            want = sorted((-round(sum(x * v.get(t, 0) for t, x in q.items()), 5), j) for j, v in enumerate(vectors) if j != gone)[:25]
             want = [(j, -s) for s, j in want if s < 0]
             ids, cosine = index.search(q, 25, gone)
-            assert ids.tolist() == [j for j, _ in want]
-            np.testing.assert_allclose(cosine, [min(s, 1) for _, s in want], atol=1e-9)
+            at = {round(s, 5) for _, s in want[-1:]}  # those that tie with the last may be others
+            assert {j for j in ids.tolist() if round(sum(x * vectors[j].get(t, 0) for t, x in q.items()), 5) not in at} == {j for j, s in want if round(s, 5) not in at}
+            np.testing.assert_allclose(cosine, [min(s, 1) for _, s in want], atol=2e-5)
 
 
 def test_toxicity_against_brute_force(spark):

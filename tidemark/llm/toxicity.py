@@ -11,11 +11,10 @@ leave-one-out votes of the sample calibrate the score.
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +29,14 @@ MAX_EXAMPLES = 8_000  # of each label; the index and every broadcast are bounded
 UNIT_RATIO = 25.0  # of a term's log-likelihood; a chance below 1e-6, as very many terms are tried. Doubles a term's weight
 NEIGHBOURS = 25
 FOLDS = 5
-BATCH = 64
-BLOCK = 64
-FIRST_BLOCKS = 8
-MATRIX_BYTES = 48 << 20
-REMEMBERED = 50_000
+BATCH = 256
+BLOCK = 512
+FIRST_BLOCKS = 2
+PRECISION = 2.0**-23  # single precision loses no more than this for each term of a query, in a cosine
+COLUMNS = 2000
+ROWS = 1024
+DIGITS = 6
+REMEMBERED = 100_000
 _WORDS = re.compile(r"[^\W_]+")
 _STEM = 5
 
@@ -55,42 +57,71 @@ def _terms(words: set[str]) -> set[int]:
     return {_hash(w) for w in words} | {_stem_hash(w) for w in words if len(w) > _STEM}
 
 
+class _Codes(dict):
+    """Run of characters between white space -> small number, in order of first sight; ``new`` holds those that were added
+    since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, run: str) -> int:
+        code = self[run] = len(self)
+        self.new.append(run)
+        return code
+
+
+def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges, one behind the other, and how many each has."""
+    n = stop - start
+    return np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n), n
+
+
 class Vocabulary:
-    """Term -> column, by sorted hashes; term frequencies of a text over it. Words looked up are remembered, a bounded number."""
+    """Term -> column, by sorted hashes; term frequencies of texts over it. What was looked up is remembered, a bounded number
+    of runs between white space with the columns of their terms."""
 
     def __init__(self, hashes: np.ndarray):
         self.hashes = hashes
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes, self.starts, self.columns = _Codes(), np.zeros(1, np.int32), np.zeros(0, np.int32)
 
     def __getstate__(self) -> dict:
         return {"hashes": self.hashes}
 
-    @cached_property
-    def known(self) -> dict[str, tuple[int, int]]:
-        return {}
+    def __setstate__(self, state: dict) -> None:
+        self.hashes = state["hashes"]
+        self._forget()
 
-    def _columns(self, hashes: list[int]) -> list[int]:
-        h = np.array(hashes, dtype=np.int64)
+    def _learn(self, runs: list[str]) -> None:
+        found = [[h for w in _WORDS.findall(run) for h in ((_hash(w), _stem_hash(w)) if len(w) > _STEM else (_hash(w),))] for run in runs]
+        h = np.fromiter(chain.from_iterable(found), np.int64)
         at = np.searchsorted(self.hashes, h)
         at[at == len(self.hashes)] = 0
-        return np.where(self.hashes[at] == h, at, -1).tolist() if len(self.hashes) else [-1] * len(h)
-
-    def frequencies(self, text: str | None) -> dict[int, int]:
-        counts, known = Counter(tokens(text)), self.known
-        missing = [w for w in counts if w not in known]
-        if missing:
-            if len(known) + len(missing) > REMEMBERED:
-                known.clear()
-                missing = list(counts)
-            stems = [_stem_hash(w) if len(w) > _STEM else None for w in missing]
-            held = iter(self._columns([s for s in stems if s is not None]))
-            for w, c, s in zip(missing, self._columns([_hash(w) for w in missing]), stems, strict=True):
-                known[w] = c, -1 if s is None else next(held)
-        out: dict[int, int] = {}
-        for w, n in counts.items():
-            for c in known[w]:
-                if c >= 0:
-                    out[c] = out.get(c, 0) + n
-        return out
+        known = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
+        owner = np.repeat(np.arange(len(runs)), list(map(len, found)))[known]
+        self.columns = np.concatenate([self.columns, at[known].astype(np.int32)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.bincount(owner, minlength=len(runs)))]).astype(np.int32)
+
+    def frequencies(self, texts: list[str | None], once: bool = False) -> Frequencies:
+        """``once``: each run counts once, where only what occurs is asked for."""
+        if len(self.codes) > REMEMBERED:
+            self._forget()
+        runs = [t.lower().split() if t else [] for t in texts]
+        runs = list(map(set, runs)) if once else runs
+        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(runs)), np.int64)
+        if self.codes.new:
+            self._learn(self.codes.new)
+            self.codes.new = []
+        at, n = _ranges(self.starts[codes], self.starts[codes + 1])
+        rows = np.repeat(np.repeat(np.arange(len(texts)), list(map(len, runs))), n)
+        keys, times = np.unique((rows << 32) | self.columns[at], return_counts=True)
+        return np.searchsorted(keys >> 32, np.arange(len(texts) + 1)), (keys & 0xFFFFFFFF).astype(np.int32), times.astype(np.int32)
+
+
+Frequencies = tuple[np.ndarray, np.ndarray, np.ndarray]  # where each text starts, columns (rising), how often
 
 
 def training_rows(labels: DataFrame) -> DataFrame:
@@ -105,80 +136,95 @@ def held_out(doc_id):
 
 Vector = tuple[np.ndarray, np.ndarray]  # columns, weights
 Knots = tuple[np.ndarray, np.ndarray]
-NOTHING: Vector = (np.zeros(0, np.int32), np.zeros(0))
 
 
 class BlockMaxIndex:
-    """Inverted lists over blocks of ``BLOCK`` examples. Terms of more than an eighth of the examples (the most frequent, as
-    far as ``MATRIX_BYTES`` go) are columns of a matrix instead of lists."""
+    """Inverted lists over blocks of ``BLOCK`` examples; a list's entries are its parts within blocks, with their largest
+    weights. The ``COLUMNS`` most frequent terms are no lists: their share of the cosine is a matrix product for a batch of
+    queries, over rows that are spread out a part at a time, and stands in a block's bound as it is. Weights are in single
+    precision; batches are filled up to one size, so that a query's cosines do not depend on the others."""
 
     def __init__(self, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int):
         self.size = len(starts) - 1
         rows = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(starts))
         times = np.bincount(terms, minlength=n_terms)
-        common = np.nonzero(times > max(BATCH, self.size / 8))[0]
-        common = np.sort(common[np.argsort(-times[common], kind="stable")][: MATRIX_BYTES // (8 * max(self.size, 1))])
+        common = np.argsort(-times, kind="stable")[:COLUMNS]
+        common = common[times[common] > 0]
         self.column = np.full(n_terms, -1, np.int32)
         self.column[common] = np.arange(len(common))
-        at = self.column[terms]
-        self.matrix = np.zeros((self.size, len(common)))
-        self.matrix[rows[at >= 0], at[at >= 0]] = weights[at >= 0]
-        rest = np.nonzero(at < 0)[0]
+        self.width, at = len(common), self.column[terms]
+        here = at >= 0
+        self.dense_start = np.searchsorted(rows[here], np.arange(self.size + 1))
+        self.dense_row, self.dense_column, self.dense_weight = rows[here], at[here].astype(np.uint16), weights[here].astype(np.float32)
+        rest = np.nonzero(~here)[0].astype(np.int32)
+        del at, here
         rest = rest[np.argsort(terms[rest], kind="stable")]  # by term, then example
-        self.ids, self.weights, listed = rows[rest], weights[rest], terms[rest]
-        self.block_of = np.arange(self.size) // BLOCK
-        self.firsts = np.arange(0, self.size, BLOCK)
+        self.ids, self.weights, listed = rows[rest].astype(np.int64), weights[rest].astype(np.float32), terms[rest]
+        del rows, rest
         block = self.ids // BLOCK
-        new = np.nonzero(np.concatenate([[True], (listed[1:] != listed[:-1]) | (block[1:] != block[:-1])]))[0] if len(rest) else np.zeros(0, np.int64)
-        self.entry_block = block[new].astype(np.int32)
-        self.entry_max = np.maximum.reduceat(self.weights, new) if len(new) else np.zeros(0)
-        self.entry_start = np.append(new, len(rest))
-        self.term_start = np.searchsorted(listed[new], np.arange(n_terms + 1))
+        new = np.nonzero(np.concatenate([[True], (listed[1:] != listed[:-1]) | (block[1:] != block[:-1])]))[0] if len(listed) else np.zeros(0, np.int64)
+        self.entry_block = block[new]
+        self.entry_max = np.maximum.reduceat(self.weights, new) if len(new) else np.zeros(0, np.float32)
+        self.entry_start = np.append(new, len(listed)).astype(np.int32)
+        self.term_entry = np.searchsorted(listed[new], np.arange(n_terms + 1)).astype(np.int32)
+        self.firsts = np.arange(0, self.size, BLOCK)
 
-    @staticmethod
-    def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of all ranges, one behind the other, and the lengths."""
-        n = stop - start
-        return np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n), n
+    def _shares(self, batch: list[Vector]) -> np.ndarray:
+        """Each example's share of the cosine with each query from frequent terms."""
+        dense, out = np.zeros((self.width, BATCH), np.float32), np.empty((self.size, BATCH), np.float32)
+        for i, (terms, weights) in enumerate(batch):
+            at = self.column[terms]
+            dense[at[at >= 0], i] = weights[at >= 0]
+        for first in range(0, self.size, ROWS):
+            last = min(first + ROWS, self.size)
+            span = slice(self.dense_start[first], self.dense_start[last])
+            part = np.zeros((last - first, self.width), np.float32)
+            part[self.dense_row[span] - first, self.dense_column[span]] = self.dense_weight[span]
+            np.matmul(part, dense, out=out[first:last])
+        return np.ascontiguousarray(out.T[: len(batch)])
 
     def nearest(self, queries: list[Vector], k: int, without: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query the k examples of largest cosine above 0 (ties: smaller number), best first; ``without`` is left
         out of it (-1: none)."""
         for first in range(0, len(queries), BATCH):
             batch = queries[first : first + BATCH]
-            dense = np.zeros((len(batch), self.matrix.shape[1]))
-            for row, (terms, weights) in zip(dense, batch, strict=True):
-                at = self.column[terms]
-                row[at[at >= 0]] = weights[at >= 0]
-            for share, (terms, weights), gone in zip(dense @ self.matrix.T, batch, without[first : first + BATCH], strict=True):
+            for share, (terms, weights), gone in zip(self._shares(batch), batch, without[first : first + BATCH], strict=True):
                 yield self._best(share, terms, weights, k, gone)
 
     def _best(self, share: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, gone: int) -> tuple[np.ndarray, np.ndarray]:
         if not self.size:
             return np.zeros(0, np.int64), np.zeros(0)
-        entries, n = self._ranges(self.term_start[terms], self.term_start[terms + 1])
-        weight, block = np.repeat(weights, n), self.entry_block[entries]
+        rare, slack = self.column[terms] < 0, PRECISION * (len(terms) + 16)
+        listed = terms[rare]
+        entries, n = _ranges(self.term_entry[listed], self.term_entry[listed + 1])
+        weight, block = np.repeat(weights[rare].astype(np.float32), n), self.entry_block[entries]
         bound = np.maximum.reduceat(share, self.firsts) + np.bincount(block, self.entry_max[entries] * weight, len(self.firsts))
         order = np.argsort(-bound, kind="stable")
-        scores, least, done = np.full(self.size, -1.0), 0.0, np.zeros(len(bound), bool)
+        found, scores, least = [], [], 0.0
         for wave in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
-            wanted = np.zeros(len(bound), bool)
-            wanted[wave[(bound[wave] > 0) & (bound[wave] >= least - 1e-9)]] = True  # others hold nothing better
-            if not wanted.any():
+            wave = np.sort(wave[(bound[wave] > 0) & (bound[wave] >= least - slack)])  # other blocks hold nothing better
+            if not len(wave):
                 break
-            held = np.nonzero(wanted[block])[0]
-            at, times = self._ranges(self.entry_start[entries[held]], self.entry_start[entries[held] + 1])
-            listed = np.bincount(self.ids[at], self.weights[at] * np.repeat(weight[held], times), self.size)
-            mine = wanted[self.block_of]
-            scores[mine] = share[mine] + listed[mine]
-            done |= wanted
-            if gone >= 0:
-                scores[gone] = -1.0
-            least = np.partition(scores, -k)[-k] if self.size > k else 0.0
-        hits = np.nonzero((scores >= least - 1e-12) & (scores > 0))[0]
-        cosine = np.round(scores[hits], 12)  # how texts are batched must not decide ties
+            wanted = np.zeros(len(bound), bool)
+            wanted[wave] = True
+            held = wanted[block]
+            chosen = entries[held]
+            at, times = _ranges(self.entry_start[chosen], self.entry_start[chosen + 1])
+            sums = np.bincount(self.ids[at], self.weights[at] * np.repeat(weight[held], times), self.size)
+            mine, _ = _ranges(self.firsts[wave], np.minimum(self.firsts[wave] + BLOCK, self.size))
+            score = share[mine] + sums[mine]
+            score[mine == gone] = 0.0
+            keep = score >= least - slack
+            found.append(mine[keep])
+            scores.append(score[keep])
+            if sum(map(len, scores)) >= k:
+                now = np.concatenate(scores)
+                least = np.partition(now, -k)[-k]
+        hits, cosine = (np.concatenate([*x, np.zeros(0, t)]).astype(t) for x, t in ((found, np.int64), (scores, float)))
+        fits = cosine > 0
+        hits, cosine = hits[fits], np.round(cosine[fits], DIGITS)
         best = np.lexsort((hits, -cosine))[:k]
-        return hits[best], np.minimum(scores[hits[best]], 1.0)
+        return hits[best], np.minimum(cosine[best], 1.0)
 
     def search(self, query: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         return next(self.nearest([(np.array(list(query), np.int32), np.array(list(query.values()), float))], k, [without]))
@@ -195,23 +241,21 @@ class Scorer:
         self.doc_ids = examples.column("doc_id").to_numpy()
         lists = examples.column("terms").combine_chunks()
         self.starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-        self.terms, self.tf = (examples.column(c).combine_chunks().flatten().to_numpy() for c in ("terms", "tf"))
+        self.terms, self.tf = lists.flatten().to_numpy(), examples.column("tf").combine_chunks().flatten().to_numpy()
+        if self.tf.max(initial=0) < 1 << 16:
+            self.tf = self.tf.astype(np.uint16)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("index", "blank")}
 
     @cached_property
     def index(self) -> BlockMaxIndex:
-        weights = (1 + np.log(self.tf)) * self.idf[self.terms]
-        rows = np.repeat(np.arange(len(self.clean)), np.diff(self.starts))
-        kept = weights > 0
-        rows, terms, weights = rows[kept], self.terms[kept], weights[kept]
-        weights /= np.sqrt(np.bincount(rows, weights * weights, len(self.clean)))[rows]
-        return BlockMaxIndex(np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(self.clean)))]), terms, weights, len(self.idf))
+        return BlockMaxIndex(*self._weighted(self.starts, self.terms, self.tf), len(self.idf))
 
     def example(self, i: int) -> Vector:
         span = slice(self.starts[i], self.starts[i + 1])
-        return self._weighted(self.terms[span], self.tf[span])
+        _, terms, weights = self._weighted(np.array([0, span.stop - span.start]), self.terms[span], self.tf[span])
+        return terms, weights
 
     @cached_property
     def blank(self) -> float:
@@ -220,14 +264,19 @@ class Scorer:
         clean, toxic = self.clean[empty].sum(), self.toxic[empty].sum()
         return float((toxic + self.prior) / (clean + toxic + 1))
 
-    def _weighted(self, terms: np.ndarray, tf: np.ndarray) -> Vector:
+    def _weighted(self, starts: np.ndarray, terms: np.ndarray, tf: np.ndarray) -> Frequencies:
+        """Unit vectors of texts, in the form of frequencies."""
         weights = (1 + np.log(tf)) * self.idf[terms]
-        kept = weights > 0
-        norm = math.sqrt(float((weights[kept] ** 2).sum()))
-        return (terms[kept], weights[kept] / norm) if norm else NOTHING
+        kept, rows = weights > 0, np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts))
+        if not kept.all():
+            rows, terms, weights = rows[kept], terms[kept], weights[kept]
+            starts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(starts) - 1))])
+        weights /= np.sqrt(np.bincount(rows, weights * weights, len(starts) - 1))[rows]
+        return starts, terms, weights
 
-    def vector(self, tf: dict[int, int]) -> Vector:
-        return self._weighted(np.fromiter(tf.keys(), np.int32, len(tf)), np.fromiter(tf.values(), float, len(tf)))
+    def vectors(self, found: Frequencies) -> list[Vector]:
+        starts, terms, weights = self._weighted(*found)
+        return [(terms[a:b], weights[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
 
     def raw(self, vectors: list[Vector], own: list[tuple[int, int]] | None = None) -> Iterator[tuple[float, list[tuple[int, float]]]]:
         """Vote and evidence of each vector. ``own``: the example that each is, and the label of its row that has no vote."""
@@ -269,7 +318,7 @@ class Scorer:
         distinct = list(dict.fromkeys(texts))
         for first in range(0, len(distinct), BATCH):
             some = distinct[first : first + BATCH]
-            vectors = [self.vector(vocabulary.frequencies(t)) for t in some]
+            vectors = self.vectors(vocabulary.frequencies(some))
             for text, v, (raw, evidence) in zip(some, vectors, self.raw(vectors), strict=True):
                 raw = raw if len(v[0]) else self.blank
                 known[text] = min(1.0, max(0.0, float(np.interp(raw, *knots)))), evidence
@@ -323,10 +372,9 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int
         rows, seen = 0, np.zeros(len(shared.value.hashes), np.int64)
         for batch in batches:
             for part in parts(batch):
-                for text in part.column(0).to_pylist():
-                    tf = shared.value.frequencies(text)
-                    seen[np.fromiter(tf, np.int64, len(tf))] += 1
-                    rows += 1
+                _, terms, _ = shared.value.frequencies(part.column(0).to_pylist(), once=True)
+                np.add.at(seen, terms, 1)
+                rows += part.num_rows
         met = np.nonzero(seen)[0]
         yield pa.record_batch([pa.array(np.append(met, -1)), pa.array(np.append(seen[met], rows))], names=["term", "df"])
         release_memory()
@@ -337,8 +385,9 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int
     idf = raised * np.log((df[-1] + 1) / (df[:-1] + 1))
 
     def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tf = [sorted(shared.value.frequencies(t).items()) for t in batch.column(2).to_pylist()]
-        return pa.record_batch([batch.column(0), batch.column(1), pa.array([[t for t, _ in x] for x in tf], pa.list_(pa.int32())), pa.array([[n for _, n in x] for x in tf], pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms", "tf"])
+        starts, *found = shared.value.frequencies(batch.column(2).to_pylist())
+        lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(x)) for x in found]
+        return pa.record_batch([batch.column(0), batch.column(1), *lists], names=["doc_id", "toxic", "terms", "tf"])
 
     grouped = map_batches(texts.select("doc_id", "toxic", "text"), vectors, "doc_id bigint, toxic int, terms array<int>, tf array<int>").groupBy("terms", "tf").agg(
         F.sum(1 - F.col("toxic")).alias("n0"), F.sum("toxic").alias("n1"), F.min("doc_id").alias("doc_id")
@@ -346,8 +395,13 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int
     unit = (totals.get(0, 0) / all0 if all0 else 1.0, totals.get(1, 0) / all1 if all1 else 1.0)
     n = totals.get(0, 0) + totals.get(1, 0)
     examples = grouped.select("terms", "tf", "n0", "n1", "doc_id").toArrow()  # at most 2 x max_examples
-    # examples of one label stand together, so that blocks differ
-    examples = examples.append_column("label", pa.array(examples.column("n1").to_numpy() > 0)).sort_by([("label", "ascending"), ("doc_id", "ascending")])
+    # examples that share their most frequent telling term, and of one label, stand together, so that blocks differ
+    lists = examples.column("terms").combine_chunks()
+    times = np.bincount(lists.flatten().to_numpy(), minlength=len(idf))
+    terms, starts = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+    telling = np.argsort(np.lexsort((times, idf > 0)))  # rank of each term: of weight, then frequent
+    kind = np.array([telling[terms[a:b]].max(initial=-1) for a, b in zip(starts, starts[1:], strict=False)])
+    examples = examples.append_column("kind", pa.array(kind)).append_column("label", pa.array(examples.column("n1").to_numpy() > 0)).sort_by([(c, "ascending") for c in ("kind", "label", "doc_id")])
     spark = docs.sparkSession
     scorer = spark.sparkContext.broadcast(Scorer(idf, examples, unit, totals.get(1, 0) / n if n else 0.5))
 
