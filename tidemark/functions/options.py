@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType
 _TOP = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
 _BOTTOM = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
 _FAR = 7.07106781186547
+TREE_CELLS = 1 << 20
 
 
 def _poly(x, coefficients):
@@ -29,16 +30,17 @@ def norm_pdf(x: Column) -> Column:
 
 
 def norm_cdf(x: Column) -> Column:
-    a = F.abs(x)
+    """Both branches are worked out and one is picked at the end, so that shared parts compile once; held at 38, where the tail
+    is 0 either way."""
+    a = F.least(F.abs(x), F.lit(38.0))
     e = F.exp(-a * a / 2)
     near = e * _poly(a, _TOP) / _poly(a, _BOTTOM)
     # the continued fraction of the far tail
     f = a + 0.65
     for n in (4, 3, 2, 1):
         f = a + F.lit(float(n)) / f
-    far = e / f / 2.506628274631
-    low = F.when(a > 37, 0.0).when(a < _FAR, near).otherwise(far)
-    return F.when(x > 0, 1 - low).otherwise(low)
+    low = F.get(F.array(e / f / 2.506628274631, near, F.lit(0.0)), (a < _FAR).cast("int") + 2 * (a > 37).cast("int"))
+    return F.abs((x > 0).cast("double") - low)
 
 
 def black_scholes(right: Column, spot: Column, strike: Column, rate: Column, dividend: Column, vol: Column, time: Column) -> Column:
@@ -106,19 +108,23 @@ def american(steps: int):
 
     @F.pandas_udf("double")
     def value(right: pd.Series, spot: pd.Series, strike: pd.Series, rate: pd.Series, dividend: pd.Series, vol: pd.Series, time: pd.Series) -> pd.Series:
-        def one(kind, s, k, r, q, v, t):
-            sign, dt = 1.0 if kind == "call" else -1.0, t / steps
-            up = math.exp(v * math.sqrt(dt))
-            p = (math.exp((r - q) * dt) - 1 / up) / (up - 1 / up)
-            if not 0 <= p <= 1:
-                return None
-            prices = s * up ** np.arange(-steps, steps + 1, 2, dtype=float)
-            held, less = np.maximum(sign * (prices - k), 0), math.exp(-r * dt)
+        sign = np.where(right == "call", 1.0, np.where(right == "put", -1.0, np.nan))
+        s, k, r, q, v, t = (x.to_numpy(dtype=float) for x in (spot, strike, rate, dividend, vol, time))
+        out = np.full(len(s), np.nan)
+        with np.errstate(all="ignore"):
+            dt = t / steps
+            up = np.exp(v * np.sqrt(dt))
+            p, less = (np.exp((r - q) * dt) - 1 / up) / (up - 1 / up), np.exp(-r * dt)
+        fits = np.nonzero((p >= 0) & (p <= 1) & (s > 0) & (k > 0) & (v > 0) & (t > 0) & ~np.isnan(sign))[0]
+        # the trees of many rows at once, in matrices of bounded size
+        for rows in np.array_split(fits, max(1, len(fits) * (steps + 1) // TREE_CELLS)):
+            col = lambda x, rows=rows: x[rows, None]
+            prices = col(s) * col(up) ** np.arange(-steps, steps + 1, 2, dtype=float)
+            held = np.maximum(col(sign) * (prices - col(k)), 0)
             for _ in range(steps):
-                prices = prices[1:] / up
-                held = np.maximum(less * (p * held[1:] + (1 - p) * held[:-1]), sign * (prices - k))
-            return float(held[0])
-
-        return pd.Series([one(*x) for x in zip(right, spot, strike, rate, dividend, vol, time, strict=True)], dtype=object)
+                prices = prices[:, 1:] / col(up)
+                held = np.maximum(col(less) * (col(p) * held[:, 1:] + (1 - col(p)) * held[:, :-1]), col(sign) * (prices - col(k)))
+            out[rows] = held[:, 0]
+        return pd.Series(out).astype(object).where(~np.isnan(out), None)
 
     return value

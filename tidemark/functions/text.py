@@ -29,10 +29,17 @@ def is_json(c: Column) -> Column:
 
 
 def number_text(c: Column) -> Column:
-    """Plain decimal text of a double: whole numbers without a point, never an exponent (up to 38 digits)."""
+    """Plain decimal text of a double: the shortest digits that name it, whole numbers without a point, never an exponent."""
     d = c.cast("double")
-    wide = F.regexp_replace(F.regexp_replace(d.try_cast("decimal(38,18)").cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    return F.when((d == F.floor(d)) & (F.abs(d) < 1e18), F.floor(d).cast("string")).when(d.cast("string").contains("E"), F.coalesce(wide, d.try_cast("decimal(38,0)").cast("string"))).otherwise(d.cast("string"))
+    shown = d.cast("string")
+    power = F.regexp_extract(shown, "E(-?[0-9]+)$", 1).cast("int")
+    sign = F.when(shown.startswith("-"), "-").otherwise("")
+    mantissa = F.regexp_replace(shown, "^-|E.*$", "")
+    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.0$", ""), r"\.", "")  # one digit stands before the point
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    large = F.concat(sign, F.rpad(digits, F.greatest(power + 1, F.length(digits)), F.lit("0")))
+    large = F.when(F.length(digits) > power + 1, F.concat(sign, F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.length(digits)))).otherwise(large)
+    return F.when(~shown.contains("E"), F.regexp_replace(shown, r"\.0$", "")).when(power < 0, small).otherwise(large)
 
 
 def grounded(quotes: Column, content: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import Refused, choice, refuse_when
-from .series import KEY, TIME, VALUE, _by_time, _pair
+from .series import KEY, TIME, VALUE, _by_time, _pair, _stepped, sound
 
 YEAR_S = 365.25 * 86400
 
@@ -17,13 +17,13 @@ def returns(path: DataFrame, kind: str = "simple") -> DataFrame:
     before = F.lag(VALUE).over(_by_time())
     ratio = F.when((before > 0) & (F.col(VALUE) > 0), F.col(VALUE) / F.nullif(before, F.lit(0.0)))
     r = ratio - 1 if kind == "simple" else F.log(ratio)
-    held = path.select(KEY, TIME, r.alias(VALUE), before.alias("__b")).where("__b IS NOT NULL")
+    held = _stepped(path).select(KEY, TIME, r.alias(VALUE), before.alias("__b")).where("__b IS NOT NULL")
     return held.select(KEY, TIME, refuse_when(F.col(VALUE).isNull(), "NOT_DEFINED", "prices must be above 0", F.col(VALUE)).alias(VALUE))
 
 
 def growth(path: DataFrame) -> DataFrame:
     """(series_id, total_return, cagr)."""
-    held = path.groupBy(KEY).agg(F.min_by(VALUE, TIME).alias("f"), F.max_by(VALUE, TIME).alias("l"), F.min(TIME).alias("a"), F.max(TIME).alias("b"))
+    held = sound(path).groupBy(KEY).agg(F.min_by(VALUE, TIME).alias("f"), F.max_by(VALUE, TIME).alias("l"), F.min(TIME).alias("a"), F.max(TIME).alias("b"))
     total = F.col("l") / F.nullif(F.col("f"), F.lit(0.0)) - 1
     years = (F.unix_micros("b") - F.unix_micros("a")) / (1e6 * YEAR_S)
     bad = (F.col("f") <= 0) | (years <= 0)
@@ -33,7 +33,7 @@ def growth(path: DataFrame) -> DataFrame:
 def drawdown(path: DataFrame) -> DataFrame:
     """(series_id, depth, peak_time, trough_time): the deepest fall from a running peak; of equal ones the first."""
     peak = F.max(F.struct(VALUE, (-F.unix_micros(TIME)).alias("t"))).over(_by_time().rowsBetween(Window.unboundedPreceding, 0))
-    held = path.select(KEY, TIME, VALUE, peak.alias("p")).withColumn("d", 1 - F.col(VALUE) / F.nullif(F.col(f"p.{VALUE}"), F.lit(0.0)))
+    held = _stepped(path).select(KEY, TIME, VALUE, peak.alias("p")).withColumn("d", 1 - F.col(VALUE) / F.nullif(F.col(f"p.{VALUE}"), F.lit(0.0)))
     best = held.groupBy(KEY).agg(F.min(VALUE).alias("low"), F.max_by(F.struct("d", "p", TIME), F.struct("d", -F.unix_micros(TIME))).alias("m"))
     depth = refuse_when(F.col("low") <= 0, "NOT_DEFINED", "a drawdown needs values above 0", F.col("m.d"))
     return best.select(KEY, depth.alias("depth"), F.timestamp_micros(-F.col("m.p.t")).alias("peak_time"), F.col(f"m.{TIME}").alias("trough_time"))
@@ -42,7 +42,7 @@ def drawdown(path: DataFrame) -> DataFrame:
 def ratios(rets: DataFrame, periods_per_year: float, target: float = 0.0) -> DataFrame:
     """(series_id, volatility, sharpe, sortino) a year; sortino's downside is a population one."""
     down = F.least(F.col(VALUE) - target, F.lit(0.0))
-    held = rets.groupBy(KEY).agg(F.count("*").alias("n"), F.avg(F.col(VALUE) - target).alias("m"), F.stddev_samp(VALUE).alias("s"), F.sqrt(F.avg(down * down)).alias("d"))
+    held = sound(rets).groupBy(KEY).agg(F.count("*").alias("n"), F.avg(F.col(VALUE) - target).alias("m"), F.stddev_samp(VALUE).alias("s"), F.sqrt(F.avg(down * down)).alias("d"))
     root, z = float(periods_per_year) ** 0.5, F.lit(0.0)
     sharpe = refuse_when((F.col("n") < 2) | (F.col("s") == 0), "NOT_DEFINED", "sharpe needs returns that vary", F.col("m") / F.nullif(F.col("s"), z) * root)
     sortino = refuse_when(F.col("d") == 0, "NOT_DEFINED", "sortino needs a return below the target", F.col("m") / F.nullif(F.col("d"), z) * root)
@@ -59,6 +59,7 @@ def tail(rets: DataFrame, confidence: float = 0.95) -> DataFrame:
 
 def zscores(s: DataFrame) -> DataFrame:
     """Each value against its whole series; constant series are refused."""
+    s = sound(s)
     m = s.groupBy(KEY).agg(F.avg(VALUE).alias("__m"), F.stddev_samp(VALUE).alias("__s"))
     z = refuse_when(F.col("__s") == 0, "NOT_DEFINED", "z-scores need values that vary", (F.col(VALUE) - F.col("__m")) / F.nullif(F.col("__s"), F.lit(0.0)))
     return s.join(m, KEY).select(KEY, TIME, z.alias(VALUE))

@@ -1,8 +1,9 @@
 """Record programs on DataFrames: a list of steps becomes one declarative plan, which Catalyst then prunes and pushes down.
 
 A step is a dict with ``op`` and its arguments. Order is data here: a table is given its order by ``numbered``, which adds
-``pos``; sorting is stable by it, and steps that reorder
-number rows anew from the sizes of range partitions, not through one global window.
+``pos``. Sorting is stable by it: a sort puts its field in front of the order and a reversal turns the order round, so
+neither moves a row; rows are only sorted where a step needs it (limit) or at the end. Dense numbers come from range
+partitions and their sizes, not from one global window.
 Absent and null fields are the same thing in a table.
 """
 
@@ -14,13 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import Refused
+from ..errors import Refused, whole
 from ..functions.text import number_text, trim_all
+from ..scratch import held
 
 POS = "pos"
 OPS = {
-    "select_fields": ("fields",), "drop_fields": ("fields",), "rename_field": ("from", "to"), "set_field": ("field", "value"), "filter": ("field", "test"),
-    "map_field": ("field", "with"), "sort_by": ("field", "order"), "limit": ("n",), "reverse": (),
+    "select_fields": ("fields",), "drop_fields": ("fields",), "rename_field": ("from", "to"), "set_field": ("field", "value"), "filter": ("field", "predicate"),
+    "map_field": ("field", "transform"), "sort_by": ("field", "order"), "limit": ("n",), "reverse": (),
 }
 TESTS = ("eq", "ne", "gt", "lt", "ge", "le", "contains", "exists", "not_exists")
 MAPS = ("lowercase", "uppercase", "trim", "to_string", "to_number")
@@ -41,9 +43,11 @@ def validate(program: Any, fields: list[str] | None = None) -> list[dict]:
         op = s.get("op") if isinstance(s, dict) else None
         if op not in OPS or any(a not in s for a in OPS[op]):
             raise Refused("NOT_A_PROGRAM", f"step {i}: {s!r}", "program")
-        if op == "filter" and (s["test"] not in TESTS or ((s.get("value") is None) != (s["test"] in ("exists", "not_exists")))):
+        if extra := set(s) - {"op", *OPS[op]} - ({"value"} if op == "filter" else set()):
+            raise Refused("NOT_A_PROGRAM", f"step {i}: {op} takes no {sorted(extra)[0]!r}", "program")
+        if op == "filter" and (s["predicate"] not in TESTS or ((s.get("value") is None) != (s["predicate"] in ("exists", "not_exists")))):
             raise Refused("NOT_A_PROGRAM", f"step {i}: comparisons take a value, existence none", "program")
-        if op == "map_field" and s["with"] not in MAPS or op == "sort_by" and s["order"] not in ("asc", "desc"):
+        if op == "map_field" and s["transform"] not in MAPS or op == "sort_by" and s["order"] not in ("asc", "desc"):
             raise Refused("NOT_A_PROGRAM", f"step {i}: {s!r}", "program")
         if op == "limit" and (isinstance(s["n"], bool) or not isinstance(s["n"], int) or s["n"] < 0):
             raise Refused("NOT_A_PROGRAM", f"step {i}: limit takes a whole number", "program")
@@ -59,7 +63,7 @@ def schema_of(fields: list[str]) -> dict:
     name: dict = {"type": "string"}
     read = name | ({"enum": sorted(fields)} if fields else {})
     kinds = {
-        "fields": {"type": "array", "items": read}, "from": read, "to": name, "value": {}, "test": {"enum": list(TESTS)}, "with": {"enum": list(MAPS)}, "order": {"enum": ["asc", "desc"]}, "n": {"type": "integer", "minimum": 0},
+        "fields": {"type": "array", "items": read}, "from": read, "to": name, "value": {}, "predicate": {"enum": list(TESTS)}, "transform": {"enum": list(MAPS)}, "order": {"enum": ["asc", "desc"]}, "n": {"type": "integer", "minimum": 0},
     }
     steps = []
     for op, args in OPS.items():
@@ -81,7 +85,7 @@ def _numeric(t: T.DataType) -> bool:
 
 
 def _test(df: DataFrame, s: dict) -> Column:
-    c, test, value = F.col(s["field"]), s["test"], s.get("value")
+    c, test, value = F.col(s["field"]), s["predicate"], s.get("value")
     kind = df.schema[s["field"]].dataType
     if test == "exists":
         return c.isNotNull()
@@ -125,15 +129,22 @@ def _mapped(df: DataFrame, field: str, how: str) -> Column:
     return {"lowercase": F.lower(c), "uppercase": F.upper(c), "trim": trim_all(c)}[how]
 
 
-def run(df: DataFrame, program: Any) -> DataFrame:
-    """``df`` (with ``pos``, see ``numbered``) after the program's steps. Fields that a step names and the table lacks: kept
-    lists and drops skip them, renames do nothing, filters match nothing (``not_exists``: everything), others refuse."""
-    for s in validate(program):
-        op = s["op"]
+Order = list[tuple[str, bool]]  # columns, the first one leading, and whether they descend
+
+
+def _sorted_by(order: Order) -> list[Column]:
+    return [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_first() for c, down in order]
+
+
+def _planned(df: DataFrame, program: Any) -> tuple[DataFrame, Order]:
+    """The program's rows and their order, whose keys are columns of their own: steps that follow may change a field."""
+    order: Order = [(POS, False)]
+    for i, s in enumerate(validate(program)):
+        op, keys = s["op"], [c for c, _ in order]
         if op == "select_fields":
-            df = df.select(*[c for c in s["fields"] if c in df.columns], POS)
+            df = df.select(*[c for c in s["fields"] if c in df.columns and c not in keys], *keys)
         elif op == "drop_fields":
-            df = df.drop(*[c for c in s["fields"] if c != POS])
+            df = df.drop(*[c for c in s["fields"] if c not in keys])
         elif op == "rename_field":
             if s["from"] == s["to"]:
                 raise Refused("NOT_APPLICABLE", "a field is renamed to another name", "to")
@@ -142,35 +153,50 @@ def run(df: DataFrame, program: Any) -> DataFrame:
         elif op == "set_field":
             df = df.withColumn(s["field"], _lit(s["value"]))
         elif op == "filter":
-            df = df.where(_test(df, s)) if s["field"] in df.columns else df.where(F.lit(s["test"] == "not_exists"))
+            df = df.where(_test(df, s)) if s["field"] in df.columns else df.where(F.lit(s["predicate"] == "not_exists"))
         elif op == "map_field":
             if s["field"] in df.columns:
-                df = df.withColumn(s["field"], _mapped(df, s["field"], s["with"]))
+                df = df.withColumn(s["field"], _mapped(df, s["field"], s["transform"]))
         elif op == "sort_by":
             if s["field"] in df.columns:
-                c = F.col(s["field"])
-                df = dense(df, [c.asc_nulls_first() if s["order"] == "asc" else c.desc_nulls_last(), F.col(POS)])
+                df = df.withColumn(f"__key{i}", F.col(s["field"]))
+                order = [(f"__key{i}", s["order"] == "desc"), *order]
         elif op == "limit":
-            df = df.orderBy(POS).limit(s["n"])
+            df = df.orderBy(*_sorted_by(order)).limit(s["n"])
         else:
-            df = dense(df, [F.col(POS).desc()])
-    return df
+            order = [(c, not down) for c, down in order]
+    return df, order
+
+
+def run(df: DataFrame, program: Any) -> DataFrame:
+    """``df`` (with ``pos``, see ``numbered``) after the program's steps, with a new ``pos`` where they reorder. Fields that a
+    step names and the table lacks: kept lists and drops skip them, renames do nothing, filters match nothing
+    (``not_exists``: everything), sorts and maps do nothing."""
+    out, order = _planned(df, program)
+    if order == [(POS, False)]:
+        return out
+    return dense(out, _sorted_by(order)).drop(*(c for c, _ in order if c != POS))
+
+
+def rows(df: DataFrame, program: Any) -> DataFrame:
+    """The program's rows in order, without ``pos``: one sort at the end at most."""
+    out, order = _planned(df, program)
+    return out.orderBy(*_sorted_by(order)).drop(*(c for c, _ in order))
 
 
 def dense(df: DataFrame, order: list[Column]) -> DataFrame:
-    """``df`` with ``pos`` as dense numbers in the given order: rows are sorted by range and numbered within partitions, and
-    partition sizes (one number each) give the offsets, so no task sees all rows. ``df`` is read twice."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    sizes = ranged.groupBy("__p").agg(F.count("*").alias("c"))
-    starts = sizes.select(F.col("__p").alias("__q"), F.coalesce(F.sum("c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
-    inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    held = ranged.withColumn("__r", inside).join(F.broadcast(starts), F.col("__p") == F.col("__q"))  # one row per partition
-    return held.withColumn(POS, F.struct((F.col("__s") + F.col("__r")).cast("bigint").alias("n"))).drop("__p", "__q", "__s", "__r")
+    """``df`` with ``pos`` as dense numbers from 0 in the given order. Rows are sorted by range, one shuffle, and written with
+    their place: partition and row. Numbers follow from the sizes of those very partitions, so no task sees all rows."""
+    place = F.monotonically_increasing_id()
+    kept = held(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", place), "ranged")
+    part = F.shiftright("__at", 33)
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = kept.groupBy(part.alias("__p")).agg(F.count("*").alias("c")).select("__p", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__s"))
+    numbered = kept.withColumn("__p", part).join(F.broadcast(starts), "__p")  # one row per partition
+    return numbered.withColumn(POS, F.struct((F.col("__s") + F.col("__at").bitwiseAND((1 << 33) - 1)).alias("n"))).drop("__p", "__s", "__at")
 
 
 def every_nth(df: DataFrame, stride: int = 1) -> DataFrame:
     """Rows 0, stride, 2 x stride, ... in order of ``pos``."""
-    from ..errors import whole
-
     whole(stride, "stride")
-    return dense(df, [F.col(POS)]).where((F.col(f"{POS}.n") - 1) % stride == 0)
+    return dense(df, [F.col(POS)]).where(F.col(f"{POS}.n") % stride == 0)

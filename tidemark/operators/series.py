@@ -43,19 +43,32 @@ def check(s: DataFrame, pos: str | None = None) -> DataFrame:
     return s
 
 
+def sound(s: DataFrame) -> DataFrame:
+    """``s``, whose query fails with NOT_A_SERIES where a time or value is missing or a value is not finite. Every step asks for
+    it; nothing is read for it alone."""
+    bad = F.col(TIME).isNull() | F.col(VALUE).isNull() | F.isnan(VALUE) | (F.abs(VALUE) == float("inf"))
+    return s.withColumn(VALUE, refuse_when(bad, "NOT_A_SERIES", "times must be there and values finite", F.col(VALUE)))
+
+
+def _stepped(s: DataFrame) -> DataFrame:
+    """``sound``, and refused too where two values of a series have one time; for steps that sort by time anyway."""
+    again = F.coalesce(F.lag(TIME).over(_by_time()) == F.col(TIME), F.lit(False))
+    return sound(s).withColumn(VALUE, refuse_when(again, "NOT_A_SERIES", "times must differ within a series", F.col(VALUE)))
+
+
 def resample(s: DataFrame, every: str, aggregate: str = "last") -> DataFrame:
     """One point per calendar period (weeks start on Monday), at the last instant observed in it; gaps stay gaps."""
     unit = UNITS[choice(every, UNITS, "every")]
     how = {"last": F.max_by(VALUE, TIME), "mean": F.avg(VALUE), "sum": F.sum(VALUE)}
     value = how[choice(aggregate, how, "aggregate")]
-    return s.groupBy(KEY, F.date_trunc(unit, TIME).alias("__p")).agg(F.max(TIME).alias(TIME), value.alias(VALUE)).drop("__p")
+    return sound(s).groupBy(KEY, F.date_trunc(unit, TIME).alias("__p")).agg(F.max(TIME).alias(TIME), value.alias(VALUE)).drop("__p")
 
 
 def change(s: DataFrame, how: str = "percent", over: int = 1) -> DataFrame:
     """Percent (times 100), log or difference against the value ``over`` rows before."""
     choice(how, ("percent", "log", "difference"), "how")
     before = F.lag(VALUE, whole(over, "over")).over(_by_time())
-    held = s.withColumn("__b", before).where("__b IS NOT NULL")
+    held = _stepped(s).withColumn("__b", before).where("__b IS NOT NULL")
     v, b = F.col(VALUE), F.col("__b")
     new = {
         "percent": F.when(b != 0, (v / F.nullif(b, F.lit(0.0)) - 1) * 100),
@@ -67,7 +80,7 @@ def change(s: DataFrame, how: str = "percent", over: int = 1) -> DataFrame:
 
 def lag(s: DataFrame, by: int) -> DataFrame:
     """Each instant with the value ``by`` rows before; the first ``by`` instants go."""
-    return s.select(KEY, TIME, F.lag(VALUE, whole(by, "by")).over(_by_time()).alias(VALUE)).where(F.col(VALUE).isNotNull())
+    return _stepped(s).select(KEY, TIME, F.lag(VALUE, whole(by, "by")).over(_by_time()).alias(VALUE)).where(F.col(VALUE).isNotNull())
 
 
 def rolling(s: DataFrame, window: int, statistic: str = "mean", periods_per_year: float | None = None) -> DataFrame:
@@ -78,7 +91,7 @@ def rolling(s: DataFrame, window: int, statistic: str = "mean", periods_per_year
     if (statistic == "vol") != (periods_per_year is not None) or (periods_per_year is not None and periods_per_year <= 0):
         raise Refused("NOT_DEFINED", "vol needs periods_per_year above 0, and only vol takes it", "periods_per_year")
     w = _by_time().rowsBetween(-(window - 1), 0)
-    held = s.select(KEY, TIME, VALUE, F.count("*").over(w).alias("__n"), F.avg(VALUE).over(w).alias("__m"), F.stddev_samp(VALUE).over(w).alias("__s")).where(F.col("__n") == window)
+    held = _stepped(s).select(KEY, TIME, VALUE, F.count("*").over(w).alias("__n"), F.avg(VALUE).over(w).alias("__m"), F.stddev_samp(VALUE).over(w).alias("__s")).where(F.col("__n") == window)
     new = {
         "mean": F.col("__m"),
         "sd": F.col("__s"),
@@ -92,13 +105,13 @@ def align(*many: DataFrame) -> DataFrame:
     """(series_id, time, values): instants that all series share; values in the order given."""
     if len(many) < 2:
         raise Refused("TOO_FEW_SERIES", "align takes two series or more", "series")
-    named = [x.select(KEY, TIME, F.col(VALUE).alias(f"__v{i}")) for i, x in enumerate(many)]
+    named = [sound(x).select(KEY, TIME, F.col(VALUE).alias(f"__v{i}")) for i, x in enumerate(many)]
     joined = reduce(lambda a, b: a.join(b, [KEY, TIME]), named)
     return joined.select(KEY, TIME, F.array(*(f"__v{i}" for i in range(len(many)))).alias("values"))
 
 
 def _pair(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select(KEY, TIME, F.col(VALUE).alias("a")).join(b.select(KEY, TIME, F.col(VALUE).alias("b")), [KEY, TIME])
+    return sound(a).select(KEY, TIME, F.col(VALUE).alias("a")).join(sound(b).select(KEY, TIME, F.col(VALUE).alias("b")), [KEY, TIME])
 
 
 def combine(a: DataFrame, b: DataFrame, operation: str) -> DataFrame:
@@ -113,7 +126,7 @@ def keep(s: DataFrame, side: str, threshold: float) -> tuple[DataFrame, DataFram
     """(kept, dropped) points: above, below, at_least or at_most ``threshold``."""
     v = F.col(VALUE)
     tests = {"above": v > threshold, "below": v < threshold, "at_least": v >= threshold, "at_most": v <= threshold}
-    test = tests[choice(side, tests, "keep")]
+    test, s = tests[choice(side, tests, "keep")], sound(s)
     return s.where(test), s.where(~test)
 
 
@@ -124,12 +137,12 @@ def summarize(s: DataFrame, what: str) -> DataFrame:
         "last": F.max_by(VALUE, TIME), "first": F.min_by(VALUE, TIME), "mean": F.avg(VALUE), "min": F.min(VALUE), "max": F.max(VALUE), "count": n.cast("double"),
         "stdev": refuse_when(n < 2, "NOT_DEFINED", "a standard deviation needs two points", F.stddev_samp(VALUE)),
     }
-    return s.groupBy(KEY).agg(how[choice(what, how, "summary")].alias(VALUE))
+    return sound(s).groupBy(KEY).agg(how[choice(what, how, "summary")].alias(VALUE))
 
 
 def describe(s: DataFrame) -> DataFrame:
     """count, from, to, first, last, mean, sd (null for one point), min, max of each series."""
-    return s.groupBy(KEY).agg(
+    return sound(s).groupBy(KEY).agg(
         F.count("*").alias("count"), F.min(TIME).alias("from"), F.max(TIME).alias("to"), F.min_by(VALUE, TIME).alias("first"), F.max_by(VALUE, TIME).alias("last"),
         F.avg(VALUE).alias("mean"), F.stddev_samp(VALUE).alias("sd"), F.min(VALUE).alias("min"), F.max(VALUE).alias("max"),
     )
