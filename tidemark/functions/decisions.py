@@ -16,7 +16,7 @@ def floor_div(a: Column, b: Column | int) -> Column:
 
 
 def likelihood(bps: Column) -> Column:
-    return F.least(bps.cast("bigint"), F.lit(FULL))
+    return F.when(bps.isNotNull(), F.least(bps.cast("bigint"), F.lit(FULL)))
 
 
 def from_probability(p: Column) -> Column:
@@ -42,7 +42,7 @@ def base_rate(held: Column, n: Column) -> Column:
 
 
 def as_forecast(bps: Column) -> Column:
-    return F.greatest(F.least(bps, F.lit(9_900).cast("bigint")), F.lit(100).cast("bigint"))
+    return F.when(bps.isNotNull(), F.greatest(F.least(bps, F.lit(9_900).cast("bigint")), F.lit(100).cast("bigint")))
 
 
 def recalibrated(said: Column, came: Column, scored: Column, counts_as: int = 5) -> Column:

@@ -15,10 +15,10 @@ from ..functions import decisions as D
 from ..functions import text as X
 from ..functions import times as T
 from ..functions.detect import detect
-from ..functions.options import american, black_scholes, implied_vol, norm_cdf
-from ..operators import forecasts, paths, records, series
+from ..functions.options import _BOTTOM, _FAR, _TOP, american, black_scholes, implied_vol, norm_cdf
+from ..operators import forecasts, judgment, paths, records, series, trials
 from ..sources import convert
-from ..sources.repair import repair_json
+from ..sources.repair import repair_csv, repair_json
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,9 +69,9 @@ def _resample_queries() -> None:
     for every, unit in series.UNITS.items():
         for how, expr in sql.items():
             def run(spark, d, every=every, how=how):
-                return shown(series.resample(orders_series(spark, d), every, how), 6 if how == "mean" else 2)
+                return shown(series.resample(orders_series(spark, d), every, how), 3 if how == "mean" else 2)
 
-            query(f"WITH {_S1}, r AS (SELECT k, max(t) AS t, {expr} AS v FROM s1 GROUP BY k, date_trunc('{unit}', t)) SELECT k AS series_id, {_TS} AS time, round(v, {6 if how == 'mean' else 2}) AS value FROM r", f"series_resample_{every}_{how}")(run)
+            query(f"WITH {_S1}, r AS (SELECT k, max(t) AS t, {expr} AS v FROM s1 GROUP BY k, date_trunc('{unit}', t)) SELECT k AS series_id, {_TS} AS time, round(v, {3 if how == 'mean' else 2}) AS value FROM r", f"series_resample_{every}_{how}")(run)
 
 
 def _step_queries() -> None:
@@ -91,13 +91,10 @@ def _step_queries() -> None:
         query(f"WITH {_S1}, r AS (SELECT k, t, v, count(*) {frame} AS n, avg(v) {frame} AS m, stddev_samp(v) {frame} AS s FROM s1) SELECT k AS series_id, {_TS} AS time, round({expr}, 3) AS value FROM r WHERE n = 7 AND ('{stat}' <> 'zscore' OR s > 0)", f"series_rolling_{stat}")(run)
     for op, sign in {"add": "+", "subtract": "-", "multiply": "*", "divide": "/"}.items():
         def run(spark, d, op=op):
-            a, b = (F.lit("all"), F.lit("all"))
-            x = orders_series(spark, d).where("series_id = 'F'").withColumn("series_id", a)
-            y = ships_series(spark, d).where("series_id = 'F'").withColumn("series_id", b)
-            return shown(series.combine(x, y, op), 4 if op == "divide" else 0 if op == "multiply" else 2)
+            return shown(series.combine(orders_series(spark, d), ships_series(spark, d), op), 4 if op == "divide" else 0 if op == "multiply" else 2)
 
         digits = 4 if op == "divide" else 0 if op == "multiply" else 2
-        query(f"WITH {_S1}, {_S2} SELECT 'all' AS series_id, strftime(s1.t, '%Y-%m-%d %H:%M:%S') AS time, round(s1.v {sign} s2.v, {digits}) AS value FROM s1 JOIN s2 ON s1.t = s2.t WHERE s1.k = 'F' AND s2.k = 'F' AND ('{op}' <> 'divide' OR s2.v <> 0)", f"series_combine_{op}")(run)
+        query(f"WITH {_S1}, {_S2} SELECT s1.k AS series_id, strftime(s1.t, '%Y-%m-%d %H:%M:%S') AS time, round(s1.v {sign} s2.v, {digits}) AS value FROM s1 JOIN s2 ON s1.t = s2.t AND s1.k = s2.k WHERE '{op}' <> 'divide' OR s2.v <> 0", f"series_combine_{op}")(run)
     for side, sign in {"above": ">", "below": "<", "at_least": ">=", "at_most": "<="}.items():
         for kept in (True, False):
             def run(spark, d, side=side, kept=kept):
@@ -154,6 +151,13 @@ _REGRESS = (
 )
 
 
+@query(f"WITH {_S1}, {_S2} SELECT s1.k AS series_id, count(*) AS n, round(var_samp(s1.v) / 1e6, 2) AS aa, round(covar_samp(s1.v, s2.v) / 1e6, 2) AS ab, round(var_samp(s2.v) / 1e6, 2) AS bb FROM s1 JOIN s2 ON s1.k = s2.k AND s1.t = s2.t GROUP BY 1")
+def series_covariances(spark, d):
+    m = paths.covariances(orders_series(spark, d), ships_series(spark, d))
+    at = lambda i, j, name: F.round(F.get(F.get("matrix", F.lit(i)), F.lit(j)) / 1e6, 2).alias(name)
+    return m.select("series_id", "n", at(0, 0, "aa"), at(0, 1, "ab"), at(1, 1, "bb"))
+
+
 @query(f"{_REGRESS} SELECT round(my - b1 * mx - b2 * mz, 2) AS alpha, round(b1, 6) AS beta1, round(b2, 6) AS beta2, round((b1 * xy + b2 * zy) / yy, 6) AS r_squared, round(sqrt((n - 1) * (yy - b1 * xy - b2 * zy) / (n - 3)), 2) AS residual_std, n AS observations FROM s")
 def series_regress(spark, d):
     out, _ = series.regress(*_three(spark, d))
@@ -166,11 +170,10 @@ def series_regress_residuals(spark, d):
     return shown(series.regress(*_three(spark, d))[1], 1).drop("series_id")
 
 
-@query(f"WITH {_S2}, {_S3}, e AS (SELECT k, t, v FROM s3), m AS (SELECT 'x' AS k, t, v FROM s2 WHERE k = 'F'), q AS (SELECT 'x' AS k, o_orderdate + INTERVAL 12 HOUR AS t, o_orderkey AS id FROM orders) SELECT q.id, strftime(m.t, '%Y-%m-%d %H:%M:%S') AS as_of_time, round(m.v, 2) AS as_of_value FROM q ASOF LEFT JOIN m ON q.t >= m.t")
+@query(f"WITH {_S2}, q AS (SELECT o_orderstatus AS k, o_orderdate + INTERVAL 12 HOUR AS t, o_orderkey AS id FROM orders) SELECT q.id, strftime(s2.t, '%Y-%m-%d %H:%M:%S') AS as_of_time, round(s2.v, 2) AS as_of_value FROM q ASOF LEFT JOIN s2 ON q.k = s2.k AND q.t >= s2.t")
 def series_as_of(spark, d):
-    left = table(spark, d, "orders").select(F.lit("x").alias("series_id"), (F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 12 HOURS")).alias("time"), F.col("o_orderkey").alias("id"))
-    right = ships_series(spark, d).where("series_id = 'F'").withColumn("series_id", F.lit("x"))
-    return series.as_of(left, right).select("id", F.date_format("as_of_time", "yyyy-MM-dd HH:mm:ss").alias("as_of_time"), F.round("as_of_value", 2).alias("as_of_value"))
+    left = table(spark, d, "orders").select(F.col("o_orderstatus").alias("series_id"), (F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 12 HOURS")).alias("time"), F.col("o_orderkey").alias("id"))
+    return series.as_of(left, ships_series(spark, d)).select("id", F.date_format("as_of_time", "yyyy-MM-dd HH:mm:ss").alias("as_of_time"), F.round("as_of_value", 2).alias("as_of_value"))
 
 
 _RET = f"WITH {_S1}, r AS (SELECT * FROM (SELECT k, t, v / lag(v) OVER (PARTITION BY k ORDER BY t) - 1 AS r FROM s1) WHERE r IS NOT NULL)"
@@ -230,9 +233,9 @@ def path_excess(spark, d):
 
 # record programs
 PROGRAM = [
-    {"op": "filter", "field": "c_mktsegment", "test": "ne", "value": "BUILDING"},
-    {"op": "filter", "field": "c_acctbal", "test": "gt", "value": 0.0},
-    {"op": "map_field", "field": "c_mktsegment", "with": "lowercase"},
+    {"op": "filter", "field": "c_mktsegment", "predicate": "ne", "value": "BUILDING"},
+    {"op": "filter", "field": "c_acctbal", "predicate": "gt", "value": 0.0},
+    {"op": "map_field", "field": "c_mktsegment", "transform": "lowercase"},
     {"op": "rename_field", "from": "c_mktsegment", "to": "segment"},
     {"op": "set_field", "field": "checked", "value": True},
     {"op": "drop_fields", "fields": ["c_nationkey", "nothing"]},
@@ -244,25 +247,42 @@ PROGRAM = [
 
 @query("SELECT c_custkey, c_name, c_acctbal, segment, checked FROM (SELECT c_custkey, c_name, c_acctbal, lower(c_mktsegment) AS segment, true AS checked FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_acctbal > 0) ORDER BY segment DESC, c_custkey DESC LIMIT 100")
 def records_program(spark, d):
-    return records.run(records.numbered(table(spark, d, "customer"), "c_custkey"), PROGRAM).drop("pos")
+    return records.rows(records.numbered(table(spark, d, "customer"), "c_custkey"), PROGRAM)
 
 
-def _record_query(name: str, tab: str, key: str, steps: list[dict], sql: str) -> None:
+def _record_query(name: str, tab: str, key: str, steps: list[dict], sql: str, more: dict | None = None) -> None:
     def run(spark, d):
-        return records.run(records.numbered(table(spark, d, tab), key), steps).drop("pos")
+        return records.rows(records.numbered(table(spark, d, tab).withColumns({c: F.expr(x) for c, x in (more or {}).items()}), key), steps)
 
     query(sql, f"records_{name}")(run)
 
 
+def _filter(field: str, predicate: str, value=None) -> dict:
+    return {"op": "filter", "field": field, "predicate": predicate} | ({} if value is None else {"value": value})
+
+
+def _map(field: str, transform: str) -> dict:
+    return {"op": "map_field", "field": field, "transform": transform}
+
+
 _record_query("select", "supplier", "s_suppkey", [{"op": "select_fields", "fields": ["s_name", "s_acctbal", "nothing"]}], "SELECT s_name, s_acctbal FROM supplier")
-_record_query("contains", "part", "p_partkey", [{"op": "filter", "field": "p_type", "test": "contains", "value": "STEEL"}], "SELECT * FROM part WHERE contains(p_type, 'STEEL')")
-_record_query("range", "part", "p_partkey", [{"op": "filter", "field": "p_size", "test": "ge", "value": 10}, {"op": "filter", "field": "p_name", "test": "lt", "value": "m"}], "SELECT * FROM part WHERE p_size >= 10 AND p_name < 'm'")
-_record_query("exists", "labels", "doc_id", [{"op": "filter", "field": "toxic", "test": "exists"}, {"op": "filter", "field": "missing", "test": "not_exists"}], "SELECT * FROM labels WHERE toxic IS NOT NULL")
-_record_query("to_string", "supplier", "s_suppkey", [{"op": "map_field", "field": "s_nationkey", "with": "to_string"}, {"op": "map_field", "field": "s_name", "with": "uppercase"}], "SELECT s_suppkey, upper(s_name) AS s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey, s_acctbal FROM supplier")
-_record_query("to_number", "customer", "c_custkey", [{"op": "map_field", "field": "c_acctbal", "with": "to_string"}, {"op": "map_field", "field": "c_acctbal", "with": "to_number"}, {"op": "map_field", "field": "c_name", "with": "trim"}], "SELECT * FROM customer")
+_record_query("contains", "part", "p_partkey", [_filter("p_type", "contains", "M")], "SELECT * FROM part WHERE strpos(p_type, 'M') > 0")
+_record_query("range", "part", "p_partkey", [_filter("p_size", "ge", 10), _filter("p_name", "lt", "m")], "SELECT * FROM part WHERE p_size >= 10 AND p_name < 'm'")
+_seen = {"seen": "CASE WHEN quality = 1 THEN toxic END"}
+_record_query("exists", "labels", "doc_id", [_filter("seen", "exists"), _filter("missing", "not_exists")], "SELECT *, toxic AS seen FROM labels WHERE quality = 1", _seen)
+_record_query("not_exists", "labels", "doc_id", [_filter("seen", "not_exists")], "SELECT *, CAST(NULL AS INTEGER) AS seen FROM labels WHERE quality <> 1", _seen)
+_record_query("to_string", "supplier", "s_suppkey", [_map("s_nationkey", "to_string"), _map("s_name", "uppercase")], "SELECT s_suppkey, upper(s_name) AS s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey, s_acctbal FROM supplier")
+_record_query("to_number", "customer", "c_custkey", [_map("c_acctbal", "to_string"), _map("c_acctbal", "to_number"), _map("c_name", "trim")], "SELECT * FROM customer")
 _record_query("top", "orders", "o_orderkey", [{"op": "sort_by", "field": "o_totalprice", "order": "desc"}, {"op": "limit", "n": 25}], "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 
 
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_returnflag DESC, l_orderkey DESC, l_linenumber DESC) - 1 AS place FROM lineitem")
+def records_order(spark, d):
+    """Places after a sort and a reversal, over the whole table."""
+    steps = [{"op": "select_fields", "fields": ["l_orderkey", "l_linenumber", "l_returnflag"]}, {"op": "sort_by", "field": "l_returnflag", "order": "asc"}, {"op": "reverse"}]
+    return records.run(records.numbered(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber"), steps).select("l_orderkey", "l_linenumber", F.col("pos.n").alias("place"))
+
+
 @query("SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders) WHERE n % 7 = 0")
 def sequence_every_nth(spark, d):
     return records.every_nth(records.numbered(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey"), 7).drop("pos")
@@ -275,22 +295,60 @@ def coerce_numbers(spark, d):
     return table(spark, d, "customer").select("c_custkey", C.to_text(F.col("c_custkey")).alias("key_text"), C.number_to_integer(b).alias("balance"), (b > 0).alias("positive"), C.boolean_to_integer(b > 0).alias("as_number"), C.number_to_boolean(F.col("c_nationkey")).alias("nation_flag"))
 
 
-_WORDS = "['true', 'YES', ' on ', '1', 'false', 'No', 'OFF', '0', '2', 'truthy', '']"
+_WORD = "CASE CAST(doc_id % 5 AS INTEGER) WHEN 0 THEN CAST(toxic AS {text}) WHEN 1 THEN upper(CAST(toxic = 1 AS {text})) WHEN 2 THEN CASE WHEN toxic = 1 THEN ' yes ' ELSE 'no' END WHEN 3 THEN CASE WHEN quality = 1 THEN 'On' ELSE 'oFF' END ELSE CAST(doc_id + 2 AS {text}) END"
 
 
-@query(f"WITH w AS (SELECT event_id, ({_WORDS})[CAST(event_id % 11 AS INTEGER) + 1] AS word FROM events) SELECT event_id, word, CASE WHEN lower(trim(word)) IN ('true', '1', 'yes', 'on') THEN true WHEN lower(trim(word)) IN ('false', '0', 'no', 'off') THEN false END AS flag FROM w")
+@query(f"SELECT doc_id, {_WORD.format(text='VARCHAR')} AS word, CASE doc_id % 5 WHEN 4 THEN NULL WHEN 3 THEN quality = 1 ELSE toxic = 1 END AS flag FROM labels")
 def coerce_boolean(spark, d):
-    word = F.get(F.array(*(F.lit(x) for x in ("true", "YES", " on ", "1", "false", "No", "OFF", "0", "2", "truthy", ""))), (F.col("event_id") % 11).cast("int"))
-    return table(spark, d, "events").select("event_id", word.alias("word")).withColumn("flag", C.text_to_boolean(F.col("word")))
+    """Labels as words of several kinds, read back as booleans."""
+    return table(spark, d, "labels").select("doc_id", F.expr(_WORD.format(text="STRING")).alias("word")).withColumn("flag", C.text_to_boolean(F.col("word")))
+
 
+_KEY = "CAST(o_orderkey AS {text})"
+_SHAPES = [(_KEY, "{f}"), (f"'0' || {_KEY}", "q"), (f"{_KEY} || '.5'", "{f}"), (f"{_KEY} || '.50'", "q"), (f"'+' || {_KEY}", "q"), ("o_orderstatus", "q"), ("''", "null"), ("CASE WHEN o_totalprice > 100000 THEN 'true' ELSE 'false' END", "{f}"), (f"'-' || {_KEY}", "{f}"), (f"{_KEY} || ' '", "q")]
 
-_FIELDS = ("007", "01234", "1e5", "+42", "1_000", " 42", "42 ", "NaN", "inf", "1.10", "42", "-7", "3.25", "true", "false", "", "plain", "-0")
 
+def _case(parts: list[str], text: str) -> str:
+    return f"CASE CAST(o_custkey % {len(parts)} AS INTEGER) " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(parts)).replace("{text}", text) + " END"
 
-@query("WITH w AS (SELECT event_id, ([" + ", ".join(f"'{f}'" for f in _FIELDS) + "])[CAST(event_id % 18 AS INTEGER) + 1] AS field FROM events) SELECT event_id, field, CASE WHEN field = '' THEN 'null' WHEN field IN ('42', '-7', '3.25', 'true', 'false') THEN field ELSE '\"' || field || '\"' END AS json FROM w")
+
+@query(f"WITH w AS (SELECT o_orderkey, o_custkey, {_case([x for x, _ in _SHAPES], 'VARCHAR')} AS field FROM orders) SELECT o_orderkey, field, {_case([{'{f}': 'field', 'q': chr(39) + chr(34) + chr(39) + ' || field || ' + chr(39) + chr(34) + chr(39), 'null': chr(39) + 'null' + chr(39)}[k] for _, k in _SHAPES], 'VARCHAR')} AS json FROM w")
 def csv_infer(spark, d):
-    field = F.get(F.array(*map(F.lit, _FIELDS)), (F.col("event_id") % 18).cast("int"))
-    return table(spark, d, "events").select("event_id", field.alias("field")).withColumn("json", C.infer_csv(F.col("field")))
+    """Keys written in ways that keep or lose something as numbers."""
+    field = F.expr(_case([x for x, _ in _SHAPES], "STRING"))
+    return table(spark, d, "orders").select("o_orderkey", field.alias("field")).withColumn("json", C.infer_csv(F.col("field")))
+
+
+@query("SELECT p_partkey, CAST(p_size AS VARCHAR) AS whole, CASE WHEN p_size % 2 = 0 THEN CAST(p_size // 2 AS VARCHAR) ELSE CAST(p_size // 2 AS VARCHAR) || '.5' END AS half, CAST(p_size * 1000 AS VARCHAR) AS power, CAST(NULL AS VARCHAR) AS none, CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS flag FROM part")
+def coerce_text_to_number(spark, d):
+    size = F.col("p_size").cast("string")
+    half = F.concat(F.lit(" +"), (F.col("p_size") / 2).cast("string"))
+    return table(spark, d, "part").select("p_partkey", C.text_to_number(size).alias("whole"), C.text_to_number(half).alias("half"), C.text_to_number(F.concat(size, F.lit("e3"))).alias("power"), C.text_to_number(F.col("p_name")).alias("none"), C.boolean_to_integer(F.col("p_size") > 25).cast("int").alias("flag"))
+
+
+@query("SELECT n_nationkey, '{\"source_type\":\"string\",\"value\":\"' || n_name || '\"}' AS name, '{\"source_type\":\"integer\",\"value\":' || n_regionkey || '}' AS region, '\"[\\\"' || n_name || '\\\"]\"' AS nested FROM nation")
+def coerce_to_object(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", C.to_object(F.col("n_name"), "string").alias("name"), C.to_object(F.col("n_regionkey"), "integer").alias("region"), C.nested_to_text(F.array("n_name")).alias("nested"))
+
+
+@query("SELECT o_orderkey, o_orderdate <= DATE '1995-06-17' AND (o_orderstatus = 'O' OR DATE '1995-06-17' < o_orderdate + INTERVAL 90 DAY) AS valid, o_orderdate < DATE '1996-01-01' AND (o_orderstatus = 'O' OR DATE '1995-01-01' < o_orderdate + INTERVAL 90 DAY) AS overlaps FROM orders")
+def time_validity(spark, d):
+    """Orders that are valid for 90 days, or without an end while they are open."""
+    t = lambda x: F.lit(x).cast("timestamp")
+    start = F.col("o_orderdate").cast("timestamp")
+    end = F.when(F.col("o_orderstatus") != "O", start + F.expr("INTERVAL 90 DAYS"))
+    return table(spark, d, "orders").select("o_orderkey", T.valid_at(start, end, t("1995-06-17")).alias("valid"), T.overlaps(start, end, t("1995-01-01"), t("1996-01-01")).alias("overlaps"))
+
+
+@query(
+    "SELECT o_orderkey, CASE o_custkey % 5 WHEN 0 THEN 'CY' WHEN 1 THEN 'MONTH' WHEN 2 THEN 'DAY' WHEN 3 THEN 'FY' END AS kind, CASE o_custkey % 5 WHEN 0 THEN strftime(date_trunc('quarter', o_orderdate), '%Y-%m-%d') WHEN 1 THEN strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') END AS starts,"
+    " CASE o_custkey % 5 WHEN 0 THEN strftime(date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH, '%Y-%m-%d') WHEN 1 THEN strftime(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH, '%Y-%m-%d') WHEN 2 THEN strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d') END AS ends FROM orders"
+)
+def time_periods(spark, d):
+    t = F.col("o_orderdate")
+    year = F.date_format(t, "yyyy")
+    label = F.get(F.array(F.concat(F.lit("CY"), year, F.lit("Q"), F.quarter(t).cast("string")), F.date_format(t, "yyyy-MM"), F.date_format(t, "yyyy-MM-dd"), F.concat(F.lit("FY"), year), F.concat(year, F.lit("-13"))), (F.col("o_custkey") % 5).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", T.period(label).alias("p")).select("o_orderkey", F.col("p.kind").alias("kind"), F.date_format("p.start", "yyyy-MM-dd").alias("starts"), F.date_format("p.end", "yyyy-MM-dd").alias("ends"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS instant, strftime(ts, '%Y%m%d') AS compact, CAST(isoyear(ts) AS INTEGER) AS iso_year, CAST(weekofyear(ts) AS INTEGER) AS iso_week, CAST(quarter(ts) AS INTEGER) AS quarter, strftime(date_trunc('week', ts), '%Y-%m-%d') AS week_start FROM events")
@@ -306,14 +364,29 @@ def text_collapse(spark, d):
     return table(spark, d, "documents").select("doc_id", X.collapse(F.col("text")).alias("collapsed"))
 
 
-@query("WITH q AS (SELECT d.doc_id, substr(trim(d.text), 1, 30) AS quote, d.text FROM documents d) SELECT doc_id, trim(quote) <> '' AND contains(trim(regexp_replace(text, '[\\s\\p{Z}\\x{85}\\x{0B}]+', ' ', 'g')), trim(regexp_replace(quote, '[\\s\\p{Z}\\x{85}\\x{0B}]+', ' ', 'g'))) AS is_grounded FROM q")
+@query("SELECT doc_id, doc_id % 2 = 0 AND trim(text) <> '' AS is_grounded FROM documents")
 def text_grounded(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.grounded(F.array(F.substring(F.trim("text"), 1, 30)), F.col("text")).alias("is_grounded"))
+    """Whole texts as quotes of themselves, every second with a word more than there is."""
+    quote = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat(F.col("text"), F.lit("\n(not there)")))
+    return table(spark, d, "documents").select("doc_id", X.grounded(F.array(quote), F.col("text")).alias("is_grounded"))
+
 
+#: extension, text made of an event's props, kind
+_FILES = [
+    ("json", "props", "json;record"), ("json", "'[' || props || ', ' || props || ']'", "json;list;record"), ("json", "'[1, 2]'", "json;list"), ("jsonl", "props || chr(10) || props", "ndjson;list;record"), ("ndjson", "'1' || chr(10) || '2'", "ndjson;list"),
+    ("CSV", "'k' || chr(10) || '1'", "csv;list;record"), ("tsv", "props", "tsv;list;record"), ("psv", "props", "psv;list;record"), ("yaml", "'props: ' || event_type", "yaml;record"), ("yml", "'- ' || event_type", "yaml;list"), ("yaml", "'- kind: ' || event_type", "yaml;list;record"),
+    ("yaml", "'---' || chr(10) || 'a: 1' || chr(10) || '---' || chr(10) || 'a: 2'", "yaml;list;record"), ("xml", "'<?xml version=\"1.0\"?><e k=\"1\"/>'", "xml;record"), ("xml", "'<es><e/><e/><e/></es>'", "xml;list;record"), ("toml", "'k = 1'", "toml"), ("bin", "props", None),
+]
 
-@query("SELECT event_id, 'json;record' AS kind FROM events")
-def detect_json(spark, d):
-    return table(spark, d, "events").select("event_id", F.get(detect(F.col("props"), F.lit("json")), F.lit(0)).alias("kind"))
+
+def _by_file(parts: list[str]) -> str:
+    return f"CASE CAST(event_id % {len(_FILES)} AS INTEGER) " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(parts)) + " END"
+
+
+@query(f"SELECT event_id, {_by_file([repr(k) if k else 'NULL' for *_, k in _FILES])} AS kind FROM events")
+def detect_files(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", F.get(detect(F.expr(_by_file([x for _, x, _ in _FILES])), F.expr(_by_file([f"'{x}'" for x, *_ in _FILES]))), F.lit(0)).alias("kind"))
 
 
 # forecasts
@@ -341,6 +414,56 @@ def forecast_readings(spark, d):
     return table(spark, d, "labels").select("doc_id", D.as_forecast(D.recalibrated(said, came, scored)).alias("reading"), D.skill(said).alias("skill"), D.base_rate(came, scored).alias("base_rate"))
 
 
+@query("WITH e AS (SELECT user_id, event_type, count(*) AS n, bool_or(value > 50) AS hit, arg_max(value > 50, ts) AS latest FROM events GROUP BY 1, 2) SELECT user_id, event_type, CASE WHEN n % 3 = 0 THEN 'open' WHEN latest THEN 'came_true' ELSE 'did_not' END AS at_deadline, CASE WHEN hit THEN 'came_true' WHEN n % 3 = 0 THEN 'open' ELSE 'did_not' END AS any_time FROM e")
+def forecast_settle(spark, d):
+    """Whether a value above 50 was seen, by user and kind of event; every third group is not due yet."""
+    seen = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("ts", (F.col("value") > 50).alias("x")))), lambda x: x["x"]).alias("x"))
+    due = F.col("n") % 3 != 0
+    return seen.select("user_id", "event_type", D.settle("at_deadline", due, F.col("x")).alias("at_deadline"), D.settle("any_time", due, F.col("x")).alias("any_time"))
+
+
+ASKED = trials.Asked("above", 1.0, 14, 21, stretches=3)
+
+
+@query(
+    f"WITH {_S1}, g AS (SELECT k, min(t) AS a, max(t) AS z FROM s1 GROUP BY k), m AS (SELECT k, unnest(generate_series(a + INTERVAL 21 DAY, z - INTERVAL 14 DAY, INTERVAL 21 DAY)) AS said FROM g), f AS (SELECT m.k, m.said, s1.v AS start FROM m ASOF JOIN s1 ON m.k = s1.k AND m.said >= s1.t),"
+    " e AS (SELECT f.k, f.said, f.start, arg_max(s1.v, s1.t) AS ended FROM f JOIN s1 ON s1.k = f.k AND s1.t > f.said AND s1.t <= f.said + INTERVAL 14 DAY GROUP BY ALL) SELECT k AS series_id, strftime(said, '%Y-%m-%d') AS time, (ended / start - 1) * 100 > 1.0 AS came_true FROM e"
+)
+def trial_outcomes(spark, d):
+    """How each statement came out; every moment of these series has some way that can say something."""
+    m = trials.moments(orders_series(spark, d), ASKED).where("way = 0")
+    return m.select("series_id", F.date_format("time", "yyyy-MM-dd").alias("time"), "came_true")
+
+
+@query()
+def trial_report(spark, d):
+    return trials.trial(orders_series(spark, d), ASKED)[0]
+
+
+@query()
+def trial_stretches(spark, d):
+    return trials.trial(orders_series(spark, d), ASKED)[1]
+
+
+# judgments: a provider that reads the answer off the request
+def _words_of(requests):
+    import json
+
+    out = []
+    for prompt, _ in requests:
+        text = prompt.split("\n\n", 1)[1]
+        label = "short" if len(text) < 400 else "long" if len(text) < 1200 else "endless"
+        out.append(json.dumps({"label": label, "confidence": 0.9, "reason": "its length"}))
+    return out
+
+
+@query("SELECT doc_id, CASE WHEN length(coalesce(text, '')) < 400 THEN 'short' WHEN length(text) < 1200 THEN 'long' END AS label, length(coalesce(text, '')) >= 1200 AS refused FROM documents")
+def judge_classify(spark, d):
+    """Labels by a stub; those that were not allowed are refused."""
+    got = judgment.judge(table(spark, d, "documents").select("doc_id", "text"), "classify", "text", F.lit("How long is it?"), _words_of, allowed=["short", "long"])
+    return got.select("doc_id", F.col("reply.label").alias("label"), F.col("error").isNotNull().alias("refused"))
+
+
 # options
 def _option_rows(spark, d):
     r = F.col("p_retailprice")
@@ -350,39 +473,65 @@ def _option_rows(spark, d):
 _ARGS = ("right", "spot", "strike", "rate", "dividend", "vol", "time")
 
 
-@query()
+def _poly_sql(c: tuple, x: str) -> str:
+    out = repr(c[0])
+    for k in c[1:]:
+        out = f"({out} * {x} + {k!r})"
+    return out
+
+
+def _cdf_sql(x: str) -> str:
+    """The distribution at x by the same published approximation, written out."""
+    a = f"abs({x})"
+    far = f"({a} + 1.0 / ({a} + 2.0 / ({a} + 3.0 / ({a} + 4.0 / ({a} + 0.65)))))"
+    low = f"CASE WHEN {a} > 37 THEN 0.0 WHEN {a} < {_FAR!r} THEN exp(-{a} * {a} / 2) * {_poly_sql(_TOP, a)} / {_poly_sql(_BOTTOM, a)} ELSE exp(-{a} * {a} / 2) / {far} / 2.506628274631 END"
+    return f"(CASE WHEN {x} > 0 THEN 1 - {low} ELSE {low} END)"
+
+
+_OPTION = (
+    "o AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE -1.0 END AS z, p_retailprice AS s, p_retailprice * (0.8 + (p_partkey % 5) / 10.0) AS k, 0.1 + p_size / 100.0 AS v FROM part), "
+    "d AS (SELECT *, (ln(s / k) + (0.05 - 0.01 + v * v / 2) * 1.5) / (v * sqrt(1.5)) AS d1, exp(-0.015) AS fd, exp(-0.075) AS rd FROM o), e AS (SELECT *, z * d1 AS x1, z * (d1 - v * sqrt(1.5)) AS x2 FROM d), "
+    f"n AS (SELECT *, {_cdf_sql('x1')} AS n1, {_cdf_sql('x2')} AS n2, exp(-d1 * d1 / 2) / sqrt(2 * pi()) AS p1 FROM e)"
+)
+
+
+@query(
+    f"WITH {_OPTION} SELECT p_partkey, round(z * (s * fd * n1 - k * rd * n2), 6) AS price, round(z * fd * n1, 6) AS delta, round(fd * p1 / (s * v * sqrt(1.5)), 6) AS gamma, round(s * fd * p1 * sqrt(1.5), 6) AS vega, "
+    "round(-s * fd * p1 * v / (2 * sqrt(1.5)) - z * (0.05 * k * rd * n2 - 0.01 * s * fd * n1), 6) AS theta, round(z * k * 1.5 * rd * n2, 6) AS rho FROM n"
+)
 def options_greeks(spark, d):
     o = black_scholes(*map(F.col, _ARGS))
-    return _option_rows(spark, d).select("p_partkey", o.alias("o")).select("p_partkey", *(F.round(f"o.{c}", 8).alias(c) for c in ("price", "delta", "gamma", "vega", "theta", "rho")))
+    return _option_rows(spark, d).select("p_partkey", o.alias("o")).select("p_partkey", *(F.round(f"o.{c}", 6).alias(c) for c in ("price", "delta", "gamma", "vega", "theta", "rho")))
 
 
-@query()
+@query("SELECT p_partkey, round(0.1 + p_size / 100.0, 6) AS implied_vol FROM part")
 def options_implied_vol(spark, d):
     rows = _option_rows(spark, d).withColumn("price", black_scholes(*map(F.col, _ARGS))["price"])
     return rows.select("p_partkey", F.round(implied_vol("right", "price", "spot", "strike", "rate", "dividend", "time"), 6).alias("implied_vol"))
 
 
-@query()
-def options_american(spark, d):
-    return _option_rows(spark, d).select("p_partkey", F.round(american(50)(*_ARGS), 6).alias("value"))
-
+_TREE = (
+    "o AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE -1.0 END AS z, p_retailprice AS s, p_retailprice * (0.8 + (p_partkey % 5) / 10.0) AS k, exp((0.1 + p_size / 100.0) * sqrt(0.75)) AS u FROM part), "
+    "p AS (SELECT *, (exp(0.04 * 0.75) - 1 / u) / (u - 1 / u) AS p, exp(-0.05 * 0.75) AS r FROM o), "
+    "c AS (SELECT *, greatest(z * (s * u * u - k), 0) AS uu, greatest(z * (s - k), 0) AS ud, greatest(z * (s / u / u - k), 0) AS dd FROM p), "
+    "b AS (SELECT *, greatest(r * (p * uu + (1 - p) * ud), z * (s * u - k)) AS up, greatest(r * (p * ud + (1 - p) * dd), z * (s / u - k)) AS down FROM c)"
+)
 
-def _poly_sql(c: tuple, x: str) -> str:
-    out = repr(c[0])
-    for k in c[1:]:
-        out = f"({out} * {x} + {k!r})"
-    return out
 
+@query(f"WITH {_TREE} SELECT p_partkey, CASE WHEN p BETWEEN 0 AND 1 THEN round(greatest(r * (p * up + (1 - p) * down), z * (s - k)), 6) END AS two_steps FROM b")
+def options_american(spark, d):
+    return _option_rows(spark, d).select("p_partkey", F.round(american(2)(*_ARGS), 6).alias("two_steps"))
 
-def _cdf_sql() -> str:
-    from ..functions.options import _BOTTOM, _TOP
 
-    return f"exp(-a * a / 2) * {_poly_sql(_TOP, 'a')} / {_poly_sql(_BOTTOM, 'a')}"
+@query()
+def options_american_fifty(spark, d):
+    return _option_rows(spark, d).select("p_partkey", F.round(american(50)(*_ARGS), 6).alias("value"))
 
 
-@query(f"WITH x AS (SELECT p_partkey, (p_retailprice - 1400) / 200 AS x, abs((p_retailprice - 1400) / 200) AS a FROM part) SELECT p_partkey, round(CASE WHEN x > 0 THEN 1 - {_cdf_sql()} ELSE {_cdf_sql()} END, 10) AS p FROM x")
+@query(f"WITH x AS (SELECT p_partkey, (p_retailprice - 1400) / 25 AS x FROM part) SELECT p_partkey, round(ln({_cdf_sql('x')}), 8) AS log_p FROM x")
 def options_norm_cdf(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.round(norm_cdf((F.col("p_retailprice") - 1400) / 200), 10).alias("p"))
+    """In logarithms, so that both tails count."""
+    return table(spark, d, "part").select("p_partkey", F.round(F.log(norm_cdf((F.col("p_retailprice") - 1400) / 25)), 8).alias("log_p"))
 
 
 # formats
@@ -413,12 +562,32 @@ def collect_tables(spark, d):
     return convert.collect_tables(n, table(spark, d, "region").select(F.col("r_name").alias("name"), F.lit("region").alias("kind")))
 
 
-@query("SELECT event_id, true AS fixed, CAST(json_extract(props, '$') AS VARCHAR) IS NOT NULL AS valid FROM events")
+#: damage to an event's props, how many repairs it takes (none: sound; null: hopeless), whether the JSON comes back
+_DAMAGE = [
+    ("props", 0), ("regexp_replace(props, '[}]$', ',}')", 1), ("replace(props, '\"', '''')", 1), ("replace(props, '\"', '')", 1), ("regexp_replace(props, '[}]$', '')", 1), ("replace(props, ':', ' ')", 1), ("replace(props, ':', ' =')", 1),
+    ("'/* found */ ' || props", 1), ("'\ufeff' || props", 1), ("replace(props, ': ', ': +')", 1), ("replace(props, '}', '.}')", 1), ("replace(props, ': ', ': 00')", 1), ("props || ' ' || props", None), ("replace(props, ': ', ': about ')", None), ("''", None),
+]
+
+
+def _damage(parts: list[str]) -> str:
+    return f"CASE CAST(event_id % {len(_DAMAGE)} AS INTEGER) " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(parts)) + " END"
+
+
+@query(f"SELECT event_id, CASE WHEN event_id % {len(_DAMAGE)} < 12 THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS k, {_damage(['NULL' if n is None else str(n) for _, n in _DAMAGE])} AS repairs, event_id % {len(_DAMAGE)} >= 12 AS hopeless FROM events")
 def repair_json_props(spark, d):
-    """Breaks each event's props and repairs them."""
-    broken = F.regexp_replace(F.regexp_replace("props", r"\}$", ",}"), r'"([a-z_]+)":', "$1:")
-    r = repair_json(broken)
-    return table(spark, d, "events").select("event_id", r.alias("r"), "props").select("event_id", (F.to_json(F.try_parse_json("r.json")) == F.to_json(F.parse_json("props"))).alias("fixed"), F.col("r.json").isNotNull().alias("valid"))
+    """Each event's props, damaged and repaired."""
+    e = table(spark, d, "events").select("event_id", repair_json(F.expr(_damage([x for x, _ in _DAMAGE]))).alias("r"))
+    return e.select("event_id", F.get_json_object("r.json", "$.k").cast("double").alias("k"), F.when(F.col("r.json").isNotNull(), F.size("r.repairs")).alias("repairs"), F.col("r.error").isNotNull().alias("hopeless"))
+
+
+_NATION_ROWS = "n_nationkey || ',' || n_name || CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE ',' || n_regionkey END || CASE WHEN n_nationkey % 7 = 1 THEN ',1' ELSE '' END"
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 7 = 1 AND n_nationkey % 3 <> 0 THEN NULL ELSE 'key,name,region' || chr(10) || n_nationkey || ',' || n_name || ',' || CASE WHEN n_nationkey % 3 = 0 THEN CASE WHEN n_nationkey % 7 = 1 THEN '1' ELSE '' END ELSE CAST(n_regionkey AS VARCHAR) END || chr(10) END AS csv, CASE WHEN n_nationkey % 7 = 1 AND n_nationkey % 3 <> 0 THEN NULL WHEN n_nationkey % 3 = 0 AND n_nationkey % 7 <> 1 THEN 1 ELSE 0 END AS repairs FROM nation")
+def repair_csv_rows(spark, d):
+    """A document of each nation: short rows are filled up, long ones refused."""
+    n = table(spark, d, "nation").select("n_nationkey", repair_csv(F.expr(f"'key,name,region' || chr(10) || {_NATION_ROWS} || chr(10)")).alias("r"))
+    return n.select("n_nationkey", F.col("r.csv").alias("csv"), F.when(F.col("r.csv").isNotNull(), F.size("r.repairs")).alias("repairs"))
 
 
 @query()
