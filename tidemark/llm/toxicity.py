@@ -145,8 +145,8 @@ class BlockMaxIndex:
     precision; batches are filled up to one size, so that a query's cosines do not depend on the others."""
 
     def __init__(self, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int):
+        """Unit vectors, one behind the other: where each starts, its terms and weights. Neither is kept."""
         self.size = len(starts) - 1
-        rows = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(starts))
         times = np.bincount(terms, minlength=n_terms)
         common = np.argsort(-times, kind="stable")[:COLUMNS]
         common = common[times[common] > 0]
@@ -154,13 +154,14 @@ class BlockMaxIndex:
         self.column[common] = np.arange(len(common))
         self.width, at = len(common), self.column[terms]
         here = at >= 0
-        self.dense_start = np.searchsorted(rows[here], np.arange(self.size + 1))
-        self.dense_row, self.dense_column, self.dense_weight = rows[here], at[here].astype(np.uint16), weights[here].astype(np.float32)
+        self.dense_column, self.dense_weight = at[here].astype(np.uint16), weights[here].astype(np.float32)
+        del at
+        self.dense_start = np.concatenate([[0], np.cumsum(here, dtype=np.int32)])[starts]
         rest = np.nonzero(~here)[0].astype(np.int32)
-        del at, here
+        del here
         rest = rest[np.argsort(terms[rest], kind="stable")]  # by term, then example
-        self.ids, self.weights, listed = rows[rest].astype(np.int64), weights[rest].astype(np.float32), terms[rest]
-        del rows, rest
+        self.ids, self.weights, listed = (np.searchsorted(starts, rest, "right") - 1).astype(np.int32), weights[rest].astype(np.float32), terms[rest]
+        del rest
         block = self.ids // BLOCK
         new = np.nonzero(np.concatenate([[True], (listed[1:] != listed[:-1]) | (block[1:] != block[:-1])]))[0] if len(listed) else np.zeros(0, np.int64)
         self.entry_block = block[new]
@@ -179,7 +180,8 @@ class BlockMaxIndex:
             last = min(first + ROWS, self.size)
             span = slice(self.dense_start[first], self.dense_start[last])
             part = np.zeros((last - first, self.width), np.float32)
-            part[self.dense_row[span] - first, self.dense_column[span]] = self.dense_weight[span]
+            rows = np.repeat(np.arange(last - first), np.diff(self.dense_start[first : last + 1]))
+            part[rows, self.dense_column[span]] = self.dense_weight[span]
             np.matmul(part, dense, out=out[first:last])
         return np.ascontiguousarray(out.T[: len(batch)])
 
@@ -230,52 +232,45 @@ class BlockMaxIndex:
         return next(self.nearest([(np.array(list(query), np.int32), np.array(list(query.values()), float))], k, [without]))
 
 
+def unit_vectors(starts: np.ndarray, terms: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> Frequencies:
+    """Texts' frequencies as weighted vectors of length 1; terms without weight go."""
+    weights = (1 + np.log(tf)) * idf[terms]
+    kept, rows = weights > 0, np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts))
+    if not kept.all():
+        rows, terms, weights = rows[kept], terms[kept], weights[kept]
+        starts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(starts) - 1))])
+    weights /= np.sqrt(np.bincount(rows, weights * weights, len(starts) - 1))[rows]
+    return starts, terms, weights
+
+
 class Scorer:
-    """Votes over the examples. It travels as their term frequencies; the index is built where it is used."""
+    """Votes over the examples. It travels as their vectors; the index is built where it is used, and takes their place."""
 
     def __init__(self, idf: np.ndarray, examples: pa.Table, unit: tuple[float, float], prior: float):
-        """idf: of each term, times its weight. examples: distinct term frequencies (terms, tf), numbers of clean and toxic
-        rows (n0, n1), smallest doc_id. unit: the mass of one clean and one toxic row."""
+        """idf: of each term, times its weight. examples: distinct vectors (terms, weights), numbers of clean and toxic rows
+        (n0, n1), smallest doc_id. unit: the mass of one clean and one toxic row."""
         self.idf, self.prior, self.unit = idf, prior, unit
         self.clean, self.toxic = examples.column("n0").to_numpy() * unit[0], examples.column("n1").to_numpy() * unit[1]
         self.doc_ids = examples.column("doc_id").to_numpy()
-        lists = examples.column("terms").combine_chunks()
-        self.starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-        self.terms, self.tf = lists.flatten().to_numpy(), examples.column("tf").combine_chunks().flatten().to_numpy()
-        if self.tf.max(initial=0) < 1 << 16:
-            self.tf = self.tf.astype(np.uint16)
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("index", "blank")}
+        lengths = [c.value_lengths().to_numpy(zero_copy_only=False) for c in examples.column("terms").chunks]
+        self.starts = np.concatenate([np.zeros(1, np.int64), *lengths]).cumsum()
+        self.terms, self.weights = (np.concatenate([np.zeros(0, t), *(c.flatten().to_numpy() for c in examples.column(n).chunks)]).astype(t, copy=False) for n, t in (("terms", np.int32), ("weights", np.float32)))
+        empty = np.diff(self.starts) == 0
+        clean, toxic = self.clean[empty].sum(), self.toxic[empty].sum()
+        self.blank = float((toxic + prior) / (clean + toxic + 1))  # the vote of examples without terms
 
     @cached_property
     def index(self) -> BlockMaxIndex:
-        return BlockMaxIndex(*self._weighted(self.starts, self.terms, self.tf), len(self.idf))
-
-    def example(self, i: int) -> Vector:
-        span = slice(self.starts[i], self.starts[i + 1])
-        _, terms, weights = self._weighted(np.array([0, span.stop - span.start]), self.terms[span], self.tf[span])
-        return terms, weights
+        out = BlockMaxIndex(self.starts, self.terms, self.weights, len(self.idf))
+        del self.terms, self.weights
+        return out
 
     @cached_property
-    def blank(self) -> float:
-        """The vote of examples without terms."""
-        empty = np.diff(self.starts) == 0
-        clean, toxic = self.clean[empty].sum(), self.toxic[empty].sum()
-        return float((toxic + self.prior) / (clean + toxic + 1))
-
-    def _weighted(self, starts: np.ndarray, terms: np.ndarray, tf: np.ndarray) -> Frequencies:
-        """Unit vectors of texts, in the form of frequencies."""
-        weights = (1 + np.log(tf)) * self.idf[terms]
-        kept, rows = weights > 0, np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts))
-        if not kept.all():
-            rows, terms, weights = rows[kept], terms[kept], weights[kept]
-            starts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(starts) - 1))])
-        weights /= np.sqrt(np.bincount(rows, weights * weights, len(starts) - 1))[rows]
-        return starts, terms, weights
+    def numbers(self) -> dict[int, int]:
+        return {d: i for i, d in enumerate(self.doc_ids.tolist())}
 
     def vectors(self, found: Frequencies) -> list[Vector]:
-        starts, terms, weights = self._weighted(*found)
+        starts, terms, weights = unit_vectors(*found, self.idf)
         return [(terms[a:b], weights[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
 
     def raw(self, vectors: list[Vector], own: list[tuple[int, int]] | None = None) -> Iterator[tuple[float, list[tuple[int, float]]]]:
@@ -292,12 +287,12 @@ class Scorer:
             t, c = float(weight @ toxic), float(weight @ clean)
             yield (t + self.prior) / (t + c + 1), [(int(self.doc_ids[j]), round(float(y), 6)) for j, y in zip(best[:5], cosine, strict=False)]
 
-    def left_out(self, numbers: list[int]) -> list[tuple[float, float, int]]:
+    def left_out(self, doc_ids: list[int], vectors: list[Vector]) -> list[tuple[float, float, int]]:
         """(vote, mass, label) of the rows of these examples without their own vote."""
-        own = [(i, label) for i in numbers for label, mass in ((0, self.clean[i]), (1, self.toxic[i])) if mass > 0]
-        vectors = [self.example(i) for i, _ in own]
-        votes = (vote if len(v[0]) else self.blank for v, (vote, _) in zip(vectors, self.raw(vectors, own), strict=True))
-        return [(vote, float((self.clean, self.toxic)[label][i]), label) for (i, label), vote in zip(own, votes, strict=True)]
+        at = [self.numbers[d] for d in doc_ids]
+        own = [(i, label, v) for i, v in zip(at, vectors, strict=True) for label, mass in ((0, self.clean[i]), (1, self.toxic[i])) if mass > 0]
+        votes = self.raw([v for *_, v in own], [x[:2] for x in own])
+        return [(vote if len(v[0]) else self.blank, float((self.clean, self.toxic)[label][i]), label) for (i, label, v), (vote, _) in zip(own, votes, strict=True)]
 
     @staticmethod
     def fitted(votes: list[tuple[float, float, int]]) -> Knots:
@@ -364,8 +359,8 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int
     all0, all1 = held.get(0, 0), held.get(1, 0)
     per_term = texts.select("toxic", "text").mapInArrow(count_terms, "term bigint, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     # the terms of at most 2 x max_examples texts
-    counted = per_term.select("term", _significant(F.col("n1"), F.col("n0"), all1, all0).alias("ratio")).toArrow().sort_by("term")
-    hashes, raised = counted.column("term").to_numpy(), 1 + counted.column("ratio").to_numpy() / UNIT_RATIO
+    counted = per_term.select("term", (F.col("n0") + F.col("n1")).alias("n"), _significant(F.col("n1"), F.col("n0"), all1, all0).alias("ratio")).toArrow().sort_by("term")
+    hashes, times, raised = counted.column("term").to_numpy(), counted.column("n").to_numpy(), 1 + counted.column("ratio").to_numpy() / UNIT_RATIO
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(hashes))
 
     def document_frequencies(batches):
@@ -394,23 +389,33 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int
     )
     unit = (totals.get(0, 0) / all0 if all0 else 1.0, totals.get(1, 0) / all1 if all1 else 1.0)
     n = totals.get(0, 0) + totals.get(1, 0)
-    examples = grouped.select("terms", "tf", "n0", "n1", "doc_id").toArrow()  # at most 2 x max_examples
+    weighing = docs.sparkSession.sparkContext.broadcast((idf, np.argsort(np.lexsort((times, idf > 0)))))  # and terms by rank: of weight, then frequent
+
+    def weighted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        idf, rank = weighing.value
+        lists, tf = batch.column(0), batch.column(1).flatten().to_numpy()
+        starts, terms, weights = unit_vectors(np.append(0, lists.value_lengths().to_numpy(zero_copy_only=False).cumsum()), lists.flatten().to_numpy(), tf, idf)
+        kind = [int(rank[terms[a:b]].max(initial=-1)) for a, b in zip(starts, starts[1:], strict=False)]
+        ends = pa.array(starts, pa.int32())
+        made = [pa.ListArray.from_arrays(ends, pa.array(terms, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(weights, pa.float32()))]
+        return pa.record_batch([*batch.columns[2:], pa.array(kind, pa.int64()), *made], names=["n0", "n1", "doc_id", "kind", "terms", "weights"])
+
+    made = scratch.save(map_batches(grouped.select("terms", "tf", "n0", "n1", "doc_id"), weighted, "n0 bigint, n1 bigint, doc_id bigint, kind bigint, terms array<int>, weights array<float>"), "vectors")
     # examples that share their most frequent telling term, and of one label, stand together, so that blocks differ
-    lists = examples.column("terms").combine_chunks()
-    times = np.bincount(lists.flatten().to_numpy(), minlength=len(idf))
-    terms, starts = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
-    telling = np.argsort(np.lexsort((times, idf > 0)))  # rank of each term: of weight, then frequent
-    kind = np.array([telling[terms[a:b]].max(initial=-1) for a, b in zip(starts, starts[1:], strict=False)])
-    examples = examples.append_column("kind", pa.array(kind)).append_column("label", pa.array(examples.column("n1").to_numpy() > 0)).sort_by([(c, "ascending") for c in ("kind", "label", "doc_id")])
     spark = docs.sparkSession
-    scorer = spark.sparkContext.broadcast(Scorer(idf, examples, unit, totals.get(1, 0) / n if n else 0.5))
+    prior = totals.get(1, 0) / n if n else 0.5
+    scorer = spark.sparkContext.broadcast(Scorer(idf, made.orderBy("kind", F.col("n1") > 0, "doc_id").toArrow(), unit, prior))  # at most 2 x max_examples
+    release_memory()
 
     def left_out(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = scorer.value.left_out(batch.column(0).to_pylist())
+        lists, weights = batch.column(1), batch.column(2).flatten().to_numpy().astype(float)
+        ends = np.append(0, lists.value_lengths().to_numpy(zero_copy_only=False).cumsum())
+        terms = lists.flatten().to_numpy()
+        got = scorer.value.left_out(batch.column(0).to_pylist(), [(terms[a:b], weights[a:b]) for a, b in zip(ends, ends[1:], strict=False)])
         return pa.record_batch([pa.array([x[i] for x in got], t) for i, t in enumerate((pa.float64(), pa.float64(), pa.int32()))], names=["vote", "mass", "label"])
 
-    numbers = spark.range(0, examples.num_rows, 1, max(1, min(spark.sparkContext.defaultParallelism * 2, examples.num_rows // BATCH)))
-    votes = map_batches(numbers, left_out, "vote double, mass double, label int").collect()  # at most 2 x max_examples
+    votes = map_batches(made.select("doc_id", "terms", "weights").repartition(spark.sparkContext.defaultParallelism * 2), left_out, "vote double, mass double, label int").collect()  # at most 2 x max_examples
+    scratch.drop(made)
     scratch.drop(texts, train)
     return scorer, shared, Scorer.fitted([tuple(r) for r in votes])
 
