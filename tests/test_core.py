@@ -359,6 +359,57 @@ def test_judgment(spark):
         judgment.judge(df, "route", "text", F.lit("x"), provider)
 
 
+def test_answers_of_any_form(spark):
+    df = spark.createDataFrame([(1, "seven"), (2, "nothing")], "id int, text string")
+    made = judgment.generate_json(df, "text", {"type": "object", "properties": {"n": {"type": "integer"}}}, F.lit("?"), lambda rs: ['{"n": 7}' if "seven" in p else "none" for p, _ in rs]).orderBy("id").collect()
+    assert made[0].reply == '{"n": 7}' and made[0].error is None and made[1].reply is None and made[1].error.startswith("INVALID_REPLY")
+    got = judgment.extract(df, "text", {"type": "array", "items": {"type": "integer"}}, F.lit("?"), lambda rs: [json.dumps({"result": [7], "confidence": 1, "reason": "r"} if "seven" in p else {"confidence": 1, "reason": "r"}) for p, _ in rs]).orderBy("id").collect()
+    assert got[0].reply.result == "[7]" and got[0].reply.confidence == 1 and got[1].reply is None
+    table = records.numbered(df, "id")
+    asked = []
+
+    def programmer(requests):
+        asked.extend(requests)
+        return ['{"ops": [{"op": "map_field", "field": "text", "transform": "uppercase"}, {"op": "reverse"}]}']
+
+    out, steps = judgment.edit_records(table, "Shout, last one first", programmer)
+    assert [r.text for r in out.orderBy("pos").collect()] == ["NOTHING", "SEVEN"] and len(steps) == 2 and len(asked) == 1 and "seven" not in asked[0][0] and "text: string" in asked[0][0]
+    with pytest.raises(Refused, match="NOT_A_PROGRAM"):
+        judgment.edit_records(table, "x", lambda rs: ['{"ops": [{"op": "drop_fields", "fields": ["none"]}]}'])
+    for bad in (lambda: judgment.edit_records(table, " ", programmer), lambda: judgment.decide_many(df, "text", [""], F.lit("?"), programmer)):
+        with pytest.raises(Refused, match="INPUT_REQUIRED"):
+            bad()
+
+
+def test_small_systems():
+    from tidemark.functions.linear import cholesky, solve_spd
+
+    g = np.random.default_rng(5)
+    m = g.normal(size=(20, 4, 6))
+    a, b = m @ np.swapaxes(m, 1, 2), g.normal(size=(20, 4))
+    x, good = solve_spd(a, b)
+    assert good.all() and np.allclose(np.einsum("nij,nj->ni", a, x), b)
+    flat = np.array([[[1.0, 1.0], [1.0, 1.0]], [[2.0, 0.0], [1.0, 2.0]], [[-1.0, 0.0], [0.0, 1.0]], [[2.0, 1.0], [1.0, 2.0]]])
+    assert cholesky(flat)[1].tolist() == [False, False, False, True]  # no rank, not symmetric, a negative pivot
+
+
+def test_lines(spark, tmp_path):
+    lists = ['["a", 1, 2.50, null, true, {"b": [1]}, "é\\n"]', "[]", "{}", "x", None]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x string").orderBy("i").select(convert.lines_of_json(F.col("x"))).collect()]
+    assert got == [["a", "1", "2.5", "null", "true", '{"b":[1]}', "é\n"], [], None, None, None]
+    lines = ["plain", 'a "b", c', "", "x"]
+    convert.lines_to_csv(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1), str(tmp_path / "csv"))
+    assert [r.value for r in convert.csv_to_lines(spark, str(tmp_path / "csv")).collect()] == lines
+    (tmp_path / "in.csv").write_text('\ufeffname,n\nAda,1\n,2\n"Bo\nb",3\n', encoding="utf-8")
+    assert [r.value for r in convert.csv_to_lines(spark, str(tmp_path / "in.csv")).collect()] == ["Ada", "", "Bo\nb"]
+
+
+def test_checked_times(spark):
+    far = F.timestamp_micros(F.lit(times.MICROS_MAX))
+    row = one(spark, times.since(far, F.timestamp_micros(F.lit(-5))).alias("a"), F.unix_micros(times.plus(F.timestamp_micros(F.lit(7)), -9)).alias("b"), times.plus(far, 1).isNull().alias("c"), times.days(F.lit(43_200_000_000)).alias("d"), times.year_before(F.lit(2024), F.lit(3)).alias("e"))
+    assert (row.a, row.b, row.c, row.d, tuple(row.e)) == (times.MICROS_MAX, -2, True, 0.5, (2023, 3))
+
+
 def test_entry(spark, sf):
     import __spark_entry__ as e
 

@@ -64,3 +64,51 @@ def period(label: Column) -> Column:
     fits = label.rlike(year_p) | (label.rlike(month_p) & first.isNotNull())
     name = F.coalesce(kind, F.when(day.isNotNull(), "DAY").otherwise("MONTH"))
     return F.when(fits, F.struct(name.alias("kind"), year.alias("year"), quarter.alias("quarter"), month.alias("month"), day.alias("day"), first.alias("start"), F.when(first.isNotNull(), end).alias("end")))
+
+
+MICROS_MAX, MICROS_MIN = (1 << 63) - 1, -(1 << 63)
+
+
+def plus(instant: Column, micros: Column | int) -> Column:
+    """An instant so many microseconds later (earlier, if below 0); null beyond what an instant holds."""
+    micros = micros if isinstance(micros, Column) else F.lit(micros).cast("bigint")
+    return F.timestamp_micros(F.try_add(F.unix_micros(instant), micros))
+
+
+def since(later: Column, earlier: Column) -> Column:
+    """Microseconds between two instants, held at the ends of a long."""
+    a, b = F.unix_micros(later), F.unix_micros(earlier)
+    return F.coalesce(F.try_subtract(a, b), F.when(a > b, F.lit(MICROS_MAX)).otherwise(F.lit(MICROS_MIN)))
+
+
+def seconds(micros: Column) -> Column:
+    return micros / 1e6
+
+
+def days(micros: Column) -> Column:
+    return micros / 86_400e6
+
+
+def last_week(day: Column) -> Column:
+    """Struct (start, end) of the last whole week before a day, Monday to Monday; the end is exclusive."""
+    monday = F.date_trunc("week", day).cast("date")
+    return F.struct(F.date_sub(monday, 7).alias("start"), monday.alias("end"))
+
+
+def previous_period(year: Column, index: Column, per_year: int) -> Column:
+    """Struct (year, index) of the period before, numbered from 1 to ``per_year`` within a year."""
+    return back(year, index, per_year, 1)
+
+
+def next_period(year: Column, index: Column, per_year: int) -> Column:
+    return F.struct((year + (index >= per_year).cast("int")).alias("year"), F.when(index < per_year, index + 1).otherwise(F.lit(1)).alias("index"))
+
+
+def year_before(year: Column, index: Column) -> Column:
+    return F.struct((year - 1).alias("year"), index.alias("index"))
+
+
+def back(year: Column, index: Column, per_year: int, steps: Column | int) -> Column:
+    """So many periods before."""
+    at = year * per_year + index - 1 - steps
+    return F.struct(F.floor(at / per_year).cast("int").alias("year"), (F.pmod(at, F.lit(per_year)) + 1).cast("int").alias("index"))

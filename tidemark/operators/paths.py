@@ -9,6 +9,7 @@ from ..errors import Refused, choice, refuse_when
 from .series import KEY, TIME, VALUE, _by_time, _pair, _stepped, sound
 
 YEAR_S = 365.25 * 86400
+BINS = 1024
 
 
 def returns(path: DataFrame, kind: str = "simple") -> DataFrame:
@@ -30,10 +31,19 @@ def growth(path: DataFrame) -> DataFrame:
     return held.select(KEY, refuse_when(F.col("f") <= 0, "NOT_DEFINED", "a path starts above 0", total).alias("total_return"), refuse_when(bad, "NOT_DEFINED", "growth a year needs a positive start and span", F.pow(1 + total, 1 / F.nullif(years, F.lit(0.0))) - 1).alias("cagr"))
 
 
-def drawdown(path: DataFrame) -> DataFrame:
-    """(series_id, depth, peak_time, trough_time): the deepest fall from a running peak; of equal ones the first."""
-    peak = F.max(F.struct(VALUE, (-F.unix_micros(TIME)).alias("t"))).over(_by_time().rowsBetween(Window.unboundedPreceding, 0))
-    held = _stepped(path).select(KEY, TIME, VALUE, peak.alias("p")).withColumn("d", 1 - F.col(VALUE) / F.nullif(F.col(f"p.{VALUE}"), F.lit(0.0)))
+def drawdown(path: DataFrame, bucket: str = "year") -> DataFrame:
+    """(series_id, depth, peak_time, trough_time): the deepest fall from a running peak; of equal ones the first. Peaks run within
+    a ``bucket``, and the highest of the buckets before it is carried over."""
+    top = F.struct(VALUE, (-F.unix_micros(TIME)).alias("t"))
+    ends = sound(path).withColumn("__b", F.date_trunc(bucket, TIME)).groupBy(KEY, "__b").agg(F.max(top).alias("__e"))
+    before = Window.partitionBy(KEY).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(KEY, "__b", F.max("__e").over(before).alias("__c"))
+    w = Window.partitionBy(KEY, "__b").orderBy(TIME)
+    again = F.coalesce(F.lag(TIME).over(w) == F.col(TIME), F.lit(False))
+    held = sound(path).withColumn("__b", F.date_trunc(bucket, TIME)).join(carry, [KEY, "__b"])
+    held = held.withColumn(VALUE, refuse_when(again, "NOT_A_SERIES", "times must differ within a series", F.col(VALUE)))
+    held = held.select(KEY, TIME, VALUE, F.greatest(F.max(top).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__c").alias("p"))
+    held = held.withColumn("d", 1 - F.col(VALUE) / F.nullif(F.col(f"p.{VALUE}"), F.lit(0.0)))
     best = held.groupBy(KEY).agg(F.min(VALUE).alias("low"), F.max_by(F.struct("d", "p", TIME), F.struct("d", -F.unix_micros(TIME))).alias("m"))
     depth = refuse_when(F.col("low") <= 0, "NOT_DEFINED", "a drawdown needs values above 0", F.col("m.d"))
     return best.select(KEY, depth.alias("depth"), F.timestamp_micros(-F.col("m.p.t")).alias("peak_time"), F.col(f"m.{TIME}").alias("trough_time"))
@@ -49,11 +59,30 @@ def ratios(rets: DataFrame, periods_per_year: float, target: float = 0.0) -> Dat
     return held.select(KEY, (F.col("s") * root).alias("volatility"), sharpe.alias("sharpe"), sortino.alias("sortino"))
 
 
+def quantile(s: DataFrame, share: float, bins: int = BINS) -> DataFrame:
+    """(series_id, q): the interpolated quantile of each series. Values are counted in equal bins between the least and the
+    largest; only those of the one or two bins that hold the wanted ranks are sorted."""
+    lo = F.floor((F.col("n") - 1) * share)
+    ends = s.groupBy(KEY).agg(F.count("*").alias("n"), F.min(VALUE).alias("a"), F.max(VALUE).alias("z")).withColumn("lo", lo)
+    width = F.nullif(F.col("z") - F.col("a"), F.lit(0.0))
+    bin_ = F.coalesce(F.least(F.floor((F.col(VALUE) - F.col("a")) / width * bins), F.lit(bins - 1)), F.lit(0))
+    placed = s.select(KEY, VALUE).join(ends, KEY).withColumn("bin", bin_)
+    counts = placed.groupBy(KEY, "bin").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy(KEY).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = counts.withColumn("before", before).join(ends.select(KEY, "lo"), KEY).where("before <= lo + 1 AND before + c > lo").select(KEY, "bin", "before")
+    rank = F.col("before") + F.row_number().over(Window.partitionBy(KEY, "bin").orderBy(VALUE)) - 1
+    ranked = placed.join(wanted, [KEY, "bin"]).withColumn("r", rank)
+    both = ranked.groupBy(KEY).agg(F.max("n").alias("n"), F.max("lo").alias("lo"), F.max(F.when(F.col("r") == F.col("lo"), F.col(VALUE))).alias("x"), F.max(F.when(F.col("r") == F.col("lo") + 1, F.col(VALUE))).alias("y"))
+    over = (F.col("n") - 1) * share - F.col("lo")
+    return both.select(KEY, (F.col("x") + F.when(over > 0, over * (F.col("y") - F.col("x"))).otherwise(0.0)).alias("q"))
+
+
 def tail(rets: DataFrame, confidence: float = 0.95) -> DataFrame:
     """(series_id, value_at_risk, expected_shortfall): the interpolated quantile of losses and the mean beyond it."""
     if not 0 < confidence < 1:
         raise Refused("NOT_DEFINED", "confidence lies between 0 and 1", "confidence")
-    q = rets.groupBy(KEY).agg(F.percentile(VALUE, F.lit(1 - confidence)).alias("q"))
+    rets = sound(rets)
+    q = quantile(rets, 1 - confidence)
     return rets.join(q, KEY).groupBy(KEY).agg((-F.first("q")).alias("value_at_risk"), (-F.avg(F.when(F.col(VALUE) <= F.col("q"), F.col(VALUE)))).alias("expected_shortfall"))
 
 

@@ -80,6 +80,13 @@ def _lit(value: Any) -> Column:
     return F.lit(value)
 
 
+def json_type(t: T.DataType) -> str:
+    """The JSON name of a column's type."""
+    if isinstance(t, T.StructType | T.MapType):
+        return "object"
+    return "array" if isinstance(t, T.ArrayType) else "boolean" if isinstance(t, T.BooleanType) else "number" if _numeric(t) else "string"
+
+
 def _numeric(t: T.DataType) -> bool:
     return isinstance(t, T.NumericType)
 

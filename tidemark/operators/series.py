@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..errors import Refused, choice, refuse_when, whole
+from ..functions.linear import solve_spd
 
 KEY, TIME, VALUE = "series_id", "time", "value"
 UNITS = {"daily": "day", "weekly": "week", "monthly": "month", "quarterly": "quarter", "annual": "year"}
@@ -158,31 +160,30 @@ def correlate(a: DataFrame, b: DataFrame) -> DataFrame:
 
 @F.pandas_udf(ArrayType(DoubleType()))
 def _solve(n: pd.Series, means: pd.Series, moments: pd.Series) -> pd.Series:
-    """intercept, slopes, r squared, residual deviation from sample moments; null where they do not determine them."""
-    import numpy as np
-
-    def one(n, mean, flat):
-        k = len(mean)
-        cov = np.asarray(flat, dtype=float).reshape(k, k)
-        x, y = cov[1:, 1:], cov[1:, 0]
-        if n < k + 1:
-            return None
-        scale = np.sqrt(np.maximum(np.diag(x), 0))
-        if (scale == 0).any() or np.linalg.cond(x / np.outer(scale, scale)) > 1e12:
-            return None
-        slopes = np.linalg.solve(x / np.outer(scale, scale), y / scale) / scale
-        rest = max(0.0, (n - 1) * (cov[0, 0] - slopes @ y))
-        total = (n - 1) * cov[0, 0]
-        return [mean[0] - slopes @ np.asarray(mean[1:]), *slopes, 1 - rest / total if total > 0 else 1.0, (rest / (n - k)) ** 0.5]
-
-    return pd.Series([one(*row) for row in zip(n, means, moments, strict=True)], dtype=object)
+    """intercept, slopes, r squared, residual deviation from sample moments; null where they do not determine them. Pivots of
+    the centred products are those of the normal equations behind the intercept's."""
+    rows = n.to_numpy()
+    if not len(rows):
+        return pd.Series([], dtype=object)
+    mean = np.stack(means.to_numpy()).astype(float)
+    k = mean.shape[1]
+    product = np.stack(moments.to_numpy()).astype(float).reshape(-1, k, k) * (rows - 1)[:, None, None]
+    squares = np.diagonal(product, axis1=1, axis2=2) + rows[:, None] * mean**2
+    scale = np.maximum(np.maximum(squares[:, 1:].max(axis=1), rows), 1.0)
+    slopes, good = solve_spd(product[:, 1:, 1:], product[:, 1:, 0], scale)
+    total = product[:, 0, 0]
+    good &= (rows >= k + 1) & (total > 0)
+    rest = np.maximum(total - (slopes * product[:, 1:, 0]).sum(axis=1), 0.0)
+    with np.errstate(all="ignore"):
+        out = np.column_stack([mean[:, 0] - (slopes * mean[:, 1:]).sum(axis=1), slopes, 1 - rest / total, np.sqrt(rest / (rows - k))])
+    return pd.Series([list(x) if fits else None for x, fits in zip(out, good, strict=True)], dtype=object)
 
 
 def regress(y: DataFrame, *xs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Least squares with intercept on the instants that all share: (coefficients, residual series).
 
     One aggregation gathers means and covariances - (k + 1)^2 numbers a series - and the small solve runs where they are.
-    Too few instants (under k + 2) and collinear regressors are refused.
+    Too few instants (under k + 2), constant or collinear regressors and a constant y are refused.
     """
     if not xs:
         raise Refused("REGRESSOR_REQUIRED", "regress takes one regressor or more", "regressors")
@@ -191,19 +192,30 @@ def regress(y: DataFrame, *xs: DataFrame) -> tuple[DataFrame, DataFrame]:
     v = [f"v{i}" for i in range(k + 1)]
     moments = table.groupBy(KEY).agg(F.count("*").alias("observations"), F.array(*map(F.avg, v)).alias("m"), F.array(*(F.covar_samp(p, q) for p in v for q in v)).alias("c"))
     solved = moments.select(KEY, "observations", _solve("observations", "m", "c").alias("b"))
-    got = solved.select(KEY, "observations", refuse_when(F.col("b").isNull(), "NOT_DEFINED", "too few instants, or collinear regressors", F.col("b")).alias("b"))
+    got = solved.select(KEY, "observations", refuse_when(F.col("b").isNull(), "NOT_DEFINED", "too few instants, collinear regressors, or a constant series", F.col("b")).alias("b"))
     out = got.select(KEY, F.get("b", F.lit(0)).alias("alpha"), F.slice("b", 2, k).alias("betas"), F.get("b", F.lit(k + 1)).alias("r_squared"), F.get("b", F.lit(k + 2)).alias("residual_std"), "observations")
     fitted = reduce(lambda acc, i: acc + F.get("betas", F.lit(i)) * F.col(f"v{i + 1}"), range(k), F.col("alpha"))
     residuals = table.join(out.select(KEY, "alpha", "betas"), KEY).select(KEY, TIME, (F.col("v0") - fitted).alias(VALUE))
     return out, residuals
 
 
-def as_of(left: DataFrame, right: DataFrame) -> DataFrame:
+def carried(df: DataFrame, bucket: str, end: Column, name: str) -> DataFrame:
+    """``df`` with ``__b``, the calendar unit of a row's time, and ``name``: the last ``end`` - an aggregate of a unit - of the
+    units before it. A long series is handled unit by unit; only a row for each unit is ordered as a whole."""
+    df = df.withColumn("__b", F.date_trunc(bucket, TIME))
+    ends = df.groupBy(KEY, "__b").agg(end.alias("__e"))
+    before = Window.partitionBy(KEY).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    return df.join(ends.select(KEY, "__b", F.last("__e", ignorenulls=True).over(before).alias(name)), [KEY, "__b"])
+
+
+def as_of(left: DataFrame, right: DataFrame, bucket: str = "month") -> DataFrame:
     """``left`` (series_id, time, ...) with ``as_of_time`` and ``as_of_value``: the right series' last point at or before each
-    time (null before the first). A union sorted once by key, not a range join."""
+    time (null before the first). A union sorted by series and ``bucket``, not a range join; what the months before leave
+    behind is carried from one row for each."""
     cols = [c for c in left.columns if c not in (KEY, TIME)]
     a = left.select(KEY, TIME, F.lit(1).alias("__side"), F.struct(*cols).alias("__l") if cols else F.struct(F.lit(None).alias("x")).alias("__l"), F.lit(None).cast("struct<t:timestamp,v:double>").alias("__r"))
-    b = right.select(KEY, TIME, F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__l"].dataType).alias("__l"), F.struct(F.col(TIME).alias("t"), F.col(VALUE).alias("v")).alias("__r"))
-    w = Window.partitionBy(KEY).orderBy(TIME, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    held = a.unionByName(b).withColumn("__r", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
-    return held.select(KEY, TIME, *(F.col(f"__l.{c}").alias(c) for c in cols), F.col("__r.t").alias("as_of_time"), F.col("__r.v").alias("as_of_value"))
+    b = sound(right).select(KEY, TIME, F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__l"].dataType).alias("__l"), F.struct(F.col(TIME).alias("t"), F.col(VALUE).alias("v")).alias("__r"))
+    held = carried(a.unionByName(b), bucket, F.max("__r"), "__c")
+    w = Window.partitionBy(KEY, "__b").orderBy(TIME, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    held = held.withColumn("__r", F.coalesce(F.last("__r", ignorenulls=True).over(w), "__c")).where("__side = 1")
+    return held.select(KEY, TIME, *(F.col(f"__l.`{c}`").alias(c) for c in cols), F.col("__r.t").alias("as_of_time"), F.col("__r.v").alias("as_of_value"))

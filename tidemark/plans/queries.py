@@ -445,6 +445,20 @@ def trial_stretches(spark, d):
     return trials.trial(orders_series(spark, d), ASKED)[1]
 
 
+@query(
+    "SELECT o_orderkey, CASE WHEN quarter(o_orderdate) > 1 THEN year(o_orderdate) ELSE year(o_orderdate) - 1 END * 10 + CASE WHEN quarter(o_orderdate) > 1 THEN quarter(o_orderdate) - 1 ELSE 4 END AS before, CASE WHEN month(o_orderdate) < 12 THEN year(o_orderdate) * 100 + month(o_orderdate) + 1 ELSE (year(o_orderdate) + 1) * 100 + 1 END AS after,"
+    " CAST(strftime(o_orderdate - INTERVAL 17 MONTH, '%Y%m') AS BIGINT) AS back, strftime(date_trunc('week', o_orderdate) - INTERVAL 7 DAY, '%Y-%m-%d') AS week_start, date_diff('day', DATE '1970-01-01', o_orderdate) * 86400000000 AS micros FROM orders"
+)
+def time_arithmetic(spark, d):
+    t = F.col("o_orderdate").cast("timestamp")
+    n = lambda p, base: (p["year"] * base + p["index"])
+    y, q, m = F.year(t), F.quarter(t), F.month(t)
+    epoch = F.timestamp_micros(F.lit(0))
+    return table(spark, d, "orders").select(
+        "o_orderkey", n(T.previous_period(y, q, 4), 10).alias("before"), n(T.next_period(y, m, 12), 100).alias("after"), n(T.back(y, m, 12, 17), 100).cast("bigint").alias("back"), F.date_format(T.last_week(t)["start"], "yyyy-MM-dd").alias("week_start"), T.since(T.plus(t, 0), epoch).alias("micros"),
+    )
+
+
 # judgments: a provider that reads the answer off the request
 def _words_of(requests):
     import json
@@ -464,6 +478,25 @@ def judge_classify(spark, d):
     return got.select("doc_id", F.col("reply.label").alias("label"), F.col("error").isNotNull().alias("refused"))
 
 
+def _yes_no(requests):
+    import json
+
+    out = []
+    for prompt, _ in requests:
+        text = prompt.split("\n\n", 1)[1]
+        res = [{"res": int("e" in text), "confidence": 0.9, "reason": "e"}, {"res": int(len(text) > 800), "confidence": 0.5, "reason": "n"}]
+        out.append(json.dumps({"res": res[: 1 + (len(text) % 2)]}))  # every second reply lacks an answer
+    return out
+
+
+@query(
+    "WITH q AS (SELECT doc_id, coalesce(text, '') AS t, unnest(['Has it an e?', 'Is it long?']) AS title FROM documents) SELECT doc_id, title, CASE WHEN length(t) % 2 = 1 THEN CASE title WHEN 'Has it an e?' THEN strpos(t, 'e') > 0 ELSE length(t) > 800 END END AS value, CASE WHEN length(t) % 2 = 1 THEN title = 'Is it long?' END AS unsure, length(t) % 2 = 0 AS refused FROM q"
+)
+def judge_decide_many(spark, d):
+    got = judgment.decide_many(table(spark, d, "documents").select("doc_id", "text"), "text", ["Has it an e?", "Is it long?"], F.lit("Answer each:"), _yes_no)
+    return got.select("doc_id", "title", "value", F.col("confidence_below_threshold").alias("unsure"), F.col("error").isNotNull().alias("refused"))
+
+
 # options
 def _option_rows(spark, d):
     r = F.col("p_retailprice")

@@ -93,6 +93,23 @@ def list_item(line: Column) -> Column:
     return F.when(is_json(line), line).otherwise(as_text)
 
 
+def lines_of_json(items: Column) -> Column:
+    """Array of the lines of a JSON array's text: strings as they are, anything else as its JSON; null if it is no array."""
+    listed = F.try_variant_get(F.when(is_json(items), F.try_parse_json(items)), "$", "array<variant>")
+    return F.transform(listed, lambda v: F.coalesce(F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")), F.to_json(v)))
+
+
+def lines_to_csv(lines: DataFrame, path: str, column: str = "value") -> None:
+    """Writes lines as a CSV of one column, named ``value``."""
+    lines.select(F.col(column).alias("value")).write.option("header", True).option("escape", '"').option("emptyValue", '""').csv(path)
+
+
+def csv_to_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value) of each row's first field, blank ones too; a byte order mark goes with the header."""
+    table = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", "\u0000").option("emptyValue", "").csv(path)
+    return table.select(F.coalesce(F.col(f"`{table.columns[0]}`"), F.lit("")).alias("value"))
+
+
 def _need_yaml():
     if yaml is None:
         raise Refused("NOT_DEFINED", "no YAML library is installed", "format")
