@@ -251,6 +251,8 @@ def test_urls(spark):
         ("http://a.org/x", '<link rel="alternate canonical" href="http://b.org/y">', "http://b.org/y"),
         ("http://a.org/x", '<link rel="canonical" href="http://b.org/y?a=1&amp;b=2">', "http://b.org/y?a=1&b=2"),
         ("http://a.org/x", '<meta http-equiv="refresh" content="0; url=/y?a=1&amp;b=2">', "http://a.org/y?a=1&b=2"),
+        ("http://a.org/x/y", '<base href="/d/"><link rel="canonical" href="page.html">', "http://a.org/d/page.html"),
+        ("http://a.org/x/y", '<base href="http://b.org/e/f"><link rel="canonical" href="../g">', "http://b.org/g"),
         ("http://a.org/x", '<link rel="not-canonical" href="http://b.org/y">', None),
         ("http://a.org/x", '<link rel="canonical" href="mailto:a@b.org">', None),
     ],
@@ -260,6 +262,44 @@ def test_links(spark, url, tag, target):
     assert [r.target for r in got] == ([] if target is None else [target])
 
 
+def test_urls_against_all_paths(spark):
+    """Random graphs of links - chains, cycles, hubs, allowed pages among blocked ones - against a search by hand."""
+    r = random.Random(12)
+    hosts = ["example.org", "sub.example.org", "a.com", "b.com", "free.net", "mirror.net", "other.io"]
+    made = [f"http{'s' * r.randrange(2)}://{r.choice(hosts)}/{r.choice(['es', 'en', 'fr', 'de', 'x'])}/{i}" for i in range(260)]
+    goes = {i: [] for i in range(260)}
+    for i in range(0, 120, 6):  # chains, every second one closed
+        for j in range(i, i + 5):
+            goes[j].append(j + 1)
+        if i % 12 == 0:
+            goes[i + 5].append(i)
+    for i in range(120, 200):
+        goes[i].append(r.choice([120, 121, r.randrange(120, 200)]))
+    html = lambda i: "<p>" + "".join(f'<link rel="canonical" href="{made[j]}">' if k % 2 else f'<meta http-equiv="refresh" content="0; url={made[j]}">' for k, j in enumerate(goes[i]))
+    pages = [(i, made[i], html(i)) for i in range(260)] + [(900, "https://far.net/", '<link rel="canonical" href="http://example.org/es/nowhere">'), (901, "x" * 100_000, "y" * 300_000), (None, None, html(0))]
+    got = {x.page_id: x.verdict for x in urls.judge(spark.createDataFrame(pages, "page_id bigint, url string, html string"), queries.RULES).collect()}
+
+    def ruled(url):
+        host, _, path = url.split("://")[1].partition("/")
+        fits = [(len(h + p), v) for v, h, p in queries.RULES if (host == h or host.endswith("." + h)) and f"/{path}".startswith(p)]
+        return max(fits)[1] if fits else None
+
+    near = {i: set() for i in range(260)}
+    for i, js in goes.items():
+        for j in js:
+            if made[i] != made[j]:
+                near[i].add(j)
+                near[j].add(i)
+    for i in range(260):
+        group, new = {i}, [i]
+        while new:
+            new = [j for x in new for j in near[x] if j not in group and not group.add(j)]
+        verdicts = {ruled(made[j]) for j in group}
+        want = ruled(made[i]) or ("block" if "block" in verdicts and "allow" not in verdicts else "allow")
+        assert got[i] == want, (made[i], [made[j] for j in group])
+    assert got[900] == "block" and got[901] == got[None] == "allow" and {"block", "allow"} == set(got.values())
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(0, i) for i in range(1000, 1100)] + [(i, i + 1) for i in range(2000, 2060)] + [(None, 4), (9, 9)]

@@ -71,7 +71,7 @@ def resolved(to: Column, url: Column) -> Column:
 
 def links(pages: DataFrame) -> DataFrame:
     """(source, target) of each meta refresh and canonical link, as nodes. Targets are decoded (&amp; and its numbers) and
-    resolved against the page's url; ``base`` elements are not read."""
+    resolved against the page's url, or against its first ``base``."""
     html, url = F.coalesce("html", F.lit("")), F.col("url")
     tags = F.when(html.rlike("(?i)canonical|http-equiv"), F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<(?:link|meta)\b[^>]*>"), F.lit(0)))
     canonical = lambda t: t.rlike(r"""(?is)^<link\b.*?\brel\s*=\s*(?:"[^"]*(?<![^\s"])canonical(?![^\s"])|'[^']*(?<![^\s'])canonical(?![^\s'])|canonical(?![^\s>/]))""")
@@ -79,8 +79,10 @@ def links(pages: DataFrame) -> DataFrame:
     href = lambda t: F.regexp_extract(t, r"""(?i)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1)
     goes = lambda t: F.regexp_extract(t, r"""(?i)\burl\s*=\s*["']?\s*([^"'\s>;]+(?:;[^"'\s>;]+)*)""", 1)
     target = lambda t: F.when(canonical(t), href(t)).when(refresh(t), goes(t)).otherwise(F.lit(""))
-    found = pages.where(tags.isNotNull()).select(url.alias("url"), F.explode(F.transform(tags, target)).alias("to")).where("to <> ''")
-    full = resolved(F.regexp_replace("to", "(?i)&(?:amp|#38|#x26);", "&"), url)
+    base = F.regexp_extract(html, r"""(?i)<base\b[^>]*?\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1)
+    found = pages.where(tags.isNotNull()).select(url.alias("url"), base.alias("base"), F.explode(F.transform(tags, target)).alias("to")).where("to <> ''")
+    plain = lambda c: F.regexp_replace(c, "(?i)&(?:amp|#38|#x26);", "&")
+    full = resolved(plain("to"), F.when(F.col("base") != "", resolved(plain("base"), url)).otherwise(url))
     return found.select(node_of(url).alias("source"), node_of(full).alias("target")).where("source IS NOT NULL AND target IS NOT NULL AND source <> target")
 
 
@@ -97,6 +99,8 @@ def judge(pages: DataFrame, rules: Rules, scratch: Scratch | None = None) -> Dat
     url = F.col("url")
     own = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("__node"))
     own = own.withColumn("__own", rule_of(F.col("host"), F.col("path"), rules))
+    # pages without a node would all meet in one task; what stands in for it is no url
+    own = own.withColumn("__node", F.coalesce("__node", F.concat(F.lit(" "), F.xxhash64("page_id").cast("string"))))
     held = own.join(blocked.select(F.col("node").alias("__alias")).distinct(), F.col("__node") == F.col("__alias"), "left")
     verdict = F.coalesce(F.col("__own.verdict"), F.when(F.col("__alias").isNotNull(), F.lit("block")), F.lit("allow"))
     return held.select("page_id", "host", "path", F.col("__own.rule").alias("rule"), verdict.alias("verdict"))
