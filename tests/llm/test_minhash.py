@@ -79,3 +79,17 @@ def test_forest_of_blocks():
     sets = [np.arange(100, dtype="<i4") + s for s in (0, 1, 2, 500, 501, 900)]
     links = minhash._block_links((ids, ids.copy(), sets), None, 48, 19)
     assert len(links) == 3 and {frozenset(p) for p in links} <= {frozenset(p) for p in [(0, 1), (0, 2), (1, 2), (3, 4)]}
+
+
+def test_no_link_is_lost_at_the_threshold():
+    """Pairs of sets whose Jaccard similarity is 0.75 to the letter: how many retained values they share, at worst."""
+    import numpy as np
+
+    g = np.random.default_rng(8)
+    for m, pairs in ((9, 4000), (40, 4000), (300, 1500), (2000, 300)):
+        least = minhash.SKETCH
+        for _ in range(pairs):
+            v = g.permutation(np.arange(8 * m))  # ranks of hashes: 6 m common ones, m of each alone
+            a, b = np.sort(v[: 7 * m])[: minhash.SKETCH], np.sort(np.concatenate([v[: 6 * m], v[7 * m :]]))[: minhash.SKETCH]
+            least = min(least, len(np.intersect1d(a, b, assume_unique=True)))
+        assert least >= minhash.MIN_OVERLAP, (m, least)

@@ -22,6 +22,7 @@ SHARD = 5_000
 DEGREE = 24
 BEAM = 64
 RELAX = 1.2
+SAME = 1e-6
 QUERIES_PER_BLOCK = 256
 
 
@@ -67,7 +68,8 @@ def beam_search(points: np.ndarray, graph: np.ndarray, entry: int, queries: np.n
 
 def robust_prune(points: np.ndarray, nodes: np.ndarray, near: np.ndarray, degree: int, relax: float) -> np.ndarray:
     """For each node up to ``degree`` of its proposed neighbours: the nearest left is kept, and proposals that lie nearer
-    to it, by the factor ``relax``, than to the node go."""
+    to it, by the factor ``relax``, than to the node go. Those in the node's own direction prune nothing of each other, up to
+    half of the degree: all of them would lie nearer to the first than to the node."""
     own = points[nodes]
     there = points[np.where(near < 0, 0, near)]
     to_node = 1 - np.einsum("bcd,bd->bc", there, own, optimize=True)
@@ -79,15 +81,18 @@ def robust_prune(points: np.ndarray, nodes: np.ndarray, near: np.ndarray, degree
     np.put_along_axis(twice, order[:, 1:], again[:, 1:] == again[:, :-1], 1)
     to_node[twice] = np.inf
     out = np.full((len(nodes), degree), -1)
-    rows = np.arange(len(nodes))
+    rows, same = np.arange(len(nodes)), to_node < SAME
     for j in range(degree):
+        if j == degree // 2:
+            to_node[same] = np.inf
+            same[:] = False
         pick = np.argmin(to_node, axis=1)
         live = np.isfinite(to_node[rows, pick])
         if not live.any():
             break
         out[live, j] = near[rows[live], pick[live]]
         between = 1 - np.einsum("bcd,bd->bc", there, there[rows, pick], optimize=True)
-        to_node[(relax * np.maximum(between, 0) <= to_node) & live[:, None]] = np.inf
+        to_node[(relax * np.maximum(between, 0) <= to_node) & live[:, None] & ~same] = np.inf
         to_node[rows, pick] = np.inf
     return out
 
