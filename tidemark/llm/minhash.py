@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, filter_by_ids, map_batches
+from .common import Scratch, filter_by_ids, fresh, map_batches
 from .components import connected_components
 
 SHINGLE = 5
@@ -311,5 +311,6 @@ def near_duplicates(docs: DataFrame, k: int = SKETCH, min_overlap: int = MIN_OVE
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component, the row of its smallest doc_id. All columns stay.
     Of rows that repeat a doc_id all stay."""
-    lost = near_duplicates(docs, **options).where("NOT kept").select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, docs["doc_id"].cast("bigint") == F.col("__lost"), "left_anti")
+    name = fresh(docs, "lost")
+    lost = near_duplicates(docs, **options).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(lost, docs["doc_id"].cast("bigint") == F.col(name), "left_anti")
