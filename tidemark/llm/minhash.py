@@ -225,6 +225,7 @@ def _cross_links(lists: DataFrame, heads: DataFrame, comps: DataFrame, docs: Dat
     held = scratch.save(held.join(open_lists.select("value"), "value"), "members")
     ids = held.select("rep").distinct()
     texts = filter_by_ids(docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text"), "rep", ids).join(ids, "rep", "left_semi")
+    texts = scratch.save(texts, "texts")  # else a task would hold two Python workers
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([batch.column(0), pa.array([shingle_set(t).astype("<i8").tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["rep", "hashes"])
@@ -251,7 +252,7 @@ def _cross_links(lists: DataFrame, heads: DataFrame, comps: DataFrame, docs: Dat
         return pa.record_batch([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
     found = scratch.save(map_batches(alone.union(both), compare, "a bigint, b bigint").distinct(), "cross", arrow_rows=4)
-    scratch.drop(blocks, pairs, sets, held)
+    scratch.drop(blocks, pairs, sets, texts, held)
     return found
 
 
