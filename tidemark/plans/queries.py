@@ -69,9 +69,11 @@ def _resample_queries() -> None:
     for every, unit in series.UNITS.items():
         for how, expr in sql.items():
             def run(spark, d, every=every, how=how):
-                return shown(series.resample(orders_series(spark, d), every, how), 3 if how == "mean" else 2)
+                got = series.resample(orders_series(spark, d), every, how)
+                # sums of cents over 8 or 16 days stand in the middle between two roundings: lifted on both sides
+                return shown(got.withColumn("value", F.col("value") + 1e-7), 4) if how == "mean" else shown(got)
 
-            query(f"WITH {_S1}, r AS (SELECT k, max(t) AS t, {expr} AS v FROM s1 GROUP BY k, date_trunc('{unit}', t)) SELECT k AS series_id, {_TS} AS time, round(v, {3 if how == 'mean' else 2}) AS value FROM r", f"series_resample_{every}_{how}")(run)
+            query(f"WITH {_S1}, r AS (SELECT k, max(t) AS t, {expr} AS v FROM s1 GROUP BY k, date_trunc('{unit}', t)) SELECT k AS series_id, {_TS} AS time, round(v{' + 1e-7' if how == 'mean' else ''}, {4 if how == 'mean' else 2}) AS value FROM r", f"series_resample_{every}_{how}")(run)
 
 
 def _step_queries() -> None:
@@ -82,7 +84,7 @@ def _step_queries() -> None:
                 return shown(series.change(orders_series(spark, d), how, over), 4 if how != "difference" else 2)
 
             digits = 2 if how == "difference" else 4
-            query(f"WITH {_S1}, r AS (SELECT k, t, v, {lagged(over)} AS b FROM s1), c AS (SELECT k, t, {expr} AS v FROM r WHERE b IS NOT NULL) SELECT k AS series_id, {_TS} AS time, round(v, {digits}) AS value FROM c WHERE v IS NOT NULL", f"series_change_{how}" + (f"_over{over}" if over > 1 else ""))(run)
+            query(f"WITH {_S1}, r AS (SELECT k, t, v, {lagged(over)} AS b FROM s1), c AS (SELECT k, t, {expr} AS v FROM r WHERE b IS NOT NULL) SELECT k AS series_id, {_TS} AS time, round(v, {digits}) + 0.0 AS value FROM c WHERE v IS NOT NULL", f"series_change_{how}" + (f"_over{over}" if over > 1 else ""))(run)
     frame = "OVER (PARTITION BY k ORDER BY t ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
     for stat, expr in {"mean": "m", "sd": "s", "zscore": "(v - m) / s", "vol": "s * sqrt(365.0)"}.items():
         def run(spark, d, stat=stat):
