@@ -109,9 +109,7 @@ def by_hand(series, asked):
     return full, left, out
 
 
-CASES = [
-    trials.Asked("above", 2.0, 7, 9), trials.Asked("at_most", -1.5, 10, 11, "any_time", 3), trials.Asked("below", 0.0, 5, 10, "any_time", 2), trials.Asked("at_least", 1.0, 40, 13, stretches=2),
-]
+CASES = [trials.Asked("at_most", -1.5, 10, 11, "any_time", 3), trials.Asked("above", 1.0, 40, 13, stretches=2)]
 
 
 @pytest.mark.parametrize("case", range(len(CASES)))
