@@ -12,6 +12,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,3 +164,15 @@ def filter_by_ids(df: DataFrame, key: str, ids: DataFrame, bits: int = ID_FILTER
 
     held = df.where(F.col(key).isNotNull()).withColumn(name, bucket(F.col(key)))
     return map_batches(held, keep, held.schema).drop(name)
+
+
+def hash_bitmap(keys: DataFrame, column: str, bits: int = ID_FILTER_BITS) -> tuple[Broadcast, int]:
+    """A broadcast bitmap of ``2 ** bits`` buckets, 2 MB at 24, with the bit ``xxhash64(key) mod 2 ** bits`` set for each
+    key, and ``bits``: with very many keys it prunes less, and never grows."""
+    h = F.pmod(F.xxhash64(column), F.lit(1 << bits)) + 1
+    rows = keys.select(h.alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m")).collect()  # 512 of 4 kB
+    words = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for b, m in rows:
+        part = np.frombuffer(bytes(m), dtype=np.uint8)
+        words[(b - 1) * 4096 : (b - 1) * 4096 + len(part)] = part
+    return keys.sparkSession.sparkContext.broadcast(words.tobytes()), bits
