@@ -151,7 +151,7 @@ EMB = "vec_id bigint, embedding array<float>, label int, own bigint, score int,
 
 
 def vectors(spark, rows):
-    return spark.createDataFrame([(i, v, y, 1, 2, "clash") for i, v, y in rows], EMB)
+    return spark.createDataFrame([(i, v and [x if x is None else float(x) for x in v], y, 1, 2, "clash") for i, v, y in rows], EMB)
 
 
 def mined(rows, positives=5, count=5):
