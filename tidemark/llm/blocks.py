@@ -46,11 +46,12 @@ def read(ids: bytes, matrix: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.frombuffer(matrix, dtype="<f8").reshape(len(keys), -1)
 
 
-def against(queries: DataFrame, candidates: DataFrame, slices: int) -> DataFrame:
-    """Rows (q_*, c_*) for each query block with each candidate block."""
+def against(queries: DataFrame, candidates: DataFrame, slices: int, hint: str | None = None) -> DataFrame:
+    """Rows (q_*, c_*) for each query block with each candidate block. ``hint`` for the join: the repeated query blocks
+    compress so well that their size in a shuffle says little about that of a broadcast."""
     q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), *(F.col(c).alias(f"q_{c}") for c in queries.columns))
     c = candidates.select(F.pmod(F.col("block"), F.lit(slices)).cast("int").alias("slice"), *(F.col(c).alias(f"c_{c}") for c in candidates.columns))
-    return c.join(q, "slice")
+    return c.join(q.hint(hint) if hint else q, "slice")
 
 
 def best(found: DataFrame, k: int) -> DataFrame:

@@ -185,7 +185,7 @@ def _visit(anchors: DataFrame, n_anchors: int, shards: DataFrame, n: int, dims:
         arrays = [pa.array(np.concatenate(c).astype(np.int64) if c else np.empty(0, np.int64)) for c in cols]
         return pa.record_batch(arrays, names=["anchor_id", "high", "vec_id", "score"])
 
-    found = map_batches(against(packed, shards, max(1, math.ceil(n / SHARD))), one, "anchor_id bigint, high bigint, vec_id bigint, score bigint")
+    found = map_batches(against(packed, shards, max(1, math.ceil(n / SHARD)), "merge"), one, "anchor_id bigint, high bigint, vec_id bigint, score bigint")
     w = Window.partitionBy("anchor_id", "high").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
