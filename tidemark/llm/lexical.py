@@ -224,7 +224,7 @@ def search(index: DataFrame, n_blocks: int, items: DataFrame, n_items: int, k: i
         cols = zip(*rows, strict=True) if rows else ([], [], [])
         return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["item_id", "doc_id", "score"])
 
-    found = map_batches(against(queries, index, max(1, n_blocks)), one, "item_id bigint, doc_id bigint, score bigint")
+    found = map_batches(against(queries, index, max(1, n_blocks), "merge"), one, "item_id bigint, doc_id bigint, score bigint")
     w = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 
