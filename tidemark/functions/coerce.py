@@ -6,10 +6,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import number_text, trim_all
+from .text import bound, number_text, shortest_digits, trim_all
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_JSON_NUMBER = r"^-?(0|[1-9][0-9]*)\.[0-9]+$"
+_JSON_PLAIN = r"^-?(0|[1-9][0-9]*)\.(0|[0-9]*[1-9])$"
+_JSON_POWER = r"^-?[1-9](\.[0-9]*[1-9])?e-?[1-9][0-9]*$"
 MAX, MIN = (1 << 63) - 1, -(1 << 63)
 
 
@@ -77,15 +78,26 @@ def to_object(c: Column, source_type: str) -> Column:
 
 
 def infer_csv(field: Column) -> Column:
-    """JSON text of a CSV field: null if empty, a number or boolean only where it prints back identically, else a string."""
+    """JSON text of a CSV field: null if empty, a number or boolean only where it prints back identically, else a string.
+
+    A decimal prints back if it has JSON's form for its size and no digits to spare. Up to 15 digits always name one double and
+    no shorter number does; beyond, and below 1e-300, they are compared with the digits of the double."""
+    digits = lambda t: F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[eE].*$", ""), r"[-.]", ""), r"^0+|0+$", "")
+
+    def printed(f: Column, d: Column) -> Column:
+        size = F.abs(d)
+        held = (size >= 1e-5) & (size < 1e16)
+        form = F.when(f.contains("e"), ~held & (size > 0) & (size < float("inf"))).otherwise(held | f.isin("0.0", "-0.0"))
+        few = (F.length(digits(f)) <= 15) & ((size == 0) | (size >= 1e-300))
+        return form & F.when(few, True).otherwise(digits(f) == shortest_digits(d))
+
     f = field
     whole = F.when(f.rlike(r"^(0|-?[1-9][0-9]*)$") & f.try_cast("bigint").isNotNull(), f)
-    d = F.when(f.rlike(_JSON_NUMBER), f.try_cast("double"))
-    real = F.when(d.cast("string") == f, f)
-    text = _json_string(f)
-    return F.when(f.isNull() | (f == ""), "null").otherwise(F.coalesce(whole, real, F.when(f.isin("true", "false"), f), text))
+    real = F.when(f.rlike(_JSON_PLAIN) | f.rlike(_JSON_POWER), bound(f.try_cast("double"), lambda d: F.when(printed(f, d), f)))
+    return F.when(f.isNull() | (f == ""), "null").otherwise(F.coalesce(whole, real, F.when(f.isin("true", "false"), f), json_string(f)))
 
 
-def _json_string(f: Column) -> Column:
+def json_string(f: Column) -> Column:
+    """The JSON of a text."""
     shown = F.to_json(F.struct(f.alias("v")))
     return F.substring(shown, F.lit(6), F.length(shown) - 6)

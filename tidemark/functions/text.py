@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,6 +43,43 @@ def number_text(c: Column) -> Column:
     return F.when(~shown.contains("E"), F.regexp_replace(shown, r"\.0$", "")).when(power < 0, small).otherwise(large)
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with the value worked out once however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def shortest_digits(d: Column) -> Column:
+    """The fewest digits that name a double, from the first to the last that is not 0; none for 0. Spark's own text may have
+    one or two to spare where it has an exponent."""
+
+    def fewer(size: Column, shown: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_replace(shown, r"E.*$|\.", ""), "^0+|0+$", "")
+        power = F.regexp_extract(shown, "E(-?[0-9]+)$", 1)
+
+        def without(all_: Column, n: int) -> Column:
+            held = F.round(all_.cast("decimal(20,0)"), -n).cast("string")
+            same = lambda x: F.concat(x, F.lit("E"), power.cast("int") - F.length(all_) + 1).try_cast("double") == size
+            return F.when(F.length(all_) > n, bound(held, lambda x: F.when(same(x), F.regexp_replace(x, "0+$", ""))))
+
+        return bound(digits, lambda g: F.when(power == "", g).otherwise(F.coalesce(without(g, 2), without(g, 1), g)))
+
+    return bound(F.abs(d), lambda size: bound(size.cast("string"), lambda shown: fewer(size, shown)))
+
+
+def json_number_text(c: Column) -> Column:
+    """A double as JSON shows it: the shortest digits that name it, ``.0`` behind whole numbers, an exponent from 1e16 on and
+    below 1e-5; null for what is not finite."""
+    d = c.cast("double")
+    shown = F.abs(d).cast("string")
+    power = F.regexp_extract(shown, "E(-?[0-9]+)$", 1).try_cast("int")
+    point = lambda g: F.when(F.length(g) > 1, F.concat(F.substring(g, 1, 1), F.lit("."), F.substring(g, F.lit(2), F.length(g)))).otherwise(g)
+    rounded_up = lambda g: F.when((g == "1") & shown.startswith("9"), 1).otherwise(0)
+    exponent = F.concat(F.when(d < 0, "-").otherwise(""), bound(shortest_digits(d), lambda g: F.concat(point(g), F.lit("e"), power + rounded_up(g))))
+    plain, size = number_text(d), F.abs(d)
+    plain = F.when(plain.contains("."), plain).otherwise(F.concat(plain, F.lit(".0")))
+    return F.when(F.isnan(d) | (size == float("inf")), F.lit(None).cast("string")).when((size == 0) | ((size >= 1e-5) & (size < 1e16)), plain).otherwise(exponent)
+
+
 def grounded(quotes: Column, content: Column) -> Column:
     """Whether every quote is there: not blank, and part of the content once white space is collapsed in both."""
     held = collapse(content)

@@ -5,6 +5,7 @@ Sums of floats depend on the order of addition, so values are rounded on both si
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,8 @@ from ..functions import times as T
 from ..functions.detect import detect
 from ..functions.options import _BOTTOM, _FAR, _TOP, american, black_scholes, implied_vol, norm_cdf
 from ..operators import forecasts, judgment, paths, records, series, trials
-from ..sources import convert
+from ..scratch import shared_dir
+from ..sources import convert, ranges, sinks
 from ..sources.repair import repair_csv, repair_json
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -307,7 +309,7 @@ def coerce_boolean(spark, d):
 
 
 _KEY = "CAST(o_orderkey AS {text})"
-_SHAPES = [(_KEY, "{f}"), (f"'0' || {_KEY}", "q"), (f"{_KEY} || '.5'", "{f}"), (f"{_KEY} || '.50'", "q"), (f"'+' || {_KEY}", "q"), ("o_orderstatus", "q"), ("''", "null"), ("CASE WHEN o_totalprice > 100000 THEN 'true' ELSE 'false' END", "{f}"), (f"'-' || {_KEY}", "{f}"), (f"{_KEY} || ' '", "q")]
+_SHAPES = [(_KEY, "{f}"), (f"'0' || {_KEY}", "q"), (f"{_KEY} || '.5'", "{f}"), (f"{_KEY} || '.50'", "q"), (f"'+' || {_KEY}", "q"), ("o_orderstatus", "q"), ("''", "null"), ("CASE WHEN o_totalprice > 100000 THEN 'true' ELSE 'false' END", "{f}"), (f"'-' || {_KEY}", "{f}"), (f"{_KEY} || ' '", "q"), (f"{_KEY} || '2345678.5'", "{f}"), (f"'0.000' || {_KEY} || '5'", "{f}"), (f"{_KEY} || '0000000.0'", "{f}"), (f"'0.0000000' || {_KEY}", "q"), (f"{_KEY} || 'e5'", "q")]
 
 
 def _case(parts: list[str], text: str) -> str:
@@ -585,6 +587,48 @@ def convert_json_to_csv(spark, d):
     return rec.select("p_partkey", get("a"), get("b"), get("c"))
 
 
+def _document(spark, kind: str) -> str:
+    return f"{shared_dir(spark)}/document-{uuid.uuid4().hex}.{kind}"
+
+
+def _as_json(*columns: str):
+    """A map of JSON texts of text columns, numbers as they are."""
+    return F.create_map(*(x for c in columns for x in (F.lit(c), C.json_string(F.col(c)) if not c.endswith("_id") else F.col(c).cast("string"))))
+
+
+@query("SELECT doc_id, lang, text FROM documents")
+def convert_csv_document(spark, d):
+    """Documents, with line breaks and quotes, as one CSV file in order, read again by many tasks."""
+    docs, path = table(spark, d, "documents"), _document(spark, "csv")
+    sinks.write_csv_document(docs.select("doc_id", _as_json("doc_id", "lang", "text").alias("rec")), ["doc_id"], path)
+    get = lambda k: convert.text_of_json(F.try_element_at("rec", F.lit(k)))
+    return ranges.csv_records(spark, path).select(get("doc_id").cast("bigint").alias("doc_id"), get("lang").alias("lang"), get("text").alias("text"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS row, event_id, event_type, props FROM events")
+def convert_json_document(spark, d):
+    """Events as one JSON array in order, nested values and all, read again by many tasks with their places."""
+    e, path = table(spark, d, "events"), _document(spark, "json")
+    sinks.write_json_array(e.select("event_id", F.to_json(F.struct("event_id", "event_type", F.struct(F.array(F.col("props")).alias("list")).alias("inner"))).alias("value")), ["event_id"], path)
+    rows = ranges.json_elements(spark, path)
+    get = lambda k: F.get_json_object("value", k)
+    return rows.select("row", get("$.event_id").cast("bigint").alias("event_id"), get("$.event_type").alias("event_type"), get("$.inner.list[0]").alias("props"))
+
+
+@query("SELECT line FROM (SELECT 'a_id,a_name,b_id' AS line UNION ALL SELECT s_suppkey || ',' || s_name || ',' FROM supplier UNION ALL SELECT ',' || c_name || ',' || c_custkey FROM customer)")
+def collect_csv_documents(spark, d):
+    """CSV files under headers of their own as one, the records typed in between."""
+    paths = []
+    for name, key in (("supplier", "s_suppkey"), ("customer", "c_custkey")):
+        side = "a_id" if name == "supplier" else "b_id"
+        rows = table(spark, d, name).select(F.col(key).alias(side), F.col(f"{name[0]}_name").alias("a_name"))
+        paths.append(_document(spark, "csv"))
+        sinks.write_csv_document(rows.select(side, _as_json("a_name", side).alias("rec")), [side], paths[-1])
+    path = _document(spark, "csv")
+    sinks.write_csv_document(ranges.csv_records(spark, paths), ["file", "row"], path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 @query("SELECT conv_id, '[' || string_agg('\"' || role || '\"', ',' ORDER BY turn) || ']' AS value FROM conversations GROUP BY conv_id")
 def collect_json_array(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", convert.list_item(F.col("role")).alias("item"))

@@ -16,6 +16,7 @@ from pyspark.sql.types import StringType
 from ..errors import Refused
 from ..functions.coerce import infer_csv
 from ..functions.text import is_json
+from .ranges import csv_records, csv_rows, json_elements
 
 try:
     import yaml
@@ -25,10 +26,10 @@ except ImportError:  # YAML conversions refuse then
 BOM = "﻿"
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """(rec map<string, string>): each field as JSON text, inferred losslessly field by field; ragged rows fail."""
-    df = spark.read.option("header", True).option("sep", sep).option("mode", "FAILFAST").option("escape", '"').option("multiLine", True).option("nullValue", "\0").csv(path)
-    return typed_fields(df)
+def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
+    """(rec map<string, string>): each field as JSON text, inferred losslessly field by field. Large files are read by many
+    tasks, several each under its own header; ragged rows fail. ``ranges.csv_records`` has the rows' places too."""
+    return csv_records(spark, path, sep).select("rec")
 
 
 def typed_fields(df: DataFrame) -> DataFrame:
@@ -50,10 +51,8 @@ def json_fields(obj: Column) -> Column:
 
 
 def read_json(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
-    """(rec map<string, string>) of a file of one object per line, or of one array (``array``)."""
-    lines = spark.read.option("wholetext", array).text(path)
-    if array:
-        lines = lines.select(F.explode(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")).alias("v")).select(F.to_json("v").alias("value"))
+    """(rec map<string, string>) of a file of one object per line, or of one array (``array``), which many tasks read."""
+    lines = json_elements(spark, path) if array else spark.read.text(path)
     return lines.select(json_fields(F.col("value")).alias("rec"))
 
 
@@ -106,8 +105,7 @@ def lines_to_csv(lines: DataFrame, path: str, column: str = "value") -> None:
 
 def csv_to_lines(spark: SparkSession, path: str) -> DataFrame:
     """(value) of each row's first field, blank ones too; a byte order mark goes with the header."""
-    table = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", "\u0000").option("emptyValue", "").csv(path)
-    return table.select(F.coalesce(F.col(f"`{table.columns[0]}`"), F.lit("")).alias("value"))
+    return csv_rows(spark, path).where("row > 0").select(F.get("fields", 0).alias("value"))
 
 
 def _need_yaml():
