@@ -129,9 +129,9 @@ def edit_records(df: DataFrame, instruction: str, provider: Provider) -> tuple[D
 
     if not instruction.strip():
         raise Refused("INPUT_REQUIRED", "the instruction is empty", "instruction")
-    fields = [c for c in df.columns if c != records.POS]
+    fields = records.fields_of(df)
     form = records.schema_of(fields)
-    asked = f"Make a program of the operations below that does this and nothing else: {instruction.strip()}\n\nFields:\n{structural_sample(df.drop(records.POS))}\n\nForm:\n{outline(form)}"
+    asked = f"Make a program of the operations below that does this and nothing else: {instruction.strip()}\n\nFields:\n{structural_sample(df.select(*map(records.col, fields)))}\n\nForm:\n{outline(form)}"
     try:
         program = json.loads(provider([(asked, json.dumps(form))])[0])
     except ValueError:

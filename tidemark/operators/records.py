@@ -1,10 +1,11 @@
 """Record programs on DataFrames: a list of steps becomes one declarative plan, which Catalyst then prunes and pushes down.
 
 A step is a dict with ``op`` and its arguments. Order is data here: a table is given its order by ``numbered``, which adds
-``pos``. Sorting is stable by it: a sort puts its field in front of the order and a reversal turns the order round, so
+``pos``, or ``pos_`` and so on where a field has that name. Sorting is stable by it: a sort puts its field in front of the order and a reversal turns the order round, so
 neither moves a row; rows are only sorted where a step needs it (limit) or at the end. Dense numbers come from range
 partitions and their sizes, not from one global window.
-Absent and null fields are the same thing in a table.
+Absent and null fields are the same thing in a table; ``mixed`` runs programs on records whose fields differ in type from row
+to row. Fields are told apart by case; tables that hold names which differ in case only need spark.sql.caseSensitive.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import Refused, whole
-from ..functions.text import number_text, trim_all
+from ..functions.text import json_number_text, trim_all
 from ..scratch import held
 
 POS = "pos"
+_MARK = "tidemark_order"
 OPS = {
     "select_fields": ("fields",), "drop_fields": ("fields",), "rename_field": ("from", "to"), "set_field": ("field", "value"), "filter": ("field", "predicate"),
     "map_field": ("field", "transform"), "sort_by": ("field", "order"), "limit": ("n",), "reverse": (),
@@ -28,9 +30,40 @@ TESTS = ("eq", "ne", "gt", "lt", "ge", "le", "contains", "exists", "not_exists")
 MAPS = ("lowercase", "uppercase", "trim", "to_string", "to_number")
 
 
+def _free(name: str, taken) -> str:
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def col(name: str) -> Column:
+    """The field of that name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _as_key(c: Column, name: str) -> Column:
+    return c.alias(name, metadata={_MARK: True})
+
+
+def key_of(df: DataFrame) -> str:
+    """The column that holds the order."""
+    marked = [f.name for f in df.schema.fields if f.metadata and f.metadata.get(_MARK)]
+    if not marked and POS not in df.columns:
+        raise Refused("INVALID_INPUT", "the table has no order: use numbered", "records")
+    return marked[0] if marked else POS
+
+
+def fields_of(df: DataFrame) -> list[str]:
+    key = key_of(df)
+    return [c for c in df.columns if c != key]
+
+
 def numbered(df: DataFrame, *order: str | Column) -> DataFrame:
-    """``df`` with ``pos``: a key that orders rows (the given columns), not a dense number, so nothing is shuffled."""
-    return df.withColumn(POS, F.struct(*order))
+    """``df`` with a key that orders rows (the given columns), not a dense number, so nothing is shuffled. It is named ``pos``,
+    or ``pos_`` and so on where that name is taken; ``key_of`` tells."""
+    key = F.struct(*(col(o) if isinstance(o, str) else o for o in order))
+    return df.select(*map(col, df.columns), _as_key(key, _free(POS, df.columns)))
 
 
 def validate(program: Any, fields: list[str] | None = None) -> list[dict]:
@@ -92,7 +125,7 @@ def _numeric(t: T.DataType) -> bool:
 
 
 def _test(df: DataFrame, s: dict) -> Column:
-    c, test, value = F.col(s["field"]), s["predicate"], s.get("value")
+    c, test, value = col(s["field"]), s["predicate"], s.get("value")
     kind = df.schema[s["field"]].dataType
     if test == "exists":
         return c.isNotNull()
@@ -117,12 +150,12 @@ def _test(df: DataFrame, s: dict) -> Column:
 
 
 def _mapped(df: DataFrame, field: str, how: str) -> Column:
-    c, kind = F.col(field), df.schema[field].dataType
+    c, kind = col(field), df.schema[field].dataType
     text = isinstance(kind, T.StringType)
     if how in ("lowercase", "uppercase", "trim") and not text:
         raise Refused("NOT_APPLICABLE", f"{how} takes text; {field} is {kind.simpleString()}", field)
     if how == "to_string":
-        shown = c if text else number_text(c) if isinstance(kind, T.FractionalType) else F.to_json(c) if isinstance(kind, T.StructType | T.ArrayType | T.MapType) else c.cast("string")
+        shown = c if text else json_number_text(c) if isinstance(kind, T.DoubleType | T.FloatType) else F.to_json(c) if isinstance(kind, T.StructType | T.ArrayType | T.MapType) else c.cast("string")
         return F.coalesce(shown, F.lit("null"))
     if how == "to_number":
         if _numeric(kind):
@@ -140,34 +173,39 @@ Order = list[tuple[str, bool]]  # columns, the first one leading, and whether th
 
 
 def _sorted_by(order: Order) -> list[Column]:
-    return [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_first() for c, down in order]
+    return [col(c).desc_nulls_last() if down else col(c).asc_nulls_first() for c, down in order]
 
 
 def _planned(df: DataFrame, program: Any) -> tuple[DataFrame, Order]:
     """The program's rows and their order, whose keys are columns of their own: steps that follow may change a field."""
-    order: Order = [(POS, False)]
-    for i, s in enumerate(validate(program)):
+    steps, key = validate(program), key_of(df)
+    named = {x for s in steps for v in s.values() for x in (v if isinstance(v, list) else [v]) if isinstance(x, str)} | set(df.columns)
+    own = lambda i: _free(f"__order{i}", named)
+    df = df.select(*map(col, fields_of(df)), col(key).alias(own("")))
+    order: Order = [(own(""), False)]
+    put = lambda df, name, c: df.select(*(col(x) for x in df.columns if x != name and x not in keys), c.alias(name), *map(col, keys)) if name not in df.columns else df.select(*(c.alias(name) if x == name else col(x) for x in df.columns))
+    for i, s in enumerate(steps):
         op, keys = s["op"], [c for c, _ in order]
         if op == "select_fields":
-            df = df.select(*[c for c in s["fields"] if c in df.columns and c not in keys], *keys)
+            df = df.select(*[col(c) for c in dict.fromkeys(s["fields"]) if c in df.columns], *map(col, keys))
         elif op == "drop_fields":
-            df = df.drop(*[c for c in s["fields"] if c not in keys])
+            df = df.select(*[col(c) for c in df.columns if c not in s["fields"]])
         elif op == "rename_field":
             if s["from"] == s["to"]:
                 raise Refused("NOT_APPLICABLE", "a field is renamed to another name", "to")
             if s["from"] in df.columns:
-                df = df.drop(s["to"]).withColumnRenamed(s["from"], s["to"])
+                df = df.select(*[col(c).alias(s["to"]) if c == s["from"] else col(c) for c in df.columns if c != s["to"]])
         elif op == "set_field":
-            df = df.withColumn(s["field"], _lit(s["value"]))
+            df = put(df, s["field"], _lit(s["value"]))
         elif op == "filter":
             df = df.where(_test(df, s)) if s["field"] in df.columns else df.where(F.lit(s["predicate"] == "not_exists"))
         elif op == "map_field":
             if s["field"] in df.columns:
-                df = df.withColumn(s["field"], _mapped(df, s["field"], s["transform"]))
+                df = put(df, s["field"], _mapped(df, s["field"], s["transform"]))
         elif op == "sort_by":
             if s["field"] in df.columns:
-                df = df.withColumn(f"__key{i}", F.col(s["field"]))
-                order = [(f"__key{i}", s["order"] == "desc"), *order]
+                df = df.select(*map(col, df.columns), col(s["field"]).alias(own(i)))
+                order = [(own(i), s["order"] == "desc"), *order]
         elif op == "limit":
             df = df.orderBy(*_sorted_by(order)).limit(s["n"])
         else:
@@ -176,23 +214,27 @@ def _planned(df: DataFrame, program: Any) -> tuple[DataFrame, Order]:
 
 
 def run(df: DataFrame, program: Any) -> DataFrame:
-    """``df`` (with ``pos``, see ``numbered``) after the program's steps, with a new ``pos`` where they reorder. Fields that a
-    step names and the table lacks: kept lists and drops skip them, renames do nothing, filters match nothing
-    (``not_exists``: everything), sorts and maps do nothing."""
+    """``df`` (see ``numbered``) after the program's steps, with a new key where they reorder. Fields that a step names and the
+    table lacks: kept lists and drops skip them, renames do nothing, filters match nothing (``not_exists``: everything), sorts
+    and maps do nothing."""
     out, order = _planned(df, program)
-    if order == [(POS, False)]:
-        return out
-    return dense(out, _sorted_by(order)).drop(*(c for c, _ in order if c != POS))
+    keys = [c for c, _ in order]
+    fields = [c for c in out.columns if c not in keys]
+    name = _free(POS, fields)
+    if order == [(keys[0], False)]:
+        return out.select(*map(col, fields), _as_key(col(keys[0]), name))
+    return dense(out, _sorted_by(order), name).select(*map(col, fields), col(name))
 
 
 def rows(df: DataFrame, program: Any) -> DataFrame:
-    """The program's rows in order, without ``pos``: one sort at the end at most."""
+    """The program's rows in order, without the key: one sort at the end at most."""
     out, order = _planned(df, program)
-    return out.orderBy(*_sorted_by(order)).drop(*(c for c, _ in order))
+    keys = {c for c, _ in order}
+    return out.orderBy(*_sorted_by(order)).select(*[col(c) for c in out.columns if c not in keys])
 
 
-def dense(df: DataFrame, order: list[Column]) -> DataFrame:
-    """``df`` with ``pos`` as dense numbers from 0 in the given order. Rows are sorted by range, one shuffle, and written with
+def dense(df: DataFrame, order: list[Column], name: str = POS) -> DataFrame:
+    """``df`` with the key ``name`` (a struct of ``n``) as dense numbers from 0 in the given order. Rows are sorted by range, one shuffle, and written with
     their place: partition and row. Numbers follow from the sizes of those very partitions, so no task sees all rows."""
     place = F.monotonically_increasing_id()
     kept = held(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", place), "ranged")
@@ -200,10 +242,12 @@ def dense(df: DataFrame, order: list[Column]) -> DataFrame:
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     starts = kept.groupBy(part.alias("__p")).agg(F.count("*").alias("c")).select("__p", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__s"))
     numbered = kept.withColumn("__p", part).join(F.broadcast(starts), "__p")  # one row per partition
-    return numbered.withColumn(POS, F.struct((F.col("__s") + F.col("__at").bitwiseAND((1 << 33) - 1)).alias("n"))).drop("__p", "__s", "__at")
+    place = F.struct((F.col("__s") + F.col("__at").bitwiseAND((1 << 33) - 1)).alias("n"))
+    return numbered.select(*(col(c) for c in df.columns if c != name), _as_key(place, name))
 
 
 def every_nth(df: DataFrame, stride: int = 1) -> DataFrame:
-    """Rows 0, stride, 2 x stride, ... in order of ``pos``."""
+    """Rows 0, stride, 2 x stride, ... in order."""
     whole(stride, "stride")
-    return dense(df, [F.col(POS)]).where(F.col(f"{POS}.n") % stride == 0)
+    key = key_of(df)
+    return dense(df, [col(key)], key).where(col(key)["n"] % stride == 0)

@@ -58,12 +58,19 @@ def _stepped(s: DataFrame) -> DataFrame:
     return sound(s).withColumn(VALUE, refuse_when(again, "NOT_A_SERIES", "times must differ within a series", F.col(VALUE)))
 
 
+def distinct(s: DataFrame) -> DataFrame:
+    """``sound``, and refused where two values of a series have one time: one row for each instant, counted. For steps that
+    aggregate or join by instant; a join by instant needs no further shuffle."""
+    one = sound(s).groupBy(KEY, TIME).agg(F.count("*").alias("__n"), F.any_value(VALUE).alias(VALUE))
+    return one.select(KEY, TIME, refuse_when(F.col("__n") > 1, "NOT_A_SERIES", "times must differ within a series", F.col(VALUE)).alias(VALUE))
+
+
 def resample(s: DataFrame, every: str, aggregate: str = "last") -> DataFrame:
     """One point per calendar period (weeks start on Monday), at the last instant observed in it; gaps stay gaps."""
     unit = UNITS[choice(every, UNITS, "every")]
     how = {"last": F.max_by(VALUE, TIME), "mean": F.avg(VALUE), "sum": F.sum(VALUE)}
     value = how[choice(aggregate, how, "aggregate")]
-    return sound(s).groupBy(KEY, F.date_trunc(unit, TIME).alias("__p")).agg(F.max(TIME).alias(TIME), value.alias(VALUE)).drop("__p")
+    return distinct(s).groupBy(KEY, F.date_trunc(unit, TIME).alias("__p")).agg(F.max(TIME).alias(TIME), value.alias(VALUE)).drop("__p")
 
 
 def change(s: DataFrame, how: str = "percent", over: int = 1) -> DataFrame:
@@ -107,13 +114,13 @@ def align(*many: DataFrame) -> DataFrame:
     """(series_id, time, values): instants that all series share; values in the order given."""
     if len(many) < 2:
         raise Refused("TOO_FEW_SERIES", "align takes two series or more", "series")
-    named = [sound(x).select(KEY, TIME, F.col(VALUE).alias(f"__v{i}")) for i, x in enumerate(many)]
+    named = [distinct(x).select(KEY, TIME, F.col(VALUE).alias(f"__v{i}")) for i, x in enumerate(many)]
     joined = reduce(lambda a, b: a.join(b, [KEY, TIME]), named)
     return joined.select(KEY, TIME, F.array(*(f"__v{i}" for i in range(len(many)))).alias("values"))
 
 
 def _pair(a: DataFrame, b: DataFrame) -> DataFrame:
-    return sound(a).select(KEY, TIME, F.col(VALUE).alias("a")).join(sound(b).select(KEY, TIME, F.col(VALUE).alias("b")), [KEY, TIME])
+    return distinct(a).select(KEY, TIME, F.col(VALUE).alias("a")).join(distinct(b).select(KEY, TIME, F.col(VALUE).alias("b")), [KEY, TIME])
 
 
 def combine(a: DataFrame, b: DataFrame, operation: str) -> DataFrame:
@@ -134,18 +141,18 @@ def keep(s: DataFrame, side: str, threshold: float) -> tuple[DataFrame, DataFram
 
 def summarize(s: DataFrame, what: str) -> DataFrame:
     """One number per series: last, first, mean, stdev, min, max or count."""
-    n = F.count("*")
+    n = F.count(VALUE)  # of values, so that their refusal is not pruned away
     how = {
         "last": F.max_by(VALUE, TIME), "first": F.min_by(VALUE, TIME), "mean": F.avg(VALUE), "min": F.min(VALUE), "max": F.max(VALUE), "count": n.cast("double"),
         "stdev": refuse_when(n < 2, "NOT_DEFINED", "a standard deviation needs two points", F.stddev_samp(VALUE)),
     }
-    return sound(s).groupBy(KEY).agg(how[choice(what, how, "summary")].alias(VALUE))
+    return distinct(s).groupBy(KEY).agg(how[choice(what, how, "summary")].alias(VALUE))
 
 
 def describe(s: DataFrame) -> DataFrame:
     """count, from, to, first, last, mean, sd (null for one point), min, max of each series."""
-    return sound(s).groupBy(KEY).agg(
-        F.count("*").alias("count"), F.min(TIME).alias("from"), F.max(TIME).alias("to"), F.min_by(VALUE, TIME).alias("first"), F.max_by(VALUE, TIME).alias("last"),
+    return distinct(s).groupBy(KEY).agg(
+        F.count(VALUE).alias("count"), F.min(TIME).alias("from"), F.max(TIME).alias("to"), F.min_by(VALUE, TIME).alias("first"), F.max_by(VALUE, TIME).alias("last"),
         F.avg(VALUE).alias("mean"), F.stddev_samp(VALUE).alias("sd"), F.min(VALUE).alias("min"), F.max(VALUE).alias("max"),
     )
 

@@ -29,7 +29,7 @@ _PLAIN = re.compile(r"[^\"'\\\x00-\x1f]+")
 _WORD = re.compile(r"[A-Za-z0-9_$.-]+")
 _NUMERIC = re.compile(r"[0-9+.eE-]*")
 _STRICT = re.compile(r"-?(?:0|[1-9][0-9]*)(?P<real>\.[0-9]+)?(?P<power>[eE][+-]?[0-9]+)?")
-_ESCAPES = {'"': '"', "'": "'", "\\": "\\", "/": "/", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
+_ESCAPES = {'"': '"', "\\": "\\", "/": "/", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
 #: literal -> value, and what is noted of it
 _LITERALS: dict[str, tuple[Any, str | None]] = {
     "true": (True, None), "false": (False, None), "null": (None, None), "True": (True, "boolean in lower case"), "False": (False, "boolean in lower case"),
@@ -88,21 +88,13 @@ class _Text:
             raise Hopeless(self.at, "more text after the end of the value")
         return result
 
-    def _comma(self, kind: str, closing: str, first: bool) -> None:
-        at = self.at
-        self.at += 1
-        c = self.next()
-        if c in ("", closing):
-            self.note(at, f"trailing comma removed from {kind}")
-        elif first:
-            self.note(at, f"leading comma removed from {kind}")
-
     def _entry(self, frame: list) -> bool:
         """Steps to the next entry of a container, past its key; false where it ends."""
         held = frame[0]
         kind, closing = ("object", "}") if isinstance(held, dict) else ("array", "]")
-        while (c := self.next()) == ",":
-            self._comma(kind, closing, not held)
+        while (c := self.next()) == ",":  # the one that belongs to an entry went with it
+            self.note(self.at, f"{'stray' if held else 'leading'} comma removed from {kind}")
+            self.at += 1
         if c in ("", closing):
             if not c:
                 self.note(self.at, f"{kind} closed at the end")
@@ -133,7 +125,9 @@ class _Text:
             held[key] = value
         c, closing = self.next(), "}" if isinstance(held, dict) else "]"
         if c == ",":
-            self._comma("object" if isinstance(held, dict) else "array", closing, False)
+            comma, self.at = self.at, self.at + 1
+            if self.next() in ("", closing):
+                self.note(comma, f"trailing comma removed from {'object' if isinstance(held, dict) else 'array'}")
         elif c not in ("", closing):
             self.note(self.at, "comma added")
 
@@ -142,7 +136,7 @@ class _Text:
             raise Hopeless(self.at, "the text ends where a value is due")
         if c in "\"'":
             return self._string()
-        return self._number() if c in "+-0123456789" else self._literal()
+        return self._number() if c in "+-.0123456789" else self._literal()
 
     def _string(self) -> str:
         quote, out = self.text[self.at], []
@@ -249,7 +243,11 @@ def repaired(text: str) -> tuple[str | None, list[dict], str | None]:
     except Hopeless as e:
         return None, [], f"INVALID_INPUT: {e.why} at byte {_placed(text, [(e.at, '')])[0]['position']}"
     if not reader.notes:
-        return text, [], None
+        try:
+            json.loads(text)
+            return text, [], None
+        except ValueError:
+            reader.note(0, "written anew")
     return json.dumps(value, ensure_ascii=False, separators=(",", ":")), _placed(text, reader.notes), None
 
 
