@@ -17,7 +17,7 @@ from ..functions import text as X
 from ..functions import times as T
 from ..functions.detect import detect
 from ..functions.options import _BOTTOM, _FAR, _TOP, american, black_scholes, implied_vol, norm_cdf
-from ..operators import forecasts, judgment, paths, records, series, trials
+from ..operators import forecasts, judgment, mixed, paths, records, series, trials
 from ..scratch import shared_dir
 from ..sources import convert, ranges, sinks
 from ..sources.repair import repair_csv, repair_json
@@ -292,6 +292,35 @@ def sequence_every_nth(spark, d):
     return records.every_nth(records.numbered(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey"), 7).drop("pos")
 
 
+#: values of all types by event: the JSON text, its class, number and text; absent where null
+_MIXED = [("CAST(NULL AS {s})", "-1", "0.0", "''"), ("'null'", "0", "0.0", "''"), ("CASE WHEN value > 50 THEN 'true' ELSE 'false' END", "1", "CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END", "''"), ("CAST(user_id AS {s})", "2", "user_id", "''"), ("CAST(user_id AS {s}) || '.5'", "2", "user_id + 0.5", "''"), ("'\"' || event_type || '\"'", "3", "0.0", "event_type"), ("'[' || CAST(user_id AS {s}) || ',\"' || event_type || '\"]'", "4", "0.0", "'[' || CAST(user_id AS {s}) || ',\"' || event_type || '\"]'"), ("'{{\"k\":' || CAST(user_id AS {s}) || '}}'", "5", "0.0", "'{{\"k\":' || CAST(user_id AS {s}) || '}}'")]
+
+
+def _mixed(column: int, text: str) -> str:
+    return f"CASE CAST(event_id % {len(_MIXED)} AS INTEGER) " + " ".join(f"WHEN {i} THEN {x[column].format(s=text)}" for i, x in enumerate(_MIXED)) + " END"
+
+
+@query(f"WITH m AS (SELECT event_id, {_mixed(0, 'VARCHAR')} AS v, {_mixed(1, 'VARCHAR')} AS c, CAST({_mixed(2, 'VARCHAR')} AS DOUBLE) AS n, {_mixed(3, 'VARCHAR')} AS t FROM events) SELECT event_id, v, row_number() OVER (ORDER BY c DESC, n DESC, t DESC, event_id) - 1 AS place FROM m")
+def records_mixed_order(spark, d):
+    """Places after a sort by a field that holds values of every type, nulls and gaps."""
+    v = F.expr(_mixed(0, "STRING"))
+    rec = F.map_filter(F.create_map(F.lit("id"), F.col("event_id").cast("string"), F.lit("v"), v), lambda _, x: x.isNotNull())
+    out = mixed.run(table(spark, d, "events").select("event_id", rec.alias("rec")), [{"op": "sort_by", "field": "v", "order": "desc"}], "event_id")
+    return out.select(F.col("rec")["id"].cast("bigint").alias("event_id"), F.try_element_at("rec", F.lit("v")).alias("v"), F.col("pos.n").alias("place"))
+
+
+@query(f"WITH m AS (SELECT event_id, {_mixed(0, 'VARCHAR')} AS v FROM events) SELECT event_id, v IS NOT NULL AS there, CASE WHEN v IS NULL THEN NULL WHEN v LIKE '\"%' THEN v ELSE '\"' || replace(v, '\"', '\\\"') || '\"' END AS s FROM m WHERE v IS NULL OR v <> 'true'")
+def records_mixed_program(spark, d):
+    """A test that absent values pass only as absent, then every value as text."""
+    v = F.expr(_mixed(0, "STRING"))
+    rec = F.map_filter(F.create_map(F.lit("id"), F.col("event_id").cast("string"), F.lit("v"), v), lambda _, x: x.isNotNull())
+    e = table(spark, d, "events").select("event_id", rec.alias("rec"))
+    ne = mixed.rows(e, [_filter("v", "ne", True), {"op": "set_field", "field": "there", "value": True}, _map("v", "to_string")], "event_id")
+    none = mixed.rows(e, [_filter("v", "not_exists"), {"op": "set_field", "field": "there", "value": False}], "event_id")
+    get = lambda k: F.try_element_at("rec", F.lit(k))
+    return ne.union(none).select(get("id").cast("bigint").alias("event_id"), get("there").cast("boolean").alias("there"), get("v").alias("s"))
+
+
 # scalars
 @query("SELECT c_custkey, '\"' || CAST(c_custkey AS VARCHAR) || '\"' AS key_text, CAST(CASE WHEN c_acctbal < 0 THEN ceil(c_acctbal - 0.5) ELSE floor(c_acctbal + 0.5) END AS BIGINT) AS balance, c_acctbal > 0 AS positive, CAST(c_acctbal > 0 AS BIGINT) AS as_number, CASE WHEN c_nationkey = 1 THEN true WHEN c_nationkey = 0 THEN false END AS nation_flag FROM customer")
 def coerce_numbers(spark, d):
