@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import Refused, choice, refuse_when
-from .series import KEY, TIME, VALUE, _by_time, _pair, _stepped, sound
+from .series import KEY, TIME, VALUE, _by_row, _by_time, _pair, carried, sound
 
 YEAR_S = 365.25 * 86400
 BINS = 1024
 
 
-def returns(path: DataFrame, kind: str = "simple") -> DataFrame:
-    """Simple or log returns of prices above 0; the first instant goes."""
+def returns(path: DataFrame, kind: str = "simple", long: bool = False) -> DataFrame:
+    """Simple or log returns of prices above 0; the first instant goes. ``long``: for paths of more rows than a task should
+    take."""
     choice(kind, ("simple", "log"), "kind")
-    before = F.lag(VALUE).over(_by_time())
+    before = F.col("__b")
     ratio = F.when((before > 0) & (F.col(VALUE) > 0), F.col(VALUE) / F.nullif(before, F.lit(0.0)))
     r = ratio - 1 if kind == "simple" else F.log(ratio)
-    held = _stepped(path).select(KEY, TIME, r.alias(VALUE), before.alias("__b")).where("__b IS NOT NULL")
+    held = _by_row(path, 1, long, lambda w: {"__b": F.lag(VALUE).over(w)}).where("__b IS NOT NULL").select(KEY, TIME, r.alias(VALUE))
     return held.select(KEY, TIME, refuse_when(F.col(VALUE).isNull(), "NOT_DEFINED", "prices must be above 0", F.col(VALUE)).alias(VALUE))
 
 
@@ -130,20 +131,25 @@ def relative(path: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def excess(path: DataFrame, rate: DataFrame, rate_in: str = "percent") -> DataFrame:
+def excess(path: DataFrame, rate: DataFrame, rate_in: str = "percent", bucket: str = "month") -> DataFrame:
     """The path net of what a yearly rate earns, from the same start: each step multiplies by 1 + return - earned, where
-    earned compounds the rate known at the step's start over its length. Running products keep their sign."""
+    earned compounds the rate known at the step's start over its length. Prices must be above 0, and a path and its rate
+    share two instants. Steps are multiplied within a ``bucket``; what the buckets before it come to, and their last instant,
+    are carried over, so no window runs over a whole series but that of a row for each bucket."""
     choice(rate_in, ("percent", "fraction"), "rate_in")
-    both = _pair(path, rate)
-    b = lambda c: F.lag(c).over(_by_time())
-    years = (F.unix_micros(TIME) - F.unix_micros(b(TIME))) / (1e6 * YEAR_S)
-    yearly = b("b") / (100.0 if rate_in == "percent" else 1.0)
-    factor = F.col("a") / F.nullif(b("a"), F.lit(0.0)) - (F.pow(1 + yearly, years) - 1)
-    first = F.first("a").over(_by_time().rowsBetween(Window.unboundedPreceding, 0))
-    held = both.select(KEY, TIME, first.alias("__f"), F.coalesce(factor, F.lit(1.0)).alias("__x"))
-    w = _by_time().rowsBetween(Window.unboundedPreceding, 0)
-    zero = F.max(F.col("__x") == 0).over(w)
-    odd = F.sum(F.when(F.col("__x") < 0, 1).otherwise(0)).over(w) % 2 == 1
-    size = F.exp(F.sum(F.log(F.nullif(F.abs("__x"), F.lit(0.0)))).over(w))
-    product = F.when(zero, 0.0).otherwise(F.when(odd, -1.0).otherwise(1.0) * F.coalesce(size, F.lit(1.0)))
-    return held.select(KEY, TIME, (F.col("__f") * product).alias(VALUE))
+    both = _pair(path, rate).withColumn("__last", F.struct(TIME, "a", "b"))
+    both = carried(both, bucket, F.max("__last"), "__c")
+    w = Window.partitionBy(KEY, "__b").orderBy(TIME)
+    before = F.coalesce(F.lag("__last").over(w), F.col("__c"))
+    steps = both.select(KEY, TIME, "__b", "a", before.alias("p"))
+    years = (F.unix_micros(TIME) - F.unix_micros(F.col(f"p.{TIME}"))) / (1e6 * YEAR_S)
+    yearly = F.col("p.b") / (100.0 if rate_in == "percent" else 1.0)
+    factor = F.when(F.col("p").isNull(), 1.0).otherwise(F.col("a") / F.nullif(F.col("p.a"), F.lit(0.0)) - (F.pow(1 + yearly, years) - 1))
+    run = steps.select(KEY, TIME, "__b", "a", F.product(factor).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("x"))
+    earlier = Window.partitionBy(KEY).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    all_ = Window.partitionBy(KEY)
+    ends = run.groupBy(KEY, "__b").agg(F.max_by("x", TIME).alias("e"), F.min_by("a", TIME).alias("f"), F.count("*").alias("n"), F.min("a").alias("low"))
+    ends = ends.select(KEY, "__b", F.coalesce(F.product("e").over(earlier), F.lit(1.0)).alias("e"), F.min_by("f", "__b").over(all_).alias("f"), F.sum("n").over(all_).alias("n"), F.min("low").over(all_).alias("low"))
+    value = F.col("f") * F.col("e") * F.col("x")
+    value = refuse_when((F.col("n") < 2) | (F.col("low") <= 0), "NOT_DEFINED", "a path needs prices above 0 and two instants shared with its rate", value)
+    return run.join(ends, [KEY, "__b"]).select(KEY, TIME, value.alias(VALUE))

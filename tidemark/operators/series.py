@@ -6,16 +6,18 @@ collected. Points that a step leaves undefined are dropped, never null or NaN.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..errors import Refused, choice, refuse_when, whole
 from ..functions.linear import solve_spd
+from . import halo
 
 KEY, TIME, VALUE = "series_id", "time", "value"
 UNITS = {"daily": "day", "weekly": "week", "monthly": "month", "quarterly": "quarter", "annual": "year"}
@@ -52,12 +54,22 @@ def sound(s: DataFrame) -> DataFrame:
     return s.withColumn(VALUE, refuse_when(bad, "NOT_A_SERIES", "times must be there and values finite", F.col(VALUE)))
 
 
-def _stepped(s: DataFrame) -> DataFrame:
+def _stepped(s: DataFrame, w: WindowSpec | None = None) -> DataFrame:
     """``sound``, and refused too where two values of a series have one time; for steps that sort by time anyway."""
-    again = F.coalesce(F.lag(TIME).over(_by_time()) == F.col(TIME), F.lit(False))
+    again = F.coalesce(F.lag(TIME).over(w or _by_time()) == F.col(TIME), F.lit(False))
     return sound(s).withColumn(VALUE, refuse_when(again, "NOT_A_SERIES", "times must differ within a series", F.col(VALUE)))
 
 
+def _by_row(s: DataFrame, back: int, long: bool, columns: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
+    """``s`` with columns of windows that reach ``back`` rows back. A series is one task, or, where it is ``long``, as many as
+    Spark makes ranges of it."""
+    if not long:
+        w = _by_time()
+        return _stepped(s, w).withColumns(columns(w))
+    rows, w = halo.ranged(s.select(KEY, TIME, VALUE), max(back, 1))
+    return _stepped(rows, w).withColumns(columns(w)).where(~F.col(halo.BORROWED)).drop(halo.RANGE, halo.BORROWED)
+
+
 def distinct(s: DataFrame) -> DataFrame:
     """``sound``, and refused where two values of a series have one time: one row for each instant, counted. For steps that
     aggregate or join by instant; a join by instant needs no further shuffle."""
@@ -73,11 +85,11 @@ def resample(s: DataFrame, every: str, aggregate: str = "last") -> DataFrame:
     return distinct(s).groupBy(KEY, F.date_trunc(unit, TIME).alias("__p")).agg(F.max(TIME).alias(TIME), value.alias(VALUE)).drop("__p")
 
 
-def change(s: DataFrame, how: str = "percent", over: int = 1) -> DataFrame:
-    """Percent (times 100), log or difference against the value ``over`` rows before."""
+def change(s: DataFrame, how: str = "percent", over: int = 1, long: bool = False) -> DataFrame:
+    """Percent (times 100), log or difference against the value ``over`` rows before. ``long``: for series of more rows than a
+    task should take, as in ``lag`` and ``rolling``."""
     choice(how, ("percent", "log", "difference"), "how")
-    before = F.lag(VALUE, whole(over, "over")).over(_by_time())
-    held = _stepped(s).withColumn("__b", before).where("__b IS NOT NULL")
+    held = _by_row(s, whole(over, "over"), long, lambda w: {"__b": F.lag(VALUE, over).over(w)}).where("__b IS NOT NULL")
     v, b = F.col(VALUE), F.col("__b")
     new = {
         "percent": F.when(b != 0, (v / F.nullif(b, F.lit(0.0)) - 1) * 100),
@@ -87,20 +99,24 @@ def change(s: DataFrame, how: str = "percent", over: int = 1) -> DataFrame:
     return held.select(KEY, TIME, new.alias(VALUE)).where(F.col(VALUE).isNotNull())
 
 
-def lag(s: DataFrame, by: int) -> DataFrame:
+def lag(s: DataFrame, by: int, long: bool = False) -> DataFrame:
     """Each instant with the value ``by`` rows before; the first ``by`` instants go."""
-    return _stepped(s).select(KEY, TIME, F.lag(VALUE, whole(by, "by")).over(_by_time()).alias(VALUE)).where(F.col(VALUE).isNotNull())
+    held = _by_row(s, whole(by, "by"), long, lambda w: {"__b": F.lag(VALUE, by).over(w)})
+    return held.select(KEY, TIME, F.col("__b").alias(VALUE)).where(F.col(VALUE).isNotNull())
 
 
-def rolling(s: DataFrame, window: int, statistic: str = "mean", periods_per_year: float | None = None) -> DataFrame:
+def rolling(s: DataFrame, window: int, statistic: str = "mean", periods_per_year: float | None = None, long: bool = False) -> DataFrame:
     """mean, sd (sample), zscore of the last value, or vol (sd times the root of ``periods_per_year``) of full windows; flat
     windows have no z-score."""
     choice(statistic, ("mean", "sd", "zscore", "vol"), "statistic")
     whole(window, "window", 2)
     if (statistic == "vol") != (periods_per_year is not None) or (periods_per_year is not None and periods_per_year <= 0):
         raise Refused("NOT_DEFINED", "vol needs periods_per_year above 0, and only vol takes it", "periods_per_year")
-    w = _by_time().rowsBetween(-(window - 1), 0)
-    held = _stepped(s).select(KEY, TIME, VALUE, F.count("*").over(w).alias("__n"), F.avg(VALUE).over(w).alias("__m"), F.stddev_samp(VALUE).over(w).alias("__s")).where(F.col("__n") == window)
+    def columns(w: WindowSpec) -> dict[str, Column]:
+        w = w.rowsBetween(-(window - 1), 0)
+        return {"__n": F.count("*").over(w), "__m": F.avg(VALUE).over(w), "__s": F.stddev_samp(VALUE).over(w)}
+
+    held = _by_row(s, window - 1, long, columns).where(F.col("__n") == window)
     new = {
         "mean": F.col("__m"),
         "sd": F.col("__s"),

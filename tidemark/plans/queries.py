@@ -62,8 +62,8 @@ _S3 = "s3 AS (SELECT event_type AS k, ts AS t, value AS v FROM events)"
 _TS = "strftime(t, '%Y-%m-%d %H:%M:%S')"
 
 
-def shown(s: DataFrame, digits: int = 2) -> DataFrame:
-    return s.select("series_id", F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("time"), F.round("value", digits).alias("value"))
+def shown(s: DataFrame, digits: int = 2, *more: str) -> DataFrame:
+    return s.select("series_id", *more, F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("time"), F.round("value", digits).alias("value"))
 
 
 def _resample_queries() -> None:
@@ -228,11 +228,33 @@ def path_zscores(spark, d):
 
 
 @query(
-    f"WITH {_S1}, f AS (SELECT k, t, first_value(v) OVER w AS f, v / lag(v) OVER w - (pow(1.05, date_diff('day', lag(t) OVER w, t) / 365.25) - 1) AS x FROM s1 WINDOW w AS (PARTITION BY k ORDER BY t)), p AS (SELECT k, t, f * exp(sum(ln(abs(coalesce(x, 1)))) OVER w) * CASE WHEN sum(CASE WHEN x < 0 THEN 1 ELSE 0 END) OVER w % 2 = 1 THEN -1 ELSE 1 END AS v FROM f WINDOW w AS (PARTITION BY k ORDER BY t ROWS UNBOUNDED PRECEDING)) SELECT k AS series_id, {_TS} AS time, round(v, 0) AS value FROM p"
+    f"WITH {_S1}, f AS (SELECT k, t, first_value(v) OVER w AS f, v / lag(v) OVER w - (pow(1 + (day(lag(t) OVER w) % 9 - 2) / 100.0, date_diff('day', lag(t) OVER w, t) / 365.25) - 1) AS x FROM s1 WINDOW w AS (PARTITION BY k ORDER BY t)), p AS (SELECT k, t, f * product(coalesce(x, 1)) OVER (PARTITION BY k ORDER BY t ROWS UNBOUNDED PRECEDING) AS v FROM f) SELECT k AS series_id, {_TS} AS time, sign(v)::INTEGER AS side, round(ln(abs(v)), 6) AS value FROM p"
 )
 def path_excess(spark, d):
+    """Net of a rate that changes from day to day; in logarithms, as the product runs over many powers of ten."""
     s = orders_series(spark, d)
-    return shown(paths.excess(s, s.withColumn("value", F.lit(5.0))), 0)
+    net = paths.excess(s, s.withColumn("value", (F.dayofmonth("time") % 9 - 2).cast("double")))
+    return shown(net.withColumn("side", F.signum("value").cast("int")).withColumn("value", F.log(F.abs("value"))), 6, "side")
+
+
+_LONG = "s AS (SELECT make_timestamp(CAST(1893456000000000 + event_id * 1000000 AS BIGINT)) AS t, value AS v FROM events)"
+
+
+def _long_series(spark, d):
+    """All events as one series, a second apart."""
+    at = F.timestamp_micros(1893456000000000 + F.col("event_id") * 1000000)
+    return series.series(table(spark, d, "events"), at, "value")
+
+
+@query(f"WITH {_LONG}, w AS (SELECT t, avg(v) OVER w AS m, count(*) OVER w AS n FROM s WINDOW w AS (ORDER BY t ROWS 199 PRECEDING)) SELECT 'all' AS series_id, {_TS} AS time, round(m, 7) AS value FROM w WHERE n = 200")
+def series_rolling_long(spark, d):
+    """One long series, its windows spread over many tasks."""
+    return shown(series.rolling(_long_series(spark, d), 200, long=True), 7)
+
+
+@query(f"WITH {_LONG}, w AS (SELECT t, (v / lag(v, 30) OVER (ORDER BY t) - 1) * 100 AS c FROM s) SELECT 'all' AS series_id, {_TS} AS time, round(c, 6) AS value FROM w WHERE c IS NOT NULL")
+def series_change_long(spark, d):
+    return shown(series.change(_long_series(spark, d), over=30, long=True), 6)
 
 
 # record programs
