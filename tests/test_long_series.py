@@ -88,3 +88,26 @@ def test_excess_is_the_plain_recursion(spark):
     for bad in (path.withColumn("value", -F.col("value")), path.where("series_id = 'b'").limit(1)):
         with pytest.raises(Exception, match="NOT_DEFINED"):
             paths.excess(bad, rate).collect()
+
+
+def test_ranks_by_digits(spark):
+    """Heavy tails, ties, signs and one value far off, against numpy."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    many = {
+        "tails": r.standard_cauchy(3_000) * 1e3, "outlier": np.append(r.random(2_000), 1e300), "ties": r.integers(-3, 3, 2_000) * 1.0, "zeros": np.array([0.0, -0.0, 0.0, -1e-320, 1e-320]), "one": np.array([7.5]),
+        "same": np.full(1_000, 2.5), "signs": np.array([-1e308, 1e308, -1.0, 1.0, -5e-324]),
+    }
+    rows = [(k, dt.datetime(2030, 1, 1) + dt.timedelta(minutes=i), float(v)) for k, x in many.items() for i, v in enumerate(x)]
+    s = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    for share in (0.0, 0.05, 0.5, 0.99, 1.0):
+        got = {x.series_id: x.q for x in paths.quantile(s, share).collect()}
+        assert got.keys() == many.keys()
+        for k, x in many.items():
+            y = np.sort(x)
+            at = (len(y) - 1) * share
+            lo = int(at)
+            assert got[k] == pytest.approx(y[lo] + (at - lo) * (y[min(lo + 1, len(y) - 1)] - y[lo]), rel=1e-12, abs=1e-330), (k, share)
+    ranks = spark.createDataFrame([("tails", 17), ("tails", 2_999), ("outlier", 2_000), ("ties", 0)], "series_id string, rank bigint")
+    assert {(x.series_id, x.rank): x.value for x in paths.ranked(s, ranks).collect()} == {(k, i): float(np.sort(many[k])[i]) for k, i in (("tails", 17), ("tails", 2_999), ("outlier", 2_000), ("ties", 0))}

@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .text import bound
+
 # Coefficients of G. West's published double-precision approximation of the normal distribution (2005)
 _TOP = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
 _BOTTOM = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
@@ -30,40 +32,40 @@ def norm_pdf(x: Column) -> Column:
 
 
 def norm_cdf(x: Column) -> Column:
-    """Both branches are worked out and one is picked at the end, so that shared parts compile once; held at 38, where the tail
-    is 0 either way."""
-    a = F.least(F.abs(x), F.lit(38.0))
-    e = F.exp(-a * a / 2)
-    near = e * _poly(a, _TOP) / _poly(a, _BOTTOM)
-    # the continued fraction of the far tail
-    f = a + 0.65
-    for n in (4, 3, 2, 1):
-        f = a + F.lit(float(n)) / f
-    low = F.get(F.array(e / f / 2.506628274631, near, F.lit(0.0)), (a < _FAR).cast("int") + 2 * (a > 37).cast("int"))
-    return F.abs((x > 0).cast("double") - low)
+    """Held at 38, where the tail is 0 either way. The argument is bound, as the polynomials name it two dozen times."""
+
+    def low(a: Column) -> Column:
+        e = F.exp(-a * a / 2)
+        f = a + 0.65
+        for n in (4, 3, 2, 1):  # the continued fraction of the far tail
+            f = a + F.lit(float(n)) / f
+        return F.when(a > 37, 0.0).when(a < _FAR, e * _poly(a, _TOP) / _poly(a, _BOTTOM)).otherwise(e / f / 2.506628274631)
+
+    return bound(x, lambda x: F.abs((x > 0).cast("double") - bound(F.least(F.abs(x), F.lit(38.0)), low)))
 
 
 def black_scholes(right: Column, spot: Column, strike: Column, rate: Column, dividend: Column, vol: Column, time: Column) -> Column:
     """Struct (price, delta, gamma, vega, theta, rho) of a European call or put; spot, strike, vol and time above 0, else null."""
-    root = F.sqrt(time)
-    d1 = (F.log(spot / strike) + (rate - dividend + vol * vol / 2) * time) / (vol * root)
-    d2 = d1 - vol * root
     sign = F.when(right == "call", 1.0).when(right == "put", -1.0)
-    fd, rd = F.exp(-dividend * time), F.exp(-rate * time)
-    n1, n2 = norm_cdf(sign * d1), norm_cdf(sign * d2)
-    density = norm_pdf(d1)
+    d1 = (F.log(spot / strike) + (rate - dividend + vol * vol / 2) * time) / (vol * F.sqrt(time))
     good = (spot > 0) & (strike > 0) & (vol > 0) & (time > 0) & sign.isNotNull()
-    return F.when(
-        good,
-        F.struct(
+
+    def greeks(x: Column) -> Column:
+        sign, root, fd, rd, n1, n2, density = (x[k] for k in ("sign", "root", "fd", "rd", "n1", "n2", "density"))
+        return F.struct(
             (sign * (spot * fd * n1 - strike * rd * n2)).alias("price"),
             (sign * fd * n1).alias("delta"),
             (fd * density / (spot * vol * root)).alias("gamma"),
             (spot * fd * density * root).alias("vega"),
             (-spot * fd * density * vol / (2 * root) - sign * (rate * strike * rd * n2 - dividend * spot * fd * n1)).alias("theta"),
             (sign * strike * time * rd * n2).alias("rho"),
-        ),
-    )
+        )
+
+    parts = lambda d: F.struct(
+        sign.alias("sign"), F.sqrt(time).alias("root"), F.exp(-dividend * time).alias("fd"), F.exp(-rate * time).alias("rd"),
+        norm_cdf(sign * d).alias("n1"), norm_cdf(sign * (d - vol * F.sqrt(time))).alias("n2"), norm_pdf(d).alias("density"),
+    )
+    return F.when(good, bound(d1, lambda d: bound(parts(d), greeks)))
 
 
 def _cdf(x: np.ndarray) -> np.ndarray:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import Refused, choice, refuse_when
+from ..functions.text import bound
+from ..scratch import held
 from .series import KEY, TIME, VALUE, _by_row, _by_time, _pair, carried, sound
 
 YEAR_S = 365.25 * 86400
-BINS = 1024
+SHIFTS = (42, 21, 0)
 
 
 def returns(path: DataFrame, kind: str = "simple", long: bool = False) -> DataFrame:
@@ -60,22 +62,47 @@ def ratios(rets: DataFrame, periods_per_year: float, target: float = 0.0) -> Dat
     return held.select(KEY, (F.col("s") * root).alias("volatility"), sharpe.alias("sharpe"), sortino.alias("sortino"))
 
 
-def quantile(s: DataFrame, share: float, bins: int = BINS) -> DataFrame:
-    """(series_id, q): the interpolated quantile of each series. Values are counted in equal bins between the least and the
-    largest; only those of the one or two bins that hold the wanted ranks are sorted."""
-    lo = F.floor((F.col("n") - 1) * share)
-    ends = s.groupBy(KEY).agg(F.count("*").alias("n"), F.min(VALUE).alias("a"), F.max(VALUE).alias("z")).withColumn("lo", lo)
-    width = F.nullif(F.col("z") - F.col("a"), F.lit(0.0))
-    bin_ = F.coalesce(F.least(F.floor((F.col(VALUE) - F.col("a")) / width * bins), F.lit(bins - 1)), F.lit(0))
-    placed = s.select(KEY, VALUE).join(ends, KEY).withColumn("bin", bin_)
-    counts = placed.groupBy(KEY, "bin").agg(F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy(KEY).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wanted = counts.withColumn("before", before).join(ends.select(KEY, "lo"), KEY).where("before <= lo + 1 AND before + c > lo").select(KEY, "bin", "before")
-    rank = F.col("before") + F.row_number().over(Window.partitionBy(KEY, "bin").orderBy(VALUE)) - 1
-    ranked = placed.join(wanted, [KEY, "bin"]).withColumn("r", rank)
-    both = ranked.groupBy(KEY).agg(F.max("n").alias("n"), F.max("lo").alias("lo"), F.max(F.when(F.col("r") == F.col("lo"), F.col(VALUE))).alias("x"), F.max(F.when(F.col("r") == F.col("lo") + 1, F.col(VALUE))).alias("y"))
+def _key(value: Column) -> Column:
+    """A whole number of 64 bits that orders as the doubles do; both zeros have one."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + 0.0).cast("bigint")
+    return bound(bits, lambda b: F.when(b < 0, b.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(b))
+
+
+def _value(key: Column) -> Column:
+    bits = F.when(key < 0, key.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(key)
+    return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+
+
+def ranked(s: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(series_id, rank, value): the values at ranks from 0 of each series; ``ranks``: (series_id, rank), as the series has.
+
+    Values become sortable keys of 64 bits, whose digits, three of 22, 21 and 21 bits, are counted one after another: a count
+    of each digit tells which of them holds a rank, and only values with that digit go on. Nothing is sorted but counts,
+    however the values lie or repeat."""
+    rows = s.select(KEY, _key(F.col(VALUE)).alias("k"))
+    left = ranks.select(KEY, "rank", F.col("rank").alias("r"), F.lit(0).cast("bigint").alias("at"))
+    rows, at = held(rows, "keys"), None
+    for shift in SHIFTS:
+        digit = F.shiftright("k", shift)
+        wanted = left.select(KEY, "at").distinct()
+        some = rows.join(wanted, KEY) if at is None else rows.join(wanted, [rows[KEY] == wanted[KEY], F.shiftright(rows["k"], at) == wanted["at"]]).drop(wanted[KEY])
+        counts = some.groupBy(KEY, "at", digit.alias("digit")).agg(F.count("*").alias("c"))
+        before = Window.partitionBy(KEY, "at").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
+        # a rank meets the digits of its own series and prefix, and stays with one
+        met = left.join(counts, [KEY, "at"]).where("before <= r AND r < before + c")
+        left, at = met.select(KEY, "rank", (F.col("r") - F.col("before")).alias("r"), F.col("digit").alias("at")), shift
+    return left.select(KEY, "rank", _value(F.col("at")).alias(VALUE))
+
+
+def quantile(s: DataFrame, share: float) -> DataFrame:
+    """(series_id, q): the interpolated quantile of each series."""
+    n = s.groupBy(KEY).agg(F.count("*").alias("n")).withColumn("lo", F.floor((F.col("n") - 1) * share))
+    n = held(n, "sizes")
+    both = n.select(KEY, F.explode(F.array_distinct(F.array("lo", F.least(F.col("lo") + 1, F.col("n") - 1)))).alias("rank"))
+    found = ranked(s, both).groupBy(KEY).agg(F.min_by(VALUE, "rank").alias("x"), F.max_by(VALUE, "rank").alias("y"))
     over = (F.col("n") - 1) * share - F.col("lo")
-    return both.select(KEY, (F.col("x") + F.when(over > 0, over * (F.col("y") - F.col("x"))).otherwise(0.0)).alias("q"))
+    return found.join(n, KEY).select(KEY, (F.col("x") + F.when(over > 0, over * (F.col("y") - F.col("x"))).otherwise(0.0)).alias("q"))
 
 
 def tail(rets: DataFrame, confidence: float = 0.95) -> DataFrame:
