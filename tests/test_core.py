@@ -121,7 +121,7 @@ def test_regression_and_paths(spark):
     want = [(r - m).mean(), np.cov(r, m)[0, 1] / m.var(ddof=1), np.corrcoef(r, m)[0, 1], r[up].mean() / m[up].mean(), r[down].mean() / m[down].mean()]
     assert [e.excess_return, e.beta, e.correlation, e.up_capture, e.down_capture] == pytest.approx(want)
     rate, net = noise(17, 30, 0, 8), [80.0]
-    x = [v or 1.0 for v in noise(18, 30, -60, 90)]
+    x = noise(18, 30, 5, 90)  # prices at or below 0 refuse
     x[0] = 80.0
     for i in range(1, 30):
         net.append(net[-1] * (x[i] / x[i - 1] - ((1 + rate[i - 1] / 100) ** (1 / 365.25) - 1)))

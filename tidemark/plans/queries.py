@@ -17,7 +17,7 @@ from ..functions import text as X
 from ..functions import times as T
 from ..functions.detect import detect
 from ..functions.options import _BOTTOM, _FAR, _TOP, american, black_scholes, implied_vol, norm_cdf
-from ..operators import forecasts, judgment, mixed, paths, records, series, trials
+from ..operators import claims, forecasts, judgment, mixed, paths, records, series, trials
 from ..scratch import shared_dir
 from ..sources import convert, ranges, sinks
 from ..sources.repair import repair_csv, repair_json
@@ -257,6 +257,20 @@ def series_change_long(spark, d):
     return shown(series.change(_long_series(spark, d), over=30, long=True), 6)
 
 
+_CLAIMS = "SELECT l_orderkey, l_linenumber, l_partkey AS subject, l_linenumber % 2 = 0 AS up, l_suppkey % 2 = 0 AS strict, CAST(l_quantity AS BIGINT) AS level, CAST((l_orderkey * 37 + l_linenumber * 991) % 10001 AS INTEGER) AS bps FROM lineitem"
+_IMPLIES = "x.up = y.up AND CASE WHEN x.level = y.level THEN x.strict OR NOT y.strict WHEN x.up THEN y.level < x.level ELSE x.level < y.level END"
+_ABOVE, _BELOW, _EITHER = ("CASE WHEN x.up THEN x.level ELSE y.level END", "CASE WHEN x.up THEN y.level ELSE x.level END", "x.up <> y.up")
+
+
+@query(
+    f"WITH c AS ({_CLAIMS}), n AS (SELECT row_number() OVER () AS r, * FROM c), f AS (SELECT x.r, bool_or({_IMPLIES} AND y.bps < x.bps) AS too_likely, bool_or({_IMPLIES.replace('x.', 'z.').replace('y.', 'x.').replace('z.', 'y.')} AND x.bps < y.bps) AS too_unlikely, bool_or({_EITHER} AND ({_BELOW} < {_ABOVE} OR x.level = y.level AND (x.strict OR y.strict)) AND x.bps + y.bps > 10000) AS too_much, bool_or({_EITHER} AND ({_ABOVE} < {_BELOW} OR x.level = y.level AND NOT (x.strict AND y.strict)) AND x.bps + y.bps < 10000) AS too_little FROM n x JOIN n y USING (subject) GROUP BY x.r) SELECT l_orderkey, l_linenumber, subject, up, level, bps, too_likely, too_unlikely, too_much, too_little FROM n JOIN f USING (r)"
+)
+def claims_that_clash(spark, d):
+    """Line items read as claims on their parts."""
+    said = table(spark, d, "lineitem").selectExpr(*_CLAIMS.removeprefix("SELECT ").removesuffix(" FROM lineitem").split(", "))
+    return claims.clashes(said).select("l_orderkey", "l_linenumber", "subject", "up", "level", "bps", "too_likely", "too_unlikely", "too_much", "too_little")
+
+
 # record programs
 PROGRAM = [
     {"op": "filter", "field": "c_mktsegment", "predicate": "ne", "value": "BUILDING"},
