@@ -453,6 +453,13 @@ def test_warc_of_odd_pages(spark, tmp_path):
     assert gzip.decompress(raw).count(b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest") == 2
 
 
+def test_warc_of_long_urls(spark, tmp_path):
+    rows = [(1, "http://a.org/" + "x" * 2_500_000, "one"), (2, "http://a.org/" + "y" * 70_000, "one"), (3, "http://b.org/", "two")]
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archive_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string"), path=str(tmp_path / "w")).collect()}
+    assert got == {1: ("response", None), 2: ("revisit", 1), 3: ("response", None)}
+    assert sorted(len(r.target_uri) for r in warc.read(spark, str(tmp_path / "w")).collect()) == sorted(len(u) for _, u, _ in rows)
+
+
 def test_warc(spark, tmp_path):
     pages = [(1, "http://a/1", "<p>é</p>"), (2, "http://a/2", "<p>é</p>"), (3, "http://a/3", None), (4, "http://a/4", ""), (5, None, "z" * 3_000_000), (6, "http://a/6\r\nX: y", "q"), (7, "http://a/7", "<p>é</p>")]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id bigint, url string, html string, payload string").repartition(3)

@@ -35,7 +35,6 @@ _BATCH = 500
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _GROUP = 64 << 20
 _ROLL = 256 << 20
-_HEADER_MOST = 1 << 20
 
 
 def member(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -101,8 +100,11 @@ class _Member:
         return True
 
     def until(self, mark: bytes) -> bytes:
-        while (at := self.buffer.find(mark)) < 0:
-            if len(self.buffer) > _HEADER_MOST or not self.more():
+        """What stands before ``mark``, however long: a url may be."""
+        seen = 0
+        while (at := self.buffer.find(mark, max(0, seen - len(mark)))) < 0:
+            seen = len(self.buffer)
+            if not self.more(max(1 << 16, seen)):
                 raise ValueError(f"no end of headers in the record at {self.offset}")
         out, self.buffer = self.buffer[:at], self.buffer[at + len(mark) :]
         return out
