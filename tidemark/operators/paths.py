@@ -92,6 +92,7 @@ def ranked(s: DataFrame, ranks: DataFrame) -> DataFrame:
         # a rank meets the digits of its own series and prefix, and stays with one
         met = left.join(counts, [KEY, "at"]).where("before <= r AND r < before + c")
         left, at = met.select(KEY, "rank", (F.col("r") - F.col("before")).alias("r"), F.col("digit").alias("at")), shift
+        left = held(left, "ranks")  # a row for each rank; passes would repeat those before them
     return left.select(KEY, "rank", _value(F.col("at")).alias(VALUE))
 
 
