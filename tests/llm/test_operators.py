@@ -48,6 +48,22 @@ def test_pieces(spark, rows):
     assert pieces.encode_decode(docs(spark, []), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_pieces_of_many_blocks(spark, monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "PER_BUCKET", 3)
+    monkeypatch.setattr(pieces, "BLOCK_BYTES", 300)
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    g = random.Random(5)
+    signs = [" ", "  ", "\u2581", "a", "the", "ing", "\n", "\t", "\x00", "\u4e2d", "\U0001f600", "\u0301", "\ufffd", "1", "<0x41>", "<s>", "\u00a0"]
+    texts = ["".join(g.choice(signs) for _ in range(g.randrange(0, 40))) for _ in range(300)] + [None, "", " ", "   ", "\u2581\u2581", "x" * 50_000, "the " * 5_000, "the"] + ["the"] * 200
+    rows = [(None if i % 50 == 7 else i, t) for i, t in enumerate(texts)]
+    got = pieces.encode_decode(docs(spark, rows), public_tokenizers.path("piece_bpe_32k.model"), ids=True).collect()
+    want = sorted(((d, sp.encode(t or "", add_eos=True), sp.decode(sp.encode(t or "", add_eos=True))) for d, t in rows), key=str)
+    assert sorted(((r.doc_id, r.ids, r.decoded) for r in got), key=str) == want
+    assert all(r.n_tokens == len(r.ids) and r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest() for r in got)
+
+
 def _ids(t):
     from tokenizers import Tokenizer
 

@@ -116,14 +116,14 @@ def release_memory() -> None:
         trim(0)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
-    """``mapInArrow`` with a function of one batch, which gets slices of a few megabytes; None and empty results are left
-    out. ``done`` runs at a task's end, before its memory is given back."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, done: Callable[[], None] | None = None, most: int = BATCH_BYTES) -> DataFrame:
+    """``mapInArrow`` with a function of one batch, which gets slices of about ``most`` bytes (0: of one row each); None and
+    empty results are left out. ``done`` runs at a task's end, before its memory is given back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             for batch in batches:
-                for part in parts(batch):
+                for part in parts(batch, most):
                     if (out := fn(part)) is not None and out.num_rows:
                         yield out
         finally:

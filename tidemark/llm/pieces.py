@@ -1,35 +1,62 @@
 """SentencePiece encoding and decoding through a table of distinct chunks.
 
 The model's pieces never hold the white-space marker behind another character (checked when a model is loaded), so a
-marked word - a run of markers and what follows up to the next one - is segmented the same way wherever it stands. Each
-batch therefore collects its distinct marked words, the library segments each of them once, and the ids (and their
-decoded surfaces) join back by position. The table is kept from batch to batch by each Python worker and emptied when it
-reaches a fixed size. It is not a corpus-wide table joined by Spark: that join would shuffle a row for every word of the
-corpus, several times its size.
+marked word - a run of markers and what follows up to the next one - is segmented the same way wherever it stands.
+
+- Texts become *blocks* of a few megabytes: the block's distinct marked words, and for each position of its documents the
+  number of the word there. Blocks are written once.
+- The blocks' words meet in buckets by hash. All blocks that hold a word ask the same bucket, where the library segments
+  it once for the whole corpus; a bucket answers each block with the ids of the words it asked for. Buckets follow the
+  number of words asked for, so a bucket's table has a bounded size; a word that is everywhere is asked for once a block.
+- A block's answers come back to it, and ids (and decoded surfaces) join its documents by position, in columns.
+
+What is shuffled is a block's distinct words, their ids and the numbered positions, never a row for each word of a text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
+from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import Scratch, map_batches, parts, release_memory
 
 MARK = "▁"
-TABLE_LIMIT = 300_000
+BLOCK_BYTES = 16 << 20
+PER_BUCKET = 200_000
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
 
-class ChunkTable:
-    """Marked word (without its first marker) -> (ids as text, number of ids, decoded surface with its markers as spaces)."""
+def chunks(text: str) -> list[str]:
+    """The text's marked words, each without its first marker; none for an empty text."""
+    if not text:
+        return []
+    out, pending = [], 0
+    for p in text.replace(MARK, " ").split(" "):
+        if p:
+            out.append(" " * pending + p)
+            pending = 0
+        else:
+            pending += 1
+    if pending:
+        out.append(" " * (pending - 1))
+    return out
+
+
+class Segmenter:
+    """The library's model, checked to cut between marked words only."""
 
-    def __init__(self, model_file: str, limit: int = TABLE_LIMIT):
+    def __init__(self, model_file: str):
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         if any(MARK in p.lstrip(MARK) for p in pieces):
@@ -37,28 +64,8 @@ class ChunkTable:
         probe = self.sp.encode("a  b ", out_type=str)
         if "".join(probe) != f"{MARK}a{MARK}{MARK}b{MARK}":
             raise ValueError("this model normalises text or adds no leading marker; chunks can't be cut from raw text")
-        self.eos, self.limit = self.sp.eos_id(), limit
-        self.table: dict[str, tuple[str, int, str]] = {}
-        self.lone = self.sp.piece_to_id(MARK)
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        """The text's marked words, each without its first marker; none for an empty text."""
-        if not text:
-            return []
-        parts = text.replace(MARK, " ").split(" ")
-        if "" not in parts:
-            return parts
-        out, pending = [], 0
-        for p in parts:
-            if p:
-                out.append(" " * pending + p)
-                pending = 0
-            else:
-                pending += 1
-        if pending:
-            out.append(" " * (pending - 1))
-        return out
+        self.eos, self.lone = self.sp.eos_id(), self.sp.piece_to_id(MARK)
+        self.names = pa.array([str(i) for i in range(len(pieces))])
 
     def surface(self, ids: list[int]) -> str:
         """The pieces' text; bytes of runs of byte pieces are decoded together, as the library does."""
@@ -69,68 +76,157 @@ class ChunkTable:
                 run.append(int(_BYTE.match(piece)[1], 16))
                 continue
             if run:
-                out.append(_decode_bytes(bytes(run)))
+                out.append(run.decode("utf-8", "replace"))
                 run.clear()
             out.append(self.sp.decode([i]) if self.sp.is_unknown(i) else piece.replace(MARK, " "))
-        if run:
-            out.append(_decode_bytes(bytes(run)))
-        return "".join(out)
-
-    def learn(self, chunks: set[str]) -> None:
-        missing = [c for c in chunks if c not in self.table]
-        if len(self.table) + len(missing) > self.limit:
-            self.table.clear()
-            missing = list(chunks)
-        for c, ids in zip(missing, self.sp.encode([c for c in missing], num_threads=1), strict=True):
+        return "".join([*out, run.decode("utf-8", "replace")])
+
+    def segment(self, words: list[str]) -> list[tuple[list[int], str | None]]:
+        """Ids of each marked word, and its decoded surface where that is not the word itself behind a space."""
+        found = []
+        for word, ids in zip(words, self.sp.encode(words, num_threads=1), strict=True):
             ids = ids or [self.lone]
-            self.table[c] = (" ".join(map(str, ids)), len(ids), self.surface(ids))
+            surface = self.surface(ids)
+            found.append((ids, None if surface == f" {word}" else surface))
+        return found
 
-    def encode(self, chunks: list[str]) -> tuple[str, int, str]:
-        """Ids as decimals joined by a space with the end id, their number, the decoded text."""
-        if not chunks:
-            return str(self.eos), 1, ""
-        ids, counts, surfaces = zip(*map(self.table.__getitem__, chunks), strict=True)
-        text = "".join(surfaces)
-        return f"{' '.join(ids)} {self.eos}", sum(counts) + 1, text[1:] if text[:1] == " " else text
 
+@cache
+def segmenter(model_file: str) -> Segmenter:
+    return Segmenter(model_file)
 
-def _decode_bytes(run: bytes) -> str:
-    return run.decode("utf-8", "replace")
 
+def _squeezed(codes: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32 as planes of bytes, compressed: the high planes are nearly all zeros."""
+    return pa.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
 
-@cache
-def chunk_table(model_file: str) -> ChunkTable:
-    return ChunkTable(model_file)
 
+def _opened(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), dtype=np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
-def encode_decode(docs: DataFrame, model_file: str, ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of ``docs`` (doc_id, text), and with ``ids`` also the ids
-    (array<int>) and the decoded text. The end id is added and counts. A null text is an empty one: the end id alone,
-    which decodes to nothing. Repeated rows are encoded alike; doc_id is carried as it is, null too; other columns are
-    not read; an empty table gives no rows. ``model_file`` must be there on every executor."""
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """(doc_ids, sizes, codes, n_words, words) for each block: its documents, how many marked words each has, the words'
+    numbers in order, and the distinct words by number, joined by the marker, which no word holds."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        table = chunk_table(model_file)
-        rows, n = [], 0
-        texts = batch.column(1).to_pylist()
-        while n < len(texts):
-            part, distinct = [], set()
-            while n < len(texts) and len(distinct) < table.limit // 2:
-                part.append(table.chunks(texts[n] or ""))
-                distinct.update(part[-1])
-                n += 1
-            table.learn(distinct)
-            rows += map(table.encode, part)
-        cols = [
-            batch.column(0),
-            pa.array([r[1] for r in rows], pa.int64()),
-            pa.array([hashlib.sha256(r[0].encode()).hexdigest() for r in rows]),
-            pa.array([hashlib.sha256(r[2].encode()).hexdigest() for r in rows]),
-        ]
+        texts = pc.replace_substring(pc.fill_null(batch.column(1), ""), MARK, " ")
+        cut = pc.split_pattern(texts, " ")
+        # runs of spaces, and spaces at either end, belong to words; most texts have none
+        plain = pc.and_not(pc.not_equal(texts, ""), pc.match_substring_regex(texts, "  |^ | $"))
+        odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        if len(odd):
+            where = np.arange(len(texts))
+            where[odd] = len(texts) + np.arange(len(odd))
+            apart = pa.array([chunks(t) for t in texts.take(pa.array(odd)).to_pylist()], cut.type)
+            cut = pa.concat_arrays([cut, apart]).take(pa.array(where))
+        sizes = pc.list_value_length(cut)
+        coded = cut.flatten().dictionary_encode()
+        codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")  # frequent words have small numbers
+        number = np.empty(len(words), np.int64)
+        number[order] = np.arange(len(words))
+        joined = MARK.join(words[i] for i in order)
+        row = [[batch.column(0).to_pylist()], [sizes.to_pylist()], [_squeezed(number[codes]) if len(codes) else b""], [len(words)], [joined]]
+        types = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int64(), pa.string()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(row, types, strict=True)], names=["doc_ids", "sizes", "codes", "n_words", "words"])
+
+    rows = map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), one, "doc_ids array<bigint>, sizes array<int>, codes binary, n_words bigint, words string", most=BLOCK_BYTES)
+    return rows.withColumn("block", F.monotonically_increasing_id())
+
+
+def asked(stored: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, block, places, words): what each block asks of each bucket, with the numbers that its words have there."""
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        rows: list[tuple] = []
+        for block, n, joined in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if not n:
+                continue
+            words = joined.split(MARK)
+            bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, n)
+            order = np.argsort(bucket, kind="stable")
+            for places in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                rows.append((int(bucket[places[0]]), block, places.astype("<u4").tobytes(), MARK.join([words[i] for i in places])))
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.string()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["bucket", "block", "places", "words"]) if rows else None
+
+    return map_batches(stored.select("block", "n_words", "words"), one, "bucket bigint, block bigint, places binary, words string")
+
+
+def answered(pages: DataFrame, buckets: int, model_file: str) -> DataFrame:
+    """(block, places, counts, ids, odd): for each page of words the number of ids of each, all ids, and the surfaces that
+    are not the word. A task reads its buckets one after another and holds the words of one."""
+    tasks = max(min(buckets, 4 * pages.sparkSession.sparkContext.defaultParallelism), math.ceil(buckets / 16))
+    dealt = pages.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket")
+    types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.struct([("place", pa.int64()), ("surface", pa.string())]))]
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, table, current = segmenter(model_file), {}, None
+        for batch in batches:
+            for part in parts(batch):
+                rows = []
+                for bucket, block, places, joined in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if bucket != current:
+                        table, current = {}, bucket
+                    words = joined.split(MARK)
+                    new = [w for w in words if w not in table]
+                    table.update((w, (np.array(ids, "<u4").tobytes(), len(ids), surface)) for w, (ids, surface) in zip(new, model.segment(new), strict=True))
+                    ids, counts, surfaces = zip(*map(table.__getitem__, words), strict=True)
+                    at = np.frombuffer(places, "<u4")
+                    odd = [{"place": int(p), "surface": s} for p, s in zip(at, surfaces, strict=True) if s is not None]
+                    flat = np.frombuffer(b"".join(ids), "<u4")
+                    rows.append((block, places, np.array(counts, "<u4").tobytes(), _squeezed(flat), odd))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["block", "places", "counts", "ids", "odd"])
+        release_memory()
+
+    return dealt.mapInArrow(answer, "block bigint, places binary, counts binary, ids binary, odd array<struct<place:bigint,surface:string>>")
+
+
+def encode_decode(docs: DataFrame, model_file: str, ids: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of ``docs`` (doc_id, text), and with ``ids`` also the ids
+    (array<int>) and the decoded text; already computed. The end id is added and counts. A null text is an empty one: the
+    end id alone, which decodes to nothing. Repeated rows are encoded alike; doc_id is carried as it is, null too; other
+    columns are not read; an empty table gives no rows. ``model_file`` must be there on every executor."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    stored = scratch.save(blocks(docs), "blocks")
+    words = stored.agg(F.sum("n_words")).first()[0] or 0
+    buckets = max(math.ceil(words / PER_BUCKET), min(4 * docs.sparkSession.sparkContext.defaultParallelism, math.ceil(words / 1000)), 1)
+    answers = scratch.save(answered(asked(stored, buckets), buckets, model_file), "answers")
+    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("places", "counts", "ids", "odd")).alias("answers"))  # a block's words, once each
+    met = stored.join(by_block, "block", "left").select("doc_ids", "sizes", "codes", "n_words", "words", "answers")
+
+    def joined(batch: pa.RecordBatch) -> pa.RecordBatch:
+        model = segmenter(model_file)
+        doc_ids, sizes, codes, n_words, words, answers = (c[0].as_py() for c in batch.columns)
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        by_place = lambda values: values.take(pa.array(np.argsort(places)))
+        at_positions = lambda values, by: pc.binary_join(pa.ListArray.from_arrays(ends, by_place(values).take(at)), by)
+        places = np.concatenate([np.frombuffer(a["places"], "<u4") for a in answers or []] or [np.zeros(0, np.int64)]).astype(np.int64)
+        counts = [np.frombuffer(a["counts"], "<u4").astype(np.int64) for a in answers or []]
+        flat = np.concatenate([_opened(a["ids"], int(c.sum())) for a, c in zip(answers or [], counts, strict=True)] or [np.zeros(0, np.int64)])
+        counts = np.concatenate(counts or [np.zeros(0, np.int64)])
+        at = pa.array(_opened(codes, sum(sizes)) if codes else np.zeros(0, np.int64))
+        own = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+        id_texts = at_positions(pc.binary_join(pa.ListArray.from_arrays(own, model.names.take(pa.array(flat))), " "), " ").to_pylist()
+        surfaces = [f" {w}" for w in words.split(MARK)] if n_words else []
+        for a in answers or []:
+            for x in a["odd"]:
+                surfaces[x["place"]] = x["surface"]
+        decoded = pc.binary_join(pa.ListArray.from_arrays(ends, pa.array(surfaces, pa.string()).take(at)), "").to_pylist()
+        running = np.concatenate([[0], np.cumsum(by_place(pa.array(counts)).take(at).to_numpy())])
+        tokens = np.diff(running[ends.to_numpy()]) + 1
+        id_texts = [f"{t} {model.eos}" if t else str(model.eos) for t in id_texts]
+        decoded = [t[1:] if t[:1] == " " else t for t in decoded]
+        digest = lambda texts: pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts])
+        cols = [pa.array(doc_ids, pa.int64()), pa.array(tokens, pa.int64()), digest(id_texts), digest(decoded)]
         if ids:
-            cols += [pa.array([list(map(int, r[0].split())) for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.string())]
+            cols += [pa.array([list(map(int, t.split())) for t in id_texts], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
         return pa.record_batch(cols, names=names)
 
-    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
-    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), one, schema)
+    out = scratch.save(map_batches(met, joined, schema, most=0), "pieces", arrow_rows=2)
+    scratch.drop(stored, answers)
+    return out
