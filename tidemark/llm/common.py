@@ -78,12 +78,13 @@ class Scratch:
         self.spark = spark
         self.paths: dict[int, str] = {}
 
-    def save(self, df: DataFrame, name: str = "table", arrow_rows: int | None = None) -> DataFrame:
-        """``arrow_rows``: most rows of an Arrow batch, for rows that are large each."""
+    def save(self, df: DataFrame, name: str = "table", arrow_rows: int | None = None, by: str | None = None) -> DataFrame:
+        """``arrow_rows``: most rows of an Arrow batch, for rows that are large each. ``by``: a column of few values, each of
+        which lies in a folder of its own."""
         path = scratch_path(self.spark, name)
         sizes = {"spark__sql__execution__arrow__maxRecordsPerBatch": str(arrow_rows)} if arrow_rows else {}
         with set_conf(self.spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", **sizes):
-            df.write.option("compression", "zstd").parquet(path)
+            df.write.option("compression", "zstd").parquet(path, partitionBy=by)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out

@@ -8,7 +8,8 @@ marked word - a run of markers and what follows up to the next one - is segmente
 - The blocks' words meet in buckets by hash. All blocks that hold a word ask the same bucket, where the library segments
   it once for the whole corpus; a bucket answers each block with the ids of the words it asked for. Buckets follow the
   number of words asked for, so a bucket's table has a bounded size; a word that is everywhere is asked for once a block.
-- A block's answers come back to it, and ids (and decoded surfaces) join its documents by position, in columns.
+- A block's answers come back to it, and ids (and decoded surfaces) join its documents by position, in columns. Blocks do so
+  in ``WAVES`` waves, so that shuffle files hold a fraction of the corpus at a time.
 
 What is shuffled is a block's distinct words, their ids and the numbered positions, never a row for each word of a text.
 """
@@ -20,7 +21,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from .common import Scratch, map_batches, parts, release_memory
 MARK = "▁"
 BLOCK_BYTES = 16 << 20
 PER_BUCKET = 200_000
+WAVES = 4
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
 
@@ -96,19 +98,39 @@ def segmenter(model_file: str) -> Segmenter:
     return Segmenter(model_file)
 
 
-def _squeezed(codes: np.ndarray) -> bytes:
+def _zipped(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unzipped(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def _squeezed(numbers: np.ndarray) -> bytes:
     """Numbers below 2 ** 32 as planes of bytes, compressed: the high planes are nearly all zeros."""
-    return pa.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+    return _zipped(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
-def _opened(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), dtype=np.uint8).reshape(4, n)
+def _opened(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(_unzipped(data), dtype=np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
+def _words(data: bytes) -> list[str]:
+    return _unzipped(data).decode().split(MARK)
+
+
+def _dealt(words: list[str], buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The buckets that a block's words belong to, and the numbers of the words that belong there."""
+    bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, len(words))
+    order = np.argsort(bucket, kind="stable")
+    for places in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        yield int(bucket[places[0]]), places
+
+
 def blocks(docs: DataFrame) -> DataFrame:
-    """(doc_ids, sizes, codes, n_words, words) for each block: its documents, how many marked words each has, the words'
-    numbers in order, and the distinct words by number, joined by the marker, which no word holds."""
+    """(doc_ids, sizes, codes, n_words, words, block, wave) for each block: its documents, how many marked words each has, the
+    words' numbers in order, and the distinct words by number, joined by the marker, which no word holds."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = pc.replace_substring(pc.fill_null(batch.column(1), ""), MARK, " ")
@@ -127,61 +149,55 @@ def blocks(docs: DataFrame) -> DataFrame:
         order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")  # frequent words have small numbers
         number = np.empty(len(words), np.int64)
         number[order] = np.arange(len(words))
-        joined = MARK.join(words[i] for i in order)
-        row = [[batch.column(0).to_pylist()], [sizes.to_pylist()], [_squeezed(number[codes]) if len(codes) else b""], [len(words)], [joined]]
-        types = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int64(), pa.string()]
+        joined = _zipped(MARK.join(words[i] for i in order).encode())
+        row = [[batch.column(0).to_pylist()], [sizes.to_pylist()], [_squeezed(number[codes])], [len(words)], [joined]]
+        types = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int64(), pa.binary()]
         return pa.record_batch([pa.array(c, t) for c, t in zip(row, types, strict=True)], names=["doc_ids", "sizes", "codes", "n_words", "words"])
 
-    rows = map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), one, "doc_ids array<bigint>, sizes array<int>, codes binary, n_words bigint, words string", most=BLOCK_BYTES)
-    return rows.withColumn("block", F.monotonically_increasing_id())
+    rows = map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), one, "doc_ids array<bigint>, sizes array<int>, codes binary, n_words bigint, words binary", most=BLOCK_BYTES)
+    return rows.withColumn("block", F.monotonically_increasing_id()).withColumn("wave", F.pmod(F.hash("block"), F.lit(WAVES)))
 
 
 def asked(stored: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, block, places, words): what each block asks of each bucket, with the numbers that its words have there."""
+    """(bucket, block, wave, words): the words for which each block asks each bucket."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         rows: list[tuple] = []
-        for block, n, joined in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if not n:
-                continue
-            words = joined.split(MARK)
-            bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, n)
-            order = np.argsort(bucket, kind="stable")
-            for places in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                rows.append((int(bucket[places[0]]), block, places.astype("<u4").tobytes(), MARK.join([words[i] for i in places])))
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.string()]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["bucket", "block", "places", "words"]) if rows else None
+        for block, wave, joined in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words = _words(joined)
+            rows += [(bucket, block, wave, _zipped(MARK.join([words[i] for i in places]).encode())) for bucket, places in _dealt(words, buckets)]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["bucket", "block", "wave", "words"])
 
-    return map_batches(stored.select("block", "n_words", "words"), one, "bucket bigint, block bigint, places binary, words string")
+    return map_batches(stored.where("n_words > 0").select("block", "wave", "words"), one, "bucket bigint, block bigint, wave int, words binary")
 
 
 def answered(pages: DataFrame, buckets: int, model_file: str) -> DataFrame:
-    """(block, places, counts, ids, odd): for each page of words the number of ids of each, all ids, and the surfaces that
+    """(bucket, block, wave, counts, ids, odd): for each page of words the number of ids of each, all ids, and the surfaces that
     are not the word. A task reads its buckets one after another and holds the words of one."""
     tasks = max(min(buckets, 4 * pages.sparkSession.sparkContext.defaultParallelism), math.ceil(buckets / 16))
     dealt = pages.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket")
-    types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.struct([("place", pa.int64()), ("surface", pa.string())]))]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.struct([("at", pa.int64()), ("surface", pa.string())]))]
+    names = ["bucket", "block", "wave", "counts", "ids", "odd"]
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, table, current = segmenter(model_file), {}, None
         for batch in batches:
             for part in parts(batch):
                 rows = []
-                for bucket, block, places, joined in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for bucket, block, wave, joined in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     if bucket != current:
                         table, current = {}, bucket
-                    words = joined.split(MARK)
+                    words = _words(joined)
                     new = [w for w in words if w not in table]
                     table.update((w, (np.array(ids, "<u4").tobytes(), len(ids), surface)) for w, (ids, surface) in zip(new, model.segment(new), strict=True))
                     ids, counts, surfaces = zip(*map(table.__getitem__, words), strict=True)
-                    at = np.frombuffer(places, "<u4")
-                    odd = [{"place": int(p), "surface": s} for p, s in zip(at, surfaces, strict=True) if s is not None]
-                    flat = np.frombuffer(b"".join(ids), "<u4")
-                    rows.append((block, places, np.array(counts, "<u4").tobytes(), _squeezed(flat), odd))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["block", "places", "counts", "ids", "odd"])
+                    odd = [{"at": i, "surface": s} for i, s in enumerate(surfaces) if s is not None]
+                    rows.append((bucket, block, wave, _squeezed(np.array(counts)), _squeezed(np.frombuffer(b"".join(ids), "<u4")), odd))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
         release_memory()
 
-    return dealt.mapInArrow(answer, "block bigint, places binary, counts binary, ids binary, odd array<struct<place:bigint,surface:string>>")
+    return dealt.mapInArrow(answer, "bucket bigint, block bigint, wave int, counts binary, ids binary, odd array<struct<at:bigint,surface:string>>")
 
 
 def encode_decode(docs: DataFrame, model_file: str, ids: bool = False, scratch: Scratch | None = None) -> DataFrame:
@@ -192,32 +208,32 @@ def encode_decode(docs: DataFrame, model_file: str, ids: bool = False, scratch:
     scratch = scratch or Scratch(docs.sparkSession)
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
-    stored = scratch.save(blocks(docs), "blocks")
+    stored = scratch.save(blocks(docs), "blocks", by="wave")
     words = stored.agg(F.sum("n_words")).first()[0] or 0
     buckets = max(math.ceil(words / PER_BUCKET), min(4 * docs.sparkSession.sparkContext.defaultParallelism, math.ceil(words / 1000)), 1)
-    answers = scratch.save(answered(asked(stored, buckets), buckets, model_file), "answers")
-    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("places", "counts", "ids", "odd")).alias("answers"))  # a block's words, once each
-    met = stored.join(by_block, "block", "left").select("doc_ids", "sizes", "codes", "n_words", "words", "answers")
+    answers = scratch.save(answered(asked(stored, buckets), buckets, model_file), "answers", by="wave")
 
     def joined(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = segmenter(model_file)
         doc_ids, sizes, codes, n_words, words, answers = (c[0].as_py() for c in batch.columns)
+        words = _words(words) if n_words else []
+        by_bucket = {a["bucket"]: a for a in answers or []}
+        met = [(places, by_bucket[b]) for b, places in _dealt(words, buckets)] if n_words else []
+        surfaces = [f" {w}" for w in words]
+        for places, a in met:
+            for x in a["odd"]:
+                surfaces[places[x["at"]]] = x["surface"]
+        none = [np.zeros(0, np.int64)]
+        order = pa.array(np.argsort(np.concatenate([p for p, _ in met] or none)))  # from the answers' order to the words'
+        counts = np.concatenate([_opened(a["counts"]) for _, a in met] or none)
+        flat = np.concatenate([_opened(a["ids"]) for _, a in met] or none)
         ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-        by_place = lambda values: values.take(pa.array(np.argsort(places)))
-        at_positions = lambda values, by: pc.binary_join(pa.ListArray.from_arrays(ends, by_place(values).take(at)), by)
-        places = np.concatenate([np.frombuffer(a["places"], "<u4") for a in answers or []] or [np.zeros(0, np.int64)]).astype(np.int64)
-        counts = [np.frombuffer(a["counts"], "<u4").astype(np.int64) for a in answers or []]
-        flat = np.concatenate([_opened(a["ids"], int(c.sum())) for a, c in zip(answers or [], counts, strict=True)] or [np.zeros(0, np.int64)])
-        counts = np.concatenate(counts or [np.zeros(0, np.int64)])
-        at = pa.array(_opened(codes, sum(sizes)) if codes else np.zeros(0, np.int64))
         own = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-        id_texts = at_positions(pc.binary_join(pa.ListArray.from_arrays(own, model.names.take(pa.array(flat))), " "), " ").to_pylist()
-        surfaces = [f" {w}" for w in words.split(MARK)] if n_words else []
-        for a in answers or []:
-            for x in a["odd"]:
-                surfaces[x["place"]] = x["surface"]
-        decoded = pc.binary_join(pa.ListArray.from_arrays(ends, pa.array(surfaces, pa.string()).take(at)), "").to_pylist()
-        running = np.concatenate([[0], np.cumsum(by_place(pa.array(counts)).take(at).to_numpy())])
+        at = pa.array(_opened(codes))
+        texts = lambda values, by: pc.binary_join(pa.ListArray.from_arrays(ends, values.take(at)), by).to_pylist()
+        id_texts = texts(pc.binary_join(pa.ListArray.from_arrays(own, model.names.take(pa.array(flat))), " ").take(order), " ")
+        decoded = texts(pa.array(surfaces, pa.string()), "")
+        running = np.concatenate([[0], np.cumsum(pa.array(counts).take(order).take(at).to_numpy())])
         tokens = np.diff(running[ends.to_numpy()]) + 1
         id_texts = [f"{t} {model.eos}" if t else str(model.eos) for t in id_texts]
         decoded = [t[1:] if t[:1] == " " else t for t in decoded]
@@ -227,6 +243,10 @@ def encode_decode(docs: DataFrame, model_file: str, ids: bool = False, scratch:
             cols += [pa.array([list(map(int, t.split())) for t in id_texts], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
         return pa.record_batch(cols, names=names)
 
-    out = scratch.save(map_batches(met, joined, schema, most=0), "pieces", arrow_rows=2)
+    done = []
+    for wave in range(WAVES):  # what a wave shuffles goes before the next one starts
+        back = answers.where(F.col("wave") == wave).groupBy("block").agg(F.collect_list(F.struct("bucket", "counts", "ids", "odd")).alias("answers"))  # a block's words, once each
+        met = stored.where(F.col("wave") == wave).join(back, "block", "left").select("doc_ids", "sizes", "codes", "n_words", "words", "answers")
+        done.append(scratch.save(map_batches(met, joined, schema, most=0), "pieces", arrow_rows=2))
     scratch.drop(stored, answers)
-    return out
+    return reduce(DataFrame.unionAll, done)
