@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import coerce as C
@@ -476,6 +476,32 @@ def forecast_calibration(spark, d):
     return forecasts.calibration(_outcomes(spark, d))
 
 
+_MOMENTS = f"{_OUT}, m AS (SELECT g, count(*) AS n, count(*) FILTER (c) AS came, sum(p)::HUGEINT AS said, sum(p * (10000 - p))::HUGEINT AS spread, sum(s)::HUGEINT AS s, sum(s * s)::HUGEINT AS q FROM b GROUP BY g)"
+
+
+@query(
+    f"WITH {_OUT}, k AS (SELECT g, p, count(*)::HUGEINT AS m, (count(*) FILTER (c))::HUGEINT AS c FROM o GROUP BY g, p), w AS (SELECT *, sum(m) OVER (PARTITION BY g)::HUGEINT AS n, sum(c) OVER (PARTITION BY g)::HUGEINT AS o FROM k), "
+    "t AS (SELECT g, n, o, sum(c * (10000 - p) * (10000 - p) + (m - c) * p * p)::HUGEINT // n // 10000 AS total, sum((m * p - 10000 * c) * (m * p - 10000 * c) // m)::HUGEINT // n // 10000 AS off_by, sum(10000 * (n * c - m * o) * (n * c - m * o) // m)::HUGEINT // (n * n * n) AS told_apart, 10000 * o * (n - o) // (n * n) AS how_hard FROM w GROUP BY g, n, o) "
+    'SELECT g AS "group", CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total, CAST(off_by AS BIGINT) AS off_by, CAST(told_apart AS BIGINT) AS told_apart, CAST(how_hard AS BIGINT) AS how_hard, off_by <= 100 AS calibrated, how_hard > 0 AND how_hard <= 4 * told_apart AS discerning FROM t'
+)
+def forecast_split(spark, d):
+    return forecasts.split(_outcomes(spark, d), "group")
+
+
+@query(f"WITH {_MOMENTS} SELECT g AS \"group\", n, CASE WHEN n < 5 THEN 'untold' WHEN 4 * spread >= (said - 10000 * came) * (said - 10000 * came) THEN 'about' WHEN said > 10000 * came THEN 'too_high' ELSE 'too_low' END AS sureness FROM m")
+def forecast_sureness(spark, d):
+    m = forecasts.moments(_outcomes(spark, d), "group")
+    return m.select("group", "n", forecasts.sureness(*map(F.col, ["n", "came", "said", "spread"])).alias("sureness"))
+
+
+@query(f"WITH {_MOMENTS}, r AS (SELECT g, n, s, q, sum(n) OVER ()::HUGEINT - n AS rn, sum(s) OVER ()::HUGEINT - s AS rs, sum(q) OVER ()::HUGEINT - q AS rq FROM m), v AS (SELECT *, s / n::DOUBLE - rs / rn::DOUBLE AS d, (n * q - s * s)::DOUBLE / (n::DOUBLE * n * (n - 1)) AS e, (rn * rq - rs * rs)::DOUBLE / (rn::DOUBLE * rn * (rn - 1)) AS f FROM r) SELECT g AS \"group\", n, n >= 5 AND rn >= 5 AND coalesce(d * d > 4 * (e + f), false) AS apart FROM v")
+def forecast_apart(spark, d):
+    """Each group's score against that of all other forecasts; the window sees a row for each group."""
+    m = forecasts.moments(_outcomes(spark, d), "group")
+    rest = {f"rest_{c}": F.sum(c).over(Window.partitionBy(F.lit(0))) - F.col(c) for c in ("n", "s", "q")}
+    return m.withColumns(rest).select("group", "n", forecasts.apart(*map(F.col, ["n", "s", "q", "rest_n", "rest_s", "rest_q"])).alias("apart"))
+
+
 @query("WITH p AS (SELECT doc_id, (doc_id * 37) % 10001 AS p, doc_id % 7 AS came, doc_id % 7 + quality AS scored FROM labels) SELECT doc_id, least(greatest((least(came, scored) * 10000 + 5 * p) // (scored + 5), 100), 9900) AS reading, (2500 - least(p, 2500)) * 10000 // 2500 AS skill, CASE WHEN scored > 0 THEN least(came, scored) * 10000 // scored END AS base_rate FROM p")
 def forecast_readings(spark, d):
     said, came = (F.col("doc_id") * 37) % 10001, F.col("doc_id") % 7
