@@ -371,6 +371,45 @@ def test_pii_bootstrap(spark):
     assert text[0] == "please mail to [EMAIL] now" and "[EMAIL]" in text[90] and text[92] is None
 
 
+def test_pii_views(spark):
+    """Contexts of one word, of either side and of line ends, with precision and recall of planted identifiers; words that stand
+    around plain numbers as well make no pattern."""
+    g = random.Random(9)
+    rows, planted = [], set()
+    for i in range(40):
+        rows.append((i, f"{g.choice('abc')}{i} contact: user{i}@site.org\nserver 10.0.0.{i} answered, and it cost 10.0.1.{i} in all"))
+    for i in range(100, 130):
+        text, hidden = [
+            (f"then contact: user{i}@localhost for more", f"user{i}@localhost"),
+            (f"host 999.10.{i}.4 answered, late", f"999.10.{i}.4"),
+            (f"it cost 12.{i},50 in all", None),
+            (f"@handle{i} said so and paid 99{i}99 for it", None),
+        ][i % 4]
+        rows.append((i, text))
+        if hidden:
+            at = text.index(hidden)
+            planted.add((i, at, at + len(hidden)))
+    rows += [(200 + i, f"it cost {10_000 + i} in all") for i in range(60)]
+    found = pii.find(docs(spark, rows)).collect()
+    new = {(r.doc_id, x.start, x.end) for r in found for x in r.text_spans if not x.base}
+    assert len(new & planted) / len(planted) == 1.0 and len(new & planted) / len(new) == 1.0
+
+
+def test_pii_scores(spark):
+    """Scores of patterns against the definition: seeds, other kinds, and what the other side's patterns say, round by round."""
+    rows = [(i, f"mail a{i}@b.org today") for i in range(4)] + [(10 + i, f"mail x{i}@home today") for i in range(3)] + [(20 + i, f"ask x{i}@home maybe") for i in range(3)] + [(30 + i, f"ask z{i}@b.org so") for i in range(3)]
+    found = pii.mentions(docs(spark, rows))
+    seen = {(c, r.kind, r.value) for r in found.collect() for c in r.contexts}
+    base = {x for x in seen if x[1] == "email"}
+    induced = {c for c, _, _ in base if len({v for d, _, v in base if d == c}) >= 3}
+    score = {c: len({v for d, k, v in seen if d == c and k}) / len({v for d, _, v in seen if d == c}) for c in induced}
+    for _ in range(pii.ROUNDS):
+        worth = lambda c, k, v: 1.0 if k else max((score[d] for d, _, w in seen if w == v and d in induced and {c[0], d[0]} == {"L", "R"} and score[d] >= pii.MIN_SCORE), default=0.0)  # noqa: E731, B023
+        score = {c: (lambda xs: sum(xs) / len(xs))([worth(c, k, v) for d, k, v in seen if d == c]) for c in induced}
+    got = {r.context: r.score for r in pii.score_patterns(found, Scratch(spark), generations=1).collect()}
+    assert got.keys() == score.keys() and all(abs(got[c] - score[c]) < 0.01 for c in got)
+
+
 VEC = "vec_id bigint, embedding array<float>, label int, score double"
 
 

@@ -1,11 +1,14 @@
 """Personal data by fixed forms and by bootstrapped contextual extraction.
 
 Base spans (e-mail addresses, IP addresses, card and phone numbers) follow fixed forms. They are the seeds of the
-bootstrap: the two words before a seed are a lexical pattern for its kind, and whatever identifier-shaped token follows
-the same words elsewhere is an instance of that pattern. Spark scores the graph of patterns and instances in rounds:
-a pattern is as good as the instances it extracts (seeds count 1), an instance as good as its patterns together
-(noisy or). Likely instances induce patterns in turn. High-confidence patterns then add the unseen identifiers they
-extract, under the pattern's kind.
+bootstrap: what stands around a seed is a lexical pattern for its kind - two words or one before it, a word behind it, a word
+on either side, or the start or end of its line - and whatever identifier-shaped token stands there elsewhere is an instance
+of that pattern. Patterns of one side ask for a token of the seed's form too (something before an @, digits and signs only, or
+neither), as one word alone says little. Spark scores the graph of patterns and instances in rounds, as two views that
+teach each other: a pattern is as good as the instances it extracts; a seed counts 1, a base span of another kind 0, and any
+other instance what the high-confidence patterns of the other side make of it, at best. So no pattern is held up by itself, nor
+by a wider or narrower form of itself, and two poor ones do not raise each other. Likely instances induce patterns in turn. High-confidence patterns then add the unseen
+identifiers they extract, under the pattern's kind.
 """
 
 from __future__ import annotations
@@ -103,28 +106,48 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 _HAS_DIGIT = re.compile("[0-9]")
 
 
-def _context(text: str, start: int) -> str | None:
-    """The two words before a position, lower-cased; none where fewer stand there, or where one has over ``WORD`` characters:
-    such runs are no pattern's words."""
+def _words(text: str, at: int, step: int, most: int) -> list[str]:
+    """Up to ``most`` words before (step -1) or behind (step 1) a position, nearest first, lower-cased; a mark where the line
+    starts or ends. None from a word of over ``WORD`` characters on: such runs are no pattern's words."""
     words: list[str] = []
-    end = start
-    while len(words) < 2:
-        while end > 0 and text[end - 1].isspace():
-            end -= 1
-        begin = end
-        while begin > 0 and not text[begin - 1].isspace():
-            begin -= 1
-            if end - begin > WORD:
-                return None
-        if begin == end:
-            return None
-        words.append(text[begin:end])
-        end = begin
-    return f"{words[1]} {words[0]}".lower()
+    here = lambda i: text[i - 1] if step < 0 else text[i]
+    left = lambda i: i > 0 if step < 0 else i < len(text)
+    while len(words) < most:
+        while left(at) and here(at).isspace() and here(at) != "\n":
+            at += step
+        if not left(at) or here(at) == "\n":
+            return [*words, EDGE_OF_LINE]
+        begin = at
+        while left(at) and not here(at).isspace():
+            at += step
+            if abs(at - begin) > WORD:
+                return words
+        words.append(text[min(at, begin) : max(at, begin)].lower())
+    return words
+
+
+EDGE_OF_LINE = "\n"
+
+
+def _form(token: str) -> str:
+    return "@" if token.find("@") > 0 else "9" if not any(map(str.isalpha, token)) else "a"
+
+
+def _contexts(text: str, start: int, end: int) -> list[str]:
+    """The patterns that a token stands in, each by its side (L, R or both: B), its words and the token's form."""
+    before, behind, form = _words(text, start, -1, 2), _words(text, end, 1, 1), _form(text[start:end])
+    out = [f"L {form} {before[0]}"] if before else []
+    if len(before) == 2:
+        out.append(f"L {before[1]} {before[0]}")
+    if behind:
+        out.append(f"R {form} {behind[0]}")
+    if before and behind and EDGE_OF_LINE not in (before[0], behind[0]):
+        out.append(f"B {before[0]} {behind[0]}")
+    return out
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_id, kind, start, end, context, value): base spans, and identifier-shaped tokens (a digit or @ in them,
+    """(doc_id, row_id, kind, start, end, contexts, value): base spans, and identifier-shaped tokens (a digit or @ in them,
     five characters or more) outside of base spans with a null kind. row_id tells rows apart that repeat a doc_id."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -147,12 +170,12 @@ def mentions(docs: DataFrame) -> DataFrame:
                     if e - s >= 5 and not (i < len(taken) and taken[i][0] < e):
                         found.append((None, s, e))
             for kind, s, e in found:
-                for col, v in zip(cols, (doc, row, kind, s, e, _context(text, s), text[s:e]), strict=True):
+                for col, v in zip(cols, (doc, row, kind, s, e, _contexts(text, s, e), text[s:e]), strict=True):
                     col.append(v)
-        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "row_id", "kind", "start", "end", "context", "value"])
+        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "row_id", "kind", "start", "end", "contexts", "value"])
 
-    return map_batches(_keyed(docs), one, "doc_id bigint, row_id string, kind string, start bigint, end bigint, context string, value string")
+    return map_batches(_keyed(docs), one, "doc_id bigint, row_id string, kind string, start bigint, end bigint, contexts array<string>, value string")
 
 
 _SHAPED = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
@@ -163,19 +186,21 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5(text.cast("binary")).alias("row_id"), "text")
 
 
-def _belief(edges: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(value, kind, belief): an instance is as likely of the kind as any of its patterns makes it."""
-    joined = edges.join(patterns, ["context", "kind"])
-    return joined.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))).alias("belief"))
+def _belief(edges: DataFrame, patterns: DataFrame, *by: str) -> DataFrame:
+    """(value, kind, by..., belief): an instance is as likely of the kind as the best of its patterns makes it."""
+    return edges.join(patterns, ["context", "kind"]).groupBy("value", "kind", *by).agg(F.max("score").alias("belief"))
 
 
-def _settled(edges: DataFrame, scratch: Scratch, rounds: int) -> DataFrame:
+def _settled(edges: DataFrame, scratch: Scratch, rounds: int, min_score: float) -> DataFrame:
     """(context, kind, score), scored until no pattern moves by more than ``SETTLED``, at most ``rounds`` times."""
     patterns = scratch.save(edges.groupBy("context", "kind").agg(F.avg(F.col("seed").cast("double")).alias("score")), "patterns")
     for _ in range(rounds):
-        # base spans are settled either way
-        value = F.when(F.col("seed"), 1.0).when(F.col("based"), 0.0).otherwise(F.col("belief"))
-        after = edges.join(_belief(edges, patterns), ["value", "kind"]).groupBy("context", "kind").agg(F.avg(value).alias("score"))
+        # base spans are settled either way; others count for one side what the other side's good patterns say
+        value = F.when(F.col("seed"), 1.0).when(F.col("based"), 0.0).otherwise(F.coalesce("belief", F.lit(0.0)))
+        side = F.left("context", F.lit(1))
+        opposite = F.when(side == "L", "R").when(side == "R", "L")
+        taught = _belief(edges.where("NOT based").withColumn("view", opposite), patterns.where(F.col("score") >= min_score), "view").where("view IS NOT NULL")
+        after = edges.withColumn("view", side).join(taught, ["value", "kind", "view"], "left").groupBy("context", "kind").agg(F.avg(value).alias("score"))
         after = scratch.save(after, "patterns")
         moved = after.join(patterns.withColumnRenamed("score", "was"), ["context", "kind"]).agg(F.max(F.abs(F.col("score") - F.col("was")))).first()[0]
         scratch.drop(patterns)
@@ -186,17 +211,17 @@ def _settled(edges: DataFrame, scratch: Scratch, rounds: int) -> DataFrame:
 
 
 def score_patterns(found: DataFrame, scratch: Scratch, min_seeds: int = MIN_SEEDS, rounds: int = ROUNDS, min_score: float = MIN_SCORE, generations: int = GENERATIONS) -> DataFrame:
-    """(context, kind, score): patterns that precede at least ``min_seeds`` distinct seeds of one kind, scored over the
+    """(context, kind, score): patterns that hold at least ``min_seeds`` distinct seeds of one kind, scored over the
     graph of patterns and the distinct values that they extract. Instances that high-confidence patterns make likely are
     the seeds of the next generation's patterns, until none is new."""
-    seen = scratch.save(found.where("context IS NOT NULL").select("context", F.col("kind").alias("own"), "value").distinct(), "contexts")
+    seen = scratch.save(found.select(F.explode("contexts").alias("context"), F.col("kind").alias("own"), "value").distinct(), "contexts")
     base = seen.where("own IS NOT NULL").select("context", F.col("own").alias("kind"), "value")
     seeds, known, patterns = base, -1, None
     for _ in range(generations):
         induced = seeds.groupBy("context", "kind").agg(F.countDistinct("value").alias("seeds")).where(F.col("seeds") >= min_seeds).select("context", "kind")
         seed = F.coalesce(F.col("own") == F.col("kind"), F.lit(False))
         edges = scratch.save(seen.join(induced, "context").select("context", "kind", "value", seed.alias("seed"), F.col("own").isNotNull().alias("based")), "edges")
-        patterns = _settled(edges, scratch, rounds)
+        patterns = _settled(edges, scratch, rounds, min_score)
         good = patterns.where(F.col("score") >= min_score)
         if (now := good.count()) <= known:
             break
@@ -210,9 +235,10 @@ def discovered(found: DataFrame, scratch: Scratch, min_seeds: int = MIN_SEEDS, m
     """(doc_id, row_id, kind, start, end) of identifiers outside of base spans that high-confidence patterns extract; where
     patterns of two kinds fit one place, the better kind (ties: as listed)."""
     good = score_patterns(found, scratch, min_seeds, rounds, min_score).where(F.col("score") >= min_score)
-    best = good.groupBy("context").agg(F.min(F.struct(-F.col("score"), F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), "kind")).alias("b")).select("context", "b.kind")
-    new = found.where("kind IS NULL AND context IS NOT NULL").drop("kind").join(best, "context")
-    return new.groupBy("doc_id", "row_id", "start", "end").agg(F.min("kind").alias("kind"))
+    best = good.groupBy("context").agg(F.min(F.struct(-F.col("score"), F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), "kind")).alias("b")).select("context", "b.kind", (-F.col("b.col1")).alias("score"))
+    new = found.where("kind IS NULL").select("doc_id", "row_id", "start", "end", F.explode("contexts").alias("context")).join(best, "context")
+    order = F.struct(-F.col("score"), F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")))
+    return new.groupBy("doc_id", "row_id", "start", "end").agg(F.min_by("kind", order).alias("kind"))
 
 
 def find(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE, rounds: int = ROUNDS, scratch: Scratch | None = None) -> DataFrame:
