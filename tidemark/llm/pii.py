@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, fresh, map_batches
 
@@ -302,7 +303,10 @@ def redact(docs: DataFrame, **options) -> DataFrame:
                 cols[chars] = pc.replace_with_mask(cols[chars], where, pc.utf8_length(new).cast(cols[chars].type))
         return pa.record_batch(cols, schema=pa.schema([f.with_nullable(True) for f in list(batch.schema)[:-1]]))
 
-    return map_batches(held.select(*(F.col(f"`{c}`") for c in docs.columns), spans), one, docs.schema)
+    # Arrow functions take plain names only
+    plain = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)]
+    named = [F.col("`" + c.replace("`", "``") + "`").alias(f.name) for c, f in zip(docs.columns, plain, strict=True)]
+    return map_batches(held.select(*named, spans), one, T.StructType(plain)).toDF(*docs.columns)
 
 
 def spans_digest(spans: list[tuple[str, int, int]]) -> str:
