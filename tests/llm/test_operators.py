@@ -174,6 +174,59 @@ def test_block_max_is_exact(monkeypatch):
             np.testing.assert_allclose(cosine, [min(s, 1) for _, s in want], atol=2e-5)
 
 
+def test_toxicity_blocks_hold_like_examples(monkeypatch):
+    """Examples of different words lie in different blocks, so that a query's products and lists are those of its own words;
+    what is found depends neither on products nor on the size of batches."""
+    monkeypatch.setattr(toxicity, "BLOCK", 64)
+    r = random.Random(5)
+    vectors = []
+    for n in range(600):
+        words = [n % 3 * 60 + int(60 * r.random() ** 2) for _ in range(r.choice((3, 12, 60)))]
+        v = {t: 1 + r.random() for t in sorted({*words, 180 + n % 7})}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        vectors.append((np.array(list(v), np.int32), np.array(list(v.values())) / length))
+    starts = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors])])
+    dense = np.zeros((600, 187))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    cosines = dense @ dense.T
+    for gain, together, queries in ((0.001, 8, 128), (200, 3, 16), (1e9, 8, 128)):
+        for name, value in (("PRODUCT_GAIN", gain), ("TOGETHER", together), ("QUERIES", queries), ("BATCH", 70)):
+            monkeypatch.setattr(toxicity, name, value)
+        index = toxicity.BlockMaxIndex(starts, *(np.concatenate([v[i] for v in vectors]) for i in (0, 1)), 187)
+        kinds = [set(index.example[a:b] % 3) for a, b in zip(index.firsts, index.firsts[1:])]
+        assert sum(len(k) == 1 for k in kinds) > len(kinds) / 2
+        for without in ([-1] * 600, list(range(600))):
+            for i, (ids, cosine) in enumerate(index.nearest(vectors, 25, without)):
+                want = cosines[i].copy()
+                if without[i] >= 0:
+                    want[i] = 0
+                np.testing.assert_allclose(cosine, np.sort(want)[::-1][:25], atol=2e-6)
+                np.testing.assert_allclose(want[ids], cosine, atol=2e-6)
+
+
+def test_toxicity_terms_of_whole_texts(monkeypatch):
+    """Terms are told apart as the pattern does, in any characters and however the text is cut."""
+    texts = ["Ünïcode wörter_und 数字123 ½x", None, "", " \n", "ΑΣ ΑΣ. İstanbul İSTANBUL \U0001d7d8x", "a" * 900 + " longword longwords longer", "x\ny x", "\x00 nul\x00"]
+
+    def terms(text):
+        found = re.findall(r"[^\W_]+", (text or "").lower())
+        return sorted(found + [w[:5] + "*" for w in found if len(w) > 5])
+
+    names = {}
+    for span in (1 << 18, 7):
+        monkeypatch.setattr(toxicity, "_SPAN", span)
+        rows, hashes = toxicity.hashed_terms(texts)
+        for i, text in enumerate(texts):
+            assert len(set(terms(text))) == len(set(hashes[rows == i].tolist())) and len(terms(text)) == (rows == i).sum()
+            _, alone = toxicity.hashed_terms([text])
+            assert sorted(alone.tolist()) == sorted(hashes[rows == i].tolist()) == names.setdefault(i, sorted(alone.tolist()))
+    assert len({h for x in names.values() for h in x}) == len({t for x in texts for t in terms(x)})
+    some = np.unique(np.concatenate([toxicity.hashed_terms(texts)[1], [-(1 << 63), (1 << 63) - 1]]))
+    assert (toxicity.Vocabulary(some[::2]).columns(some)[::2] == np.arange(len(some[::2]))).all() and (toxicity.Vocabulary(some[::2]).columns(some)[1::2] == -1).all()
+    assert (toxicity.Vocabulary(some[:0]).columns(some) == -1).all()
+
+
 def test_toxicity_against_brute_force(spark):
     """Evidence of every document against cosines of all examples, from the definition."""
     r = random.Random(6)

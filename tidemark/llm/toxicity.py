@@ -4,21 +4,20 @@ Terms are words (runs of letters and digits, lower-cased) and the first five cha
 bounded sample of the labelled rows, told apart by 64-bit hashes. How rare a term is is counted over all documents; terms
 that go with the label in the sample weigh more, and none is left out. The sample's vectors form an inverted index over
 blocks of examples: a term's list holds its largest weight in each block, so a block whose bound lies below the k-th best
-cosine so far is not scored. Terms of many examples are columns of a dense matrix, and their share of the bound is exact.
+cosine so far is not scored. Blocks hold examples of like words. Terms of many of them are columns of a dense matrix for the
+queries that share many, and their share of the bound is exact.
 Neighbours vote with weights that fall with their distance, scaled to the label's frequency among all training rows;
 leave-one-out votes of the sample calibrate the score.
 """
 
 from __future__ import annotations
 
-import re
+import sys
 from collections.abc import Iterator
-from functools import cached_property
-from itertools import chain
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,46 +28,87 @@ MAX_EXAMPLES = 8_000  # of each label; the index and every broadcast are bounded
 UNIT_RATIO = 25.0  # of a term's log-likelihood; a chance below 1e-6, as very many terms are tried. Doubles a term's weight
 NEIGHBOURS = 25
 FOLDS = 5
-BATCH = 256
-BLOCK = 512
+BATCH = 640
+SOME_BYTES = 1 << 20
+BLOCK = 1024
 FIRST_BLOCKS = 2
 PRECISION = 2.0**-23  # single precision loses no more than this for each term of a query, in a cosine
-COLUMNS = 2000
+COLUMNS = 2000  # of a tier, at most
+TIERS = np.array([0.15, 0.06])  # parts of a group's examples that hold a column's term, at least
+PRODUCT_GAIN = 200  # entries of a matrix product that take as long as one posting
+QUERIES = 128  # of one matrix product
+TOGETHER = 8  # queries whose bounds are found at once
+LOW = int(sys.byteorder == "big")
+GROUPS = 8
+GROUP_TERMS = 512
+GROUP_EXAMPLES = 4096
+GROUP_ROUNDS = 6
+LANES = 64
 ROWS = 1024
 DIGITS = 6
-REMEMBERED = 100_000
-_WORDS = re.compile(r"[^\W_]+")
 _STEM = 5
-
-
-def tokens(text: str | None) -> list[str]:
-    return _WORDS.findall(text.lower()) if text else []
-
-
-def _hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
-def _stem_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word[:_STEM].encode("utf-8", "surrogatepass"), seed=1) - (1 << 63)
-
-
-def _terms(words: set[str]) -> set[int]:
-    return {_hash(w) for w in words} | {_stem_hash(w) for w in words if len(w) > _STEM}
-
-
-class _Codes(dict):
-    """Run of characters between white space -> small number, in order of first sight; ``new`` holds those that were added
-    since it was last emptied."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, run: str) -> int:
-        code = self[run] = len(self)
-        self.new.append(run)
-        return code
+_SPAN = 1 << 18
+_STEP = 0x9E3779B97F4A7C15  # odd, as its powers have to have inverses
+_MASK = (1 << 64) - 1
+
+
+@cache
+def _letters() -> np.ndarray:
+    """Whether each character is a letter or digit."""
+    return np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+
+
+@cache
+def _mixed() -> np.ndarray:
+    """A number of 64 bits for each character."""
+    return np.random.default_rng(17).integers(0, _MASK, 0x110000, np.uint64, endpoint=True)
+
+
+@cache
+def _powers(step: int, size: int) -> np.ndarray:
+    out = np.full(size, step, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _finished(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+def _word_hashes(codes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of words in one span of characters, and of the stems of those numbered behind them: differences of a running
+    polynomial of the characters, moved to one origin."""
+    size = max(_SPAN, 1 << (len(codes) - 1).bit_length())
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(_mixed()[codes] * _powers(_STEP, size)[: len(codes)], out=total[1:])
+    back = _powers(pow(_STEP, -1, 1 << 64), size)[start]
+    long = np.nonzero(stop - start > _STEM)[0]
+    stems = (total[start[long] + _STEM] - total[start[long]]) * back[long] ^ np.uint64(_STEP)
+    return _finished((total[stop] - total[start]) * back), _finished(stems), long
+
+
+def hashed_terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the text, hash) of each occurrence of a term: words, and the stems of longer ones."""
+    lowered = [t.lower() if t else "" for t in texts]
+    codes = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(codes) + 2, np.int8)
+    inside[1:-1] = _letters()[codes]
+    edges = np.diff(inside)
+    starts, stops = np.nonzero(edges > 0)[0], np.nonzero(edges < 0)[0]
+    ends = np.cumsum([len(t) + 1 for t in lowered])
+    rows = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, ends), prepend=0))
+    found, owners, first = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(stops, starts[first] + _SPAN, "right")))
+        at, to = starts[first], stops[last - 1]
+        words, stems, long = _word_hashes(codes[at:to], starts[first:last] - at, stops[first:last] - at)
+        found += [words, stems]
+        owners += [rows[first:last], rows[first:last][long]]
+        first = last
+    return np.concatenate(owners), np.concatenate(found)
 
 
 def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,46 +118,44 @@ def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Vocabulary:
-    """Term -> column, by sorted hashes; term frequencies of texts over it. What was looked up is remembered, a bounded number
-    of runs between white space with the columns of their terms."""
+    """Term -> column, by sorted hashes, whose leading bits say where to look; term frequencies of texts over it."""
 
     def __init__(self, hashes: np.ndarray):
         self.hashes = hashes
-        self._forget()
-
-    def _forget(self) -> None:
-        self.codes, self.starts, self.columns = _Codes(), np.zeros(1, np.int32), np.zeros(0, np.int32)
 
     def __getstate__(self) -> dict:
         return {"hashes": self.hashes}
 
-    def __setstate__(self, state: dict) -> None:
-        self.hashes = state["hashes"]
-        self._forget()
-
-    def _learn(self, runs: list[str]) -> None:
-        found = [[h for w in _WORDS.findall(run) for h in ((_hash(w), _stem_hash(w)) if len(w) > _STEM else (_hash(w),))] for run in runs]
-        h = np.fromiter(chain.from_iterable(found), np.int64)
-        at = np.searchsorted(self.hashes, h)
-        at[at == len(self.hashes)] = 0
-        known = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
-        owner = np.repeat(np.arange(len(runs)), list(map(len, found)))[known]
-        self.columns = np.concatenate([self.columns, at[known].astype(np.int32)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.bincount(owner, minlength=len(runs)))]).astype(np.int32)
-
-    def frequencies(self, texts: list[str | None], once: bool = False) -> Frequencies:
-        """``once``: each run counts once, where only what occurs is asked for."""
-        if len(self.codes) > REMEMBERED:
-            self._forget()
-        runs = [t.lower().split() if t else [] for t in texts]
-        runs = list(map(set, runs)) if once else runs
-        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(runs)), np.int64)
-        if self.codes.new:
-            self._learn(self.codes.new)
-            self.codes.new = []
-        at, n = _ranges(self.starts[codes], self.starts[codes + 1])
-        rows = np.repeat(np.repeat(np.arange(len(texts)), list(map(len, runs))), n)
-        keys, times = np.unique((rows << 32) | self.columns[at], return_counts=True)
+    @cached_property
+    def _shift(self) -> np.uint64:
+        return np.uint64(64 - max(len(self.hashes), 2).bit_length())
+
+    def _bucket(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes.view(np.uint64) ^ np.uint64(1 << 63)) >> self._shift).astype(np.int64)
+
+    @cached_property
+    def _firsts(self) -> np.ndarray:
+        return np.append(0, np.cumsum(np.bincount(self._bucket(self.hashes), minlength=1 << (64 - int(self._shift))))).astype(np.int32)
+
+    def columns(self, hashes: np.ndarray) -> np.ndarray:
+        """The column of each term, -1 where it has none."""
+        out = np.full(len(hashes), -1, np.int32)
+        bucket = self._bucket(hashes)
+        at, stop = self._firsts[bucket], self._firsts[bucket + 1]
+        left = np.nonzero(at < stop)[0]
+        at, stop, wanted = at[left], stop[left], hashes[left]
+        while len(left):
+            same = self.hashes[at] == wanted
+            out[left[same]] = at[same]
+            more = ~same & (at + 1 < stop)
+            left, at, stop, wanted = left[more], at[more] + 1, stop[more], wanted[more]
+        return out
+
+    def frequencies(self, texts: list[str | None]) -> Frequencies:
+        rows, hashes = hashed_terms(texts)
+        columns = self.columns(hashes)
+        known = columns >= 0
+        keys, times = np.unique((rows[known] << 32) | columns[known], return_counts=True)
         return np.searchsorted(keys >> 32, np.arange(len(texts) + 1)), (keys & 0xFFFFFFFF).astype(np.int32), times.astype(np.int32)
 
 
@@ -138,95 +176,217 @@ Vector = tuple[np.ndarray, np.ndarray]  # columns, weights
 Knots = tuple[np.ndarray, np.ndarray]
 
 
+def _groups(starts: np.ndarray, terms: np.ndarray, n_terms: int) -> np.ndarray:
+    """A group for each example, by the frequent terms that it holds: a few rounds of spherical k-means over evenly spaced
+    examples, from such as are least alike."""
+    size, times = len(starts) - 1, np.bincount(terms, minlength=n_terms)
+    column = np.full(n_terms, -1, np.int32)
+    common = np.argsort(-times, kind="stable")[:GROUP_TERMS]
+    column[common] = np.arange(len(common))
+
+    def unit(rows: np.ndarray) -> np.ndarray:
+        at, n = _ranges(starts[rows], starts[rows + 1])
+        col, out = column[terms[at]], np.zeros((len(rows), GROUP_TERMS), np.float32)
+        out[np.repeat(np.arange(len(rows)), n)[col >= 0], col[col >= 0]] = 1
+        return out / np.maximum(np.sqrt(out.sum(1, keepdims=True)), 1)
+
+    some = unit(np.arange(0, size, max(1, size // GROUP_EXAMPLES)))
+    telling = np.count_nonzero(some, axis=1)
+    telling = telling >= np.median(telling) / 4
+    middle = some.sum(0)
+    centres, alike = np.zeros((0, GROUP_TERMS), np.float32), some @ middle / np.sqrt(middle @ middle + 1e-9) - 2
+    for _ in range(GROUPS):
+        centres = np.vstack([centres, some[np.argmax(np.where(telling, -alike, -9.0))]])
+        alike = np.maximum(alike, some @ centres[-1])
+    for _ in range(GROUP_ROUNDS):
+        group = np.argmax(some @ centres.T, axis=1)
+        sums = np.stack([some[group == g].sum(0) for g in range(GROUPS)])
+        lengths = np.sqrt((sums * sums).sum(1, keepdims=True))
+        centres = np.where(lengths > 0, sums / np.maximum(lengths, 1e-9), centres)
+    return np.concatenate([np.argmax(unit(np.arange(a, min(a + ROWS, size))) @ centres.T, axis=1) for a in range(0, size, ROWS)])
+
+
 class BlockMaxIndex:
-    """Inverted lists over blocks of ``BLOCK`` examples; a list's entries are its parts within blocks, with their largest
-    weights. The ``COLUMNS`` most frequent terms are no lists: their share of the cosine is a matrix product for a batch of
-    queries, over rows that are spread out a part at a time, and stands in a block's bound as it is. Weights are in single
-    precision; batches are filled up to one size, so that a query's cosines do not depend on the others."""
+    """Inverted lists over blocks of at most ``BLOCK`` examples of one group; a list's entries are its parts within blocks, with
+    their largest weights. Terms that many examples of a group hold are its columns, in tiers. Where a query shares many
+    postings with a tier, their share of the cosine is a matrix product for all such queries of a batch, over a block that is
+    spread out at a time, and stands in the block's bound as it is. Weights are in single precision; products are filled up
+    to one size, so that a query's cosines do not depend on the others."""
 
     def __init__(self, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int):
         """Unit vectors, one behind the other: where each starts, its terms and weights. Neither is kept."""
         self.size = len(starts) - 1
-        times = np.bincount(terms, minlength=n_terms)
-        common = np.argsort(-times, kind="stable")[:COLUMNS]
-        common = common[times[common] > 0]
-        self.column = np.full(n_terms, -1, np.int32)
-        self.column[common] = np.arange(len(common))
-        self.width, at = len(common), self.column[terms]
-        here = at >= 0
-        self.dense_column, self.dense_weight = at[here].astype(np.uint16), weights[here].astype(np.float32)
-        del at
-        self.dense_start = np.concatenate([[0], np.cumsum(here, dtype=np.int32)])[starts]
-        rest = np.nonzero(~here)[0].astype(np.int32)
-        del here
-        rest = rest[np.argsort(terms[rest], kind="stable")]  # by term, then example
-        self.ids, self.weights, listed = (np.searchsorted(starts, rest, "right") - 1).astype(np.int32), weights[rest].astype(np.float32), terms[rest]
-        del rest
-        block = self.ids // BLOCK
+        if not self.size:
+            return
+        group = _groups(starts, terms, n_terms)
+        self.example = np.argsort(group, kind="stable")  # of each place
+        self.place = np.argsort(self.example)
+        sizes = np.bincount(group, minlength=GROUPS)
+        bounds = np.append(0, np.cumsum(sizes))
+        firsts = np.concatenate([np.arange(a, b, BLOCK) for a, b in zip(bounds, bounds[1:], strict=False)])
+        self.group = np.searchsorted(bounds, firsts, "right") - 1  # of each block
+        self.firsts, self.width = np.append(firsts, self.size), -(-self.size // LANES) * LANES
+        key = terms.astype(np.int64) * GROUPS
+        key += np.repeat(group, np.diff(starts))
+        times = np.bincount(key, minlength=n_terms * GROUPS).reshape(n_terms, GROUPS)
+        # columns: of each term that is one of some group, by group: its tier (-1: none), its number there
+        least = np.multiply.outer(TIERS, sizes)
+        frequent = np.nonzero((times >= np.maximum(least[-1], 1)).any(axis=1))[0]
+        times = times[frequent].astype(np.int32)
+        self.frequent = np.full(n_terms, -1, np.int32)
+        self.frequent[frequent] = np.arange(len(frequent))
+        self.unit, self.column = np.full(times.shape, -1, np.int16), np.zeros(times.shape, np.int16)
+        self.widths = np.zeros(GROUPS * len(TIERS), np.int64)
+        for unit in range(len(self.widths)):
+            g, tier = divmod(unit, len(TIERS))
+            fits = (times[:, g] >= max(least[tier, g], 1)) & (self.unit[:, g] < 0)
+            chosen = np.nonzero(fits)[0]
+            chosen = chosen[np.argsort(-times[chosen, g], kind="stable")[:COLUMNS]]
+            self.unit[chosen, g], self.column[chosen, g], self.widths[unit] = unit, np.arange(len(chosen)), len(chosen)
+        self.postings = times
+        self.worth = np.repeat(sizes, len(TIERS)) * self.widths / PRODUCT_GAIN  # postings that are worth a product
+        # lists by term, those of columns behind all others
+        at, g = self.frequent[terms], (key % GROUPS).astype(np.int8)
+        dense = at >= 0
+        dense[dense] = self.unit[at[dense], g[dense]] >= 0
+        del at, g
+        key = terms.astype(np.int64)
+        key += dense * np.int64(n_terms)
+        del dense
+        key <<= 32
+        key |= np.repeat(self.place, np.diff(starts))
+        order = np.argsort(key).astype(np.int32)
+        weights = weights[order].astype(np.float32, copy=False)
+        key = key[order]
+        del order
+        listed = (key >> 32).astype(np.int32)
+        key &= 0xFFFFFFFF
+        block = (np.searchsorted(firsts, np.arange(self.size), "right") - 1).astype(np.int32)[key]
+        key <<= 32
+        key |= weights.view(np.uint32)
+        self.ids = key  # places, with the weights' bits behind them
         new = np.nonzero(np.concatenate([[True], (listed[1:] != listed[:-1]) | (block[1:] != block[:-1])]))[0] if len(listed) else np.zeros(0, np.int64)
-        self.entry_block = block[new]
-        self.entry_max = np.maximum.reduceat(self.weights, new) if len(new) else np.zeros(0, np.float32)
-        self.entry_start = np.append(new, len(listed)).astype(np.int32)
-        self.term_entry = np.searchsorted(listed[new], np.arange(n_terms + 1)).astype(np.int32)
-        self.firsts = np.arange(0, self.size, BLOCK)
-
-    def _shares(self, batch: list[Vector]) -> np.ndarray:
-        """Each example's share of the cosine with each query from frequent terms."""
-        dense, out = np.zeros((self.width, BATCH), np.float32), np.empty((self.size, BATCH), np.float32)
-        for i, (terms, weights) in enumerate(batch):
-            at = self.column[terms]
-            dense[at[at >= 0], i] = weights[at >= 0]
-        for first in range(0, self.size, ROWS):
-            last = min(first + ROWS, self.size)
-            span = slice(self.dense_start[first], self.dense_start[last])
-            part = np.zeros((last - first, self.width), np.float32)
-            rows = np.repeat(np.arange(last - first), np.diff(self.dense_start[first : last + 1]))
-            part[rows, self.dense_column[span]] = self.dense_weight[span]
-            np.matmul(part, dense, out=out[first:last])
-        return np.ascontiguousarray(out.T[: len(batch)])
+        self.entry_block, listed = block[new], listed[new]
+        del block
+        self.entry_max = np.maximum.reduceat(weights, new) if len(new) else np.zeros(0, np.float32)
+        self.entry_start = np.append(new, len(self.ids)).astype(np.int32)
+        self.term_entry = np.searchsorted(listed, np.arange(n_terms + 1)).astype(np.int32)
+        first = int(self.term_entry[-1])  # of columns
+        pair = self.frequent[listed[first:] - n_terms].astype(np.int64) * GROUPS + self.group[self.entry_block[first:]]
+        self.pair_entry = first + np.searchsorted(pair, np.arange(len(frequent) * GROUPS + 1))
+        # entries of columns by unit and block
+        unit = self.unit.reshape(-1)[pair]
+        order = np.lexsort((self.entry_block[first:], unit))
+        self.dense, self.dense_column = (first + order).astype(np.int32), self.column.reshape(-1)[pair[order]]
+        self.dense_start = np.searchsorted(unit[order].astype(np.int64) * len(self.firsts) + self.entry_block[first:][order], np.arange(len(self.widths) * len(self.firsts) + 1))
+
+    def _spread(self, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and weights of ranges of postings."""
+        at = np.repeat(start - np.cumsum(n) + n, n)
+        at += np.arange(len(at))
+        found = self.ids.take(at, mode="clip")
+        weights = found.view(np.float32)[LOW::2]
+        return found >> 32, weights
+
+    def _shares(self, batch: list[Vector]) -> tuple[np.ndarray, list[Vector]]:
+        """Each place's share of the cosine with each query from products, and for each query the lists of columns that no
+        product covers, with its weights."""
+        units = len(self.widths)
+        row = np.repeat(np.arange(len(batch)), [len(t) for t, _ in batch])
+        at = self.frequent[np.concatenate([t for t, _ in batch])]
+        here = at >= 0
+        row, at, weight = row[here], at[here], np.concatenate([w for _, w in batch])[here].astype(np.float32)
+        number = np.arange(len(at))
+        held = [number[some] for g in range(GROUPS) for some in [self.unit[at, g] >= 0]]
+        cells = [row[x] * units + self.unit[at[x], g] for g, x in enumerate(held)]
+        made = sum(np.bincount(c, self.postings[at[x], g], len(batch) * units) for g, (x, c) in enumerate(zip(held, cells, strict=True))).reshape(-1, units) > self.worth
+        left = [x[~made.reshape(-1)[c]] for x, c in zip(held, cells, strict=True)]
+        pair = np.concatenate([at[x].astype(np.int64) * GROUPS + g for g, x in enumerate(left)])
+        left = np.concatenate(left)
+        order = np.argsort(left, kind="stable")
+        left, pair = left[order], pair[order]
+        ends = np.searchsorted(row[left], np.arange(len(batch) + 1))
+        out = np.zeros((len(batch), self.width), np.float32)
+        for unit in np.nonzero(made.any(axis=0))[0]:
+            g, width = unit // len(TIERS), self.widths[unit]
+            queries = np.nonzero(made[:, unit])[0]
+            place = np.full(len(batch), -1)
+            place[queries] = np.arange(len(queries))
+            mine = held[g][cells[g] % units == unit]
+            mine = mine[place[row[mine]] >= 0]
+            dense = np.zeros((-(-len(queries) // QUERIES), QUERIES, width), np.float32)
+            dense.reshape(-1, width)[place[row[mine]], self.column[at[mine], g]] = weight[mine]
+            for b in np.nonzero(self.group == g)[0]:
+                first, last, here = self.firsts[b], self.firsts[b + 1], unit * len(self.firsts) + b
+                span = slice(self.dense_start[here], self.dense_start[here + 1])
+                start = self.entry_start[self.dense[span]]
+                n = self.entry_start[self.dense[span] + 1] - start
+                places, weights = self._spread(start, n)
+                part = np.zeros((last - first, width), np.float32)
+                part[places - first, np.repeat(self.dense_column[span], n)] = weights
+                out[queries, first:last] += np.concatenate([some @ part.T for some in dense])[: len(queries)]
+        return out, [(pair[a:b], weight[left[a:b]]) for a, b in zip(ends, ends[1:], strict=False)]
 
     def nearest(self, queries: list[Vector], k: int, without: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query the k examples of largest cosine above 0 (ties: smaller number), best first; ``without`` is left
         out of it (-1: none)."""
-        for first in range(0, len(queries), BATCH):
-            batch = queries[first : first + BATCH]
-            for share, (terms, weights), gone in zip(self._shares(batch), batch, without[first : first + BATCH], strict=True):
-                yield self._best(share, terms, weights, k, gone)
-
-    def _best(self, share: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, gone: int) -> tuple[np.ndarray, np.ndarray]:
         if not self.size:
-            return np.zeros(0, np.int64), np.zeros(0)
-        rare, slack = self.column[terms] < 0, PRECISION * (len(terms) + 16)
-        listed = terms[rare]
-        entries, n = _ranges(self.term_entry[listed], self.term_entry[listed + 1])
-        weight, block = np.repeat(weights[rare].astype(np.float32), n), self.entry_block[entries]
-        bound = np.maximum.reduceat(share, self.firsts) + np.bincount(block, self.entry_max[entries] * weight, len(self.firsts))
-        order = np.argsort(-bound, kind="stable")
-        found, scores, least = [], [], 0.0
-        for wave in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
-            wave = np.sort(wave[(bound[wave] > 0) & (bound[wave] >= least - slack)])  # other blocks hold nothing better
-            if not len(wave):
-                break
-            wanted = np.zeros(len(bound), bool)
-            wanted[wave] = True
-            held = wanted[block]
-            chosen = entries[held]
-            at, times = _ranges(self.entry_start[chosen], self.entry_start[chosen + 1])
-            sums = np.bincount(self.ids[at], self.weights[at] * np.repeat(weight[held], times), self.size)
-            mine, _ = _ranges(self.firsts[wave], np.minimum(self.firsts[wave] + BLOCK, self.size))
-            score = share[mine] + sums[mine]
-            score[mine == gone] = 0.0
-            keep = score >= least - slack
-            found.append(mine[keep])
-            scores.append(score[keep])
-            if sum(map(len, scores)) >= k:
-                now = np.concatenate(scores)
-                least = np.partition(now, -k)[-k]
-        hits, cosine = (np.concatenate([*x, np.zeros(0, t)]).astype(t) for x, t in ((found, np.int64), (scores, float)))
-        fits = cosine > 0
-        hits, cosine = hits[fits], np.round(cosine[fits], DIGITS)
-        best = np.lexsort((hits, -cosine))[:k]
-        return hits[best], np.minimum(cosine[best], 1.0)
+            yield from ((np.zeros(0, np.int64), np.zeros(0)) for _ in queries)
+            return
+        batches = -(-len(queries) // BATCH)
+        for i in range(batches):
+            here = slice(len(queries) * i // batches, len(queries) * (i + 1) // batches)
+            batch, gone = queries[here], np.array(without[here])
+            out = np.where(gone >= 0, self.place[gone], -1)
+            share, pairs = self._shares(batch)
+            for a in range(0, len(batch), TOGETHER):
+                b = a + TOGETHER
+                yield from self._best(share[a:b], pairs[a:b], batch[a:b], k, out[a:b])
+
+    def _sums(self, entries: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        if not len(entries):
+            return np.zeros(self.width)
+        # neighbours of one weight are one range
+        new = np.concatenate([[True], (entries[1:] != entries[:-1] + 1) | (weight[1:] != weight[:-1])])
+        first = np.nonzero(new)[0]
+        start, last = self.entry_start[entries[first]], entries[np.append(first[1:], len(entries)) - 1]
+        n = self.entry_start[last + 1] - start
+        places, weights = self._spread(start, n)
+        return np.bincount(places, weights * np.repeat(weight[first], n), self.width)
+
+    def _best(self, share: np.ndarray, pairs: list[Vector], queries: list[Vector], k: int, out: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        size, blocks = len(queries), len(self.group)
+        slack = PRECISION * (np.array([len(t) for t, _ in queries]) + 16)
+        lists = [x for (t, _), (pair, _) in zip(queries, pairs, strict=True) for x in (self.term_entry[t], self.pair_entry[pair])]
+        ends = [x for (t, _), (pair, _) in zip(queries, pairs, strict=True) for x in (self.term_entry[t + 1], self.pair_entry[pair + 1])]
+        entries, n = _ranges(np.concatenate(lists), np.concatenate(ends))
+        weight = np.repeat(np.concatenate([x for (_, w), (_, v) in zip(queries, pairs, strict=True) for x in (w.astype(np.float32), v)]), n)
+        owner = np.repeat(np.arange(size), [len(t) + len(p) for (t, _), (p, _) in zip(queries, pairs, strict=True)])
+        cell = np.repeat(owner * blocks, n) + self.entry_block[entries]
+        cuts = np.searchsorted(cell, np.arange(size + 1) * blocks)  # as each query's cells follow those of the one before
+        bound = np.maximum.reduceat(share, self.firsts[:-1], axis=1) + np.bincount(cell, self.entry_max[entries] * weight, size * blocks).reshape(size, blocks)
+        wanted, least, score = np.zeros(bound.shape, bool), np.zeros(size), share.astype(float)
+        np.put_along_axis(wanted, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST_BLOCKS], True, axis=1)
+        dropped = np.nonzero(out >= 0)[0]
+        for wave in range(2):
+            now = wanted.reshape(-1)[cell]
+            for i in range(size):
+                mine = slice(cuts[i], cuts[i + 1])
+                some = now[mine]
+                score[i] += self._sums(entries[mine][some], weight[mine][some])
+            score[dropped, out[dropped]] = 0.0
+            # of as many places as there are lanes, each of whose scores is a part of a cosine at least
+            tops = score.reshape(size, LANES, -1).max(axis=1)
+            if tops.shape[1] >= k:
+                least = np.partition(tops, -k, axis=1)[:, -k]
+            if not wave:
+                wanted = (bound > 0) & (bound >= (least - slack)[:, None]) & ~wanted  # other blocks hold nothing better
+        row, at = np.nonzero(score >= np.maximum(least - slack, np.finfo(float).tiny)[:, None])
+        hits, cosine = self.example[at], np.round(score[row, at], DIGITS)
+        order = np.lexsort((hits, -cosine, row))
+        hits, cosine = hits[order], np.minimum(cosine[order], 1.0)
+        for a, b in zip(*(lambda x: (x, x[1:]))(np.searchsorted(row, np.arange(size + 1))), strict=False):
+            yield hits[a:b][:k], cosine[a:b][:k]
 
     def search(self, query: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         return next(self.nearest([(np.array(list(query), np.int32), np.array(list(query.values()), float))], k, [without]))
@@ -345,19 +505,18 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int
     # at most 2 x max_examples pairs of numbers
     texts = scratch.save(mine.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "examples")
 
-    def count_terms(batches):
-        counts: dict[int, list[int]] = {}
-        for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for t in _terms(set(tokens(text))):
-                    counts.setdefault(t, [0, 0])[label] += 1
-        yield pa.record_batch([pa.array(list(counts), pa.int64()), *(pa.array([c[i] for c in counts.values()], pa.int64()) for i in (0, 1))], names=["term", "n0", "n1"])
-        counts.clear()
-        release_memory()
+    def count_terms(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, hashes = hashed_terms(batch.column(1).to_pylist())
+        order = np.lexsort((hashes, rows))
+        rows, hashes = rows[order], hashes[order]
+        new = np.concatenate([[True], (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])])[: len(rows)]
+        found, term = np.unique(hashes[new], return_inverse=True)
+        toxic = batch.column(0).to_numpy()[rows[new]] == 1
+        return pa.record_batch([pa.array(found), *(pa.array(np.bincount(term[which], minlength=len(found))) for which in (~toxic, toxic))], names=["term", "n0", "n1"])
 
     held = dict(texts.groupBy("toxic").count().collect())
     all0, all1 = held.get(0, 0), held.get(1, 0)
-    per_term = texts.select("toxic", "text").mapInArrow(count_terms, "term bigint, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    per_term = map_batches(texts.select("toxic", "text"), count_terms, "term bigint, n0 bigint, n1 bigint", most=SOME_BYTES).groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     # the terms of at most 2 x max_examples texts
     counted = per_term.select("term", (F.col("n0") + F.col("n1")).alias("n"), _significant(F.col("n1"), F.col("n0"), all1, all0).alias("ratio")).toArrow().sort_by("term")
     hashes, times, raised = counted.column("term").to_numpy(), counted.column("n").to_numpy(), 1 + counted.column("ratio").to_numpy() / UNIT_RATIO
@@ -366,8 +525,8 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_examples: int
     def document_frequencies(batches):
         rows, seen = 0, np.zeros(len(shared.value.hashes), np.int64)
         for batch in batches:
-            for part in parts(batch):
-                _, terms, _ = shared.value.frequencies(part.column(0).to_pylist(), once=True)
+            for part in parts(batch, SOME_BYTES):
+                _, terms, _ = shared.value.frequencies(part.column(0).to_pylist())
                 np.add.at(seen, terms, 1)
                 rows += part.num_rows
         met = np.nonzero(seen)[0]
