@@ -515,6 +515,34 @@ def test_top_k_of_odd_vectors(spark):
     assert scores[100, 2] == 0 and scores[100, 4] == 1024 * 2048 and scores[100, 1] == -(1 << 63) and scores[0, 4] == (1 << 63) - 1
 
 
+def test_top_k_passes_no_vectors_through_the_driver(spark, monkeypatch):
+    """Blocks of queries against slices of several blocks; scores that no single-precision sum holds, and many ties."""
+    def refused(*_):
+        raise AssertionError("vectors sent by the driver")
+
+    def counts(df):
+        assert "binary" not in df.schema.simpleString()
+        return collect(df)
+
+    for name, size in (("ROWS_PER_BLOCK", 64), ("QUERIES_PER_BLOCK", 3), ("SLICES", 2), ("HELD", 20)):
+        monkeypatch.setattr(topk, name, size, raising=False)
+    g = np.random.default_rng(6)
+    for dims, spread, scale, copies in ((70, 1.0 / np.arange(1, 71), 1024, 1), (20, 1.0, 1 << 20, 40), (20, 1.0, 1, 40)):
+        m = np.repeat(g.normal(size=(400 // copies, dims)) * spread, copies, axis=0)
+        df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(m)], DOUBLES)
+        w = np.floor(scale * m)
+        want = [(q, rank, i, int(s)) for q in range(0, 400, 20) for rank, (s, i) in enumerate(sorted(((float(w[q] @ w[c]), c) for c in range(400) if c != q), key=lambda x: (-x[0], x[1]))[:10], 1)]
+        with monkeypatch.context() as held:
+            held.setattr(type(spark.sparkContext), "broadcast", refused)
+            collect = type(df).collect
+            held.setattr(type(df), "collect", counts)
+            got = topk.top_k(df, every=20, scale=scale)
+        assert [tuple(r) for r in got.orderBy("query_id", "rank").collect()] == want
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    odd = spark.createDataFrame([(0, [1e300, 1.0], 1), (1, [], 1), (2, [0.0, 0.0], 1), (3, [0.0, 1.0], 1)], DOUBLES)
+    assert [(r.query_id, r.vec_id) for r in topk.top_k(odd, k=2).orderBy("rank").collect()] == [(0, 3), (0, 1)]
+
+
 def test_ann_of_odd_tables(spark):
     near = lambda rows: [tuple(r) for r in ann.nearest(spark.createDataFrame(rows, DOUBLES)).orderBy("query_id", "rank").collect()]
     assert near([]) == [] and near([(0, [1.0], 1)]) == []

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import against, best, clean_vectors, pack, read
+from .blocks import against, best, clean_vectors, pack, padded, read, shown
 from .common import Scratch, map_batches
 
 SHARD = 5_000
@@ -137,19 +137,18 @@ def build_index(rows: DataFrame, n: int, dims: int, keep: int, shard: int = SHAR
     small = rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= keep)
     nodes = small.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("own")).withColumn("node", F.col("own")[0])
     shards = max(1, math.ceil(n / shard))
-    wide = F.transform(F.sequence(F.lit(0), F.lit(max(dims, 1) - 1)), lambda i: F.coalesce(F.get("v", i), F.lit(0.0)))
 
     def build(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("node").to_numpy(), kind="stable")
         own = np.full((len(order), keep), -1, dtype="<i8")
         for i, x in enumerate(table.column("own").to_pylist()):
             own[i, : len(x)] = x
-        m = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order]
+        m = padded(table.column("v").combine_chunks(), dims)[order]
         graph, entry = build_graph(_unit(m).astype(np.float32), degree, beam)
-        cols = [table.column("b")[0].as_py(), own[order].tobytes(), np.ascontiguousarray(m, "<f8").tobytes(), graph.astype("<i4").tobytes(), entry]
+        cols = [table.column("b")[0].as_py(), own[order].tobytes(), shown(m), graph.astype("<i4").tobytes(), entry]
         return pa.table([[c] for c in cols], names=["block", "ids", "matrix", "graph", "entry"])
 
-    dealt = nodes.select(F.pmod(F.xxhash64("node"), F.lit(shards)).alias("b"), "node", "own", wide.alias("v"))
+    dealt = nodes.select(F.pmod(F.xxhash64("node"), F.lit(shards)).alias("b"), "node", "own", "v")
     return dealt.groupBy("b").applyInArrow(build, "block bigint, ids binary, matrix binary, graph binary, entry bigint")
 
 
@@ -160,9 +159,11 @@ def search(index: DataFrame, queries: DataFrame, shards: int, k: int, keep: int,
         cols: list[list] = [[], [], []]
         for row in batch.to_pylist():
             own = np.frombuffer(row["c_ids"], dtype="<i8").reshape(-1, keep)
-            m = np.frombuffer(row["c_matrix"], dtype="<f8").reshape(len(own), -1)
+            _, m = read(row["c_ids"][: 8 * len(own)], row["c_matrix"])
+            m = m.astype(float)
             graph = np.frombuffer(row["c_graph"], dtype="<i4").reshape(len(own), -1)
             qs, q = read(row["q_ids"], row["q_matrix"])
+            q = q.astype(float)
             ids, _ = beam_search(_unit(m).astype(np.float32), graph, row["c_entry"], _unit(q).astype(np.float32), max(beam, k + 1))
             for i, query_id in enumerate(qs):
                 near = ids[i][ids[i] >= 0][: 4 * (k + 1)]

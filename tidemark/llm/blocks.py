@@ -8,9 +8,11 @@ numpy; vectors are shuffled once, never per pair of rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,29 +23,50 @@ def clean_vectors(df: DataFrame, scratch: Scratch, id_col: str = "vec_id", vecto
     """(vec_id, v): rows with an id and a vector without null or non-finite components; of rows that repeat an id, the one
     with the smallest vector. Stored, as it is read for queries and for candidates."""
     v = F.col(vector_col).cast("array<double>")
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    # NaN counts as the largest, and a search among nulls that finds nothing is null
+    finite = (F.size(v) == 0) | (~F.array_contains(v, F.lit(float("nan"))) & (F.array_max(v) < float("inf")) & (F.array_min(v) > -float("inf")))
     rows = df.select(F.col(id_col).cast("bigint").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite)
     return scratch.save(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
 
 
-def pack(df: DataFrame, per_block: int, n_rows: int, key: str, value: str, dims: int) -> DataFrame:
-    """(block, ids, matrix): blocks of about ``per_block`` rows by hash of the key; ids little-endian 64-bit, the matrix
-    doubles row by row, shorter vectors padded with zeros to ``dims``."""
+def pack(df: DataFrame, per_block: int, n_rows: int, key: str, value: str, dims: int, as_read: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(block, ids, matrix): blocks of about ``per_block`` rows by hash of the key; ids little-endian 64-bit, the matrix as
+    ``as_read`` makes it, row by row, shorter vectors padded with zeros to ``dims``."""
     blocks = max(1, math.ceil(n_rows / per_block))
-    wide = F.transform(F.sequence(F.lit(0), F.lit(max(dims, 1) - 1)), lambda i: F.coalesce(F.get(F.col(value), i), F.lit(0.0)))
-    full = df.withColumn("__b", F.pmod(F.xxhash64(key), F.lit(blocks))).withColumn("__v", wide)
 
     def build(table: pa.Table) -> pa.Table:
         order = np.argsort(ids := table.column("k").to_numpy(), kind="stable")
-        m = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
-        return pa.table({"block": [table.column("b")[0].as_py()], "ids": [ids[order].astype("<i8").tobytes()], "matrix": [np.ascontiguousarray(m, "<f8").tobytes()]})
+        m = padded(table.column("v").combine_chunks(), dims)[order]
+        return pa.table({"block": [table.column("b")[0].as_py()], "ids": [ids[order].astype("<i8").tobytes()], "matrix": [shown(as_read(m) if as_read else m)]})
 
-    return full.select(F.col("__b").alias("b"), F.col(key).alias("k"), F.col("__v").alias("v")).groupBy("b").applyInArrow(build, "block bigint, ids binary, matrix binary")
+    dealt = df.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("b"), F.col(key).alias("k"), F.col(value).alias("v"))
+    return dealt.groupBy("b").applyInArrow(build, "block bigint, ids binary, matrix binary")
+
+
+def padded(vectors: pa.ListArray, dims: int) -> np.ndarray:
+    """Vectors as rows of ``dims`` doubles, one at least, zeros behind the shorter ones."""
+    sizes, flat = pc.list_value_length(vectors).to_numpy(), vectors.flatten().to_numpy()
+    if (sizes == max(dims, 1)).all():
+        return flat.reshape(len(sizes), -1)
+    m = np.zeros((len(sizes), max(dims, 1)))
+    m[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return m
+
+
+KINDS = ("<i2", "<f4", "<f8")
+
+
+def shown(m: np.ndarray) -> bytes:
+    """A matrix in the shortest kind of number that holds each component as it is, behind the place of the kind."""
+    with np.errstate(all="ignore"):
+        kind = next(i for i, x in enumerate(KINDS) if x == "<f8" or np.array_equal(m.astype(x), m))
+    return bytes([kind]) + np.ascontiguousarray(m, KINDS[kind]).tobytes()
 
 
 def read(ids: bytes, matrix: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, and the matrix in its kind of number."""
     keys = np.frombuffer(ids, dtype="<i8")
-    return keys, np.frombuffer(matrix, dtype="<f8").reshape(len(keys), -1)
+    return keys, np.frombuffer(matrix, dtype=KINDS[memoryview(matrix)[0]], offset=1).reshape(len(keys), -1)
 
 
 def against(queries: DataFrame, candidates: DataFrame, slices: int, hint: str | None = None) -> DataFrame:

@@ -1,15 +1,17 @@
-"""Exact top-k by integer inner product: columnar branch and bound.
+"""Exact top-k by integer inner product: columnar branch and bound over blocks of queries.
 
 Components become integers floor(scale * x). A block of candidates is laid out dimension by dimension, the dimensions of
-the largest mass first. For each query, products accumulate one group of dimensions at a time; what the remaining
-dimensions can still add is bounded by the remaining mass of both vectors (Cauchy-Schwarz), and candidates whose bound
-falls below the k-th best score known are compacted away. Every query starts with the k-th best score over one block of
-candidates, so later blocks prune from the first group on.
+the largest mass first. Products of a tile of queries accumulate over the leading dimensions, as one matrix product; what the
+remaining dimensions can still add is bounded by the remaining mass of both vectors (Cauchy-Schwarz), and only pairs whose
+bound reaches the k-th best score that their query has so far take part in the rest. How many dimensions lead is chosen for
+each pair of blocks, by what a few of its queries would leave: all of them, where bounds prune nothing. A task goes through a
+slice of blocks and keeps each query's k best meanwhile; slices meet in a limited window. The driver sees counts alone.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +19,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import against, best, clean_vectors, pack, read
-from .common import Scratch, map_batches
+from .common import Scratch, release_memory
 
 GROUP = 16
-QUERIES_PER_BLOCK = 256
+QUERIES_PER_BLOCK = 1024
 ROWS_PER_BLOCK = 4096
+TILE = 128
+SLICES = 48
+BLOCKS_PER_SLICE = 64
+HELD = 1 << 22
+GATHER = 16  # times the cost of a product in a matrix, for one of a single pair
 EXACT = float(1 << 53)
+EXACT_SINGLE = float(1 << 24)
+LOWEST = -(1 << 63)
 
 
 def _inner(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -37,42 +46,126 @@ class Columns:
     """A block of candidates in vertical layout."""
 
     def __init__(self, ids: np.ndarray, m: np.ndarray):
-        self.ids, self.rows = ids, m
-        self.order = np.argsort(-(m * m).sum(axis=0), kind="stable")
-        self.columns = np.ascontiguousarray(m[:, self.order].T)
-        squares = np.cumsum((self.columns * self.columns)[::-1], axis=0)[::-1]
-        cuts = range(GROUP, len(self.columns), GROUP)
-        self.rest = [np.sqrt(squares[c]) for c in cuts]
-        self.plain = np.abs(m).max(initial=0)
-
-    def top(self, query_id: int, q: np.ndarray, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of this block's k best (ties: smaller id) that reach ``least``, but for the query's own id."""
-        if np.abs(q).max(initial=0) * self.plain * max(len(q), 1) >= EXACT:
-            alive, scores = np.nonzero(self.ids != query_id)[0], None
-        else:
-            q = q[self.order]
-            rest_q = np.sqrt(np.cumsum((q * q)[::-1])[::-1])
-            alive, part, floor = np.nonzero(self.ids != query_id)[0], None, float(least)
-            for g, c in enumerate(range(0, len(q), GROUP)):
-                cols = self.columns[c : c + GROUP]
-                add = q[c : c + GROUP] @ (cols if part is None and len(alive) == cols.shape[1] else cols[:, alive])
-                part = add if part is None else part + add
-                if g < len(self.rest):
-                    slack = rest_q[c + GROUP] * self.rest[g][alive]
-                    if len(alive) > 4 * k:
-                        floor = max(floor, np.partition(part - slack, -k)[-k])
-                    keep = part + slack >= floor * (1 - 1e-12 * np.sign(floor)) - 1e-6
-                    alive, part = alive[keep], part[keep]
-            scores = part.astype(np.int64) if part is not None else np.zeros(len(alive), np.int64)
-        if scores is None:
-            scores = _inner(q, self.rows[alive])
-        fits = scores >= least
-        alive, scores = alive[fits], scores[fits]
-        if len(alive) > 4 * k:  # all that tie with the k-th stay until ids decide
-            held = scores >= np.partition(scores, -k)[-k]
-            alive, scores = alive[held], scores[held]
-        order = np.lexsort((self.ids[alive], -scores))[:k]
-        return self.ids[alive[order]], scores[order]
+        self.ids, self.rows = ids, m.astype(float)
+        with np.errstate(over="ignore"):
+            squares = self.rows * self.rows
+            self.order = np.argsort(-squares.sum(axis=0), kind="stable")
+            # by dimension: the largest mass that is left from there on
+            left = np.cumsum(squares[:, self.order][:, ::-1], axis=1)[:, ::-1].max(axis=0, initial=0)
+        self.rest = np.sqrt(np.append(left, 0.0))
+        self.plain = np.abs(self.rows).max(initial=0)
+        self.columns: dict[type, np.ndarray] = {}
+
+    def laid(self, kind: type) -> np.ndarray:
+        if kind not in self.columns:
+            self.columns[kind] = np.ascontiguousarray(self.rows[:, self.order].T, kind)
+        return self.columns[kind]
+
+    def pairs(self, query_ids: np.ndarray, q: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query's row, candidate's row, score) of pairs that reach their query's ``least``, but for a query's own id: all that
+        may be among its k best."""
+        q = q.astype(float)
+        if np.abs(q).max(initial=1) * max(self.plain, 1) * max(q.shape[1], 1) >= EXACT:
+            for i, vector in enumerate(q):
+                scores = _inner(vector, self.rows)
+                at = np.flatnonzero((scores >= least[i]) & (self.ids != query_ids[i]))
+                yield np.full(len(at), i), at, scores[at]
+            return
+        q = q[:, self.order]
+        left = np.sqrt(np.append(np.cumsum((q * q)[:, ::-1], axis=1)[:, ::-1], np.zeros((len(q), 1)), axis=1))
+        kind = np.float32 if left[:, 0].max(initial=0) * self.rest[0] < EXACT_SINGLE else np.float64
+        columns, q, dims = self.laid(kind), np.ascontiguousarray(q, kind), q.shape[1]
+        # sums are exact below 2 ** 24 and 2 ** 53; bounds are not, so they give way a little
+        reach = least[:, None] * 1.0 - left * self.rest * (1 + 1e-6)
+        reach = np.where(np.arange(dims + 1) < dims, reach - 1e-6 * np.abs(reach) - 2, least[:, None]).astype(kind)
+        lead = self._lead(columns, q, reach)
+        own = np.minimum(np.searchsorted(self.ids, query_ids), len(self.ids) - 1)
+        own = np.where(self.ids[own] == query_ids, own, -1)
+        for a in range(0, len(q), TILE):
+            part = q[a : a + TILE, :lead] @ columns[:lead]
+            here = np.flatnonzero(own[a : a + TILE] >= 0)
+            part[here, own[a + here]] = -np.inf
+            bar = reach[a : a + TILE, lead]
+            if lead == dims and (new := least[a : a + TILE] == LOWEST).any() and part.shape[1] > k:
+                bar[new] = np.partition(part[new], -k, axis=1)[:, -k]  # ties with the k-th stay until ids decide
+            at = np.flatnonzero(part >= bar[:, None])
+            row, col = at // part.shape[1], at % part.shape[1]
+            scores, fits = part.ravel()[at], own[a + row] != col
+            row, col, scores = row[fits] + a, col[fits], scores[fits]
+            for b in range(lead, dims, GROUP):  # few pairs are left, and fewer with each group
+                scores = scores + np.einsum("rd,dr->r", q[row, b : b + GROUP], columns[b : b + GROUP, col])
+                fits = scores >= reach[row, min(b + GROUP, dims)]
+                row, col, scores = row[fits], col[fits], scores[fits]
+            yield row, col, scores.astype(np.int64)
+
+    def _lead(self, columns: np.ndarray, q: np.ndarray, reach: np.ndarray) -> int:
+        """How many dimensions all pairs take part in: the cheapest number for a few queries."""
+        dims, some = len(columns), np.linspace(0, len(q) - 1, min(len(q), 8)).astype(int) if len(q) else []
+        if not len(some) or not np.isfinite(reach[some]).all() or (reach[some, dims] <= LOWEST).any():
+            return dims
+        least, lead, part = float(dims), dims, 0.0
+        for c in range(GROUP, dims, GROUP):
+            part = part + q[some, c - GROUP : c] @ columns[c - GROUP : c]
+            cost = c + GATHER * dims * float((part >= reach[some, c][:, None]).mean())
+            if cost < least:
+                least, lead = cost, c
+        return lead
+
+
+class Held:
+    """The k best of each query of a block so far."""
+
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.least = np.full(len(ids), LOWEST, dtype=np.int64)  # a score that the k best so far reach, and
+        self.last = np.full(len(ids), np.iinfo(np.int64).max)  # the largest id among them with that score
+        self.clear()
+
+    def clear(self) -> None:
+        self.row, self.vec, self.score = (np.empty(0, dtype=np.int64) for _ in range(3))
+
+    def take(self, row: np.ndarray, vec: np.ndarray, score: np.ndarray) -> None:
+        fits = (score > self.least[row]) | (score == self.least[row]) & (vec < self.last[row])
+        if not fits.any():
+            return
+        row, vec, score = (np.concatenate([x, new[fits]]) for x, new in zip((self.row, self.vec, self.score), (row, vec, score), strict=True))
+        order = np.lexsort((vec, -score.astype(float), row)) if np.abs(score).max() < EXACT else np.lexsort((vec, ~score, row))
+        row, vec, score = row[order], vec[order], score[order]
+        first = np.searchsorted(row, row)
+        keep = np.arange(len(row)) - first < self.k
+        self.row, self.vec, self.score = row[keep], vec[keep], score[keep]
+        full = np.flatnonzero(np.arange(len(row)) - first == self.k - 1)
+        self.least[row[full]], self.last[row[full]] = score[full], vec[full]
+
+
+def _searcher(k: int):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Held] = {}
+        block, columns = None, None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for x in held.values():
+                if len(x.row):
+                    yield pa.record_batch([pa.array(y) for y in (x.ids[x.row], x.vec, x.score)], names=["query_id", "vec_id", "score"])
+                    x.clear()
+
+        try:
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    c_block, c_ids, c_matrix, q_block, q_ids, q_matrix = (batch.column(x)[r] for x in ("c_block", "c_ids", "c_matrix", "q_block", "q_ids", "q_matrix"))
+                    if c_block.as_py() != block:
+                        block, columns = c_block.as_py(), Columns(*read(c_ids.as_py(), c_matrix.as_py()))
+                    ids, q = read(q_ids.as_py(), q_matrix.as_py())
+                    mine = held.setdefault(q_block.as_py(), Held(ids, k))
+                    for row, col, score in columns.pairs(ids, q, k, mine.least):
+                        mine.take(row, columns.ids[col], score)
+                if sum(len(x.row) for x in held.values()) > HELD:
+                    yield from out()
+            yield from out()
+        finally:
+            release_memory()
+
+    return search
 
 
 def top_k(df: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, scratch: Scratch | None = None) -> DataFrame:
@@ -87,41 +180,16 @@ def top_k(df: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, scrat
     scratch = scratch or Scratch(df.sparkSession)
     rows = clean_vectors(df, scratch)
     n, n_queries, dims = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    held = lambda x: F.greatest(F.least(x * scale, F.lit(1e300)), F.lit(-1e300))
-    whole = F.transform("v", lambda x: F.when(F.abs(x * scale) < 2.0**62, F.floor(x * scale).cast("double")).otherwise(held(x)))
-    ints = rows.select("vec_id", whole.alias("v"))
-    candidates = scratch.save(pack(ints, ROWS_PER_BLOCK, n, "vec_id", "v", dims), "candidates")
-    queries = pack(ints.where(F.col("vec_id") % every == 0), QUERIES_PER_BLOCK, n_queries, "vec_id", "v", dims)
-    first = candidates.where("block = 0").limit(1).collect()  # one block of a fixed number of vectors
-    seed = df.sparkSession.sparkContext.broadcast((bytes(first[0]["ids"]), bytes(first[0]["matrix"])) if first else None)
-
-    def seeded(batch: pa.RecordBatch) -> pa.RecordBatch:
-        floors = []
-        ids, m = read(*seed.value)
-        for q_ids, q_matrix in zip(batch.column(1), batch.column(2), strict=True):
-            qs, q = read(q_ids.as_py(), q_matrix.as_py())
-            low = np.full(len(qs), -(1 << 63), dtype=np.int64)
-            for i, (query_id, vector) in enumerate(zip(qs, q, strict=True)):
-                scores = _inner(vector, m[ids != query_id])
-                if len(scores) >= k:
-                    low[i] = np.partition(scores, -k)[-k]
-            floors.append(low.astype("<i8").tobytes())
-        return pa.record_batch([*batch.columns, pa.array(floors, pa.binary())], names=["block", "ids", "matrix", "floors"])
-
-    queries = map_batches(queries, seeded, "block bigint, ids binary, matrix binary, floors binary")
-    slices = max(1, math.ceil(n / ROWS_PER_BLOCK))
-
-    def search(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: list[list] = [[], [], []]
-        for row in batch.to_pylist():
-            held = Columns(*read(row["c_ids"], row["c_matrix"]))
-            qs, q = read(row["q_ids"], row["q_matrix"])
-            for query_id, vector, least in zip(qs, q, np.frombuffer(row["q_floors"], dtype="<i8"), strict=True):
-                ids, scores = held.top(query_id, vector, k, int(least))
-                for col, x in zip(cols, (np.full(len(ids), query_id), ids, scores), strict=True):
-                    col.append(x)
-        arrays = [pa.array(np.concatenate(c).astype(np.int64)) if c else pa.array([], pa.int64()) for c in cols]
-        return pa.record_batch(arrays, names=["query_id", "vec_id", "score"])
-
-    found = map_batches(against(queries, candidates, slices), search, "query_id bigint, vec_id bigint, score bigint")
+
+    def whole(m: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            m = m * scale
+        return np.where(np.abs(m) < 2.0**62, np.floor(m), np.clip(m, -1e300, 1e300))
+
+    candidates = scratch.save(pack(rows, ROWS_PER_BLOCK, n, "vec_id", "v", dims, whole), "candidates")
+    queries = pack(rows.where(F.col("vec_id") % every == 0), QUERIES_PER_BLOCK, n_queries, "vec_id", "v", dims, whole)
+    blocks = max(1, math.ceil(n / ROWS_PER_BLOCK))
+    # queries travel once for each slice, however many blocks it has
+    slices = min(blocks, max(SLICES, math.ceil(blocks / BLOCKS_PER_SLICE)))
+    found = against(queries, candidates, slices, "merge").mapInArrow(_searcher(k), "query_id bigint, vec_id bigint, score bigint")
     return best(found, k)
