@@ -551,6 +551,29 @@ def test_ann_of_odd_tables(spark):
     assert all(r[3] == 1.0 for r in got if r[0] == 0 and r[2] != 50)
 
 
+def test_ann_of_copies(spark, monkeypatch):
+    """Copies of a vector make no shards, queries travel once for a slice of shards, and what a task holds may go out early."""
+    g = np.random.default_rng(9)
+    base = g.normal(size=(300, 12))
+    df = spark.createDataFrame([(i, base[i % 300].tolist(), 1) for i in range(2400)], DOUBLES)
+    made, search = [], ann.search
+    monkeypatch.setattr(ann, "search", lambda index, queries, shards, *a: made.append((index.count(), shards)) or search(index, queries, shards, *a))
+    for name, size in (("SLICES", 2), ("SHARDS_PER_SLICE", 2), ("HELD", 30), ("QUERIES_PER_BLOCK", 7)):
+        monkeypatch.setattr(ann, name, size, raising=False)
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    hit, rows = 0, ann.nearest(df, shard=75).orderBy("query_id", "rank").collect()
+    for q in range(0, 2400, 50):
+        got = [(r.vec_id, r.score) for r in rows if r.query_id == q]
+        assert [v for v, _ in got] == [i for i in range(q % 300, 2400, 300) if i != q][:5] and all(abs(s - 1) < 1e-12 for _, s in got)
+    for r in ann.nearest(df.where("vec_id < 300"), shard=75).collect():
+        s = unit @ unit[r.query_id]
+        assert abs(r.score - s[r.vec_id]) < 1e-12 and r.vec_id != r.query_id
+        hit += r.vec_id in set(np.argsort(-s)[1:6].tolist())
+    assert made == [(4, 4), (4, 4)] and hit >= 0.95 * 30
+    short = spark.createDataFrame([(i, [2.0, 0.0][: 1 + i % 2], 1) for i in range(30)] + [(30, [0.0, 1.0], 1)], DOUBLES)
+    assert [(r.query_id, r.vec_id, r.score) for r in ann.nearest(short).orderBy("rank").collect()] == [(0, i, 1.0) for i in range(1, 6)]
+
+
 def test_ann_recall_of_hubs(spark):
     """Near-equal vectors around few centres, in several shards: nodes behind a hub are found all the same."""
     g = np.random.default_rng(3)

@@ -83,3 +83,30 @@ def best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+class Held:
+    """The k best of each query of a block so far, by score, ties by id; scores are of the kind of ``lowest``."""
+
+    def __init__(self, ids: np.ndarray, k: int, lowest: float):
+        self.ids, self.k = ids, k
+        self.kind = np.int64 if isinstance(lowest, int) else np.float64
+        self.least = np.full(len(ids), lowest, dtype=self.kind)  # a score that the k best so far reach, and
+        self.last = np.full(len(ids), np.iinfo(np.int64).max)  # the largest id among them with that score
+        self.row, self.vec, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, self.kind)
+
+    def take(self, row: np.ndarray, vec: np.ndarray, score: np.ndarray) -> None:
+        fits = (score > self.least[row]) | (score == self.least[row]) & (vec < self.last[row])
+        if not fits.any():
+            return
+        row, vec, score = (np.concatenate([x, new[fits]]) for x, new in zip((self.row, self.vec, self.score), (row, vec, score), strict=True))
+        order = np.lexsort((vec, ~score if self.kind is np.int64 else -score, row))
+        row, vec, score = row[order], vec[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        full = place == self.k - 1
+        self.least[row[full]], self.last[row[full]] = score[full], vec[full]
+        self.row, self.vec, self.score = (x[place < self.k] for x in (row, vec, score))
+
+    def out(self) -> pa.RecordBatch:
+        """What is held, and no longer after that; later ones still have to be better."""
+        batch = pa.record_batch([pa.array(x) for x in (self.ids[self.row], self.vec, self.score)], names=["query_id", "vec_id", "score"])
+        self.row, self.vec, self.score = self.row[:0], self.vec[:0], self.score[:0]
+        return batch

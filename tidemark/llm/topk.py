@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import against, best, clean_vectors, pack, read
+from .blocks import Held, against, best, clean_vectors, pack, read
 from .common import Scratch, release_memory
 
 GROUP = 16
@@ -112,43 +112,10 @@ class Columns:
         return lead
 
 
-class Held:
-    """The k best of each query of a block so far."""
-
-    def __init__(self, ids: np.ndarray, k: int):
-        self.ids, self.k = ids, k
-        self.least = np.full(len(ids), LOWEST, dtype=np.int64)  # a score that the k best so far reach, and
-        self.last = np.full(len(ids), np.iinfo(np.int64).max)  # the largest id among them with that score
-        self.clear()
-
-    def clear(self) -> None:
-        self.row, self.vec, self.score = (np.empty(0, dtype=np.int64) for _ in range(3))
-
-    def take(self, row: np.ndarray, vec: np.ndarray, score: np.ndarray) -> None:
-        fits = (score > self.least[row]) | (score == self.least[row]) & (vec < self.last[row])
-        if not fits.any():
-            return
-        row, vec, score = (np.concatenate([x, new[fits]]) for x, new in zip((self.row, self.vec, self.score), (row, vec, score), strict=True))
-        order = np.lexsort((vec, -score.astype(float), row)) if np.abs(score).max() < EXACT else np.lexsort((vec, ~score, row))
-        row, vec, score = row[order], vec[order], score[order]
-        first = np.searchsorted(row, row)
-        keep = np.arange(len(row)) - first < self.k
-        self.row, self.vec, self.score = row[keep], vec[keep], score[keep]
-        full = np.flatnonzero(np.arange(len(row)) - first == self.k - 1)
-        self.least[row[full]], self.last[row[full]] = score[full], vec[full]
-
-
 def _searcher(k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Held] = {}
         block, columns = None, None
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for x in held.values():
-                if len(x.row):
-                    yield pa.record_batch([pa.array(y) for y in (x.ids[x.row], x.vec, x.score)], names=["query_id", "vec_id", "score"])
-                    x.clear()
-
         try:
             for batch in batches:
                 for r in range(batch.num_rows):
@@ -156,12 +123,12 @@ def _searcher(k: int):
                     if c_block.as_py() != block:
                         block, columns = c_block.as_py(), Columns(*read(c_ids.as_py(), c_matrix.as_py()))
                     ids, q = read(q_ids.as_py(), q_matrix.as_py())
-                    mine = held.setdefault(q_block.as_py(), Held(ids, k))
+                    mine = held.setdefault(q_block.as_py(), Held(ids, k, LOWEST))
                     for row, col, score in columns.pairs(ids, q, k, mine.least):
                         mine.take(row, columns.ids[col], score)
                 if sum(len(x.row) for x in held.values()) > HELD:
-                    yield from out()
-            yield from out()
+                    yield from (x.out() for x in held.values())
+            yield from (x.out() for x in held.values())
         finally:
             release_memory()
 
